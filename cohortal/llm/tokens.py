@@ -27,7 +27,7 @@ MAX_BITS = 16
 BLOCK = 256  # ids between two checkpoints
 SEGMENT_IDS = 1 << 18  # a segment is closed when it has as many ids
 PART_TOKENS = 8_000_000  # ids in a range partition, on average
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_300_000
 MOST_IDS = 1 << 20  # the largest vocabulary whose counts and lengths go to the driver
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -53,26 +53,27 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # of each id: a character of the byte alphabet is a byte
         for token, k in vocab.items():
             self.bytes_of[k] = len(token)
+        self.kind = id_type(max(vocab.values()))
         self.cache: dict[str, bytes] = {}
         self.marks = {mark: self.plain(mark) for mark in ",."}
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tool.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tool.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
     def _learn(self, pieces: list[str]) -> None:
         """Pieces that follow a space; they are encoded together, each with its space, and cut by bytes."""
         for k in range(0, len(pieces), 1000):
             part = pieces[k : k + 1000]
-            ids = np.array(self.tool.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.tool.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
             size = np.cumsum([len(p.encode()) + 1 for p in part])
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), size, side="left") + 1
-            data, start = ids.tobytes(), 0
+            data, start, wide = ids.tobytes(), 0, ids.itemsize
             for p, end in zip(part, ends.tolist(), strict=True):
-                self.cache[p] = data[4 * start : 4 * end]
+                self.cache[p] = data[wide * start : wide * end]
                 start = end
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; a null counts as empty."""
+        """Ids of each text, little-endian, as wide as the vocabulary asks for; a null counts as empty."""
         plain, first, rest = {}, [], []
         for k, text in enumerate(texts.to_pylist()):
             text = text or ""
@@ -81,7 +82,8 @@ class Encoder:
             head, _, tail = text.partition(" ")
             first.append(head)
             rest.append(tail or None)
-        heads = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tool.encode_batch_fast(first, add_special_tokens=False)]
+        wide = np.dtype(self.kind).itemsize
+        heads = [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tool.encode_batch_fast(first, add_special_tokens=False)]
         pieces = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
         coded = pieces.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -91,8 +93,8 @@ class Encoder:
         stem = [p[:-1] if p[-1:] in self.marks and p[-2:-1] in LETTERS else p for p in distinct]
         self._learn(list({p for p in stem if p not in self.cache}))
         found = [self.cache[s] if len(s) == len(p) else self.cache[s] + self.marks[p[-1]] for s, p in zip(stem, distinct, strict=True)]
-        n = np.array([len(x) >> 2 for x in found], dtype=np.int64)
-        pool = np.frombuffer(b"".join(found), dtype="<u4")
+        n = np.array([len(x) for x in found], dtype=np.int64) // wide
+        pool = np.frombuffer(b"".join(found), dtype=self.kind)
         at = coded.indices.to_numpy().astype(np.int64)
         length, begin = n[at], (np.cumsum(n) - n)[at]
         stop = np.cumsum(length)
@@ -101,11 +103,16 @@ class Encoder:
         ends = np.concatenate(([0], stop))[np.cumsum(many)].tolist() if len(texts) else []
         out, start = [], 0
         for k, end in enumerate(ends):
-            out.append(plain[k] if k in plain else heads[k] + ids[4 * start : 4 * end])
+            out.append(plain[k] if k in plain else heads[k] + ids[wide * start : wide * end])
             start = end
         return out
 
 
+def id_type(most: int) -> str:
+    """The numpy type of ids up to `most`."""
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -132,27 +139,28 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids binary, n): the ids of each whole text and the end id, 32 bits each. A null text is empty."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    """(doc_id, ids binary, n): the ids of each whole text and the end id. A null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
+        end = np.array([end_id], dtype=tool.kind)
+        wide, end = end.itemsize, end.tobytes()
         for batch in batches:
             for part in slices(batch, 1):
                 ids = [x + end for x in tool.encode(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([len(x) // wide for x in ids], pa.int64())], names=["doc_id", "ids", "n"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n long")
 
 
-def count_ids(encoded: DataFrame) -> DataFrame:
+def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all documents; each task sends a row an id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                found = np.bincount(np.frombuffer(x.as_py(), dtype="<u4"), minlength=len(total))
+            for part in slices(batch, 0):
+                found = np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), dtype=kind), minlength=len(total))
                 found[: len(total)] += total
                 total = found
         used = np.flatnonzero(total)
@@ -243,7 +251,7 @@ class Code:
 SEGMENT_SCHEMA = "part int, segment int, first long, n long, doc_ids array<long>, doc_n array<long>, bits binary, offsets binary"
 
 
-def write_segments(encoded: DataFrame, lengths: np.ndarray, path: str, parts: int) -> None:
+def write_segments(encoded: DataFrame, kind: str, lengths: np.ndarray, path: str, parts: int) -> None:
     """Writes encoded(doc_id, ids, n) in ascending order of doc_id; equal ids in the order of their content."""
     code_of = lengths.tobytes()
 
@@ -263,7 +271,7 @@ def write_segments(encoded: DataFrame, lengths: np.ndarray, path: str, parts: in
 
         for batch in batches:
             for doc, ids in zip(batch.column(0), batch.column(1), strict=True):
-                docs.append((doc.as_py(), np.frombuffer(ids.as_py(), dtype="<u4")))
+                docs.append((doc.as_py(), np.frombuffer(ids.as_py(), dtype=kind)))
                 held += len(docs[-1][1])
                 if held >= SEGMENT_IDS:
                     yield close()
@@ -310,15 +318,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> np
     each, in the order of a hash of their ids; an empty table writes no segment. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
-    encoded = scratch.table(encode_documents(docs, tokenizer or tokenizer_path()), "ids")
-    found = count_ids(encoded).limit(MOST_IDS + 1).collect()
+    path_of = tokenizer or tokenizer_path()
+    kind = encoder(path_of).kind
+    encoded = scratch.table(encode_documents(docs, path_of), "ids")
+    found = count_ids(encoded, kind).limit(MOST_IDS + 1).collect()
     if len(found) > MOST_IDS:
         raise ValueError(f"over {MOST_IDS} different ids")
     counts = np.zeros(max((r["id"] for r in found), default=0) + 1, dtype=np.int64)
     for r in found:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    write_segments(encoded, lengths, path, max(8, -(-int(counts.sum()) // PART_TOKENS)))
+    write_segments(encoded, kind, lengths, path, max(8, -(-int(counts.sum()) // PART_TOKENS)))
     scratch.drop("ids")
     scratch.release()
     return lengths
