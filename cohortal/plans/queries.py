@@ -1,4 +1,940 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries: each operator over the driver's whole tables, with the equivalent SQL where there is one."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cohortal.functions import hashing as H
+from cohortal.functions import scalars as S
+from cohortal.operators import cohort, enrich, graph, linear, metrics, prep, reactions
+from cohortal.plans import bindings as B
 
 QUERIES: dict = {}
 SQL: dict = {}
+R = 6  # digits that floating-point results are rounded to
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return put
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.withColumn(c, F.round(F.col(c), R) + F.lit(0.0))
+    return df
+
+
+WEIGHTS = {"edges": 0.75, "doubles": -1.25, "closures": 0.4}
+WEIGHTS_SQL = "w(name, weight) AS (VALUES ('edges', 0.75::DOUBLE), ('doubles', -1.25), ('closures', 0.4))"
+
+
+# ---------------------------------------------------------------- scoring and ranking
+def _scored_molecules(spark: SparkSession, d: str) -> DataFrame:
+    items = prep.rankable_groups(B.mol_items(spark, d))
+    return linear.score_linear(items, B.features(spark, d), linear.weights_frame(spark, WEIGHTS), 2.0)
+
+
+_SCORED = f"""WITH {B.FEATURES}, {WEIGHTS_SQL},
+good AS (SELECT grp FROM mol_items GROUP BY grp HAVING count(*) >= 3 AND count(DISTINCT label) >= 2),
+s AS (SELECT f.item, sum(w.weight * f.value) AS s FROM features f JOIN w USING (name) GROUP BY 1),
+scored AS (SELECT m.item, m.grp, m.label, coalesce(s.s, 0) + 2.0 AS prediction FROM mol_items m JOIN good USING (grp) LEFT JOIN s USING (item))"""
+
+
+@query("score_and_rank", _SCORED + f""" SELECT item, grp, round(prediction, {R}) AS prediction,
+  CAST(row_number() OVER (PARTITION BY grp ORDER BY round(prediction, {R}), item) AS INT) AS rank, round(round(prediction, {R}) - min(round(prediction, {R})) OVER (PARTITION BY grp), {R}) AS delta FROM scored""")
+def score_and_rank(spark, d):
+    scored = rounded(_scored_molecules(spark, d), "prediction")
+    return rounded(linear.rank_group(scored), "delta").select("item", "grp", "prediction", "rank", "delta")
+
+
+@query("linear_score", _SCORED + f" SELECT item, round(prediction, {R}) AS prediction FROM scored")
+def linear_score(spark, d):
+    return rounded(_scored_molecules(spark, d), "prediction").select("item", "prediction")
+
+
+@query("top_contributions", f"""WITH {B.FEATURES}, {WEIGHTS_SQL}, c AS (SELECT f.item, f.name, w.weight * f.value AS value FROM features f JOIN w USING (name) WHERE abs(w.weight * f.value) > 1e-12),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY round(abs(value), 9) DESC, name) AS INT) AS place FROM c) SELECT item, name, round(value, {R}) AS value, place FROM r WHERE place <= 2""")
+def top_contributions(spark, d):
+    parts = linear.contributions(B.features(spark, d), linear.weights_frame(spark, WEIGHTS)).withColumn("value", F.round("value", 9))
+    return rounded(linear.top_contributions(parts, 2), "value")
+
+
+@query("full_prediction")
+def full_prediction(spark, d):
+    items, features = B.mol_items(spark, d), B.features(spark, d)
+    counts = B.atoms(spark, d).groupBy(F.col("mol_id").alias("item"), "element").agg(F.count("*").alias("n"))
+    moments = linear.feature_moments(items, features).select("name", "mean", "scale")
+    element = spark.createDataFrame([("C", -2.0), ("N", -1.5), ("O", -3.0), ("S", -0.5)], "element string, weight double")
+    ranges = spark.createDataFrame([("C", 0, 4), ("N", 0, 4), ("O", 0, 4), ("S", 0, 4)], "element string, lo long, hi long")
+    out = linear.predict(items, counts, features, {"intercept": 1.5, "q99": 2.0}, element, linear.weights_frame(spark, WEIGHTS), moments, ranges)
+    return rounded(out, "composition", "connectivity", "prediction", "distance").select("item", "composition", "connectivity", "prediction", "distance", F.array_join("warnings", ";").alias("warnings"))
+
+
+SQL["full_prediction"] = f"""WITH {B.FEATURES}, {WEIGHTS_SQL}, n AS (SELECT count(*) AS n FROM mol_items),
+mo AS (SELECT name, sum(value) / n AS mean, CASE WHEN sqrt(greatest(0, sum(value * value) / n - (sum(value) / n) * (sum(value) / n))) > 1e-12 THEN sqrt(greatest(0, sum(value * value) / n - (sum(value) / n) * (sum(value) / n))) ELSE 1 END AS scale FROM features, n GROUP BY name, n),
+grid AS (SELECT m.item, mo.*, coalesce(f.value, 0) AS value FROM mol_items m CROSS JOIN mo LEFT JOIN features f ON f.item = m.item AND f.name = mo.name),
+t AS (SELECT item, sum(coalesce(w.weight, 0) * value) AS connectivity, sqrt(avg(((value - mean) / scale) ** 2)) AS distance FROM grid LEFT JOIN w USING (name) GROUP BY item),
+k AS (SELECT mol_id AS item, 1.5 + sum(CASE element WHEN 'C' THEN -2.0 WHEN 'N' THEN -1.5 WHEN 'O' THEN -3.0 ELSE -0.5 END) AS composition FROM atoms GROUP BY 1),
+o AS (SELECT item, max(n) > 4 AS outside FROM (SELECT mol_id AS item, element, count(*) AS n FROM atoms GROUP BY 1, 2) GROUP BY 1)
+SELECT item, round(composition, {R})::DOUBLE AS composition, round(connectivity, {R}) AS connectivity, round(composition + connectivity, {R}) AS prediction, round(distance, {R}) AS distance,
+  concat_ws(';', CASE WHEN distance > 2 THEN 'DISTANCE_OUTSIDE_Q99' END, CASE WHEN outside THEN 'COMPOSITION_OUTSIDE_RANGE' END) AS warnings
+FROM mol_items JOIN t USING (item) JOIN k USING (item) JOIN o USING (item)"""
+
+
+# ---------------------------------------------------------------- preparation
+@query("reaction_components", f"WITH {B.RAW}, p AS (SELECT location, string_split(regexp_extract(trim(s), '^\\S+'), '>') AS parts FROM raw), u AS (SELECT location, unnest(['reactant', 'reagent', 'product']) AS side, unnest(parts) AS part FROM p WHERE len(parts) = 3), v AS (SELECT location, side, list_filter(list_transform(string_split(part, '.'), lambda x: trim(x)), lambda x: x <> '') AS list FROM u) SELECT location, side, unnest(list) AS component, CAST(generate_subscripts(list, 1) - 1 AS INT) AS position FROM v")
+def reaction_components(spark, d):
+    return prep.split_reactions(B.raw(spark, d)).select("location", "side", "component", "position")
+
+
+@query("harvest_events", "SELECT trim(event_type) AS value, count(*) AS occurrences, min(event_id) AS first_event FROM events WHERE trim(event_type) <> '' GROUP BY 1")
+def harvest_events(spark, d):
+    out = prep.harvest(B.read(spark, d, "events"), "event_type", "event_id", "event_id")
+    return out.select("value", "occurrences", F.col("example.event_id").alias("first_event"))
+
+
+@query("dedupe_components", f"WITH {B.RAW} SELECT s AS value, count(*) AS occurrences, min(location) AS first_location FROM raw WHERE trim(s) <> '' GROUP BY 1")
+def dedupe_components(spark, d):
+    raw = B.raw(spark, d)
+    half = [prep.harvest(raw.where(F.col("location") % 2 == k), "s", "location", "location") for k in (0, 1)]
+    return prep.merge_counts(*half).select("value", "occurrences", F.col("example.location").alias("first_location"))
+
+
+@query("merge_audits", "SELECT event_type AS counter, count(*) AS n FROM events GROUP BY 1")
+def merge_audits(spark, d):
+    per = B.read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("counters"))
+    return prep.merge_audits(per)
+
+
+@query("group_inventory", f"WITH {B.ATOMS}, {B.MOLECULES} SELECT formula, count(*) AS members, count(DISTINCT n_atoms) AS identities, CAST(sum(CASE WHEN label > 100 THEN 1 ELSE 0 END) AS BIGINT) AS eligible, sum(CASE WHEN label > 100 THEN 1 ELSE 0 END) >= 3 AS rankable FROM molecules GROUP BY 1")
+def group_inventory(spark, d):
+    return prep.group_inventory(B.molecules(spark, d), ["formula"], "n_atoms", F.col("label") > 100)
+
+
+@query("group_size_distribution", f"WITH {B.ATOMS}, {B.MOLECULES} SELECT size, count(*) AS groups FROM (SELECT formula, count(*) AS size FROM molecules GROUP BY 1) GROUP BY 1")
+def group_size_distribution(spark, d):
+    return prep.size_distribution(B.molecules(spark, d), "formula")
+
+
+@query("prep_totals", f"""WITH {B.ATOMS}, {B.MOLECULES}, g AS (SELECT formula, count(*) AS n FROM molecules GROUP BY 1)
+SELECT CAST((SELECT count(*) FROM molecules) AS BIGINT) AS rows, CAST((SELECT count(*) FROM molecules WHERE label > 100) AS BIGINT) AS eligible, count(*) AS groups,
+ CAST(sum(CASE WHEN n >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS large_groups, CAST(sum(CASE WHEN n >= 3 THEN n ELSE 0 END) AS BIGINT) AS rows_in_large, CAST((SELECT count(DISTINCT n_atoms) FROM molecules) AS BIGINT) AS identities FROM g""")
+def prep_totals(spark, d):
+    return prep.totals(B.molecules(spark, d), ["formula"], "n_atoms", F.col("label") > 100)
+
+
+@query("connectivity_variants", "SELECT o_orderkey AS item, count(*) OVER (PARTITION BY o_custkey) AS variants, CASE WHEN o_totalprice > 100000 AND count(*) OVER (PARTITION BY o_custkey) > 1 THEN 'ambiguous_identity' END AS variant_reason FROM orders")
+def connectivity_variants(spark, d):
+    o = B.read(spark, d, "orders").select(F.col("o_orderkey").alias("item"), "o_custkey", (F.col("o_totalprice") > 100000).alias("eligible"))
+    return prep.connectivity_variants(o, "o_custkey", "eligible").select("item", "variants", "variant_reason")
+
+
+_REASONS = "concat_ws(';', CASE WHEN q < 0 THEN 'negative' END, CASE WHEN q > 0 THEN 'positive' END, CASE WHEN s > 0 THEN 'sulfur' END, CASE WHEN n > 9 THEN 'large' END)"
+_REASONED = f"WITH {B.ATOMS}, r AS (SELECT mol_id, {_REASONS} AS reasons FROM (SELECT mol_id, sum(formal_charge) AS q, sum(CASE WHEN element = 'S' THEN 1 ELSE 0 END) AS s, count(*) AS n FROM atoms GROUP BY 1))"
+
+
+def _reasoned(spark, d):
+    per = B.atoms(spark, d).groupBy("mol_id").agg(F.sum("formal_charge").alias("q"), F.sum((F.col("element") == "S").cast("int")).alias("s"), F.count("*").alias("n"))
+    found = S.reasons((F.col("q") < 0, "negative"), (F.col("q") > 0, "positive"), (F.col("s") > 0, "sulfur"), (F.col("n") > 9, "large"))
+    return per.select("mol_id", F.array_join(found, ";").alias("reasons"))
+
+
+@query("exclusion_reasons", _REASONED + " SELECT mol_id, reasons FROM r")
+def exclusion_reasons(spark, d):
+    return _reasoned(spark, d)
+
+
+@query("reason_counts", _REASONED + " SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ';')) AS reason FROM r) WHERE reason <> '' GROUP BY 1 UNION ALL SELECT 'total_excluded', count(*) FROM r WHERE reasons <> ''")
+def reason_counts(spark, d):
+    return prep.reason_counts(_reasoned(spark, d), "reasons")
+
+
+_CLEAN = "CASE WHEN c_acctbal IS NULL THEN 'missing' WHEN c_acctbal < 0 THEN 'negative' WHEN c_mktsegment = 'MACHINERY' THEN 'segment' WHEN c_custkey % 7 = 0 THEN 'seventh' END"
+
+
+@query("label_cleaning", f"SELECT coalesce({_CLEAN}, 'kept') AS reason, count(*) AS n FROM customer GROUP BY 1")
+def label_cleaning(spark, d):
+    c = B.read(spark, d, "customer")
+    rules = [(F.col("c_acctbal").isNull(), "missing"), (F.col("c_acctbal") < 0, "negative"), (F.col("c_mktsegment") == "MACHINERY", "segment"), (F.col("c_custkey") % 7 == 0, "seventh")]
+    return prep.clean_labels(c, rules).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("drop_ambiguous", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n = 1")
+def drop_ambiguous(spark, d):
+    lines = B.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return prep.drop_ambiguous(lines, "l_orderkey", "l_linenumber")
+
+
+@query("rankable_groups", f"WITH {B.ATOMS}, {B.MOLECULES} SELECT formula AS grp, count(*) AS n FROM molecules GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT label) >= 2")
+def rankable_groups(spark, d):
+    return prep.rankable_groups(B.mol_items(spark, d)).groupBy("grp").agg(F.count("*").alias("n"))
+
+
+@query("group_ceiling", f"WITH {B.SCORED} SELECT item, grp FROM scored WHERE grp NOT IN (SELECT grp FROM scored GROUP BY 1 HAVING max(label) > 9950)")
+def group_ceiling(spark, d):
+    return prep.group_ceiling(B.items(spark, d), "label", 9950).select("item", "grp")
+
+
+_SPLIT = "('0x' || substr(sha256('split: ' || grp), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0"
+
+
+@query("drop_unseen_groups", f"""WITH {B.ATOMS}, {B.MOLECULES}, m AS (SELECT a.mol_id, a.element, formula AS grp FROM atoms a JOIN molecules USING (mol_id)), known AS (SELECT DISTINCT element FROM m WHERE mol_id % 97 = 0 AND element <> 'S')
+SELECT mol_id AS item, grp FROM molecules_ WHERE grp NOT IN (SELECT grp FROM m WHERE mol_id % 97 <> 0 AND element NOT IN (SELECT element FROM known))""".replace("molecules_", "(SELECT mol_id, formula AS grp FROM molecules WHERE mol_id % 97 <> 0)"))
+def drop_unseen_groups(spark, d):
+    sets = B.atoms(spark, d).groupBy("mol_id").agg(F.collect_set("element").alias("elements")).join(B.molecules(spark, d), "mol_id").select(F.col("mol_id").alias("item"), F.col("formula").alias("grp"), "elements")
+    training = sets.where("item % 97 = 0").withColumn("elements", F.filter("elements", lambda e: e != "S"))
+    return prep.drop_unseen(sets.where("item % 97 <> 0"), training).select("item", "grp")
+
+
+@query("firewall_regroup", """WITH e AS (SELECT c_custkey AS item, concat(CAST(c_nationkey AS VARCHAR), '|', c_mktsegment) AS grp, c_acctbal AS label, c_custkey % 1000 AS ident FROM customer WHERE c_nationkey >= 3 OR c_mktsegment = 'BUILDING'),
+t AS (SELECT c_custkey % 1000 AS ident, concat(CAST(c_nationkey AS VARCHAR), '|', c_mktsegment) AS grp FROM customer WHERE c_nationkey < 2), f AS (SELECT * FROM e WHERE ident NOT IN (SELECT ident FROM t)),
+g AS (SELECT grp FROM f GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT label) >= 2) SELECT item, grp FROM f JOIN g USING (grp) WHERE grp NOT IN (SELECT grp FROM t)""")
+def firewall_regroup(spark, d):
+    c = B.read(spark, d, "customer")
+    rows = B.items(spark, d).join(c.select(F.col("c_custkey").alias("item"), "c_nationkey", "c_mktsegment", (F.col("c_custkey") % 1000).alias("ident")), "item")
+    evaluation, training = rows.where("c_nationkey >= 3 or c_mktsegment = 'BUILDING'"), rows.where("c_nationkey < 2")
+    return prep.apply_firewall(evaluation, training, "ident").select("item", "grp")
+
+
+@query("firewall_at_once", """WITH e AS (SELECT c_custkey AS item, concat(CAST(c_nationkey AS VARCHAR), '|', c_mktsegment) AS grp, c_custkey % 1000 AS ident FROM customer WHERE c_nationkey >= 3 OR c_mktsegment = 'BUILDING'),
+t AS (SELECT c_custkey % 1000 AS ident, concat(CAST(c_nationkey AS VARCHAR), '|', c_mktsegment) AS grp FROM customer WHERE c_nationkey < 2) SELECT item, grp FROM e WHERE ident NOT IN (SELECT ident FROM t) AND grp NOT IN (SELECT grp FROM t)""")
+def firewall_at_once(spark, d):
+    c = B.read(spark, d, "customer")
+    rows = B.items(spark, d).join(c.select(F.col("c_custkey").alias("item"), "c_nationkey", "c_mktsegment", (F.col("c_custkey") % 1000).alias("ident")), "item")
+    return prep.apply_firewall(rows.where("c_nationkey >= 3 or c_mktsegment = 'BUILDING'"), rows.where("c_nationkey < 2"), "ident", by_group_first=True).select("item", "grp")
+
+
+@query("scaffold_unseen", """WITH r AS (SELECT c_custkey AS item, c_mktsegment AS grp, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE CAST(c_custkey % 500 AS VARCHAR) END AS scaffold FROM customer), t AS (SELECT DISTINCT scaffold FROM r WHERE item % 3 = 0 AND scaffold <> ''), e AS (SELECT r.*, t.scaffold IS NOT NULL AS known FROM r LEFT JOIN t USING (scaffold) WHERE item % 3 <> 0)
+SELECT item, scaffold <> '' AND NOT known AS unseen, bool_or(scaffold <> '') OVER (PARTITION BY grp) AND NOT bool_or(known) OVER (PARTITION BY grp) AS group_unseen FROM e""")
+def scaffold_unseen(spark, d):
+    c = B.read(spark, d, "customer").select(F.col("c_custkey").alias("item"), F.col("c_mktsegment").alias("grp"), F.when(F.col("c_custkey") % 11 == 0, "").otherwise((F.col("c_custkey") % 500).cast("string")).alias("scaffold"))
+    return prep.scaffold_unseen(c.where("item % 3 <> 0"), c.where("item % 3 = 0"), "scaffold").select("item", "unseen", "group_unseen")
+
+
+@query("pending_rows", "SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL")
+def pending_rows(spark, d):
+    return prep.pending_rows(B.read(spark, d, "documents").select("doc_id"), B.read(spark, d, "labels"), ["doc_id"])
+
+
+@query("latest_event", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def latest_event(spark, d):
+    return prep.upsert(B.read(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+# ---------------------------------------------------------------- scalar functions
+@query("hash_functions", """SELECT c_custkey AS item, sha256('ns: ' || c_custkey || ': ' || c_mktsegment) AS digest, ('0x' || substr(sha256('ns: ' || c_custkey || ': ' || c_mktsegment), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0 AS fraction,
+ CAST(('0x' || substr(sha256('ns:' || c_custkey), 1, 8))::UBIGINT % 7 AS INT) AS bucket, CAST(('0x' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8))::UBIGINT % 2147483647 AS BIGINT) AS seed, ('0x' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 8))::UBIGINT::DOUBLE / 4294967295.0 AS record FROM customer""")
+def hash_functions(spark, d):
+    c, key = B.read(spark, d, "customer"), F.col("c_custkey")
+    digest = H.stable_hash("ns", key, F.col("c_mktsegment"))
+    return c.select(key.alias("item"), digest.alias("digest"), H.hash_fraction(digest).alias("fraction"), H.hash_bucket("ns", key.cast("string"), 7).alias("bucket"), H.item_seed(key).alias("seed"), H.record_fraction(key).alias("record"))
+
+
+@query("hash_features", """WITH f AS (SELECT l_orderkey AS item, sha256(l_returnflag || '|' || l_linenumber) AS h FROM lineitem), b AS (SELECT item, CAST(('0x' || substr(h, 1, 16))::UBIGINT % 128 AS INT) AS bin, CASE WHEN ('0x' || substr(h, 17, 2))::UBIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END AS s FROM f)
+SELECT item, bin, sum(s) AS value FROM b GROUP BY 1, 2 HAVING sum(s) <> 0""")
+def hash_features(spark, d):
+    place, sign = H.signed_bin(F.concat_ws("|", "l_returnflag", F.col("l_linenumber").cast("string")), 128)
+    found = B.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), place.alias("bin"), sign.alias("s"))
+    return found.groupBy("item", "bin").agg(F.sum("s").alias("value")).where("value <> 0")
+
+
+@query("parse_formula", f"WITH {B.ATOMS}, {B.MOLECULES} SELECT mol_id, element, CAST(sum(n) AS BIGINT) AS n FROM (SELECT mol_id, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)(\\d*)', 1)) AS element, CAST(unnest(regexp_extract_all(formula, '([A-Z][a-z]?)(\\d*)', 2)) AS INT) AS n FROM molecules) GROUP BY 1, 2")
+def parse_formula(spark, d):
+    m = B.molecules(spark, d).select("mol_id", F.explode(S.formula_parts(F.col("formula"))).alias("p"))
+    return m.groupBy("mol_id", F.col("p.element").alias("element")).agg(F.sum("p.n").alias("n"))
+
+
+@query("hill_formula", f"""WITH {B.ATOMS}, c AS (SELECT mol_id, element, count(*) AS n FROM atoms GROUP BY 1, 2 UNION ALL SELECT mol_id, 'H', sum(total_hcount) FROM atoms GROUP BY 1 HAVING sum(total_hcount) > 0),
+k AS (SELECT *, max(CASE WHEN element = 'C' THEN 1 ELSE 0 END) OVER (PARTITION BY mol_id) AS carbon FROM c)
+SELECT mol_id, string_agg(element || CASE WHEN n = 1 THEN '' ELSE CAST(CAST(n AS BIGINT) AS VARCHAR) END, '' ORDER BY CASE WHEN carbon = 1 AND element = 'C' THEN 0 WHEN carbon = 1 AND element = 'H' THEN 1 ELSE 2 END, element) AS hill FROM k GROUP BY 1""")
+def hill_formula(spark, d):
+    counts = _composition(spark, d).groupBy("mol_id").agg(F.collect_list(F.struct("element", "n")).alias("counts"))
+    return counts.select("mol_id", S.hill_formula(F.col("counts")).alias("hill"))
+
+
+def _composition(spark, d):
+    a = B.atoms(spark, d)
+    both = a.select("mol_id", "element", F.lit(1).cast("long").alias("n")).unionByName(a.select("mol_id", F.lit("H").alias("element"), F.col("total_hcount").cast("long").alias("n")))
+    return both.groupBy("mol_id", "element").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+@query("composition", f"WITH {B.ATOMS} SELECT mol_id, element, CAST(sum(n) AS BIGINT) AS n FROM (SELECT mol_id, element, 1 AS n FROM atoms UNION ALL SELECT mol_id, 'H', total_hcount FROM atoms) GROUP BY 1, 2 HAVING sum(n) > 0")
+def composition(spark, d):
+    return _composition(spark, d)
+
+
+@query("composition_vector", f"WITH {B.ATOMS} SELECT mol_id, count(*) FILTER (element = 'C') AS c, count(*) FILTER (element = 'N') AS n, count(*) FILTER (element = 'O') AS o, count(*) FILTER (element = 'S') AS s, count(*) AS heavy, CAST(sum(CASE element WHEN 'C' THEN 6 WHEN 'N' THEN 7 WHEN 'O' THEN 8 ELSE 16 END) AS BIGINT) AS electrons, count(*) * count(*) AS heavy_square FROM atoms GROUP BY 1")
+def composition_vector(spark, d):
+    of = lambda e: F.sum((F.col("element") == e).cast("int")).alias(e.lower())
+    number = F.when(F.col("element") == "C", 6).when(F.col("element") == "N", 7).when(F.col("element") == "O", 8).otherwise(16)
+    return B.atoms(spark, d).groupBy("mol_id").agg(*(of(e) for e in "CNOS"), F.count("*").alias("heavy"), F.sum(number).alias("electrons"), (F.count("*") * F.count("*")).alias("heavy_square"))
+
+
+@query("finite_labels", "SELECT p_partkey AS item, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS label, CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 10 = 0 THEN 'nonfinite_label' ELSE 'missing_label' END END AS reason FROM part")
+def finite_labels(spark, d):
+    p = B.read(spark, d, "part")
+    text = F.when(F.col("p_partkey") % 10 == 0, "NaN").when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.col("p_retailprice").cast("string"))
+    value, reason = S.finite_label(F.lit(None), text)
+    return p.select(F.col("p_partkey").alias("item"), value.alias("label"), reason.alias("reason"))
+
+
+@query("feature_families")
+def feature_families(spark, d):
+    counts = graph.env_counts(B.atoms(spark, d), B.bonds(spark, d)).select("name").distinct()
+    kept = counts.withColumn("family", S.feature_family(F.col("name"))).withColumn("compact", S.is_compact(F.col("name")))
+    return kept.groupBy("family", "compact").agg(F.count("*").alias("terms"))
+
+
+# ---------------------------------------------------------------- cohorts
+@query("hash_split", f"WITH {B.ITEMS}, s AS (SELECT item, grp, CASE WHEN {_SPLIT} < 0.2 THEN 'external' WHEN {_SPLIT} < 0.2::DOUBLE + 0.1::DOUBLE THEN 'validation' ELSE 'training' END AS split FROM items) SELECT split, count(DISTINCT grp) AS groups, count(*) AS items, count(DISTINCT item) AS identities FROM s GROUP BY 1")
+def hash_split(spark, d):
+    return cohort.split_summary(B.items(spark, d).withColumn("split", cohort.split_of(F.col("grp"))), "item")
+
+
+@query("hash_folds", f"WITH {B.ITEMS} SELECT DISTINCT grp, CAST(('0x' || substr(sha256('outer-fold:' || grp), 1, 8))::UBIGINT % 5 AS INT) AS outer_fold, CAST(('0x' || substr(sha256('inner-fold-2:' || grp), 1, 8))::UBIGINT % 3 AS INT) AS inner_fold FROM items")
+def hash_folds(spark, d):
+    g = B.items(spark, d).select("grp").distinct()
+    return g.select("grp", cohort.fold_of(F.col("grp")).alias("outer_fold"), cohort.fold_of(F.col("grp"), 3, 2).alias("inner_fold"))
+
+
+_SAMPLE = f"{B.SCORED}, sampled AS (SELECT *, CAST(row_number() OVER (PARTITION BY grp ORDER BY sha256('sample:' || grp || ':' || item), item) AS INT) AS place FROM scored QUALIFY place <= 10)"
+
+
+def _sampled(spark, d):
+    return cohort.sample_group(B.scored(spark, d), "sample")
+
+
+@query("sample_groups", f"WITH {_SAMPLE} SELECT item, grp, place FROM sampled")
+def sample_groups(spark, d):
+    return _sampled(spark, d).select("item", "grp", "place")
+
+
+@query("limit_groups", f"WITH {B.ITEMS}, g AS (SELECT DISTINCT grp FROM items), k AS (SELECT grp FROM g ORDER BY sha256('budget: ' || grp), grp LIMIT 20) SELECT item, grp FROM items WHERE grp IN (SELECT grp FROM k)")
+def limit_groups(spark, d):
+    return cohort.limit_groups(B.items(spark, d), "budget", 20).select("item", "grp")
+
+
+@query("leakage_report", """WITH s AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'a' WHEN o_orderkey % 3 = 1 THEN 'b' ELSE 'c' END AS split, CAST(o_custkey AS VARCHAR) AS customer, CAST(o_orderkey AS VARCHAR) AS ident FROM orders),
+v AS (SELECT DISTINCT 'customer' AS key, customer AS value, split FROM s UNION SELECT DISTINCT 'ident', ident, split FROM s) SELECT l.key, l.split AS left_split, r.split AS right_split, count(*) AS shared FROM v l JOIN v r ON l.key = r.key AND l.value = r.value AND l.split < r.split GROUP BY ALL""")
+def leakage_report(spark, d):
+    split = F.when(F.col("o_orderkey") % 3 == 0, "a").when(F.col("o_orderkey") % 3 == 1, "b").otherwise("c")
+    rows = B.read(spark, d, "orders").select(split.alias("split"), F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("ident"))
+    return cohort.leakage_report(rows, ["customer", "ident"])
+
+
+@query("tanimoto_pairs", f"""WITH {B.BITS}, n AS (SELECT item, count(*) AS n FROM bits GROUP BY 1), p AS (SELECT a.grp, a.item AS item_a, b.item AS item_b, count(*) AS k FROM bits a JOIN bits b ON a.grp = b.grp AND a.bit = b.bit AND a.item < b.item GROUP BY ALL)
+SELECT p.grp, item_a, item_b, round(k / (x.n + y.n - k), {R}) AS similarity FROM p JOIN n x ON x.item = item_a JOIN n y ON y.item = item_b""")
+def tanimoto_pairs(spark, d):
+    return rounded(cohort.tanimoto_pairs(B.bits(spark, d)), "similarity")
+
+
+_NEAREST = f"""WITH {B.BITS}, n AS (SELECT item, count(*) AS n FROM bits GROUP BY 1), p AS (SELECT q.item, r.item AS ref, count(*) AS k FROM bits q JOIN bits r ON q.bit = r.bit AND q.item <> r.item WHERE q.item % 5 = 0 AND r.item % 5 <> 0 GROUP BY ALL),
+nearest AS (SELECT q.item, coalesce(max(k / (q.n + r.n - k)), 0) AS nearest FROM n q LEFT JOIN p ON p.item = q.item LEFT JOIN n r ON r.item = p.ref WHERE q.item % 5 = 0 GROUP BY 1)"""
+
+
+def _nearest(spark, d):
+    bits = B.bits(spark, d)
+    return cohort.nearest_similarity(bits.where("item % 5 = 0"), bits.where("item % 5 <> 0"))
+
+
+@query("nearest_similarity", _NEAREST + f" SELECT item, round(nearest, {R}) AS nearest FROM nearest")
+def nearest_similarity(spark, d):
+    return rounded(_nearest(spark, d), "nearest")
+
+
+@query("similarity_strata", _NEAREST + f", g AS (SELECT grp, quantile_cont(nearest, 0.5) AS median FROM nearest JOIN (SELECT DISTINCT item, grp FROM bits) USING (item) GROUP BY 1) SELECT grp, round(median, {R}) AS median, CASE WHEN median <= 0.5 THEN 'far' WHEN median <= 0.7 THEN 'mid' ELSE 'near' END AS stratum FROM g")
+def similarity_strata(spark, d):
+    return rounded(cohort.similarity_strata(_nearest(spark, d), B.bits(spark, d)), "median")
+
+
+@query("diverse_sample")
+def diverse_sample(spark, d):
+    return cohort.diverse_sample(B.bits(spark, d), 5)
+
+
+_LINKED = "edges AS (SELECT DISTINCT l_suppkey AS grp, l_partkey AS link FROM lineitem WHERE l_extendedprice >= 50000)"
+
+
+def _edges(spark, d):
+    return B.read(spark, d, "lineitem").where("l_extendedprice >= 50000").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("link")).distinct()
+
+
+@query("link_components", f"WITH RECURSIVE {_LINKED}, near AS (SELECT DISTINCT a.grp AS x, b.grp AS y FROM edges a JOIN edges b USING (link)), reach(x, y) AS (SELECT x, y FROM near UNION SELECT r.x, n.y FROM reach r JOIN near n ON n.x = r.y) SELECT x AS grp, min(y) AS comp FROM reach GROUP BY 1")
+def link_components(spark, d):
+    return cohort.link_components(_edges(spark, d))
+
+
+@query("assign_components")
+def assign_components(spark, d):
+    found = cohort.link_components(_edges(spark, d))
+    return cohort.assign_components(found, {"training": 0.7, "validation": 0.1, "external": 0.2})
+
+
+@query("select_cohorts")
+def select_cohorts(spark, d):
+    m = B.molecules(spark, d).select(F.col("mol_id").alias("item"), F.col("formula").alias("grp"), "label", "n_atoms")
+    return cohort.select_cohorts(m)
+
+
+@query("stable_support", """WITH s AS (SELECT DISTINCT l_linenumber % 3 AS fold, l_partkey AS name FROM lineitem WHERE l_quantity > 40) SELECT CAST(name AS VARCHAR) AS name FROM s GROUP BY 1 HAVING count(DISTINCT fold) = 3""")
+def stable_support(spark, d):
+    s = B.read(spark, d, "lineitem").where("l_quantity > 40").select((F.col("l_linenumber") % 3).alias("fold"), F.col("l_partkey").cast("string").alias("name"))
+    return cohort.stable_support(s, 3)
+
+
+@query("compare_support", """WITH o AS (SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_returnflag = 'A') SELECT change, count(*) AS n FROM (SELECT CASE WHEN n.name IS NULL THEN 'dropped' WHEN o.name IS NULL THEN 'new' ELSE 'retained' END AS change FROM o FULL OUTER JOIN n ON o.name = n.name) GROUP BY 1""")
+def compare_support(spark, d):
+    lines = B.read(spark, d, "lineitem").select(F.col("l_partkey").alias("name"), "l_returnflag")
+    return cohort.compare_support(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'")).groupBy("change").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- metrics
+_RANKED = "ranked AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY label) + (count(*) OVER (PARTITION BY grp, label) - 1) / 2 AS rl, rank() OVER (PARTITION BY grp ORDER BY prediction) + (count(*) OVER (PARTITION BY grp, prediction) - 1) / 2 AS rp FROM {src})"
+_CORR = "covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+
+
+@query("average_rank", f"WITH {B.ITEMS} SELECT item, rank() OVER (PARTITION BY grp ORDER BY label) + (count(*) OVER (PARTITION BY grp, label) - 1) / 2 AS rank FROM items")
+def average_rank(spark, d):
+    return B.items(spark, d).select("item", metrics.avg_rank("label", "grp").alias("rank"))
+
+
+@query("numeric_profile", f"SELECT c_mktsegment, count(c_acctbal) AS n, round(avg(c_acctbal), {R}) AS mean, round(stddev_samp(c_acctbal), {R}) AS std, min(c_acctbal) AS min, " + ", ".join(f"round(quantile_cont(c_acctbal, {q}), {R}) AS {n}" for q, n in ((0.05, "q05"), (0.25, "q25"), (0.5, "median"), (0.75, "q75"), (0.95, "q95"))) + ", max(c_acctbal) AS max FROM customer GROUP BY 1")
+def numeric_profile(spark, d):
+    return rounded(metrics.profile(B.read(spark, d, "customer"), "c_acctbal", "c_mktsegment"), "mean", "std", "q05", "q25", "median", "q75", "q95")
+
+
+@query("regression_metrics", f"""WITH {B.SCORED}, {_RANKED.format(src='scored')} SELECT grp, count(*) AS n, round(avg(abs(prediction - label)), {R}) AS mae, round(sqrt(avg((prediction - label) ** 2)), {R}) AS rmse, round(quantile_cont(abs(prediction - label), 0.5), {R}) AS median_abs_error,
+ round(1 - sum((prediction - label) ** 2) / nullif(var_pop(label) * count(*), 0), {R}) AS r2, round({_CORR.format(x='label', y='prediction')}, {R}) AS pearson, round({_CORR.format(x='rl', y='rp')}, {R}) AS spearman, round(avg(prediction - label), {R}) AS mean_signed_error FROM ranked GROUP BY 1""")
+def regression_metrics(spark, d):
+    return rounded(metrics.regression_metrics(B.scored(spark, d), "grp"), "mae", "rmse", "median_abs_error", "r2", "pearson", "spearman", "mean_signed_error")
+
+
+_RANK_SQL = f"""WITH {_SAMPLE}, {_RANKED.format(src='sampled')},
+flags AS (SELECT *, label <= min(label) OVER (PARTITION BY grp) + {{near}} AS bl, prediction <= min(prediction) OVER (PARTITION BY grp) + {{near}} AS bp FROM ranked),
+per AS (SELECT grp, count(*) AS size, {_CORR.format(x='label', y='prediction')} AS pearson, {_CORR.format(x='rl', y='rp')} AS spearman, {{top}} AS top1 FROM flags GROUP BY 1),
+conc AS (SELECT a.grp, avg(CASE WHEN abs(a.prediction - b.prediction) <= {{near}} THEN 0.5 WHEN sign(a.label - b.label) = sign(a.prediction - b.prediction) THEN 1.0 ELSE 0.0 END) AS concordance FROM sampled a JOIN sampled b ON a.grp = b.grp AND a.item < b.item WHERE abs(a.label - b.label) > {{near}} GROUP BY 1),
+found AS (SELECT per.grp, size, pearson, spearman, concordance, CAST(top1 AS DOUBLE) AS top1 FROM per LEFT JOIN conc ON per.grp = conc.grp {{keep}})"""
+_SHARE = "sum(CASE WHEN bl AND bp THEN 1 ELSE 0 END) / sum(CASE WHEN bp THEN 1 ELSE 0 END)"
+_FIRST = "CASE WHEN first(item ORDER BY prediction, item) = first(item ORDER BY label, item) THEN 1 ELSE 0 END"
+_MODES = {"tie_aware": (metrics.TIE, _SHARE, ""), "keep_ties": (0, _SHARE, ""), "drop_undefined": (metrics.TIE, _FIRST, "WHERE pearson IS NOT NULL AND spearman IS NOT NULL")}
+_COLUMNS = f"SELECT grp, size, round(pearson, {R}) AS pearson, round(spearman, {R}) AS spearman, round(concordance, {R}) AS concordance, round(top1, {R}) AS top1 FROM found"
+
+
+def _rank_query(mode):
+    return lambda spark, d: rounded(metrics.rank_metrics(_sampled(spark, d), mode), "pearson", "spearman", "concordance", "top1")
+
+
+for _mode, (_near, _top, _keep) in _MODES.items():
+    query(f"rank_metrics_{_mode}", _RANK_SQL.format(near=_near, top=_top, keep=_keep) + " " + _COLUMNS)(_rank_query(_mode))
+
+_SUMMARY = f"""count(*) AS groups, CAST(sum(size) AS BIGINT) AS items, round(avg(pearson), {R}) AS pearson, round(sum(size * pearson) / sum(CASE WHEN pearson IS NOT NULL THEN size END), {R}) AS pearson_weighted, round(avg(CASE WHEN pearson > 0 THEN 1.0 WHEN pearson IS NOT NULL THEN 0.0 END), {R}) AS pearson_positive,
+ round(avg(spearman), {R}) AS spearman, round(sum(size * spearman) / sum(CASE WHEN spearman IS NOT NULL THEN size END), {R}) AS spearman_weighted, round(avg(concordance), {R}) AS concordance, round(avg(top1), {R}) AS top1, round(avg(1 / size), {R}) AS chance_top1"""
+_TIE_AWARE = _RANK_SQL.format(near=metrics.TIE, top=_SHARE, keep="")
+_MEANS = ("pearson", "pearson_weighted", "pearson_positive", "spearman", "spearman_weighted", "concordance", "top1", "chance_top1")
+
+
+@query("summarize_groups", f"{_TIE_AWARE} SELECT {_SUMMARY}, round((avg(pearson) + avg(spearman)) / 2, {R}) AS composite FROM found")
+def summarize_groups(spark, d):
+    return rounded(metrics.composite(metrics.summarize_groups(metrics.rank_metrics(_sampled(spark, d)))), *_MEANS, "composite")
+
+
+@query("stratified_metrics", f"""{_TIE_AWARE}, strata AS (SELECT *, unnest(list_filter([CASE WHEN size < 10 THEN 'small' END, CASE WHEN size = 10 THEN 'full' END, CASE WHEN grp LIKE '%BUILDING' THEN 'building' END, CASE WHEN pearson > 0.9 THEN 'inside' ELSE 'outside' END], lambda x: x IS NOT NULL)) AS stratum FROM found) SELECT stratum, {_SUMMARY} FROM strata GROUP BY 1""")
+def stratified_metrics(spark, d):
+    found = metrics.rank_metrics(_sampled(spark, d))
+    strata = {"small": F.col("size") < 10, "full": F.col("size") == 10, "building": F.col("grp").endswith("BUILDING"), "inside": F.col("pearson") > 0.9, "outside": ~F.coalesce(F.col("pearson") > 0.9, F.lit(False))}
+    return rounded(metrics.summarize_groups(metrics.stratify(found, strata), "stratum"), *_MEANS)
+
+
+@query("margin_quintiles", f"""WITH {_SAMPLE}, p AS (SELECT abs(a.prediction - b.prediction) AS margin, CASE WHEN a.prediction = b.prediction THEN 0.5 WHEN sign(a.label - b.label) = sign(a.prediction - b.prediction) THEN 1.0 ELSE 0.0 END AS ok FROM sampled a JOIN sampled b ON a.grp = b.grp AND a.item < b.item WHERE a.label <> b.label),
+e AS (SELECT quantile_cont(margin, [0.2, 0.4, 0.6, 0.8]) AS e FROM p) SELECT CAST(len(list_filter(e, lambda x: margin >= x)) AS INT) AS bin, count(*) AS n, round(avg(margin), {R}) AS mean_margin, round(avg(ok), {R}) AS correctness FROM p, e GROUP BY 1""")
+def margin_quintiles(spark, d):
+    return rounded(metrics.margin_bins(metrics.pairs(_sampled(spark, d))), "mean_margin", "correctness")
+
+
+@query("paired_delta", f"WITH {B.SCORED}, a AS (SELECT grp, avg(abs(label - prediction)) AS mae FROM scored GROUP BY 1), b AS (SELECT grp, avg(abs(label)) AS mae FROM scored WHERE item % 2 = 0 GROUP BY 1) SELECT grp, round(a.mae - b.mae, {R}) AS mae FROM a JOIN b USING (grp)")
+def paired_delta(spark, d):
+    s = B.scored(spark, d)
+    a = s.groupBy("grp").agg(F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("mae"))
+    b = s.where("item % 2 = 0").groupBy("grp").agg(F.avg(F.abs("label")).alias("mae"))
+    return rounded(metrics.paired_delta(a, b, "mae"), "mae")
+
+
+@query("bootstrap_interval")
+def bootstrap_interval(spark, d):
+    return rounded(metrics.bootstrap_ci(metrics.rank_metrics(_sampled(spark, d)), "pearson"), "estimate", "low", "high")
+
+
+@query("bootstrap_mae")
+def bootstrap_mae(spark, d):
+    per = B.scored(spark, d).groupBy("grp").agg(F.sum(F.abs(F.col("label") - F.col("prediction"))).alias("e"), F.count("*").alias("n"))
+    return rounded(metrics.bootstrap_ci(per, "e", weight="n"), "estimate", "low", "high")
+
+
+@query("permutation_null")
+def permutation_null(spark, d):
+    return rounded(metrics.permutation_null(_sampled(spark, d)), "observed", "mean", "low", "high", "max", "p")
+
+
+@query("metric_gates", f"{_TIE_AWARE}, s AS (SELECT avg(pearson) AS p, avg(top1) AS t, avg(1 / size) AS c FROM found) SELECT unnest(['correlates', 'beats_chance', 'all']) AS gate, unnest([p > 0.5, t > c, p > 0.5 AND t > c]) AS passed FROM s")
+def metric_gates(spark, d):
+    s = metrics.summarize_groups(metrics.rank_metrics(_sampled(spark, d)))
+    return metrics.gates(s, {"correlates": F.col("pearson") > 0.5, "beats_chance": F.col("top1") > F.col("chance_top1")})
+
+
+@query("modal_choice", "SELECT l_quantity, n FROM (SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY 1) ORDER BY n DESC, abs(log10(l_quantity) - log10(25.0)), l_quantity DESC LIMIT 1")
+def modal_choice(spark, d):
+    return metrics.modal(B.read(spark, d, "lineitem"), "l_quantity", 25.0)
+
+
+@query("worst_groups", f"{_TIE_AWARE} SELECT grp, round(pearson, {R}) AS pearson FROM found WHERE pearson IS NOT NULL ORDER BY round(pearson, {R}), grp LIMIT 20")
+def worst_groups(spark, d):
+    return rounded(metrics.rank_metrics(_sampled(spark, d)), "pearson").where("pearson is not null").select("grp", "pearson").orderBy("pearson", "grp").limit(20)
+
+
+# ---------------------------------------------------------------- features and fits
+@query("center_labels", f"WITH {B.ITEMS} SELECT item, round(label - avg(label) OVER (PARTITION BY grp), {R}) AS centered FROM items")
+def center_labels(spark, d):
+    return rounded(linear.center_labels(B.items(spark, d)), "centered").select("item", "centered")
+
+
+_CENTERED = f"WITH {B.FEATURES}, sizes AS (SELECT grp, count(*) AS n FROM mol_items GROUP BY 1), means AS (SELECT f.grp, f.name, sum(value) / max(n) AS mean FROM features f JOIN sizes USING (grp) GROUP BY 1, 2), centered AS (SELECT m.item, m.grp, means.name, coalesce(f.value, 0) - mean AS value FROM mol_items m JOIN means USING (grp) LEFT JOIN features f ON f.item = m.item AND f.name = means.name)"
+
+
+@query("center_features", _CENTERED + f" SELECT item, name, round(value, {R}) AS value FROM centered")
+def center_features(spark, d):
+    return rounded(linear.center_features(B.mol_items(spark, d), B.features(spark, d)), "value").select("item", "name", "value")
+
+
+@query("feature_moments", f"WITH {B.FEATURES}, n AS (SELECT count(*) AS n FROM mol_items) SELECT name, round(sum(value) / n, {R}) AS mean, round(sqrt(sum(value * value) / n - (sum(value) / n) ** 2), {R}) AS scale, count(DISTINCT item) AS support FROM features, n GROUP BY name, n")
+def feature_moments(spark, d):
+    return rounded(linear.feature_moments(B.mol_items(spark, d), B.features(spark, d)), "mean", "scale")
+
+
+@query("support_counts", f"WITH {B.FEATURES} SELECT name, count(DISTINCT item) AS items FROM features WHERE value <> 0 GROUP BY 1")
+def support_counts(spark, d):
+    return linear.support_counts(B.features(spark, d))
+
+
+@query("gram_matrix", _CENTERED + " SELECT x.name AS a, y.name AS b, round(sum(x.value * y.value), 4) AS s FROM centered x JOIN centered y ON x.item = y.item AND x.name <= y.name GROUP BY 1, 2")
+def gram_matrix(spark, d):
+    g = linear.gram(linear.center_features(B.mol_items(spark, d), B.features(spark, d)))
+    return g.select("a", "b", F.round("s", 4).alias("s"))
+
+
+@query("group_distance", _CENTERED + f" SELECT item, round(sqrt(sum((value / 2.0) ** 2) / 3), {R}) AS distance FROM centered GROUP BY 1")
+def group_distance(spark, d):
+    scales = linear.weights_frame(spark, dict.fromkeys(WEIGHTS, 2.0)).withColumnRenamed("weight", "scale")
+    return rounded(linear.group_distance(linear.center_features(B.mol_items(spark, d), B.features(spark, d)), scales), "distance")
+
+
+@query("composition_ranges", f"WITH {B.ATOMS}, c AS (SELECT mol_id, element, count(*) AS n FROM atoms GROUP BY 1, 2), t AS (SELECT count(DISTINCT mol_id) AS t FROM atoms) SELECT element, CASE WHEN count(*) < t THEN least(min(n), 0) ELSE min(n) END AS lo, max(n) AS hi FROM c, t GROUP BY element, t")
+def composition_ranges(spark, d):
+    a = B.atoms(spark, d)
+    counts = a.groupBy(F.col("mol_id").alias("item"), "element").agg(F.count("*").alias("n"))
+    return linear.composition_ranges(a.select(F.col("mol_id").alias("item")).distinct(), counts)
+
+
+@query("zero_information", f"WITH {B.ATOMS}, {B.MOLECULES}, c AS (SELECT m.mol_id, m.formula, count(*) FILTER (element = 'C') AS c FROM atoms a JOIN molecules m USING (mol_id) GROUP BY 1, 2) SELECT round(max(abs(c - m)), {R}) AS centered_max_abs FROM (SELECT c, avg(c) OVER (PARTITION BY formula) AS m FROM c)")
+def zero_information(spark, d):
+    c = B.atoms(spark, d).groupBy("mol_id").agg(F.sum((F.col("element") == "C").cast("int")).alias("c")).join(B.molecules(spark, d), "mol_id")
+    far = F.abs(F.col("c") - F.avg("c").over(Window.partitionBy("formula")))
+    return rounded(c.select(far.alias("far")).agg(F.max("far").alias("centered_max_abs")), "centered_max_abs")
+
+
+def _fit_inputs(spark, d):
+    return prep.rankable_groups(B.mol_items(spark, d)), B.features(spark, d)
+
+
+@query("fit_group_ridge")
+def fit_group_ridge(spark, d):
+    items, features = _fit_inputs(spark, d)
+    w = linear.weights_frame(spark, linear.fit_group_ridge(items, features.join(items.select("item"), "item", "left_semi"), 1.0))
+    return rounded(w, "weight")
+
+
+@query("predict_group_ridge", _CENTERED + f", {WEIGHTS_SQL} SELECT item, round(coalesce(sum(w.weight * value), 0), {R}) AS prediction, round(coalesce(sqrt(sum((value / 2.0) ** 2) / 3), 0), {R}) AS distance FROM mol_items LEFT JOIN centered c USING (item) LEFT JOIN w USING (name) GROUP BY 1")
+def predict_group_ridge(spark, d):
+    scales = linear.weights_frame(spark, dict.fromkeys(WEIGHTS, 2.0)).withColumnRenamed("weight", "scale")
+    out = linear.predict_group_ridge(B.mol_items(spark, d), B.features(spark, d), linear.weights_frame(spark, WEIGHTS), scales)
+    return rounded(out, "prediction", "distance").select("item", "prediction", "distance")
+
+
+@query("fit_composition")
+def fit_composition(spark, d):
+    counts = B.atoms(spark, d).groupBy(F.col("mol_id").alias("item"), "element").agg(F.count("*").alias("n"))
+    return rounded(linear.weights_frame(spark, linear.fit_composition(B.mol_items(spark, d), counts)), "weight")
+
+
+@query("fit_ridge")
+def fit_ridge(spark, d):
+    intercept, weights = linear.fit_ridge(B.mol_items(spark, d), B.features(spark, d), 1.0)
+    return rounded(linear.weights_frame(spark, weights | {"intercept": intercept}), "weight")
+
+
+@query("lasso_support")
+def lasso_support(spark, d):
+    items, features = _fit_inputs(spark, d)
+    s = linear.System.of(linear.center_features(items, features.join(items.select("item"), "item", "left_semi")), linear.center_labels(items), "centered")
+    return rounded(linear.weights_frame(spark, s.lasso(0.5)), "weight")
+
+
+@query("tune_ridge")
+def tune_ridge(spark, d):
+    items, features = _fit_inputs(spark, d)
+    return rounded(linear.tune_ridge(items, features.join(items.select("item"), "item", "left_semi"), [0.1, 1.0, 10.0]), "pearson", "spearman", "composite")
+
+
+@query("refine_weights")
+def refine_weights(spark, d):
+    items = linear.score_linear(B.mol_items(spark, d), B.features(spark, d), linear.weights_frame(spark, WEIGHTS)).withColumn("residual", F.col("label") - F.col("prediction"))
+    return rounded(linear.weights_frame(spark, linear.refine(items, B.features(spark, d).select("item", "name", "value"), "residual", 0.01)), "weight")
+
+
+@query("ensemble", f"WITH {B.ITEMS}, m AS (SELECT item, 'a' AS member, label AS p, 1.0 AS dist, 1.0 AS w FROM items UNION ALL SELECT item, 'b', label * 2, item % 3, 3.0 FROM items) SELECT item, round(sum(p * w / 4), {R}) AS prediction, CAST(max(dist) AS DOUBLE) AS distance FROM m GROUP BY 1")
+def ensemble(spark, d):
+    i = B.items(spark, d)
+    members = i.select(F.lit("a").alias("member"), "item", F.col("label").alias("prediction"), F.lit(1.0).alias("distance")).unionByName(i.select(F.lit("b").alias("member"), "item", (F.col("label") * 2).alias("prediction"), (F.col("item") % 3).cast("double").alias("distance")))
+    w = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "member string, weight double")
+    return rounded(linear.ensemble_predict(members, w), "prediction")
+
+
+# ---------------------------------------------------------------- graphs
+_DIRECTED = "directed AS (SELECT mol_id, a, b, bond_order FROM bonds UNION ALL SELECT mol_id, b, a, bond_order FROM bonds)"
+_DEG = "deg AS (SELECT mol_id, a AS atom_id, count(*) AS degree FROM directed GROUP BY 1, 2)"
+_COMP = f"{B.ATOMS}, {B.PARTS}, {_DIRECTED}, reach(mol_id, x, y) AS (SELECT mol_id, atom_id, atom_id FROM atoms UNION SELECT r.mol_id, r.x, e.b FROM reach r JOIN directed e ON e.mol_id = r.mol_id AND e.a = r.y), comp AS (SELECT mol_id, x AS atom_id, min(y) AS comp FROM reach GROUP BY 1, 2)"
+
+
+@query("graph_components", f"WITH RECURSIVE {_COMP} SELECT mol_id, atom_id, comp FROM comp")
+def graph_components(spark, d):
+    return graph.graph_components(B.atoms(spark, d), B.bonds(spark, d, several=True))
+
+
+@query("cycle_rank", f"WITH RECURSIVE {_COMP}, c AS (SELECT mol_id, count(DISTINCT comp) AS k, count(*) AS n FROM comp GROUP BY 1), e AS (SELECT mol_id, count(*) AS e FROM bonds GROUP BY 1) SELECT mol_id, coalesce(e, 0) - n + k AS cycle_rank FROM c LEFT JOIN e USING (mol_id)")
+def cycle_rank(spark, d):
+    return graph.cycle_rank(B.atoms(spark, d), B.bonds(spark, d, several=True))
+
+
+@query("normalize_graphs", f"WITH {B.ATOMS} SELECT mol_id, atom_id, CASE WHEN element = 'S' AND atom_id = 3 THEN 'UNSUPPORTED_ELEMENT' WHEN atom_id = 5 AND formal_charge = 1 THEN 'NONFINITE_PARTIAL_CHARGE' ELSE '' END AS warnings, CASE WHEN NOT (atom_id = 5 AND formal_charge = 1) THEN round(partial_charge, {R}) END AS partial_charge, formal_charge FROM atoms")
+def normalize_graphs(spark, d):
+    a = B.atoms(spark, d)
+    odd = a.select("mol_id", "atom_id", F.when((F.col("element") == "S") & (F.col("atom_id") == 3), "Xx").otherwise(F.col("element")).alias("symbol"), F.col("formal_charge").cast("string").alias("charge"), F.when((F.col("atom_id") == 5) & (F.col("formal_charge") == 1) & ((F.col("element") != "S") | (F.col("atom_id") != 3)), F.lit(float("nan"))).otherwise(F.col("partial_charge")).alias("partial_charge"))
+    return rounded(graph.normalize_atoms(odd), "partial_charge").select("mol_id", "atom_id", F.array_join("warnings", ";").alias("warnings"), "partial_charge", "formal_charge")
+
+
+@query("degree_features", f"WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_DEG}, j AS (SELECT a.*, coalesce(degree, 0) AS degree FROM atoms a LEFT JOIN deg USING (mol_id, atom_id)) SELECT mol_id, count(*) AS atoms, CAST(sum(degree) / 2 AS BIGINT) AS bonds, CAST(sum(formal_charge) AS BIGINT) AS charge, CAST(sum(abs(formal_charge)) AS BIGINT) AS abs_charge, count(*) FILTER (aromatic) AS aromatic, " + ", ".join(f"count(*) FILTER (degree = {k}) AS degree_{k}" for k in range(1, 5)) + " FROM j GROUP BY 1")
+def degree_features(spark, d):
+    return graph.degree_features(B.atoms(spark, d), B.bonds(spark, d))
+
+
+@query("zagreb", f"WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_DEG}, one AS (SELECT mol_id, CAST(sum(degree * degree) AS BIGINT) AS m1 FROM deg GROUP BY 1), two AS (SELECT e.mol_id, CAST(sum(x.degree * y.degree) AS BIGINT) AS m2, round(sum(1 / sqrt(x.degree * y.degree)), {R}) AS randic FROM bonds e JOIN deg x ON x.mol_id = e.mol_id AND x.atom_id = e.a JOIN deg y ON y.mol_id = e.mol_id AND y.atom_id = e.b GROUP BY 1) SELECT mol_id, m1, m2, randic FROM one JOIN two USING (mol_id)")
+def zagreb(spark, d):
+    return rounded(graph.zagreb(B.bonds(spark, d)), "randic")
+
+
+_DIST = f"{B.ATOMS}, {B.BONDS}, {_DIRECTED}, walk(mol_id, a, b, d) AS (SELECT DISTINCT mol_id, a, b, 1 FROM directed UNION SELECT w.mol_id, w.a, e.b, d + 1 FROM walk w JOIN directed e ON e.mol_id = w.mol_id AND e.a = w.b WHERE d < 4), dist AS (SELECT mol_id, a, b, min(d) AS d FROM walk WHERE a < b GROUP BY 1, 2, 3)"
+
+
+@query("shortest_paths", f"WITH RECURSIVE {_DIST} SELECT mol_id, a, b, CAST(d AS INT) AS d FROM dist")
+def shortest_paths(spark, d):
+    return graph.graph_distances(B.bonds(spark, d), 4)
+
+
+@query("path_indices", f"WITH RECURSIVE {_DIST} SELECT mol_id, CAST(sum(d) AS BIGINT) AS wiener, round(sum(1 / d), {R}) AS harary, round(avg(d), {R}) AS mean_distance FROM dist GROUP BY 1")
+def path_indices(spark, d):
+    return rounded(graph.path_indices(graph.graph_distances(B.bonds(spark, d), 4)), "harary", "mean_distance")
+
+
+_NAMED = "named AS (SELECT mol_id, atom_id, element, element || CASE WHEN aromatic THEN '*' ELSE '' END || 'h' || total_hcount || 'q' || formal_charge AS label FROM atoms)"
+
+
+@query("environment_counts", f"""WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_NAMED}, near AS (SELECT e.mol_id, e.a AS atom_id, string_agg(n.element, '.' ORDER BY n.element) AS near FROM directed e JOIN named n ON n.mol_id = e.mol_id AND n.atom_id = e.b GROUP BY 1, 2),
+names AS (SELECT mol_id, 'atom_state[' || label || ']' AS name FROM named UNION ALL SELECT n.mol_id, 'benson_nn[' || element || '|' || coalesce(near, '') || ']' FROM named n LEFT JOIN near USING (mol_id, atom_id)
+ UNION ALL SELECT e.mol_id, 'bond_environment[' || least(x.label, y.label) || ';' || CAST(bond_order AS INT) || ';' || greatest(x.label, y.label) || ']' FROM bonds e JOIN named x ON x.mol_id = e.mol_id AND x.atom_id = e.a JOIN named y ON y.mol_id = e.mol_id AND y.atom_id = e.b)
+SELECT mol_id, name, count(*) AS n FROM names GROUP BY 1, 2""")
+def environment_counts(spark, d):
+    return graph.env_counts(B.atoms(spark, d), B.bonds(spark, d))
+
+
+@query("path_counts", f"""WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, s AS (SELECT e.mol_id, a, b, x.element AS ea, y.element AS eb FROM directed e JOIN atoms x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = b),
+p3 AS (SELECT s.mol_id, s.a, s.b, t.b AS c, s.ea, s.eb, t.eb AS ec FROM s JOIN s t ON t.mol_id = s.mol_id AND t.a = s.b WHERE s.a <> t.b),
+p4 AS (SELECT p.*, t.b AS d, t.eb AS ed FROM p3 p JOIN s t ON t.mol_id = p.mol_id AND t.a = p.c WHERE t.b <> p.a AND t.b <> p.b),
+n AS (SELECT mol_id, 'path3[' || least(ea || '|' || eb || '|' || ec, ec || '|' || eb || '|' || ea) || ']' AS name FROM p3 WHERE a < c UNION ALL SELECT mol_id, 'path4[' || least(ea || '|' || eb || '|' || ec || '|' || ed, ed || '|' || ec || '|' || eb || '|' || ea) || ']' FROM p4 WHERE a < d)
+SELECT mol_id, name, count(*) AS n FROM n GROUP BY 1, 2""")
+def path_counts(spark, d):
+    return graph.path_counts(B.atoms(spark, d), B.bonds(spark, d))
+
+
+_WL0 = f"{B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_NAMED}, wl0 AS (SELECT mol_id, atom_id, sha256(label) AS label FROM named)"
+_WLN = "around{k} AS (SELECT e.mol_id, e.a AS atom_id, string_agg(CAST(bond_order AS INT) || ':' || label, ',' ORDER BY CAST(bond_order AS INT) || ':' || label) AS around FROM directed e JOIN wl{j} w ON w.mol_id = e.mol_id AND w.atom_id = e.b GROUP BY 1, 2), wl{k} AS (SELECT w.mol_id, w.atom_id, sha256(label || ',' || coalesce(around, '')) AS label FROM wl{j} w LEFT JOIN around{k} r USING (mol_id, atom_id))"
+_WL2 = f"{_WL0}, {_WLN.format(k=1, j=0)}, {_WLN.format(k=2, j=1)}"
+
+
+def _labels(spark, d):
+    return graph.neighbourhood_labels(B.atoms(spark, d), B.bonds(spark, d), 2)
+
+
+@query("neighbourhood_labels", f"WITH {_WL2} SELECT mol_id, atom_id, label FROM wl2")
+def neighbourhood_labels(spark, d):
+    return _labels(spark, d)
+
+
+@query("hashed_environments", f"WITH {_WL2}, b AS (SELECT mol_id, 'wl_' || lpad(CAST(('0x' || substr(sha256(label), 1, 16))::UBIGINT % 128 AS VARCHAR), 3, '0') AS name, CASE WHEN ('0x' || substr(sha256(label), 17, 2))::UBIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END AS s FROM wl2) SELECT mol_id, name, sum(s) AS value FROM b GROUP BY 1, 2 HAVING sum(s) <> 0")
+def hashed_environments(spark, d):
+    return graph.hashed_environments(_labels(spark, d))
+
+
+@query("symmetry_terms", f"WITH {_WL2}, c AS (SELECT mol_id, label, count(*) AS n FROM wl2 GROUP BY 1, 2), t AS (SELECT *, n / sum(n) OVER (PARTITION BY mol_id) AS p FROM c) SELECT mol_id, count(*) AS classes, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS equivalent_pairs, round(-sum(p * log2(p)), {R}) + 0.0 AS entropy FROM t GROUP BY 1")
+def symmetry_terms(spark, d):
+    return rounded(graph.symmetry_terms(_labels(spark, d)), "entropy")
+
+
+@query("graph_identity")
+def graph_identity(spark, d):
+    return graph.graph_identity(_labels(spark, d), graph.graph_components(B.atoms(spark, d), B.bonds(spark, d)))
+
+
+_PI = f"""{B.ATOMS}, {B.BONDS}, {_DIRECTED}, top AS (SELECT mol_id, a AS atom_id, max(bond_order) AS top FROM directed GROUP BY 1, 2), near AS (SELECT DISTINCT mol_id, a AS mid FROM directed WHERE bond_order >= 2), beside AS (SELECT DISTINCT e.mol_id, e.a AS atom_id FROM directed e JOIN near n ON n.mol_id = e.mol_id AND n.mid = e.b),
+pi AS (SELECT a.mol_id, a.atom_id, a.element, CASE WHEN top >= 2 THEN 1 WHEN element IN ('N', 'O', 'S') AND formal_charge <= 0 AND b.atom_id IS NOT NULL THEN 2 ELSE 0 END AS electrons, CASE WHEN top >= 3 THEN 'triple' WHEN top >= 2 THEN 'double' WHEN element IN ('N', 'O', 'S') AND formal_charge <= 0 AND b.atom_id IS NOT NULL THEN 'lone_pair' ELSE 'none' END AS reason FROM atoms a LEFT JOIN top USING (mol_id, atom_id) LEFT JOIN beside b ON b.mol_id = a.mol_id AND b.atom_id = a.atom_id)"""
+
+
+def _pi(spark, d):
+    return graph.assign_pi(B.atoms(spark, d), B.bonds(spark, d))
+
+
+@query("assign_pi", f"WITH {_PI} SELECT mol_id, atom_id, electrons > 0 AS included, electrons, reason FROM pi")
+def assign_pi(spark, d):
+    return _pi(spark, d)
+
+
+_SYSTEMS = f"{_PI}, inside AS (SELECT e.mol_id, e.a, e.b, e.bond_order FROM directed e JOIN pi x ON x.mol_id = e.mol_id AND x.atom_id = e.a AND x.electrons > 0 JOIN pi y ON y.mol_id = e.mol_id AND y.atom_id = e.b AND y.electrons > 0), reach(mol_id, x, y) AS (SELECT mol_id, atom_id, atom_id FROM pi WHERE electrons > 0 UNION SELECT r.mol_id, r.x, e.b FROM reach r JOIN inside e ON e.mol_id = r.mol_id AND e.a = r.y), sys AS (SELECT mol_id, x AS atom_id, min(y) AS system FROM reach GROUP BY 1, 2)"
+
+
+@query("pi_systems", f"WITH RECURSIVE {_SYSTEMS} SELECT mol_id, system, count(*) AS sites, CAST(sum(electrons) AS BIGINT) AS electrons FROM sys JOIN pi USING (mol_id, atom_id) GROUP BY 1, 2")
+def pi_systems(spark, d):
+    return graph.pi_systems(_pi(spark, d), B.bonds(spark, d))
+
+
+ALPHA, BETA = {"C": 0.0, "N": 0.5, "O": 1.0, "S": 0.4}, {1.0: -0.8, 2.0: -1.1}
+_MATRIX = _PI + ", inside AS (SELECT e.mol_id, e.a, e.b, e.bond_order FROM directed e JOIN pi x ON x.mol_id = e.mol_id AND x.atom_id = e.a AND x.electrons > 0 JOIN pi y ON y.mol_id = e.mol_id AND y.atom_id = e.b AND y.electrons > 0), matrix AS (SELECT mol_id, atom_id AS i, atom_id AS j, CAST(CASE element WHEN 'N' THEN 0.5 WHEN 'O' THEN 1.0 WHEN 'S' THEN 0.4 ELSE 0 END AS DOUBLE) AS value FROM pi WHERE electrons > 0 UNION ALL SELECT mol_id, a, b, CAST(CASE WHEN bond_order = 1 THEN -0.8 ELSE -1.1 END AS DOUBLE) FROM inside)"
+
+
+@query("pi_matrix", f"WITH {_MATRIX} SELECT mol_id, i, j, value FROM matrix")
+def pi_matrix(spark, d):
+    return graph.pi_matrix(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, BETA)
+
+
+@query("spectral_moments", f"WITH {_MATRIX}, sq AS (SELECT x.mol_id, x.i, y.j, sum(x.value * y.value) AS s FROM matrix x JOIN matrix y ON y.mol_id = x.mol_id AND y.i = x.j GROUP BY 1, 2, 3), n AS (SELECT mol_id, count(DISTINCT i) AS n FROM matrix GROUP BY 1), m2 AS (SELECT mol_id, sum(s) AS v FROM sq WHERE i = j GROUP BY 1), m3 AS (SELECT s.mol_id, sum(s.s * m.value) AS v FROM sq s JOIN matrix m ON m.mol_id = s.mol_id AND m.i = s.j AND m.j = s.i GROUP BY 1), m4 AS (SELECT s.mol_id, sum(s.s * t.s) AS v FROM sq s JOIN sq t ON t.mol_id = s.mol_id AND t.i = s.j AND t.j = s.i GROUP BY 1) SELECT n.mol_id, round(coalesce(m2.v, 0) / n, {R}) AS m2, round(coalesce(m3.v, 0) / n, {R}) + 0.0 AS m3, round(coalesce(m4.v, 0) / n, {R}) AS m4 FROM n LEFT JOIN m2 USING (mol_id) LEFT JOIN m3 USING (mol_id) LEFT JOIN m4 USING (mol_id)")
+def spectral_moments(spark, d):
+    return rounded(graph.spectral_moments(graph.pi_matrix(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, BETA)), "m2", "m3", "m4")
+
+
+@query("charge_topology", f"WITH RECURSIVE {_DIST} SELECT t.mol_id, CAST(d AS INT) AS d, round(sum(abs(x.partial_charge - y.partial_charge)), {R}) + 0.0 AS difference, round(sum(x.partial_charge * y.partial_charge), {R}) + 0.0 AS product FROM dist t JOIN atoms x ON x.mol_id = t.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = t.mol_id AND y.atom_id = b GROUP BY 1, 2")
+def charge_topology(spark, d):
+    return rounded(graph.charge_topology(B.atoms(spark, d), graph.graph_distances(B.bonds(spark, d), 4)), "difference", "product")
+
+
+@query("formal_charge_terms", f"WITH RECURSIVE {_DIST}, o AS (SELECT mol_id, CAST(sum(formal_charge * formal_charge) AS BIGINT) AS magnitude FROM atoms GROUP BY 1), p AS (SELECT t.mol_id, sum(x.formal_charge * y.formal_charge / d) AS c, sum(CASE WHEN x.formal_charge * y.formal_charge > 0 THEN 1 / d ELSE 0 END) AS l, sum(CASE WHEN x.formal_charge * y.formal_charge < 0 THEN 1 / d ELSE 0 END) AS u FROM dist t JOIN atoms x ON x.mol_id = t.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = t.mol_id AND y.atom_id = b WHERE x.formal_charge <> 0 AND y.formal_charge <> 0 GROUP BY 1) SELECT mol_id, magnitude, round(coalesce(c, 0), {R}) + 0.0 AS coulomb, round(coalesce(l, 0), {R}) AS \"like\", round(coalesce(u, 0), {R}) AS unlike FROM o LEFT JOIN p USING (mol_id)")
+def formal_charge_terms(spark, d):
+    return rounded(graph.formal_charge_terms(B.atoms(spark, d), graph.graph_distances(B.bonds(spark, d), 4)), "coulomb", "like", "unlike")
+
+
+@query("steric_terms", f"WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_DEG}, r AS (SELECT mol_id, atom_id, CASE element WHEN 'C' THEN 1.7 WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.8 END::DOUBLE AS r FROM atoms), s AS (SELECT e.mol_id, a, b, r FROM directed e JOIN r ON r.mol_id = e.mol_id AND r.atom_id = e.b), c AS (SELECT x.mol_id, sum(x.r * y.r) AS crowding, count(*) AS np FROM s x JOIN s y ON y.mol_id = x.mol_id AND y.a = x.a AND x.b < y.b GROUP BY 1), t AS (SELECT mol_id, count(*) FILTER (degree = 3) AS tertiary, count(*) FILTER (degree >= 4) AS quaternary FROM deg GROUP BY 1), w AS (SELECT e.mol_id, count(*) FILTER (x.degree >= 3 AND y.degree >= 3) AS adj FROM bonds e JOIN deg x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN deg y ON y.mol_id = e.mol_id AND y.atom_id = b GROUP BY 1) SELECT mol_id, tertiary, quaternary, adj AS adjacent_branches, round(coalesce(crowding, 0), {R}) AS crowding, coalesce(np, 0) AS neighbour_pairs FROM t JOIN w USING (mol_id) LEFT JOIN c USING (mol_id)")
+def steric_terms(spark, d):
+    return rounded(graph.steric_terms(B.atoms(spark, d), B.bonds(spark, d), {"C": 1.7, "N": 1.55, "O": 1.52, "S": 1.8}), "crowding")
+
+
+ENERGY, HYDROGEN, FALLBACK = {("C", "C", 1): 3.6, ("C", "C", 2): 6.3, ("C", "N", 1): 3.2, ("C", "O", 1): 3.7, ("C", "O", 2): 7.7, ("N", "O", 1): 2.1}, {"C": 4.3, "N": 4.0, "O": 4.8}, 3.0
+
+
+@query("bond_energy", f"WITH {B.ATOMS}, {B.BONDS}, t(x, y, o, e) AS (VALUES " + ", ".join(f"('{x}', '{y}', {o}.0::DOUBLE, {e}::DOUBLE)" for (x, y, o), e in ENERGY.items()) + f"), j AS (SELECT e.mol_id, least(p.element, q.element) AS x, greatest(p.element, q.element) AS y, bond_order AS o FROM bonds e JOIN atoms p ON p.mol_id = e.mol_id AND p.atom_id = a JOIN atoms q ON q.mol_id = e.mol_id AND q.atom_id = b), l AS (SELECT j.mol_id, coalesce(t.e, u.e, 3.0) AS e FROM j LEFT JOIN t USING (x, y, o) LEFT JOIN t u ON u.x = j.x AND u.y = j.y AND u.o = 1 UNION ALL SELECT mol_id, total_hcount * CASE element WHEN 'C' THEN 4.3 WHEN 'N' THEN 4.0 WHEN 'O' THEN 4.8 ELSE 3.0 END FROM atoms) SELECT mol_id, round(-sum(e), {R}) + 0.0 AS energy FROM l GROUP BY 1")
+def bond_energy(spark, d):
+    return rounded(graph.bond_energy(B.atoms(spark, d), B.bonds(spark, d), ENERGY, HYDROGEN, FALLBACK), "energy")
+
+
+_RINGS = f"{B.ATOMS}, {B.BONDS}, rings AS (SELECT e.mol_id, e.a AS ring, e.a + k AS atom_id FROM bonds e, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE e.b = e.a + 3 AND (SELECT count(*) FROM bonds c WHERE c.mol_id = e.mol_id AND c.b = c.a + 1 AND c.a BETWEEN e.a AND e.a + 2) = 3)"
+_RING_TERMS = _RINGS + ", n AS (SELECT mol_id, count(DISTINCT ring) AS rings FROM rings GROUP BY 1), jn AS (SELECT mol_id, count(*) AS junctions FROM (SELECT mol_id, atom_id FROM rings GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1), sh AS (SELECT x.mol_id, x.ring, y.ring AS other, count(*) AS k FROM rings x JOIN rings y ON y.mol_id = x.mol_id AND y.atom_id = x.atom_id AND x.ring < y.ring GROUP BY 1, 2, 3), pr AS (SELECT mol_id, count(*) FILTER (k = 1) AS spiro, count(*) FILTER (k = 2) AS fused, count(*) FILTER (k > 2) AS bridged FROM sh GROUP BY 1), terms AS (SELECT n.mol_id, rings, coalesce(junctions, 0) AS junctions, coalesce(spiro, 0) AS spiro, coalesce(fused, 0) AS fused, coalesce(bridged, 0) AS bridged FROM n LEFT JOIN jn USING (mol_id) LEFT JOIN pr USING (mol_id))"
+
+
+@query("ring_terms", f"WITH {_RING_TERMS} SELECT * FROM terms")
+def ring_terms(spark, d):
+    return graph.ring_terms(graph.rings_of_closures(B.bonds(spark, d)))
+
+
+@query("ring_strain", f"WITH {_RING_TERMS} SELECT mol_id, round(rings * 1.1 + fused * 0.3, {R})::DOUBLE AS strain FROM terms")
+def ring_strain(spark, d):
+    return rounded(graph.ring_strain(graph.rings_of_closures(B.bonds(spark, d)), {3: 1.2, 4: 1.1}, 0.3), "strain")
+
+
+@query("ring_parity")
+def ring_parity(spark, d):
+    return rounded(graph.pi_ring_parity(graph.rings_of_closures(B.bonds(spark, d)), _pi(spark, d), 0.2), "penalty")
+
+
+@query("composition_reference", f"WITH {B.ATOMS}, p AS (SELECT mol_id, bool_or(element = 'S') AS u, sum(CASE element WHEN 'C' THEN -1.0 WHEN 'N' THEN -2.5 WHEN 'O' THEN -4.0 END) AS s FROM atoms GROUP BY 1) SELECT mol_id, CASE WHEN u THEN 'unsupported' ELSE 'success' END AS status, CASE WHEN NOT u THEN round(s, {R})::DOUBLE END AS score FROM p")
+def composition_reference(spark, d):
+    return rounded(graph.composition_reference(B.atoms(spark, d), {"C": -1.0, "N": -2.5, "O": -4.0}), "score")
+
+
+@query("ledger_score", f"WITH {B.ATOMS}, {B.BONDS}, o AS (SELECT mol_id, count(*) AS n FROM atoms GROUP BY 1), e AS (SELECT mol_id, sum(bond_order) AS s FROM bonds GROUP BY 1) SELECT mol_id, round(n - coalesce(s, 0), {R})::DOUBLE AS score FROM o LEFT JOIN e USING (mol_id)")
+def ledger_score(spark, d):
+    return rounded(graph.ledger_score(graph.local_ledger(B.atoms(spark, d), B.bonds(spark, d)), exclude=("charge",)), "score")
+
+
+_COORDS = "coords AS (SELECT a.mol_id, a.atom_id, a.formal_charge AS q, a.atom_id * 1.5 AS x, a.total_hcount * 0.5 AS y, a.partial_charge AS z FROM atoms a)"
+
+
+@query("pair_distance_terms", f"WITH {B.ATOMS}, {B.BONDS}, {_COORDS}, p AS (SELECT m.mol_id, m.q * n.q AS qq, sqrt((m.x - n.x) ** 2 + (m.y - n.y) ** 2 + (m.z - n.z) ** 2) AS r FROM coords m JOIN coords n ON n.mol_id = m.mol_id AND m.atom_id < n.atom_id LEFT JOIN bonds e ON e.mol_id = m.mol_id AND e.a = m.atom_id AND e.b = n.atom_id WHERE e.a IS NULL) SELECT mol_id, round(sum(qq / greatest(r, 0.5)), {R}) + 0.0 AS coulomb, round(sum(exp(-r)), {R}) AS overlap FROM p GROUP BY 1")
+def pair_distance_terms(spark, d):
+    coords = B.atoms(spark, d).select("mol_id", "atom_id", F.col("formal_charge").alias("q"), (F.col("atom_id") * 1.5).alias("x"), (F.col("total_hcount") * 0.5).alias("y"), F.col("partial_charge").alias("z"))
+    return rounded(graph.pair_distance_terms(coords, B.bonds(spark, d)), "coulomb", "overlap")
+
+
+@query("rotatable_bonds")
+def rotatable_bonds(spark, d):
+    return graph.rotatable(B.bonds(spark, d), graph.rings_of_closures(B.bonds(spark, d)))
+
+
+@query("resonance_terms")
+def resonance_terms(spark, d):
+    return graph.resonance_terms(_pi(spark, d), B.bonds(spark, d))
+
+
+@query("localized_bonds", f"WITH {_PI}, o AS (SELECT mol_id, atom_id, CAST(CASE element WHEN 'N' THEN 0.5 WHEN 'O' THEN 1.0 WHEN 'S' THEN 0.4 ELSE 0 END AS DOUBLE) AS al FROM pi WHERE electrons > 0) SELECT e.mol_id, round(sum(-2 * sqrt(((x.al - y.al) / 2) ** 2 + 1.21)), {R}) AS localized FROM bonds e JOIN o x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN o y ON y.mol_id = e.mol_id AND y.atom_id = b WHERE bond_order >= 2 GROUP BY 1")
+def localized_bonds(spark, d):
+    return rounded(graph.localized_bonds(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, 1.1), "localized")
+
+
+@query("bond_inventory", f"WITH {B.ATOMS}, {B.BONDS} SELECT mol_id, name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT e.mol_id, least(x.element, y.element) || '-' || greatest(x.element, y.element) || ';' || CAST(bond_order AS INT) AS name, 1 AS n FROM bonds e JOIN atoms x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = b UNION ALL SELECT mol_id, least('H', element) || '-' || greatest('H', element) || ';1', total_hcount FROM atoms WHERE total_hcount > 0) GROUP BY 1, 2")
+def bond_inventory(spark, d):
+    a, e = B.atoms(spark, d), B.bonds(spark, d)
+    j = e.join(a.select("mol_id", F.col("atom_id").alias("a"), F.col("element").alias("x")), ["mol_id", "a"]).join(a.select("mol_id", F.col("atom_id").alias("b"), F.col("element").alias("y")), ["mol_id", "b"])
+    lines = j.select("mol_id", F.concat(F.least("x", "y"), F.lit("-"), F.greatest("x", "y"), F.lit(";"), F.col("bond_order").cast("int").cast("string")).alias("name"), F.lit(1).alias("n"))
+    h = a.where("total_hcount > 0").select("mol_id", F.concat(F.least(F.lit("H"), "element"), F.lit("-"), F.greatest(F.lit("H"), "element"), F.lit(";1")).alias("name"), F.col("total_hcount").alias("n"))
+    return lines.unionByName(h).groupBy("mol_id", "name").agg(F.sum("n").alias("n"))
+
+
+@query("domain_validation", f"WITH RECURSIVE {_COMP}, p AS (SELECT mol_id, count(DISTINCT comp) AS k FROM comp GROUP BY 1), q AS (SELECT mol_id, bool_or(element = 'S') AS s, sum(formal_charge) AS c FROM atoms GROUP BY 1) SELECT mol_id, CASE WHEN k > 1 THEN 'disconnected' WHEN s THEN 'unsupported_element' WHEN c <> 0 THEN 'charged' END AS reason FROM p JOIN q USING (mol_id)")
+def domain_validation(spark, d):
+    a = B.atoms(spark, d)
+    return prep.validate_domain(a, graph.graph_components(a, B.bonds(spark, d, several=True)), ("C", "N", "O"))
+
+
+# ---------------------------------------------------------------- reactions
+def _sides(spark, d):
+    lines = B.read(spark, d, "lineitem")
+    side = lambda flag: lines.where(F.col("l_returnflag") == flag).groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("bond_order"))
+    return side("R"), side("A")
+
+
+_CHANGES = "l AS (SELECT l_suppkey, l_partkey, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2), r AS (SELECT l_suppkey, l_partkey, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), changes AS (SELECT coalesce(l.l_suppkey, r.l_suppkey) AS l_suppkey, coalesce(l.l_partkey, r.l_partkey) AS l_partkey, l.n AS left_order, r.n AS right_order, CASE WHEN l.n IS NULL THEN 'formed' WHEN r.n IS NULL THEN 'broken' WHEN l.n <> r.n THEN 'order_changed' ELSE 'unchanged' END AS kind FROM l FULL OUTER JOIN r ON l.l_suppkey = r.l_suppkey AND l.l_partkey = r.l_partkey)"
+
+
+@query("bond_changes", f"WITH {_CHANGES} SELECT * FROM changes WHERE kind <> 'unchanged'")
+def bond_changes(spark, d):
+    return reactions.bond_changes(*_sides(spark, d), ["l_suppkey", "l_partkey"])
+
+
+@query("edit_terms", f"WITH {_CHANGES} SELECT l_suppkey, kind, count(*) AS n, sum(abs(coalesce(right_order, 0) - coalesce(left_order, 0))) AS change FROM changes WHERE kind <> 'unchanged' GROUP BY 1, 2")
+def edit_terms(spark, d):
+    return reactions.edit_terms(reactions.bond_changes(*_sides(spark, d), ["l_suppkey", "l_partkey"]), "l_suppkey")
+
+
+@query("check_mapping", """WITH s AS (SELECT l_suppkey AS reaction, l_linenumber AS map, l_returnflag AS flag, min(l_shipdate) AS dt FROM lineitem GROUP BY 1, 2, 3), l AS (SELECT reaction, map, reaction % 3 AS e FROM s WHERE flag = 'R'), r AS (SELECT reaction, map, CASE WHEN reaction % 5 = 0 THEN 9 ELSE reaction % 3 END AS e FROM s WHERE flag = 'A'),
+ln AS (SELECT reaction, count(*) AS n FROM l GROUP BY 1), rn AS (SELECT reaction, count(*) AS n FROM r GROUP BY 1), u AS (SELECT coalesce(l.reaction, r.reaction) AS reaction, bool_or(NOT coalesce(l.e = r.e, false)) AS u FROM l FULL OUTER JOIN r ON l.reaction = r.reaction AND l.map = r.map GROUP BY 1)
+SELECT reaction, CASE WHEN c IS NULL THEN 'success' ELSE 'unsupported' END AS status, c AS code FROM (SELECT u.reaction, CASE WHEN ln.n IS NULL OR rn.n IS NULL THEN 'REACTION_MAPPING_MISSING' WHEN u OR ln.n <> rn.n THEN 'REACTION_NOT_BALANCED' END AS c FROM u LEFT JOIN ln ON ln.reaction = u.reaction LEFT JOIN rn ON rn.reaction = u.reaction)""")
+def check_mapping(spark, d):
+    s = B.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("reaction"), F.col("l_linenumber").alias("map"), "l_returnflag").distinct().withColumn("charge", F.lit(0))
+    left = s.where("l_returnflag = 'R'").withColumn("element", F.col("reaction") % 3)
+    right = s.where("l_returnflag = 'A'").withColumn("element", F.when(F.col("reaction") % 5 == 0, 9).otherwise(F.col("reaction") % 3))
+    return reactions.check_mapping(left, right)
+
+
+@query("reaction_delta", f"WITH s AS (SELECT l_orderkey AS reaction, CASE WHEN l_returnflag = 'N' THEN 'product' ELSE 'reactant' END AS side, l_partkey AS component FROM lineitem), v AS (SELECT p_partkey AS component, p_retailprice AS value FROM part WHERE p_partkey % 50 <> 0), j AS (SELECT reaction, bool_or(value IS NULL) AS gap, sum(CASE WHEN side = 'product' THEN value ELSE -value END) AS d FROM s LEFT JOIN v USING (component) GROUP BY 1) SELECT reaction, CASE WHEN gap THEN 'missing_value' ELSE 'success' END AS status, CASE WHEN NOT gap THEN round(d, 4) END AS delta FROM j")
+def reaction_delta(spark, d):
+    sides = B.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("reaction"), F.when(F.col("l_returnflag") == "N", "product").otherwise("reactant").alias("side"), F.col("l_partkey").alias("component"))
+    values = B.read(spark, d, "part").where("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("component"), F.col("p_retailprice").alias("value"))
+    return reactions.reaction_delta(sides, values).withColumn("delta", F.round("delta", 4))
+
+
+@query("valence_filter", f"WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, u AS (SELECT mol_id, a AS atom_id, sum(bond_order) AS u FROM directed GROUP BY 1, 2) SELECT a.mol_id, a.atom_id, coalesce(u, 0) + total_hcount + 1 <= CASE element WHEN 'C' THEN 4 WHEN 'N' THEN 3 WHEN 'O' THEN 2 ELSE 6 END AS allowed FROM atoms a LEFT JOIN u USING (mol_id, atom_id)")
+def valence_filter(spark, d):
+    return reactions.valence_allowed(B.atoms(spark, d), B.bonds(spark, d))
+
+
+def _frontiers(spark, d):
+    a = B.atoms(spark, d)
+    return a.withColumn("comp", F.col("atom_id") % 2).select("mol_id", "comp", "atom_id", (F.col("partial_charge") * 10).alias("homo"), (F.col("partial_charge") * 10 + F.col("total_hcount") * 0.02).alias("lumo"), F.lit(0.5).alias("homo_density"), F.lit(0.25).alias("lumo_density"))
+
+
+_FRONT = f"{B.ATOMS}, systems AS (SELECT mol_id, atom_id % 2 AS comp, atom_id, partial_charge * 10 AS homo, partial_charge * 10 + total_hcount * 0.02 AS lumo FROM atoms), ends AS (SELECT *, max(homo) OVER (PARTITION BY mol_id, comp) AS top, min(lumo) OVER (PARTITION BY mol_id, comp) AS low FROM systems), f AS (SELECT mol_id, comp, atom_id, top, low, CASE WHEN homo = top THEN 0.5 ELSE 0.0 END AS hd, CASE WHEN lumo = low THEN 0.25 ELSE 0.0 END AS ld FROM ends)"
+
+
+@query("merge_frontiers", f"WITH {_FRONT} SELECT mol_id, CAST(comp AS INT) AS comp, atom_id, round(top, {R}) AS homo, round(low, {R}) AS lumo, hd::DOUBLE AS homo_density, ld::DOUBLE AS lumo_density FROM f")
+def merge_frontiers(spark, d):
+    return rounded(reactions.merge_frontiers(_frontiers(spark, d)), "homo", "lumo")
+
+
+def _pair_scores(spark, d):
+    f = reactions.merge_frontiers(_frontiers(spark, d)).join(B.atoms(spark, d).select("mol_id", "atom_id", F.col("partial_charge").alias("q")), ["mol_id", "atom_id"])
+    side = lambda s: f.select("mol_id", F.col("atom_id").alias(s), F.col("homo").alias(f"homo_{s}"), F.col("lumo").alias(f"lumo_{s}"), F.col("homo_density").alias(f"hd_{s}"), F.col("lumo_density").alias(f"ld_{s}"), F.col("q").alias(f"q_{s}"))
+    pairs = reactions.candidate_pairs(f.select("mol_id", "atom_id", "comp")).select("mol_id", "a", "b")
+    return reactions.score_pairs(pairs.join(side("a"), ["mol_id", "a"]).join(side("b"), ["mol_id", "b"]))
+
+
+@query("pair_ranking")
+def pair_ranking(spark, d):
+    scored = _pair_scores(spark, d).withColumn("score", F.round("score", 9))
+    return rounded(reactions.rank_pairs(scored, 3), "score", "gap").select("mol_id", "a", "b", "direction", "gap", "code", "score", "rank")
+
+
+@query("equivalent_pairs")
+def equivalent_pairs(spark, d):
+    return rounded(reactions.group_equivalent_pairs(_pair_scores(spark, d)), "key")
+
+
+@query("screening", f"WITH s AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS score FROM part), k AS (SELECT item FROM s WHERE score IS NOT NULL ORDER BY score, item LIMIT 25) SELECT s.item, s.score, CASE WHEN k.item IS NOT NULL THEN round(sqrt(s.item), {R}) ELSE s.score END AS final, CASE WHEN s.score IS NULL THEN 'failed' WHEN k.item IS NOT NULL THEN 'evaluated' ELSE 'screened' END AS status FROM s LEFT JOIN k USING (item)")
+def screening(spark, d):
+    p = B.read(spark, d, "part").select(F.col("p_partkey").alias("item"), F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice")).alias("score"))
+    return reactions.screen(p, 25, lambda x: x.select("item", F.round(F.sqrt(F.col("item").cast("double")), R).alias("value")))
+
+
+# ---------------------------------------------------------------- enrichment and checks
+@query("enrich_pending", "SELECT d.doc_id, d.doc_id AS item, CASE WHEN length(d.text) % 10 = 0 THEN 'worker_error' ELSE 'success' END AS status, CASE WHEN length(d.text) % 10 <> 0 THEN CAST(length(d.text) % 10 AS DOUBLE) END AS value FROM (SELECT doc_id, text FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL".replace("length(d.text)", "d.doc_id"))
+def enrich_pending(spark, d):
+    manifest = B.read(spark, d, "documents").select("doc_id", F.col("doc_id").alias("item"))
+
+    def evaluate(item):
+        if item % 10 == 0:
+            raise ValueError("no value")
+        return item % 10
+
+    return enrich.enrich_pending(manifest, B.read(spark, d, "labels"), evaluate, ["doc_id"], 1).select("doc_id", "item", "status", "value")
+
+
+@query("release_checks", "WITH e AS (SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS expected FROM nation), a AS (SELECT n_name AS name, CAST(CASE WHEN n_nationkey = 7 THEN 99 ELSE n_regionkey END AS VARCHAR) AS actual FROM nation WHERE n_nationkey <> 3), j AS (SELECT e.name, expected, actual, expected IS NOT DISTINCT FROM actual AS ok FROM e LEFT JOIN a USING (name)) SELECT * FROM j UNION ALL SELECT 'all', NULL, NULL, bool_and(ok) FROM j")
+def release_checks(spark, d):
+    n = B.read(spark, d, "nation")
+    e = n.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("value"))
+    a = n.where("n_nationkey <> 3").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") == 7, 99).otherwise(F.col("n_regionkey")).cast("string").alias("value"))
+    return enrich.release_checks(e, a)
+
+
+@query("same_weights", "WITH l AS (SELECT s_suppkey AS name, s_acctbal AS w FROM supplier), r AS (SELECT s_suppkey AS name, CASE WHEN s_suppkey % 10 = 0 THEN 0 ELSE s_acctbal END AS w FROM supplier WHERE s_suppkey % 7 <> 0) SELECT count(l.name) AS left_terms, count(r.name) AS right_terms, CAST(sum(CASE WHEN l.w IS DISTINCT FROM r.w THEN 1 ELSE 0 END) AS BIGINT) AS different FROM l FULL OUTER JOIN r ON l.name = r.name")
+def same_weights(spark, d):
+    s = B.read(spark, d, "supplier")
+    left = s.select(F.col("s_suppkey").alias("name"), F.col("s_acctbal").alias("weight"))
+    right = s.where("s_suppkey % 7 <> 0").select(F.col("s_suppkey").alias("name"), F.when(F.col("s_suppkey") % 10 == 0, 0.0).otherwise(F.col("s_acctbal")).alias("weight"))
+    return enrich.same_weights(left, right)
+
+
+@query("coverage", "SELECT count(*) AS selected, count(l.quality) AS scored, count(l.quality) / count(*) AS coverage FROM documents d LEFT JOIN labels l USING (doc_id)")
+def coverage(spark, d):
+    j = B.read(spark, d, "documents").select("doc_id").join(B.read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return enrich.failures(j, "quality")
