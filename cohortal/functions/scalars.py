@@ -18,10 +18,12 @@ def first_field(line: Column) -> Column:
 def reaction_components(text: Column) -> Column:
     """array<struct<side, position, component>> of a three-part arrow string; empty for any other shape."""
     parts = F.split(first_field(text), ">")
-    sides = [
-        F.transform(F.filter(F.transform(F.split(parts[k], "\\."), F.trim), lambda c: c != ""), lambda c, i, side=side: F.struct(F.lit(side).alias("side"), i.alias("position"), c.alias("component")))
-        for k, side in enumerate(("reactant", "reagent", "product"))
-    ]
+
+    def of(side: str, part: Column) -> Column:
+        names = F.filter(F.transform(F.split(part, "\\."), lambda c: F.trim(c)), lambda c: c != "")
+        return F.transform(names, lambda c, i: F.struct(F.lit(side).alias("side"), i.alias("position"), c.alias("component")))
+
+    sides = [of(side, F.get(parts, F.lit(k))) for k, side in enumerate(("reactant", "reagent", "product"))]
     empty = F.array().cast("array<struct<side:string,position:int,component:string>>")
     return F.when(F.size(parts) == 3, F.concat(*sides)).otherwise(empty)
 

@@ -40,7 +40,7 @@ def normalize_atoms(atoms: DataFrame, strict: bool = False) -> DataFrame:
             F.when(F.col("radical_electrons") > 0, F.lit("OPEN_SHELL_NOT_SUPPORTED")),
         )
     )
-    out = atoms.withColumn("partial_charge", F.when(~broken, charge)).withColumn("warnings", codes)
+    out = atoms.withColumn("warnings", codes).withColumn("partial_charge", F.when(~broken, charge))
     if strict:
         bad = F.array_contains("warnings", "MISSING_ELEMENT")
         out = out.withColumn("element", F.when(bad, F.raise_error(F.concat(F.lit("atom without element in "), F.col("mol_id").cast("string"))).cast("string")).otherwise(element))

@@ -730,9 +730,10 @@ def pi_matrix(spark, d):
     return graph.pi_matrix(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, BETA)
 
 
-@query("spectral_moments", f"WITH {_MATRIX}, sq AS (SELECT x.mol_id, x.i, y.j, sum(x.value * y.value) AS s FROM matrix x JOIN matrix y ON y.mol_id = x.mol_id AND y.i = x.j GROUP BY 1, 2, 3), n AS (SELECT mol_id, count(DISTINCT i) AS n FROM matrix GROUP BY 1), m2 AS (SELECT mol_id, sum(s) AS v FROM sq WHERE i = j GROUP BY 1), m3 AS (SELECT s.mol_id, sum(s.s * m.value) AS v FROM sq s JOIN matrix m ON m.mol_id = s.mol_id AND m.i = s.j AND m.j = s.i GROUP BY 1), m4 AS (SELECT s.mol_id, sum(s.s * t.s) AS v FROM sq s JOIN sq t ON t.mol_id = s.mol_id AND t.i = s.j AND t.j = s.i GROUP BY 1) SELECT n.mol_id, round(coalesce(m2.v, 0) / n, {R}) AS m2, round(coalesce(m3.v, 0) / n, {R}) + 0.0 AS m3, round(coalesce(m4.v, 0) / n, {R}) AS m4 FROM n LEFT JOIN m2 USING (mol_id) LEFT JOIN m3 USING (mol_id) LEFT JOIN m4 USING (mol_id)")
+@query("spectral_moments", f"WITH {_MATRIX}, sq AS (SELECT x.mol_id, x.i, y.j, sum(x.value * y.value) AS s FROM matrix x JOIN matrix y ON y.mol_id = x.mol_id AND y.i = x.j GROUP BY 1, 2, 3), n AS (SELECT mol_id, count(DISTINCT i) AS n FROM matrix GROUP BY 1), m2 AS (SELECT mol_id, sum(s) AS v FROM sq WHERE i = j GROUP BY 1), m3 AS (SELECT s.mol_id, sum(s.s * m.value) AS v FROM sq s JOIN matrix m ON m.mol_id = s.mol_id AND m.i = s.j AND m.j = s.i GROUP BY 1), m4 AS (SELECT s.mol_id, sum(s.s * t.s) AS v FROM sq s JOIN sq t ON t.mol_id = s.mol_id AND t.i = s.j AND t.j = s.i GROUP BY 1) SELECT n.mol_id, round(coalesce(m2.v, 0) / n + 1e-9, 5) AS m2, round(coalesce(m3.v, 0) / n + 1e-9, 5) + 0.0 AS m3, round(coalesce(m4.v, 0) / n + 1e-9, 5) AS m4 FROM n LEFT JOIN m2 USING (mol_id) LEFT JOIN m3 USING (mol_id) LEFT JOIN m4 USING (mol_id)")
 def spectral_moments(spark, d):
-    return rounded(graph.spectral_moments(graph.pi_matrix(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, BETA)), "m2", "m3", "m4")
+    found = graph.spectral_moments(graph.pi_matrix(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, BETA))
+    return found.select("mol_id", *((F.round(F.col(m) + 1e-9, 5) + F.lit(0.0)).alias(m) for m in ("m2", "m3", "m4")))
 
 
 @query("charge_topology", f"WITH RECURSIVE {_DIST} SELECT t.mol_id, CAST(d AS INT) AS d, round(sum(abs(x.partial_charge - y.partial_charge)), {R}) + 0.0 AS difference, round(sum(x.partial_charge * y.partial_charge), {R}) + 0.0 AS product FROM dist t JOIN atoms x ON x.mol_id = t.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = t.mol_id AND y.atom_id = b GROUP BY 1, 2")
