@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortal.functions.hashing import signed_bin
-from cohortal.operators.loops import settle
+from cohortal.operators.loops import checkpointed, settle
 
 #: The attribute names that other tools use, and ours.
 ALIASES = {"charge": "formal_charge", "hcount": "total_hcount", "is_aromatic": "aromatic", "symbol": "element"}
@@ -80,12 +80,12 @@ def zagreb(bonds: DataFrame) -> DataFrame:
 
 def graph_distances(bonds: DataFrame, cutoff: int) -> DataFrame:
     """(mol_id, a, b, d), a < b: shortest paths of at most `cutoff` bonds; one frontier join for each length."""
-    step = directed(bonds).select("mol_id", F.col("a").alias("mid"), "b").distinct()
+    step = checkpointed(directed(bonds).select("mol_id", F.col("a").alias("mid"), "b").distinct())
     near = step.select("mol_id", F.col("mid").alias("a"), "b").withColumn("d", F.lit(1))
     seen = frontier = near
     for d in range(2, cutoff + 1):
         further = frontier.select("mol_id", "a", F.col("b").alias("mid")).join(step, ["mol_id", "mid"]).select("mol_id", "a", "b").where("a <> b").distinct()
-        frontier = further.join(seen, ["mol_id", "a", "b"], "left_anti").withColumn("d", F.lit(d))
+        frontier = checkpointed(further.join(seen, ["mol_id", "a", "b"], "left_anti").withColumn("d", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen.where("a < b")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortal.functions import hashing as H
 from cohortal.functions import scalars as S
-from cohortal.operators import cohort, enrich, graph, linear, metrics, prep, reactions
+from cohortal.operators import cohort, enrich, graph, linear, metrics, motifs, prep, reactions, studies
 from cohortal.plans import bindings as B
 
 QUERIES: dict = {}
@@ -939,3 +939,81 @@ def same_weights(spark, d):
 def coverage(spark, d):
     j = B.read(spark, d, "documents").select("doc_id").join(B.read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     return enrich.failures(j, "quality")
+
+
+# ---------------------------------------------------------------- motifs and studies
+@query("motif_terms", f"""WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, dbl AS (SELECT DISTINCT mol_id, a AS atom_id FROM directed WHERE bond_order >= 2), bes AS (SELECT DISTINCT e.mol_id, e.a AS atom_id FROM directed e JOIN dbl ON dbl.mol_id = e.mol_id AND dbl.atom_id = e.b WHERE bond_order < 2),
+lone AS (SELECT a.mol_id, count(*) AS n FROM atoms a SEMI JOIN bes USING (mol_id, atom_id) ANTI JOIN dbl USING (mol_id, atom_id) WHERE element IN ('N', 'O', 'S') GROUP BY 1),
+ends AS (SELECT DISTINCT e.mol_id, e.a FROM directed e JOIN atoms x ON x.mol_id = e.mol_id AND x.atom_id = a AND x.element = 'C' JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = b AND y.element = 'C' WHERE bond_order >= 2),
+arms AS (SELECT e.mol_id, count(*) AS s, count(*) FILTER (y.total_hcount > 0) AS h FROM directed e JOIN ends USING (mol_id, a) JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = e.b AND y.element = 'C' WHERE bond_order < 2 GROUP BY 1)
+SELECT m.mol_id, coalesce(lone.n, 0) AS lone_pair, coalesce(s, 0) AS substitution, coalesce(h, 0) AS hyperconjugation, round(coalesce(lone.n, 0) * 0.3 + coalesce(s, 0) * 0.1 + coalesce(h, 0) * 0.05, {R})::DOUBLE AS reward FROM (SELECT DISTINCT mol_id FROM atoms) m LEFT JOIN lone USING (mol_id) LEFT JOIN arms USING (mol_id)""")
+def motif_terms(spark, d):
+    return rounded(motifs.motif_terms(B.atoms(spark, d), B.bonds(spark, d), {"lone_pair": 0.3, "substitution": 0.1, "hyperconjugation": 0.05}), "reward")
+
+
+@query("rigid_pairs")
+def rigid_pairs(spark, d):
+    b = B.bonds(spark, d)
+    return motifs.rigid_pairs(B.atoms(spark, d), b, graph.rings_of_closures(b))
+
+
+@query("expand_orbitals", f"WITH {_PI}, dbl AS (SELECT mol_id, a AS atom_id, count(*) AS k FROM directed WHERE bond_order >= 2 GROUP BY 1, 2), coup AS (SELECT e.mol_id, e.a AS atom_id, count(*) AS c FROM directed e JOIN pi ON pi.mol_id = e.mol_id AND pi.atom_id = e.b AND pi.electrons > 0 GROUP BY 1, 2) SELECT pi.mol_id, pi.atom_id, CAST(unnest(CASE WHEN reason = 'triple' OR k >= 2 THEN [0, 1] ELSE [0] END) AS INT) AS orbital, electrons, round(CASE WHEN reason = 'lone_pair' AND c > 0 THEN 1 / sqrt(c) ELSE 1.0 END, {R}) AS scale FROM pi LEFT JOIN dbl USING (mol_id, atom_id) LEFT JOIN coup USING (mol_id, atom_id) WHERE electrons > 0")
+def expand_orbitals(spark, d):
+    return rounded(motifs.expand_orbitals(B.atoms(spark, d), B.bonds(spark, d), _pi(spark, d)), "scale")
+
+
+@query("expensive_gate", "SELECT p_partkey AS item, p_partkey % 4 > 2 OR p_retailprice - floor(p_retailprice) < 0.1 AS run FROM part")
+def expensive_gate(spark, d):
+    p = B.read(spark, d, "part")
+    rotatable, margin = F.greatest(F.lit(0), F.col("p_partkey") % 4 - 2), F.col("p_retailprice") - F.floor("p_retailprice")
+    return p.select(F.col("p_partkey").alias("item"), motifs.should_run("auto", rotatable, margin).alias("run"))
+
+
+def _counts(spark, d):
+    return B.atoms(spark, d).groupBy(F.col("mol_id").alias("item"), "element").agg(F.count("*").alias("n"))
+
+
+_METRICS = ("mae", "rmse", "median_abs_error", "r2", "pearson", "spearman", "mean_signed_error")
+
+
+@query("baseline_ladder")
+def baseline_ladder(spark, d):
+    out = studies.baseline_ladder(B.mol_items(spark, d), _counts(spark, d), B.features(spark, d), linear.weights_frame(spark, WEIGHTS))
+    return rounded(out, *_METRICS)
+
+
+@query("ablate_blocks")
+def ablate_blocks(spark, d):
+    w = linear.weights_frame(spark, WEIGHTS | {"path_edges": 0.0, "ring_closures": 0.0})
+    return rounded(studies.ablate_blocks(B.mol_items(spark, d), _counts(spark, d), B.features(spark, d), w), *_METRICS)
+
+
+@query("fit_bits")
+def fit_bits(spark, d):
+    bits = B.bits(spark, d)
+    items = bits.select("item", "grp").distinct().withColumn("label", F.sin(F.col("item").cast("double")) * 5)
+    return rounded(studies.fit_bits(items, bits, [1.0, 10.0]), "prediction").select("item", "prediction")
+
+
+@query("tune_support")
+def tune_support(spark, d):
+    items, features = _fit_inputs(spark, d)
+    return rounded(studies.tune_support(items, features.join(items.select("item"), "item", "left_semi"), [0.05], [1.0, 10.0], 2), "composite")
+
+
+@query("fit_final")
+def fit_final(spark, d):
+    items, features = _fit_inputs(spark, d)
+    weights, q99 = studies.fit_final(items, features.join(items.select("item"), "item", "left_semi"), 0.05, 1.0, 2)
+    return rounded(weights.withColumn("q99", F.lit(q99)), "weight", "mean", "scale", "q99")
+
+
+@query("nested_cv")
+def nested_cv(spark, d):
+    items, features = _fit_inputs(spark, d)
+    return rounded(linear.nested_cv(items, features.join(items.select("item"), "item", "left_semi"), [1.0, 10.0], 2, 2), "prediction").select("item", "grp", "prediction", "fold")
+
+
+@query("evaluate_external")
+def evaluate_external(spark, d):
+    return studies.evaluate_external(B.mol_items(spark, d), B.features(spark, d), linear.weights_frame(spark, WEIGHTS))
