@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +30,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """df written as a Parquet table and read back; shuffle files of its plan may then go."""
+    def table(self, df: DataFrame, name: str, wait: bool = False) -> DataFrame:
+        """df written as a Parquet table and read back; shuffle files of its plan may then go.
+
+        wait: after a large shuffle, gives Spark's cleaner the time to remove them before the next one begins.
+        """
         path, schema = self.path(name), df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         del df
-        self.release()
+        self.release(wait)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -42,7 +46,9 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def release(self) -> None:
+    def release(self, wait: bool = False) -> None:
         """Spark's cleaner removes the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(1 + 2 * wait):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5 * wait)

@@ -11,7 +11,6 @@ repeat there at the length after it.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +23,7 @@ from cohortal.llm.words import window_hashes, word_hashes
 
 WINDOW = 13
 GRAM = 7
+TAG = 0x7FFFFFFF
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -49,46 +49,36 @@ def _raw(text) -> bytes:
     return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _tag(raw: bytes) -> int:
-    """Upper half of a place: tells apart different texts of rows that repeat a doc_id."""
-    return (zlib.crc32(raw) & 0x7FFFFFFF) << 32
-
-
-def _own(places: np.ndarray, raw: bytes) -> np.ndarray:
-    tag = _tag(raw)
-    return places[places & ~0xFFFFFFFF == tag] & 0xFFFFFFFF
-
-
 def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(gram, doc_id, place): each anchor of docs(doc_id, text) once."""
+    """(gram, owner, place): each anchor of docs(text, owner) once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, ids, places = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = _raw(text)
-                at, found = anchors(word_hashes(raw), window, gram)
+            grams, owners, places = [], [], []
+            for text, owner in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                at, found = anchors(word_hashes(_raw(text)), window, gram)
                 at, first = np.unique(at, return_index=True)
                 grams.append(found[first])
-                places.append(at + _tag(raw))
-                ids.append(np.full(len(at), doc, dtype=np.int64))
+                places.append(at)
+                owners.append(np.full(len(at), owner, dtype=np.int64))
             if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places))], names=["gram", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places).astype(np.int32))], names=["gram", "owner", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, place long")
+    return docs.select("text", "owner").mapInArrow(run, "gram long, owner long, place int")
 
 
 def repeated(rows: DataFrame, keys: list[str], earlier_only: bool) -> DataFrame:
-    """(doc_id, places array<long>): where windows of a document also stand in another (an earlier) one."""
-    ends = rows.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    """(owner, places array<int>): where windows of an owner also stand in another (an earlier) one."""
+    ends = rows.groupBy(*keys).agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high")
     found = rows.join(ends.hint("merge"), keys)
     if earlier_only:
-        found = found.where("doc_id > low")
-    return found.groupBy("doc_id").agg(F.collect_list("place").alias("places"))  # bounded by one document's words
+        found = found.where("owner > low")
+    return found.groupBy("owner").agg(F.collect_set("place").alias("places"))  # bounded by one document's words
 
 
 def candidate_rows(docs: DataFrame, window: int, gram: int, length: int, by_anchor: bool) -> DataFrame:
-    """(h1, h2, doc_id, place): the windows of `length` words of docs(doc_id, text, places) that may repeat.
+    """(h1, h2, owner, place): the windows of `length` words of docs(text, owner, places, tag) that may repeat.
+    The upper half of a place is the tag, which tells apart different texts of rows that repeat a doc_id.
 
     by_anchor: places are anchors that repeat, and windows are those that a full window of such an anchor holds.
     Else they are starts of shorter windows that repeat; a window is taken if the shorter ones at its two
@@ -100,15 +90,13 @@ def candidate_rows(docs: DataFrame, window: int, gram: int, length: int, by_anch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                raw = _raw(text)
-                words = word_hashes(raw)
+            for text, owner, places, tag in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                words = word_hashes(_raw(text))
                 n = len(words) - length + 1
-                own = _own(places.values.to_numpy(), raw)
-                if n <= 0 or not len(own):
+                if n <= 0:
                     continue
                 hit = np.zeros(len(words) + length, dtype=bool)
-                hit[own] = True
+                hit[places.values.to_numpy()] = True
                 if by_anchor:
                     full = np.flatnonzero(hit[anchors(words, window, gram)[0]])
                     want = np.zeros(len(words) + 1, dtype=np.int64)
@@ -118,25 +106,26 @@ def candidate_rows(docs: DataFrame, window: int, gram: int, length: int, by_anch
                 else:
                     start = np.flatnonzero(hit[:n] & hit[length - shorter : length - shorter + n])
                 one, two = window_hashes(words, length), window_hashes(words, length, seed=1)
-                for k, v in enumerate((one[start].view(np.int64), two[start].view(np.int64), np.full(len(start), doc, dtype=np.int64), start + _tag(raw))):
+                for k, v in enumerate((one[start].view(np.int64), two[start].view(np.int64), np.full(len(start), owner, dtype=np.int64), start + (tag << 32))):
                     columns[k].append(v)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["h1", "h2", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["h1", "h2", "owner", "place"])
 
-    return docs.select("doc_id", "text", "places").mapInArrow(run, "h1 long, h2 long, doc_id long, place long")
+    return docs.select("text", "owner", "places", "tag").mapInArrow(run, "h1 long, h2 long, owner long, place long")
 
 
 def remove_rows(docs: DataFrame, window: int) -> DataFrame:
-    """The columns of OUT for docs(doc_id, text, places)."""
+    """The columns of OUT for docs(doc_id, text, places, copy)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, places in zip(batch.column(1), batch.column(2), strict=True):
-                raw = _raw(text)
-                words = raw.split()
-                kept = words
-                if places.is_valid and len(at := _own(places.values.to_numpy(), raw)):
+            for text, places, copy in zip(batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                words = kept = _raw(text).split()
+                if copy and len(words) >= window:
+                    kept = []
+                elif places.is_valid and not copy:
+                    at = places.values.to_numpy()
                     gone = np.zeros(len(words) + 1, dtype=np.int64)
                     np.add.at(gone, at, 1)
                     np.add.at(gone, at + window, -1)
@@ -144,28 +133,42 @@ def remove_rows(docs: DataFrame, window: int) -> DataFrame:
                 rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return docs.select("doc_id", "text", "places").mapInArrow(run, OUT)
+    return docs.select("doc_id", "text", "places", "copy").mapInArrow(run, OUT)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The columns of OUT, one row per row of docs(doc_id, text).
 
-    A null text has no words, and the sha-256 of nothing. Windows of rows with a null doc_id are neither removed
-    nor a reason to remove. Rows that repeat a doc_id are no earlier than each other: they only lose what an
-    earlier document has. An empty table gives an empty one. Other columns are not read.
+    A text that an earlier document has whole loses all its windows; of each such text only its first document goes
+    through the ladder. A null text has no words, and the sha-256 of nothing. Windows of rows with a null
+    doc_id are neither removed nor a reason to remove. Rows that repeat a doc_id are no earlier than each
+    other: they only lose what an earlier document has. An empty table gives an empty one. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = docs.where("doc_id is not null and text is not null")
-    rows = scratch.table(anchor_rows(some, window, gram), "anchors")
-    places = scratch.table(repeated(rows, ["gram"], False), "places")
+    texts = scratch.table(some.select("doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("text_hash")).distinct(), "texts")
+    firsts = texts.groupBy("sha", "text_hash").agg(F.min("doc_id").alias("first"))
+    marks = scratch.table(texts.join(firsts.hint("merge"), ["sha", "text_hash"]).select("doc_id", "text_hash", (F.col("doc_id") > F.col("first")).alias("copy")), "marks")
+    # anchors that stand in two different texts; a text is its own owner here, however many documents have it
+    rows = scratch.table(anchor_rows(some.select("text", F.xxhash64("text").alias("owner")), window, gram), "anchors")
+    found = scratch.table(repeated(rows, ["gram"], False), "places-of-texts", wait=True)
     scratch.drop("anchors")
+    firsts = marks.where("not copy").select("doc_id", F.col("text_hash").alias("owner"))
+    places = scratch.table(found.join(firsts.hint("merge"), "owner").select(F.col("doc_id").alias("at_id"), F.col("owner").alias("at_hash"), "places"), "places")
+    own = (F.col("doc_id") == F.col("at_id")) & (F.xxhash64("text") == F.col("at_hash"))
     for k, length in enumerate(ladder(gram, window)):
-        found = candidate_rows(some.join(places.hint("shuffle_hash"), "doc_id"), window, gram, length, k == 0)
-        rows = scratch.table(found, f"windows-{length}")
-        places = scratch.table(repeated(rows, ["h1", "h2"], length == window), f"places-{length}")
+        found = candidate_rows(some.join(places.hint("shuffle_hash"), own).select("text", F.col("doc_id").alias("owner"), "places", F.col("at_hash").bitwiseAND(TAG).alias("tag")), window, gram, length, k == 0)
+        rows = scratch.table(found, f"windows-{length}", wait=True)
+        del found
+        starts = scratch.table(repeated(rows, ["h1", "h2"], length == window), f"starts-{length}", wait=True)
         scratch.drop(f"windows-{length}")
-    return remove_rows(docs.join(places.hint("shuffle_hash"), "doc_id", "left"), window)
+        hashes = firsts.select(F.col("doc_id").alias("at_id"), F.col("owner").alias("at_hash"))
+        of_text = F.filter("places", lambda x: F.shiftright(x, 32) == F.col("at_hash").bitwiseAND(TAG))
+        places = starts.join(hashes.hint("merge"), F.col("owner") == F.col("at_id")).select("at_id", "at_hash", F.transform(of_text, lambda x: x.bitwiseAND(0xFFFFFFFF).cast("int")).alias("places"))
+    copies = marks.where("copy").select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("copy"))
+    verdicts = scratch.table(places.withColumn("copy", F.lit(False)).unionByName(copies), "verdicts")
+    return remove_rows(docs.join(verdicts.hint("shuffle_hash"), own, "left").withColumn("copy", F.coalesce("copy", F.lit(False))), window)
 
 
 def substring_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
