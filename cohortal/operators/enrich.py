@@ -68,3 +68,18 @@ def same_weights(left: DataFrame, right: DataFrame) -> DataFrame:
 def failures(df: DataFrame, value: str) -> DataFrame:
     """(selected, scored, coverage)"""
     return df.agg(F.count("*").alias("selected"), F.count(value).alias("scored"), (F.count(value) / F.count("*")).alias("coverage"))
+
+
+def subset_runtime(items: DataFrame, requested: DataFrame, timed: DataFrame) -> DataFrame:
+    """items that are requested and were timed with success and a positive time; requested ids must be unique."""
+    if requested.count() != requested.select("item").distinct().count():
+        raise ValueError("requested items repeat")
+    good = timed.where("status = 'success' and seconds > 0").select("item").distinct()
+    return items.join(requested.select("item"), "item", "left_semi").join(good, "item", "left_semi")
+
+
+def throughput(timed: DataFrame, *by: str) -> DataFrame:
+    """n, mean, sample deviation, median, p95 and items a second of timed(seconds)."""
+    cuts = F.percentile("seconds", F.array(F.lit(0.5), F.lit(0.95)))
+    out = timed.groupBy(*by).agg(F.count("*").alias("n"), F.avg("seconds").alias("mean"), F.stddev_samp("seconds").alias("std"), cuts.alias("q"), (F.count("*") / F.sum("seconds")).alias("rate"))
+    return out.select(*by, "n", "mean", "std", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "rate")

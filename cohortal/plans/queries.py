@@ -1017,3 +1017,17 @@ def nested_cv(spark, d):
 @query("evaluate_external")
 def evaluate_external(spark, d):
     return studies.evaluate_external(B.mol_items(spark, d), B.features(spark, d), linear.weights_frame(spark, WEIGHTS))
+
+
+@query("throughput", f"SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), {R}) AS mean, round(stddev_samp(l_quantity), {R}) AS std, round(quantile_cont(l_quantity, 0.5), {R}) AS median, round(quantile_cont(l_quantity, 0.95), {R}) AS p95, round(count(*) / sum(l_quantity), {R}) AS rate FROM lineitem GROUP BY 1")
+def throughput(spark, d):
+    t = B.read(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("seconds"))
+    return rounded(enrich.throughput(t, "l_returnflag"), "mean", "std", "median", "p95", "rate")
+
+
+@query("subset_runtime", "SELECT o_orderkey AS item FROM orders WHERE o_orderkey % 3 = 0 AND o_totalprice > 50000 AND o_orderkey % 7 <> 0")
+def subset_runtime(spark, d):
+    o = B.read(spark, d, "orders").select(F.col("o_orderkey").alias("item"), "o_totalprice")
+    requested = o.where("item % 3 = 0").select("item")
+    timed = o.select("item", F.when(F.col("item") % 7 == 0, "worker_error").otherwise("success").alias("status"), (F.col("o_totalprice") - 50000).alias("seconds"))
+    return enrich.subset_runtime(o.select("item"), requested, timed)
