@@ -7,8 +7,8 @@ independent minima. Bands of ROWS coordinates make bucket keys: two sets of simi
 BANDS buckets with probability (1 - s^ROWS)^BANDS, below 1e-6 at 0.85.
 
 Documents with the same shingle set form a class; classes alone are compared. In each bucket all classes are first
-verified against the smallest; then classes that still lie in different components are verified against
-each other. Links are confirmed on whole shingle sets.
+verified against the smallest, the pivot; then, of all classes that met one pivot, those outside its main component
+are verified against the others, block by block. Links are confirmed on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -116,6 +116,60 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+MEMBERS, MINORS = 192, 64  # sets in a block, on average
+
+
+def _pack(key: tuple, table: pa.Table) -> pa.Table:
+    sets = table.column("shingles").to_pylist()
+    size = np.array([len(x) for x in sets], dtype=np.int64) // 8
+    row = [key[0], key[1], np.asarray(table.column("rep").to_pylist(), dtype=np.int64).tobytes(), np.asarray(table.column("comp").to_pylist(), dtype=np.int64).tobytes(), size.tobytes(), b"".join(sets)]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array([v.as_py() if k < 2 else v], kind) for k, (v, kind) in enumerate(zip(row, kinds, strict=True))], names=["pivot", "part", "reps", "comps", "sizes", "shingles"])
+
+
+def block_links(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Links between sets of two blocks (reps, comps, sizes, shingles) that lie in different components.
+
+    Of a set's links into one component the first is enough. Intersections are counted for the whole block at once.
+    """
+    order = np.argsort(y[3], kind="stable")
+    tokens, owner = y[3][order], np.repeat(np.arange(len(y[0])), y[2])[order]
+    low, high = np.searchsorted(tokens, x[3], "left"), np.searchsorted(tokens, x[3], "right")
+    many = high - low
+    of_x = np.repeat(np.repeat(np.arange(len(x[0])), x[2]), many)
+    of_y = owner[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+    both = np.bincount(of_x * len(y[0]) + of_y, minlength=len(x[0]) * len(y[0])).reshape(len(x[0]), len(y[0]))
+    alike = (100 * both >= SIMILAR * (x[2][:, None] + y[2][None, :] - both)) & (x[1][:, None] != y[1][None, :])
+    i, j = np.nonzero(alike)
+    keep = np.unique(np.stack((i, y[1][j])), axis=1, return_index=True)[1] if len(i) else np.zeros(0, dtype=np.int64)
+    return x[0][i[keep]], y[0][j[keep]]
+
+
+def across_components(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between members of one pivot that still lie in different components.
+
+    open_(pivot, rep, comp, main, all, minor): those outside the pivot's main component are compared with
+    all its members, in blocks: pairs exist only inside a task, as one sparse product, and every link that is
+    missing joins a set outside the main component to another one.
+    """
+    held = open_.join(sets.hint("merge"), F.col("rep") == F.col("doc_id")).select("pivot", "rep", "comp", "main", "shingles", "all", "minor")
+    part = lambda total, size: F.pmod(F.xxhash64("rep"), F.ceil(F.col(total) / size)).cast("int").alias("part")
+    kind = "pivot long, part int, reps binary, comps binary, sizes binary, shingles binary"
+    members = held.select("pivot", part("all", MEMBERS), "rep", "comp", "shingles").groupBy("pivot", "part").applyInArrow(_pack, kind)
+    minors = held.where("comp <> main").select("pivot", part("minor", MINORS), "rep", "comp", "shingles").groupBy("pivot", "part").applyInArrow(_pack, kind)
+    minors = minors.select("pivot", *(F.col(c).alias(f"x_{c}") for c in ("reps", "comps", "sizes", "shingles")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v = [np.frombuffer(batch.column(c)[k].as_py(), dtype=np.int64) for c in range(8)]
+                a, b = block_links(tuple(v[:4]), tuple(v[4:]))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    joined = members.join(minors.hint("merge"), "pivot").select("x_reps", "x_comps", "x_sizes", "x_shingles", "reps", "comps", "sizes", "shingles")
+    return joined.mapInArrow(run, "a long, b long")
+
+
 def _size_fits(x, y):
     return F.lit(100) * F.least(x, y) >= F.lit(SIMILAR) * F.greatest(x, y)
 
@@ -143,16 +197,12 @@ def near_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.table(shingle_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
     links = scratch.table(verified(first, sets), "links-1")
     found = components(links, scratch, "cc-1")
-    placed = members.join(found.hint("merge"), members["rep"] == found["node"], "left").select("band", "key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-    placed = scratch.table(placed, "placed")
-    per = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("many"))
-    split = per.groupBy("band", "key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("many", "comp")).alias("main")).where("comps > 1").select("band", "key", "main")
-    open_ = scratch.table(placed.join(split.hint("merge"), ["band", "key"]), "open")
-    minor = open_.where("comp <> main").select("band", "key", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("comp").alias("x_comp"))
-    across = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("main")) | (F.col("rep") < F.col("x"))) & _size_fits(F.col("n"), F.col("x_n"))
-    second = open_.join(minor.hint("merge"), ["band", "key"]).where(across).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-    second = scratch.table(second.join(first.hint("merge"), ["a", "b"], "left_anti"), "pairs-2")
-    links = links.union(verified(second, sets))
+    placed = members.where(F.col("rep") >= F.col("pivot")).select("pivot", "rep", "n").distinct()
+    placed = scratch.table(placed.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("pivot", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "placed")
+    per = placed.groupBy("pivot", "comp").agg(F.count("*").alias("many"))
+    split = per.groupBy("pivot").agg(F.count("*").alias("comps"), F.sum("many").alias("all"), F.max("many").alias("most"), F.max_by("comp", F.struct("many", "comp")).alias("main")).where("comps > 1")
+    open_ = scratch.table(placed.join(split.hint("merge"), "pivot").select("pivot", "rep", "comp", "main", "all", (F.col("all") - F.col("most")).alias("minor")), "open")
+    links = scratch.table(links.union(across_components(open_, sets)), "links-2")
     alike = known.join(classes.select("print", "rep").hint("merge"), "print").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.union(alike), scratch, "cc-2")
     own = prints.select("doc_id", F.col("n").alias("n_shingles"))
