@@ -27,7 +27,7 @@ MAX_BITS = 16
 BLOCK = 256  # ids between two checkpoints
 SEGMENT_IDS = 1 << 18  # a segment is closed when it has as many ids
 PART_TOKENS = 8_000_000  # ids in a range partition, on average
-CACHE_PIECES = 1_300_000
+CACHE_PIECES = 450_000  # in each of the cache's two generations
 MOST_IDS = 1 << 20  # the largest vocabulary whose counts and lengths go to the driver
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -37,7 +37,7 @@ VOCABULARY = "byte_bpe_50k.json"
 # others go to the library whole.
 ODD_SPACE = re.compile("[ ](?![!-~\u00a1-\u024f])")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)))))
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 class Encoder:
@@ -55,6 +55,7 @@ class Encoder:
             self.bytes_of[k] = len(token)
         self.kind = id_type(max(vocab.values()))
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before; what is used again moves up
         self.marks = {mark: self.plain(mark) for mark in ",."}
 
     def plain(self, text: str) -> bytes:
@@ -87,18 +88,20 @@ class Encoder:
         pieces = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
         coded = pieces.flatten().dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.cache) + len(distinct) > CACHE_PIECES:
-            self.cache.clear()
+        if len(self.cache) > CACHE_PIECES:
+            self.old, self.cache = self.cache, {}
         # a comma or full stop after a letter is a token of its own
         stem = [p[:-1] if p[-1:] in self.marks and p[-2:-1] in LETTERS else p for p in distinct]
-        self._learn(list({p for p in stem if p not in self.cache}))
+        missing = {p for p in stem if p not in self.cache}
+        self.cache |= {p: self.old[p] for p in missing if p in self.old}
+        self._learn([p for p in missing if p not in self.cache])
         found = [self.cache[s] if len(s) == len(p) else self.cache[s] + self.marks[p[-1]] for s, p in zip(stem, distinct, strict=True)]
-        n = np.array([len(x) for x in found], dtype=np.int64) // wide
+        n = np.array([len(x) for x in found], dtype=np.int32) // wide  # a slice has fewer than 2**31 ids
         pool = np.frombuffer(b"".join(found), dtype=self.kind)
-        at = coded.indices.to_numpy().astype(np.int64)
-        length, begin = n[at], (np.cumsum(n) - n)[at]
-        stop = np.cumsum(length)
-        ids = pool[np.arange(stop[-1] if len(stop) else 0) + np.repeat(begin - (stop - length), length)].tobytes()
+        at = coded.indices.to_numpy()
+        length, begin = n[at], (np.cumsum(n, dtype=np.int32) - n)[at]
+        stop = np.cumsum(length, dtype=np.int32)
+        ids = pool[np.arange(stop[-1] if len(stop) else 0, dtype=np.int32) + np.repeat(begin - (stop - length), length)].tobytes()
         many = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy()
         ends = np.concatenate(([0], stop))[np.cumsum(many)].tolist() if len(texts) else []
         out, start = [], 0
