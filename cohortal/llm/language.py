@@ -1,6 +1,6 @@
 """Operator 8, language ID by compression: the language whose dictionary packs a text smallest.
 
-Each language's dictionary is the raw text of a bounded sample of labelled documents. A text is cut into
+Each language's dictionary is the lower-cased text of a bounded sample of labelled documents. A text is cut into
 pieces, so that a dictionary counts all along a long text, and every piece is compressed with every
 dictionary; sizes add up over the text. Where the two smallest totals lie close together the text is
 rejected.
@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE_DOCS = 300  # labelled documents a language at most, in the order of a hash
-DICTIONARY_BYTES = 96 * 1024  # of a language's dictionary
+SAMPLE_DOCS = 600  # labelled documents a language at most, in the order of a hash
+DICTIONARY_BYTES = 256 * 1024  # of a language's dictionary
 DOC_BYTES = 4 * 1024  # of one sampled document in a dictionary
 LANGUAGES = 200  # at most; more is an error
 PIECE = 4096
-LEVEL = 1
+LEVEL = 6
 MARGIN = 0.0005
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -55,8 +55,8 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     texts = known.select("doc_id", "lang", F.substring("text", 1, DOC_BYTES).alias("text")).join(F.broadcast(listed), ["doc_id", "lang"]).select("lang", "place", "text").collect()
     out: dict[str, list[bytes]] = {}
     for lang, _, text in sorted(texts):
-        out.setdefault(lang, []).append(text.encode())
-    return {lang: b"\n".join(parts)[-DICTIONARY_BYTES:] for lang, parts in sorted(out.items())}
+        out.setdefault(lang, []).append(text.lower().encode())
+    return {lang: b"\n".join(dict.fromkeys(parts))[-DICTIONARY_BYTES:] for lang, parts in sorted(out.items())}
 
 
 _ready: dict[int, list[tuple[str, zstandard.ZstdCompressor]]] = {}
@@ -79,7 +79,7 @@ def classify(text: str | None, tools: list[tuple[str, zstandard.ZstdCompressor]]
     """(language, score, rejected). Ties go to the first language by name."""
     if not tools or not text or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
-    raw = text.encode("utf-8", "replace")
+    raw = text.lower().encode("utf-8", "replace")
     sizes = [sum(len(tool.compress(raw[k : k + PIECE])) for k in range(0, len(raw), PIECE)) for _, tool in tools]
     best = min(range(len(tools)), key=sizes.__getitem__)
     if len(tools) == 1:
