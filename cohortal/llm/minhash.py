@@ -3,8 +3,9 @@
 A sketch has SKETCH coordinates. In round i every shingle is hashed to one coordinate and leaves the
 value i + fraction there; the least value stays. From round SKETCH on, round i fills the one coordinate i - SKETCH,
 so that after twice SKETCH rounds each is full; usually a few rounds do, and estimates concentrate as those of
-independent minima. Bands of ROWS coordinates make bucket keys: two sets of similarity s share none of
-BANDS buckets with probability (1 - s^ROWS)^BANDS, below 1e-6 at 0.85.
+independent minima. Bands of r coordinates make b bucket keys: two sets of similarity s share none of them with
+probability (1 - s^r)^b. banding() takes the longest bands that keep it below 1e-6 at the similarity that is
+asked for: 24 of 5 at 0.85, 30 of 4 at 0.80.
 
 Documents with the same shingle set form a class; classes alone are compared. In each bucket all classes are first
 verified against the smallest, the pivot; then, of all classes that met one pivot, those outside its main component
@@ -25,9 +26,10 @@ from cohortal.llm.scratch import Scratch
 from cohortal.llm.words import mix, window_hashes, word_hashes
 
 SHINGLE = 5
-SIMILAR = 85  # percent
+SIMILAR = 85  # percent, of op6's query
 BANDS, ROWS = 24, 5
 SKETCH = BANDS * ROWS
+MISSED = 1e-6  # the chance that a pair just similar enough shares no bucket
 _ROUND = np.random.default_rng(41).integers(1, 2**63, 2 * SKETCH, dtype=np.uint64)
 _FULL = np.uint64(2**64 - 1)
 
@@ -58,15 +60,23 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(found: np.ndarray) -> np.ndarray:
-    rows = sketch(found).reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
+def banding(percent: int) -> int:
+    """Coordinates of a band: as many as divide the sketch and miss a pair of this similarity with less than MISSED."""
+    for rows in (ROWS, 4, 3, 2):
+        if (1 - (percent / 100) ** rows) ** (SKETCH // rows) < MISSED:
+            return rows
+    return 1
+
+
+def band_keys(found: np.ndarray, width: int = ROWS) -> np.ndarray:
+    rows = sketch(found).reshape(-1, width)
+    key = np.arange(1, len(rows) + 1, dtype=np.uint64)
+    for k in range(width):
         key = mix(key ^ rows[:, k]) + rows[:, k]
     return key.view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int = ROWS) -> DataFrame:
     """(doc_id, n, print, bands) of docs(doc_id, text): set size, a fingerprint of the set, its bucket keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +87,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n.append(len(found))
                 if len(found):
                     prints.append(f"{int(mix(found).sum()):016x}{int(np.bitwise_xor.reduce(mix(found ^ np.uint64(77)))):016x}")
-                    bands.append(band_keys(found))
+                    bands.append(band_keys(found, width))
                 else:
                     prints.append(None)
                     bands.append(None)
@@ -102,12 +112,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILAR) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """Those of pairs(a, b) whose whole sets are similar. Spark splits the joins where an id has many pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
@@ -127,7 +137,7 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([v.as_py() if k < 2 else v], kind) for k, (v, kind) in enumerate(zip(row, kinds, strict=True))], names=["pivot", "part", "reps", "comps", "sizes", "shingles"])
 
 
-def block_links(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+def block_links(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
     """Links between sets of two blocks (reps, comps, sizes, shingles) that lie in different components.
 
     Of a set's links into one component the first is enough. Intersections are counted for the whole block at once.
@@ -139,13 +149,13 @@ def block_links(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[n
     of_x = np.repeat(np.repeat(np.arange(len(x[0])), x[2]), many)
     of_y = owner[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
     both = np.bincount(of_x * len(y[0]) + of_y, minlength=len(x[0]) * len(y[0])).reshape(len(x[0]), len(y[0]))
-    alike = (100 * both >= SIMILAR * (x[2][:, None] + y[2][None, :] - both)) & (x[1][:, None] != y[1][None, :])
+    alike = (100 * both >= percent * (x[2][:, None] + y[2][None, :] - both)) & (x[1][:, None] != y[1][None, :])
     i, j = np.nonzero(alike)
     keep = np.unique(np.stack((i, y[1][j])), axis=1, return_index=True)[1] if len(i) else np.zeros(0, dtype=np.int64)
     return x[0][i[keep]], y[0][j[keep]]
 
 
-def across_components(open_: DataFrame, sets: DataFrame) -> DataFrame:
+def across_components(open_: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """(a, b): links between members of one pivot that still lie in different components.
 
     open_(pivot, rep, comp, main, all, minor): those outside the pivot's main component are compared with
@@ -163,46 +173,47 @@ def across_components(open_: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 v = [np.frombuffer(batch.column(c)[k].as_py(), dtype=np.int64) for c in range(8)]
-                a, b = block_links(tuple(v[:4]), tuple(v[4:]))
+                a, b = block_links(tuple(v[:4]), tuple(v[4:]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     joined = members.join(minors.hint("merge"), "pivot").select("x_reps", "x_comps", "x_sizes", "x_shingles", "reps", "comps", "sizes", "shingles")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _size_fits(x, y):
-    return F.lit(100) * F.least(x, y) >= F.lit(SIMILAR) * F.greatest(x, y)
+def _size_fits(x, y, percent: int):
+    return F.lit(100) * F.least(x, y) >= F.lit(percent) * F.greatest(x, y)
 
 
-def near_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def near_components(docs: DataFrame, scratch: Scratch, percent: int = SIMILAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs(doc_id, text).
 
+    Documents are linked whose sets have a Jaccard similarity of `percent` or more.
     component_id is the smallest doc_id that links reach, the document's own included. A null text, or one
     without words, has 0 shingles and is linked with nothing. Rows that repeat a doc_id are one
     document. A row with a null doc_id takes no part: its component_id is null and it is kept. An empty table gives an
     empty one. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = scratch.table(signatures(docs), "signatures")
+    prints = scratch.table(signatures(docs, banding(percent)), "signatures")
     known = prints.where("n > 0 and doc_id is not null")
     classes = scratch.table(known.groupBy("print", "n").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("print", "n", F.col("least.doc_id").alias("rep"), F.col("least.bands").alias("bands")), "classes")
     buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     least = F.min(F.struct("rep", "n"))
     shared = scratch.table(buckets.groupBy("band", "key").agg(least.alias("least"), F.count("*").alias("many")).where("many > 1").select("band", "key", F.col("least.rep").alias("pivot"), F.col("least.n").alias("pivot_n")), "shared")
     members = scratch.table(buckets.join(shared.hint("merge"), ["band", "key"]), "members")
-    first = members.where((F.col("rep") > F.col("pivot")) & _size_fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    first = members.where((F.col("rep") > F.col("pivot")) & _size_fits(F.col("n"), F.col("pivot_n"), percent)).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     first = scratch.table(first, "pairs-1")
     # whole texts are read again for the classes that share a bucket with another
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.table(shingle_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
-    links = scratch.table(verified(first, sets), "links-1")
+    links = scratch.table(verified(first, sets, percent), "links-1")
     found = components(links, scratch, "cc-1")
     placed = members.where(F.col("rep") >= F.col("pivot")).select("pivot", "rep", "n").distinct()
     placed = scratch.table(placed.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("pivot", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "placed")
     per = placed.groupBy("pivot", "comp").agg(F.count("*").alias("many"))
     split = per.groupBy("pivot").agg(F.count("*").alias("comps"), F.sum("many").alias("all"), F.max("many").alias("most"), F.max_by("comp", F.struct("many", "comp")).alias("main")).where("comps > 1")
     open_ = scratch.table(placed.join(split.hint("merge"), "pivot").select("pivot", "rep", "comp", "main", "all", (F.col("all") - F.col("most")).alias("minor")), "open")
-    links = scratch.table(links.union(across_components(open_, sets)), "links-2")
+    links = scratch.table(links.union(across_components(open_, sets, percent)), "links-2")
     alike = known.join(classes.select("print", "rep").hint("merge"), "print").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.union(alike), scratch, "cc-2")
     own = prints.select("doc_id", F.col("n").alias("n_shingles"))
@@ -210,9 +221,9 @@ def near_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """The rows of docs, with all their columns, but for the documents that are not the first of their component."""
-    found = near_components(docs, Scratch(docs.sparkSession, "near"))
+    found = near_components(docs, Scratch(docs.sparkSession, "near"), percent)
     gone = found.where("not kept").select(F.col("doc_id").alias("_near_id")).distinct()
     return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_near_id"], "left_anti")
 

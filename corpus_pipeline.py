@@ -20,8 +20,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest id."""
-    return minhash.keep_one(docs)
+    """One document of each group of near-duplicates (a Jaccard similarity of 0.8 or more): the one of smallest id."""
+    return minhash.keep_one(docs, 80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against plain Python over what the stage before kept."""
 
 import os
+import random
 import re
 import sys
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 
 from cohortal.llm import decontaminate, language, mixing, tokens
-from tests.llm.test_operators import brute_components
+from tests.llm.test_operators import brute_components, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -84,3 +85,34 @@ def test_token_stage(stages):
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in found) == sorted(want)
     assert [r["doc_id"] for r in found] == sorted(r["doc_id"] for r in found)
     assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1].tolist()]
+
+
+def test_near_dedup_stage_from_80_percent(spark):
+    """Two changed words: of 93 words 79 of 99 shingles are shared (0.798), of 94 words 80 of 100, of 100 words 86 of 106 (0.811)."""
+    import corpus_pipeline
+
+    rnd, rows, want = random.Random(4), [], set()
+    for k in range(0, 120, 2):
+        n = (93, 94, 100)[k // 2 % 3]
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+        rows.append((k, " ".join(words)))
+        words[20], words[60] = f"x{k}", f"y{k}"
+        rows.append((k + 1, " ".join(words)))
+        want |= {k, k + 1} if n == 93 else {k}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, "").collect()} == want
+
+
+def test_near_dedup_stage_on_documents(stages):
+    """Against every pair of 0.8 or more."""
+    sets = [(r[0], shingles(r[1])) for r in rows(stages[1])]
+    least = {d: d for d, _ in sets}
+    pairs = [(a, b) for k, (a, s) in enumerate(sets) for b, t in sets[:k] if s and t and a is not None and b is not None and 100 * len(s & t) >= 80 * len(s | t)]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            moved |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    assert rows(stages[2]) == [r for r in rows(stages[1]) if r[0] is None or least[r[0]] == r[0]]
