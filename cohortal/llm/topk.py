@@ -7,6 +7,9 @@ is what the index holds. A query block first meets the blocks of its own cells,
 bound; then the remaining cells in the order of their least possible distance, in two expansions, each with the bound
 of the one before. A cell is left out when the triangle inequality puts all of it beyond the bound.
 Blocks meet blocks; pairs of vectors exist only inside a task, as one matrix product.
+
+Equal rows (vec_id, v) are one row of the index with the number of its copies, so that the k best rows of a block hold its
+k best with repeats; the last step gives each copy its own rank, as the SQL does.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ ANNULI = 16
 BLOCK = 2048  # vectors in a block of the index, on average
 QUERY_BLOCK = 256
 SLACK = 1e-6  # relative; distances are floating point, a cell at the bound is kept
-OUT = "query_id long, vec_id long, score long"
+OUT = "query_id long, vec_id long, score long, copies long"
 
 
 def integer_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -54,7 +57,7 @@ class Index:
 
     def __init__(self, vectors: DataFrame, scratch: Scratch, pivots: int = PIVOTS, annuli: int = ANNULI, block: int = BLOCK):
         self.scratch, spark = scratch, scratch.spark
-        rows = scratch.table(vectors, "vectors")
+        rows = scratch.table(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies")), "vectors")
         square = F.aggregate("v", F.lit(0).cast("long"), lambda a, b: a + b * b)
         top = rows.agg(F.max(square)).first()[0]
         self.most = float(top or 0)
@@ -71,7 +74,7 @@ class Index:
         self.cells = sorted((r["pivot"], r["annulus"], r["low"], r["high"], -(-r["n"] // block)) for r in per)
         size = spark.createDataFrame([(p, a, n) for p, a, _, _, n in self.cells], "pivot int, annulus int, parts long")
         dealt = keyed.join(F.broadcast(size), ["pivot", "annulus"]).withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.col("parts")).cast("int"))
-        packed = dealt.groupBy("pivot", "annulus", "part").applyInArrow(_pack, "pivot int, annulus int, part int, ids binary, vectors binary")
+        packed = dealt.groupBy("pivot", "annulus", "part").applyInArrow(_pack, "pivot int, annulus int, part int, ids binary, vectors binary, times binary")
         self.blocks = scratch.table(packed, "blocks")
         self.queries_from = keyed
 
@@ -86,21 +89,22 @@ class Index:
                 d = _distances(m, np.sqrt(np.maximum(0.0, most - (m**2).sum(axis=1))), pivots)
                 near = d.argmin(axis=1)
                 far = d[np.arange(len(m)), near]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32)), pa.array(np.floor(far / width).astype(np.int32)), pa.array(far)], names=["vec_id", "v", "pivot", "annulus", "far"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(np.floor(far / width).astype(np.int32)), pa.array(far)], names=["vec_id", "v", "copies", "pivot", "annulus", "far"])
 
-        return rows.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<long>, pivot int, annulus int, far double")
+        return rows.select("vec_id", "v", "copies").mapInArrow(run, "vec_id long, v array<long>, copies long, pivot int, annulus int, far double")
 
 
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
     ids = table.column("vec_id").combine_chunks().to_numpy()
     m = _matrix(table.column("v").combine_chunks()).astype(np.int64)
+    copies = table.column("copies").combine_chunks().to_numpy()
     order = np.argsort(ids, kind="stable")
-    row = [pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([ids[order].astype(np.int64).tobytes()], pa.binary()), pa.array([m[order].tobytes()], pa.binary())]
-    return pa.Table.from_arrays(row, names=["pivot", "annulus", "part", "ids", "vectors"])
+    row = [pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([x[order].astype(np.int64).tobytes()], pa.binary()) for x in (ids, m, copies)]
+    return pa.Table.from_arrays(row, names=["pivot", "annulus", "part", "ids", "vectors", "times"])
 
 
-def _best(qid: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row of score (queries x vectors) the k highest, ties to the smaller id; not the query's own id."""
+def _best(qid: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of score (queries x vectors) the k highest, ties to the smaller id; not the query's own id. Ids, scores, and their places."""
     score = np.where(qid[:, None] == ids[None, :], np.int64(-(2**62)), score)
     rows, cols = [], []
     for r in range(len(qid)):
@@ -115,7 +119,7 @@ def _best(qid: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[
         rows.append(np.full(len(at), r))
         cols.append(at)
     r, c = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (rows, cols))
-    return qid[r], ids[c], score[r, c]
+    return qid[r], ids[c], score[r, c], r, c
 
 
 def _join_blocks(wanted: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
@@ -124,34 +128,44 @@ def _join_blocks(wanted: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                qid, q, ids, v = (np.frombuffer(batch.column(c)[row].as_py(), dtype=np.int64) for c in range(4))
+                qid, q, asked, ids, v, times = (np.frombuffer(batch.column(c)[row].as_py(), dtype=np.int64) for c in range(6))
                 score = q.reshape(len(qid), -1).astype(np.float64) @ v.reshape(len(ids), -1).astype(np.float64).T  # exact below 2**53
-                found = _best(qid, ids, np.rint(score).astype(np.int64), k)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+                *found, r, c = _best(qid, ids, np.rint(score).astype(np.int64), k)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*found, asked[r] * times[c])], names=["query_id", "vec_id", "score", "copies"])
 
-    joined = wanted.join(blocks.hint("shuffle_hash"), ["pivot", "annulus", "part"]).select("qid", "q", "ids", "vectors")
+    joined = wanted.join(blocks.hint("shuffle_hash"), ["pivot", "annulus", "part"]).select("qid", "q", "asked", "ids", "vectors", "times")
     return joined.mapInArrow(run, OUT)
 
 
 def _rank(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query. Spark cuts each task's rows of a query to k before it deals them."""
+    """(query_id, before, vec_id, score, copies): the rows that hold the k best of each query; `before` copies rank higher.
+
+    Spark cuts each task's rows of a query to k before it deals them.
+    """
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    best = found.dropDuplicates(["query_id", "vec_id", "score"]).withColumn("rank", F.row_number().over(order))
-    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    before = F.coalesce(F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return best.withColumn("before", before).where(F.col("before") < k).select("query_id", "before", "vec_id", "score", "copies")
+
+
+def _each(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): a row for each copy, up to rank k."""
+    ranks = F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("copies"), F.lit(k)))
+    return found.select("query_id", F.explode(ranks.cast("array<int>")).alias("rank"), "vec_id", "score")
 
 
 def search(queries: DataFrame, index: Index, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k highest inner products of queries(vec_id, v, pivot, annulus)."""
+    """(query_id, rank, vec_id, score): the k highest inner products of queries(vec_id, v, copies, pivot, annulus)."""
     scratch, spark = index.scratch, index.scratch.spark
     n = max(1, -(-queries.count() // QUERY_BLOCK))
     cells = {(p, a): (low, high, parts) for p, a, low, high, parts in index.cells}
     pivots, most = index.pivots, index.most
-    near = queries.select("vec_id", "v", "pivot", "annulus", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("group"))
-    grouped = near.groupBy("group", "pivot").applyInArrow(lambda key, t: _pack_queries(key, t), "group int, pivot int, annulus int, qid binary, q binary")
+    near = queries.select("vec_id", "v", "copies", "pivot", "annulus", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("group"))
+    grouped = near.groupBy("group", "pivot").applyInArrow(lambda key, t: _pack_queries(key, t), "group int, pivot int, annulus int, qid binary, q binary, asked binary")
     packed = scratch.table(grouped, "query-blocks")
 
     def expand(blocks: DataFrame, bounds: bool, first: int, last: int | None):
-        """Rows (pivot, annulus, part, qid, q): the cells of ranks first to last by least distance, for the queries that they concern."""
+        """Rows (pivot, annulus, part, qid, q, asked): the cells of ranks first to last by least distance, for the queries that they concern."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             listed = list(cells)
@@ -159,35 +173,35 @@ def search(queries: DataFrame, index: Index, k: int = K) -> DataFrame:
             of = np.array([c[0] for c in listed])
             for batch in batches:
                 for row in range(batch.num_rows):
-                    qid, q = (np.frombuffer(batch.column(c)[row].as_py(), dtype=np.int64) for c in (0, 1))
+                    qid, q, asked = (np.frombuffer(batch.column(c)[row].as_py(), dtype=np.int64) for c in range(3))
                     m = q.reshape(len(qid), -1)
                     d = _distances(m.astype(np.float64), np.zeros(len(m)), pivots)[:, of]
                     least = np.maximum(0.0, np.maximum(d - high, low - d))
                     rank = least.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
                     take = (rank >= first) & (rank < (last if last is not None else len(listed)))
                     if bounds:
-                        kth = np.frombuffer(batch.column(2)[row].as_py(), dtype=np.float64)
+                        kth = np.frombuffer(batch.column(3)[row].as_py(), dtype=np.float64)
                         reach = (m.astype(np.float64) ** 2).sum(axis=1) + most - 2 * kth  # squared distance of the k-th best
                         take &= least**2 <= (reach + SLACK * (abs(reach) + most + 1))[:, None]
                     for c in np.flatnonzero(take.any(axis=0)):
                         some = take[:, c]
                         (p, a), parts = listed[c], cells[listed[c]][2]
-                        yield pa.RecordBatch.from_arrays([pa.array([p] * parts, pa.int32()), pa.array([a] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array([qid[some].tobytes()] * parts, pa.binary()), pa.array([m[some].tobytes()] * parts, pa.binary())], names=["pivot", "annulus", "part", "qid", "q"])
+                        yield pa.RecordBatch.from_arrays([pa.array([p] * parts, pa.int32()), pa.array([a] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.array([qid[some].tobytes()] * parts, pa.binary()), pa.array([m[some].tobytes()] * parts, pa.binary()), pa.array([asked[some].tobytes()] * parts, pa.binary())], names=["pivot", "annulus", "part", "qid", "q", "asked"])
 
-        return blocks.mapInArrow(run, "pivot int, annulus int, part int, qid binary, q binary")
+        return blocks.mapInArrow(run, "pivot int, annulus int, part int, qid binary, q binary, asked binary")
 
-    found, parts, steps = None, packed.select("qid", "q"), (0, 2, 8, None)
+    found, parts, steps = None, packed.select("qid", "q", "asked"), (0, 2, 8, None)
     for step in range(len(steps) - 1):
         wanted = expand(parts, step > 0, steps[step], steps[step + 1])
         more = _join_blocks(wanted, index.blocks, k)
-        found = scratch.table(_rank(more if found is None else more.unionByName(found.select("query_id", "vec_id", "score")), k), f"found-{step}")
-        kth = found.where(F.col("rank") == k).select("query_id", "score")
+        found = scratch.table(_rank(more if found is None else more.unionByName(found.select("query_id", "vec_id", "score", "copies")), k), f"found-{step}")
+        kth = found.where(F.col("before") + F.col("copies") >= k).select("query_id", "score")
         parts = _with_bounds(packed, kth)
-    return found
+    return _each(found, k)
 
 
 def _with_bounds(packed: DataFrame, kth: DataFrame) -> DataFrame:
-    """(qid, q, kth binary): the score of each query's k-th best so far, -infinity where there are fewer."""
+    """(qid, q, asked, kth binary): the score of each query's k-th best so far, -infinity where there are fewer."""
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,17 +216,18 @@ def _with_bounds(packed: DataFrame, kth: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 qid = np.frombuffer(batch.column(0)[row].as_py(), dtype=np.int64)
-                known = {x["query_id"]: x["score"] for x in batch.column(2)[row].as_py() if x["score"] is not None}
+                known = {x["query_id"]: x["score"] for x in batch.column(1)[row].as_py() if x["score"] is not None}
                 kth = np.array([known.get(x, -np.inf) for x in qid.tolist()], dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([kth.tobytes()], pa.binary())], names=["qid", "q", "kth"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, 1) for c in (0, 2, 3)), pa.array([kth.tobytes()], pa.binary())], names=["qid", "q", "asked", "kth"])
 
-    return packed.join(scored.hint("shuffle_hash"), ["group", "pivot"]).select("qid", "q", "kth").mapInArrow(run, "qid binary, q binary, kth binary")
+    return packed.join(scored.hint("shuffle_hash"), ["group", "pivot"]).select("qid", "kth", "q", "asked").mapInArrow(run, "qid binary, q binary, asked binary, kth binary")
 
 
 def _pack_queries(key: tuple, table: pa.Table) -> pa.Table:
     ids = table.column("vec_id").combine_chunks().to_numpy().astype(np.int64)
     m = _matrix(table.column("v").combine_chunks()).astype(np.int64)
-    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["group", "pivot", "annulus", "qid", "q"])
+    copies = table.column("copies").combine_chunks().to_numpy().astype(np.int64)
+    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, m, copies))], names=["group", "pivot", "annulus", "qid", "q", "asked"])
 
 
 def top_k(table: DataFrame, every: int = 50, k: int = K, **index) -> DataFrame:
@@ -220,7 +235,7 @@ def top_k(table: DataFrame, every: int = 50, k: int = K, **index) -> DataFrame:
 
     Candidates are all rows but those of the query's own id; fewer than k give all. Rows with a null id or vector, or
     with a null or non-finite component, take no part; vectors must have one length. Equal scores go by the
-    smaller id; a row that repeats another counts once. An empty table gives an empty one. Other columns are not
+    smaller id; a row that repeats another has a rank of its own, and so has each answer to a query that is repeated. An empty table gives an empty one. Other columns are not
     read. Scores are exact integers.
     """
     spark = table.sparkSession
@@ -228,7 +243,7 @@ def top_k(table: DataFrame, every: int = 50, k: int = K, **index) -> DataFrame:
     built = Index(integer_vectors(table), scratch, **index)
     if not built.cells:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return search(built.queries_from.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]), built, k)
+    return search(built.queries_from.where(F.col("vec_id") % every == 0), built, k)
 
 
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,22 @@ def test_op3_against_brute_force(spark):
     assert few.count() == 2
 
 
+def test_op3_repeated_rows(spark):
+    """The best vector nine times, others twice, a query twice, and one id with two vectors: each row has its own rank."""
+    rnd = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rnd.normal(size=8) / 4]) for k in range(300)]
+    rows += [(1003, [4.0] * 8)] * 9 + [rows[7]] * 2 + [rows[50]] + [(100, rows[3][1]), (1001, [-4.0] * 8), (1001, [-4.0] * 7 + [-3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    good = [(i, np.floor(256 * np.array(v, dtype=np.float32).astype(np.float64)).astype(np.int64)) for i, v in rows]
+    for k in (5, 30):
+        want = []
+        for q in range(0, 300, 50):
+            best = sorted((-int(v @ w), j) for i, v in good if i == q for j, w in good if j != q)[:k]
+            want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        got = topk.top_k(df, k=k, pivots=6, annuli=5, block=64).select("query_id", "rank", "vec_id", "score")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_op4_rules(spark, empty):
     cases = {
         "http://a.net/x?q": ("a.net", "/x", "net/", "block"),
