@@ -468,7 +468,8 @@ def paired_delta(spark, d):
 
 @query("bootstrap_interval")
 def bootstrap_interval(spark, d):
-    return rounded(metrics.bootstrap_ci(metrics.rank_metrics(_sampled(spark, d)), "pearson"), "estimate", "low", "high")
+    per = B.scored(spark, d).groupBy("grp").agg(metrics.safe_corr("label", "prediction").alias("pearson"))
+    return rounded(metrics.bootstrap_ci(per, "pearson"), "estimate", "low", "high")
 
 
 @query("bootstrap_mae")
@@ -479,7 +480,7 @@ def bootstrap_mae(spark, d):
 
 @query("permutation_null")
 def permutation_null(spark, d):
-    return rounded(metrics.permutation_null(_sampled(spark, d)), "observed", "mean", "low", "high", "max", "p")
+    return rounded(metrics.permutation_null(B.scored(spark, d)), "observed", "mean", "low", "high", "max", "p")
 
 
 @query("metric_gates", f"{_TIE_AWARE}, s AS (SELECT avg(pearson) AS p, avg(top1) AS t, avg(1 / size) AS c FROM found) SELECT unnest(['correlates', 'beats_chance', 'all']) AS gate, unnest([p > 0.5, t > c, p > 0.5 AND t > c]) AS passed FROM s")

@@ -3,9 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from cohortal.plans import bindings
 from cohortal.plans import queries as own
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,3 +41,15 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_has_a_query():
     assert set(own.SQL) <= set(own.QUERIES) and len(own.SQL) >= 90
+
+
+@pytest.mark.parametrize(("name", "column"), [("bootstrap_interval", "estimate"), ("permutation_null", "observed")])
+def test_resampling_takes_whole_groups(spark, sf_dir, name, column):
+    """sf0.01 has groups of more than ten customers."""
+    d = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+    groups = {}
+    for r in bindings.scored(spark, d).collect():
+        groups.setdefault(r["grp"], []).append((r["label"], r["prediction"]))
+    assert max(map(len, groups.values())) > 10 and min(map(len, groups.values())) > 1
+    want = np.mean([np.corrcoef(np.array(g).T)[0, 1] for g in groups.values()])
+    assert abs(own.QUERIES[name](spark, d).first()[column] - want) < 1e-5
