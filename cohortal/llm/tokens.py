@@ -11,8 +11,8 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,90 +27,208 @@ MAX_BITS = 16
 BLOCK = 256  # ids between two checkpoints
 SEGMENT_IDS = 1 << 18  # a segment is closed when it has as many ids
 PART_TOKENS = 8_000_000  # ids in a range partition, on average
-CACHE_PIECES = 450_000  # in each of the cache's two generations
+CACHE_PIECES = 1 << 20  # different pieces that a worker keeps
 MOST_IDS = 1 << 20  # the largest vocabulary whose counts and lengths go to the driver
 VOCABULARY = "byte_bpe_50k.json"
 
-# A byte-level BPE token holds a space only as its first character, or is white space alone. So a text may be cut
-# before any space whose next character is not white space, and each cut piece encodes on its own. Texts
-# in which every space is of that kind (next comes a printable Latin character) are cut at all spaces;
-# others go to the library whole.
-ODD_SPACE = re.compile("[ ](?![!-~\u00a1-\u024f])")
-LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)))))
+# Byte-level BPE first splits a text by a pattern: runs of letters, of digits, of other marks, each with a space before
+# it, and white space. A text is cut where the pattern ends a token whatever else the text holds, and each cut
+# piece encodes on its own:
+# - before a space whose next character is surely no white space;
+# - before and after a line feed between two such characters;
+# - between letters, digits and marks of ASCII and Latin, but not after an apostrophe (contractions).
+# Nothing is cut inside or beside other scripts; there a piece lies between two such spaces.
+LETTER, DIGIT, MARK = 1, 2, 3
+_KIND = np.zeros(256, dtype=np.uint8)  # of ASCII, and of the first byte of U+00C0 to U+023F
+_KIND[[*range(65, 91), *range(97, 123), *range(0xC3, 0xC9)]] = LETTER
+_KIND[48:58] = DIGIT
+_KIND[[c for c in range(33, 127) if not _KIND[c]]] = MARK
+_KINDS = _KIND.tobytes()
+_SOLID = bytes(c in range(33, 127) or c in range(0xC3, 0xE1) or c in range(0xE4, 0xF5) for c in range(256))  # first bytes of characters that are no white space
+KEY_BYTES = 16  # of a piece that the table of pieces can hold
+# the byte alphabet of such models: printable characters of Latin-1 stand for themselves, the others for those from U+0100 on
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = np.arange(256, dtype="<u2")
+_ALPHABET[sorted(set(range(256)) - _PRINTABLE)] = 256 + np.arange(256 - len(_PRINTABLE))
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # masks of the first bytes of a little-endian word
 SLICE_BYTES = 6 << 20
 
 
+def cuts(text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in UTF-8 text at which pieces begin, and whether each piece is one token of the pattern: a run of
+    one kind, a space before it or not. starts are those of the documents, which are cut anyway."""
+    n = len(text)
+    if not n:
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
+    raw, kind = np.frombuffer(text, dtype=np.uint8), np.frombuffer(bytearray(text.translate(_KINDS)), dtype=np.uint8)
+    solid = np.frombuffer(text.translate(_SOLID), dtype=bool)
+    lead = np.flatnonzero((raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC8))
+    after = raw[lead + 1]
+    kind[lead + 1] = LETTER
+    sign = lead[(raw[lead] == 0xC3) & ((after == 0x97) | (after == 0xB7))]  # the signs of multiplication and division
+    kind[sign] = kind[sign + 1] = 0
+    out = np.zeros(n + 1, dtype=bool)
+    out[: n - 1] = (raw[:-1] == 32) & solid[1:]
+    line = np.flatnonzero(raw[1:-1] == 10) + 1
+    line = line[(kind[line - 1] > 0) & solid[line + 1]]
+    out[line] = out[line + 1] = True
+    left, right = kind[:-1], kind[1:]
+    out[1:n] |= (left != right) & (left > 0) & (right > 0) & (raw[:-1] != 39)
+    out[starts[starts < n]] = True
+    out[n] = False
+    start = np.flatnonzero(out)
+    other = np.cumsum((kind == 0) | (raw == 39), dtype=np.int32)  # up to each byte, itself included
+    last = np.append(start[1:], n) - 1
+    first = raw[start]
+    return start, (other[last] == other[start]) & ((first == 32) & (last > start) | (kind[start] > 0) & (first != 39))
+
+
+class PieceTable:
+    """An open-addressed table from pieces of at most KEY_BYTES bytes to numbers; whole batches are looked up and put at once."""
+
+    def __init__(self, most: int):
+        self.bits = max(4, (2 * most - 1).bit_length())
+        self.low, self.high = (np.zeros(1 << self.bits, dtype=np.uint64) for _ in range(2))
+        self.value = np.full(1 << self.bits, -1, dtype=np.int32)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) + (high ^ np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+        return (((h ^ (h >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 where it has none."""
+        out = np.full(len(low), -1, dtype=np.int32)
+        at, rest = self._slot(low, high), None
+        while len(at):
+            found = self.value[at]
+            mine = (self.low[at] == low) & (self.high[at] == high) & (found >= 0)
+            if rest is None:
+                out = np.where(mine, found, -1)
+            else:
+                out[rest[mine]] = found[mine]
+            more = np.flatnonzero(~mine & (found >= 0))
+            rest = more if rest is None else rest[more]
+            at, low, high = (at[more] + 1) & ((1 << self.bits) - 1), low[more], high[more]
+        return out
+
+    def put(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> None:
+        """Enters pieces that are all different and not there yet."""
+        at = self._slot(low, high)
+        while len(at):
+            free = np.flatnonzero(self.value[at] < 0)
+            won = free[np.unique(at[free], return_index=True)[1]]
+            self.low[at[won]], self.high[at[won]], self.value[at[won]] = low[won], high[won], value[won]
+            lost = np.ones(len(at), dtype=bool)
+            lost[won] = False
+            at, low, high, value = (at[lost] + 1) & ((1 << self.bits) - 1), low[lost], high[lost], value[lost]
+
+
 class Encoder:
-    """Token ids of texts, by the tokenizers library; pieces seen before come from a bounded cache."""
+    """Token ids of texts, by the tokenizers library; pieces seen before come from a bounded table."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        vocab = self.tool.get_vocab(with_added_tokens=True)
+        self.model = self.tool.model
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
-        self.bytes_of = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # of each id: a character of the byte alphabet is a byte
-        for token, k in vocab.items():
-            self.bytes_of[k] = len(token)
-        self.kind = id_type(max(vocab.values()))
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # the generation before; what is used again moves up
-        self.marks = {mark: self.plain(mark) for mark in ",."}
+        self.kind = id_type(max(self.tool.get_vocab(with_added_tokens=True).values()))
+        self.most = most
+        self._forget(most)
+
+    def _forget(self, room: int) -> None:
+        self.room, self.table, self.held = room, PieceTable(room), 0
+        self.n, self.at = (np.zeros(room, dtype=np.int32) for _ in range(2))  # ids of a piece, and where they begin
+        self.pool, self.filled = np.zeros(4 * room, dtype=self.kind), 0
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tool.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces that follow a space; they are encoded together, each with its space, and cut by bytes."""
-        for k in range(0, len(pieces), 1000):
-            part = pieces[k : k + 1000]
-            ids = np.array(self.tool.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
-            size = np.cumsum([len(p.encode()) + 1 for p in part])
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), size, side="left") + 1
-            data, start, wide = ids.tobytes(), 0, ids.itemsize
-            for p, end in zip(part, ends.tolist(), strict=True):
-                self.cache[p] = data[wide * start : wide * end]
-                start = end
+        return np.array(self._ids([text])[0], dtype=self.kind).tobytes()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, low: np.ndarray, high: np.ndarray, ids: list[list[int]]) -> None:
+        """Keeps the ids of different pieces; the caller has seen that there is room."""
+        size = np.array([len(x) for x in ids], dtype=np.int64)
+        need = self.filled + int(size.sum())
+        if need > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(need - len(self.pool), len(self.pool) // 2), dtype=self.kind)))
+        self.pool[self.filled : need] = np.fromiter(chain.from_iterable(ids), dtype=self.kind, count=need - self.filled)
+        now = slice(self.held, self.held + len(ids))
+        self.n[now], self.at[now] = size, self.filled + np.cumsum(size) - size
+        self.table.put(low, high, np.arange(now.start, now.stop, dtype=np.int32))
+        self.held, self.filled = now.stop, need
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text, little-endian, as wide as the vocabulary asks for; a null counts as empty."""
-        plain, first, rest = {}, [], []
-        for k, text in enumerate(texts.to_pylist()):
-            text = text or ""
-            if ODD_SPACE.search(text) or any(s in text for s in self.special):
-                plain[k], text = self.plain(text), ""
-            head, _, tail = text.partition(" ")
-            first.append(head)
-            rest.append(tail or None)
-        wide = np.dtype(self.kind).itemsize
-        heads = [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tool.encode_batch_fast(first, add_special_tokens=False)]
-        pieces = pc.split_pattern(pa.array(rest, pa.large_string()), " ")
-        coded = pieces.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.cache) > CACHE_PIECES:
-            self.old, self.cache = self.cache, {}
-        # a comma or full stop after a letter is a token of its own
-        stem = [p[:-1] if p[-1:] in self.marks and p[-2:-1] in LETTERS else p for p in distinct]
-        missing = {p for p in stem if p not in self.cache}
-        self.cache |= {p: self.old[p] for p in missing if p in self.old}
-        self._learn([p for p in missing if p not in self.cache])
-        found = [self.cache[s] if len(s) == len(p) else self.cache[s] + self.marks[p[-1]] for s, p in zip(stem, distinct, strict=True)]
-        n = np.array([len(x) for x in found], dtype=np.int32) // wide  # a slice has fewer than 2**31 ids
-        pool = np.frombuffer(b"".join(found), dtype=self.kind)
-        at = coded.indices.to_numpy()
-        length, begin = n[at], (np.cumsum(n, dtype=np.int32) - n)[at]
+        texts = pc.fill_null(texts, "").cast(pa.large_binary())
+        offset = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        text = texts.buffers()[2][offset[0] : offset[-1]].to_pybytes() if offset[-1] > offset[0] else b""
+        whole = np.zeros(len(texts), dtype=bool)
+        for mark in ("\0", *self.special):  # keys end in zero bytes
+            if mark.encode() in text:
+                whole |= pc.match_substring(texts, mark.encode()).to_numpy(zero_copy_only=False)
+        edge = offset - offset[0]
+        start, simple = cuts(text, edge[:-1])
+        size = np.diff(np.append(start, len(text)))
+        raw = np.frombuffer(text + bytes(KEY_BYTES), dtype=np.uint8)
+        wide = np.ndarray((len(text) + 9,), "<u8", raw, 0, (1,))
+        low = wide[start] & _HEAD[np.minimum(size, 8)]
+        high = wide[np.minimum(start + 8, len(text))] & _HEAD[np.clip(size - 8, 0, 8)]
+        short = size <= KEY_BYTES
+        if len(wholes := np.flatnonzero(whole)):
+            short &= ~whole[np.searchsorted(edge, start, side="right") - 1]
+        place = np.flatnonzero(short)
+        full = len(place) == len(start)
+        low, high = (low, high) if full else (low[place], high[place])
+        number = self.table.get(low, high)
+        lost = np.flatnonzero(number < 0)
+        if len(lost):
+            new = _first_of_each(low[lost], high[lost])
+            if self.held + len(new) > self.room:  # a new table begins with the pieces of this slice
+                lost, new = np.arange(len(number)), _first_of_each(low, high)
+                self._forget(max(self.most, len(new)))
+            first = lost[new]
+            # a token of the pattern goes to the model at once, in the byte alphabet; other pieces to the tokenizer
+            tokenize, alphabet = self.model.tokenize, _ALPHABET[raw].tobytes().decode("utf-16-le")
+            for one in (True, False):
+                some = first[simple[place[first]] == one]
+                for k in range(0, len(some), 20_000):
+                    at = some[k : k + 20_000]
+                    begin = start[place[at]]
+                    spans = zip(begin.tolist(), (begin + size[place[at]]).tolist(), strict=True)
+                    ids = [[t.id for t in tokenize(alphabet[a:b])] for a, b in spans] if one else self._ids([text[a:b].decode() for a, b in spans])
+                    self._learn(low[at], high[at], ids)
+            number[lost] = self.table.get(low[lost], high[lost])
+        length, begin = (np.zeros(len(start), dtype=np.int32) for _ in range(2))  # a slice has fewer than 2**31 ids
+        length[place], begin[place] = self.n[number], self.at[number]
+        pool = self.pool
+        long = np.flatnonzero(size > KEY_BYTES)
+        if len(wholes):
+            long = long[~whole[np.searchsorted(edge, start[long], side="right") - 1]]
+        if len(long):
+            ids = self._ids([text[a : a + n].decode() for a, n in zip(start[long].tolist(), size[long].tolist(), strict=True)])
+            length[long] = [len(x) for x in ids]
+            begin[long] = self.filled + np.cumsum(length[long]) - length[long]
+            pool = np.concatenate((self.pool[: self.filled], np.fromiter(chain.from_iterable(ids), dtype=self.kind)))
         stop = np.cumsum(length, dtype=np.int32)
         ids = pool[np.arange(stop[-1] if len(stop) else 0, dtype=np.int32) + np.repeat(begin - (stop - length), length)].tobytes()
-        many = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy()
-        ends = np.concatenate(([0], stop))[np.cumsum(many)].tolist() if len(texts) else []
-        out, start = [], 0
-        for k, end in enumerate(ends):
-            out.append(plain[k] if k in plain else heads[k] + ids[wide * start : wide * end])
-            start = end
+        width = np.dtype(self.kind).itemsize
+        ends = (np.concatenate(([0], stop))[np.searchsorted(start, edge)] * width).tolist()
+        out = [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for k in wholes.tolist():
+            out[k] = self.plain(texts[k].as_py().decode())
         return out
 
 
+def _first_of_each(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where each different pair stands first in the order of the pairs."""
+    order = np.lexsort((high, low))
+    a, b = low[order], high[order]
+    return order[np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(order)]]
+
+
 def id_type(most: int) -> str:
     """The numpy type of ids up to `most`."""
     return "<u2" if most < 1 << 16 else "<u4"

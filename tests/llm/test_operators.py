@@ -323,6 +323,19 @@ def test_op7_pieces_encode_as_wholes():
     assert tool.encode(pa.array(texts, pa.string())) == [tool.plain(t or "") for t in texts]
 
 
+def test_op7_pieces_of_odd_texts_with_a_small_table():
+    import pyarrow as pa
+
+    tool = tokens.Encoder(tokens.tokenizer_path(), most=400)
+    rnd = random.Random(5)
+    atoms = [*" \n\t\r'.,!&#-_0123456789abcXYZ", "'s", "'re", "n't", "  ", "\n\n", " \n", "\n ", *"é×÷ñŁȿʼ²ªд日😀ƻ…—\u0301\u1680\u2028\u3000\u00a0\x85\x1c", "слово", "<|endoftext|>", "\0", " the", " word", " a-very-long-word-of-many-letters"]
+    for _ in range(30):
+        texts = ["".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 60))) for _ in range(60)] + [None, "", "x" * 5000, "ab " * 50]
+        assert tool.encode(pa.array(texts, pa.string()).slice(1)) == [tool.plain(t or "") for t in texts[1:]]
+    many = " ".join(f"{a}{b}{c}" for a in "abcdefghij" for b in "abcdefghij" for c in "abcdefghij")  # more pieces than the table has room for
+    assert tool.encode(pa.array([many])) == [tool.plain(many)]
+
+
 def test_op7_code():
     rnd = np.random.default_rng(6)
     for counts in (np.array([0, 5]), np.array([1, 1]), 2 ** np.arange(30), rnd.integers(0, 1000, 5000), np.bincount(rnd.zipf(1.3, 20000) % 40000)):
