@@ -7,15 +7,18 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is set (tests)."""
+    """The shared folder named by the session; a local one only where none is set and the master is local (tests)."""
     found = spark.conf.get(CHECKPOINT_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
@@ -41,10 +44,24 @@ class Scratch:
         self.release(wait)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def numbered(self, df: DataFrame, keys: list[str], name: str, number: str) -> DataFrame:
+        """df, written as a table, with the place (from 0) of each row among the rows of its keys.
+
+        Rows are counted file by file, and files of one key add up: no task holds a whole key. Keys are not null.
+        """
+        self.table(df, name)
+        rows = self.spark.read.schema(df.schema).parquet(self.path(name)).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        files = rows.groupBy("_file", *keys).agg(F.count("*").alias("_many"))
+        before = F.sum("_many").over(Window.partitionBy(*keys).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+        files = files.select("_file", *keys, F.coalesce(before, F.lit(0)).alias("_before"))
+        own = F.row_number().over(Window.partitionBy("_file", *keys).orderBy("_at")) - 1
+        return rows.withColumn(number, own).join(files.hint("merge"), ["_file", *keys]).withColumn(number, F.col(number) + F.col("_before")).drop("_file", "_at", "_before")
+
+    def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self, wait: bool = False) -> None:
         """Spark's cleaner removes the shuffle files of plans that nothing refers to any more."""

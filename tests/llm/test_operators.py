@@ -233,10 +233,28 @@ def test_op5_mix_rows(spark, docs, empty):
     out = mixing.mix(docs).collect()
     assert set(out[0].asDict()) == set(docs.columns)
     rows = mixing.plan(docs, Scratch(spark, "t")).collect()
-    assert abs(sum(len(WORD.findall(r["text"])) for r in out) - sum(r["taken"] for r in rows)) <= 200
+    assert sum(len(WORD.findall(r["text"])) for r in out) == sum(r["taken"] for r in rows)
     assert mixing.mix(empty).count() == 0
 
 
+def test_op5_mix_takes_the_target_of_repeated_rows(spark):
+    rows = [(k, " ".join(f"w{k}x{i}" for i in range(n)), "only", 7) for k, n in enumerate((20, 37, 63))] * 20
+    twenty = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_key int").repartition(7)
+    plan = mixing.plan(twenty, Scratch(spark, "t")).collect()
+    out = mixing.mix(twenty).collect()
+    assert len(plan) == 60 and sum(r["taken"] for r in plan) == 3600
+    assert sum(len(r["text"].split()) for r in out) == 3600 and {r["_mix_key"] for r in out} == {7}
+    assert all(r["text"] in {t for _, t, *_ in rows} or any(t.startswith(r["text"]) for _, t, *_ in rows) for r in out)
+
+
+def test_op5_tree_places_every_copy(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 60)
+    rows = mixing.plan(docs, Scratch(spark, "t"), shards=4).collect()
+    assert all(len(r["shards"]) == r["passes"] + (r["part"] > 0) and set(r["shards"]) <= set(range(4)) for r in rows)
+    words = [sum(r["size"] if i < r["passes"] else r["part"] for r in rows for i, s in enumerate(r["shards"]) if s == j) for j in range(4)]
+    assert sum(words) == sum(r["taken"] for r in rows) and min(words) > 0
+
+
 def shingles(text):
     w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in WORD.findall(text or "")]
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
