@@ -1,11 +1,11 @@
 """Operator 2, substring dedup: words covered by a window that also stands in an earlier document are removed.
 
-Window lengths double: GRAM words, then twice that and so on, the last step cut at the length asked for
-(7, 13 by default: a window of 13 is covered by two of 7, which share a word; 3, 6, 12, 13 would do as well). At
-the first length a document contributes its anchors: of the GRAM-word windows inside each full window the
-one of least hash. Equal full windows have equal anchors, so a window can only repeat if its anchor stands in two
-documents. Only windows whose anchors repeat are looked at at the next length, and only those that
-repeat there at the length after it.
+Window lengths double: GRAM words, then twice that and so on, the last doubling cut at the length asked for (4, 8, 13 by
+default; 3, 6, 12, 13 gives the same result): a window of a length is looked at only where the windows of the length
+before at its two ends repeat, until none is left or the length asked for is reached. At the first length a
+document contributes its anchors: of the GRAM-word windows inside each full window the one of least hash. Equal
+full windows have equal anchors, so a window can only repeat if its anchor stands in two documents. Only windows
+whose anchors repeat are looked at at the next length, and only those that repeat there at the length after it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from cohortal.llm.scratch import Scratch
 from cohortal.llm.words import window_hashes, word_hashes
 
 WINDOW = 13
-GRAM = 7
+GRAM = 4
 TAG = 0x7FFFFFFF
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -67,10 +67,13 @@ def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("text", "owner").mapInArrow(run, "gram long, owner long, place int")
 
 
-def repeated(rows: DataFrame, keys: list[str], earlier_only: bool) -> DataFrame:
-    """(owner, places array<int>): where windows of an owner also stand in another (an earlier) one."""
+def repeated(rows: DataFrame, keys: list[str], earlier_only: bool, scratch: Scratch, name: str) -> DataFrame:
+    """(owner, places array<int>): where windows of an owner also stand in another (an earlier) one.
+
+    The repeated windows are written out: Spark can then split the join where one window stands in very many rows.
+    """
     ends = rows.groupBy(*keys).agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low < high")
-    found = rows.join(ends.hint("merge"), keys)
+    found = rows.join(scratch.table(ends, name, wait=True).hint("merge"), keys)
     if earlier_only:
         found = found.where("owner > low")
     return found.groupBy("owner").agg(F.collect_set("place").alias("places"))  # bounded by one document's words
@@ -142,7 +145,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     A text that an earlier document has whole loses all its windows; of each such text only its first document goes
     through the ladder. A null text has no words, and the sha-256 of nothing. Windows of rows with a null
     doc_id are neither removed nor a reason to remove. Rows that repeat a doc_id are no earlier than each
-    other: they only lose what an earlier document has. An empty table gives an empty one. Other columns are not read.
+    other: they only lose what an earlier document has. A text of any length is looked at whole; fewer words than
+    `window` make no window. An empty table gives an empty one. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -152,8 +156,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     marks = scratch.table(texts.join(firsts.hint("merge"), ["sha", "text_hash"]).select("doc_id", "text_hash", (F.col("doc_id") > F.col("first")).alias("copy")), "marks")
     # anchors that stand in two different texts; a text is its own owner here, however many documents have it
     rows = scratch.table(anchor_rows(some.select("text", F.xxhash64("text").alias("owner")), window, gram), "anchors")
-    found = scratch.table(repeated(rows, ["gram"], False), "places-of-texts", wait=True)
-    scratch.drop("anchors")
+    found = scratch.table(repeated(rows, ["gram"], False, scratch, "grams"), "places-of-texts", wait=True)
+    scratch.drop("anchors", "grams")
     firsts = marks.where("not copy").select("doc_id", F.col("text_hash").alias("owner"))
     places = scratch.table(found.join(firsts.hint("merge"), "owner").select(F.col("doc_id").alias("at_id"), F.col("owner").alias("at_hash"), "places"), "places")
     own = (F.col("doc_id") == F.col("at_id")) & (F.xxhash64("text") == F.col("at_hash"))
@@ -161,13 +165,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         found = candidate_rows(some.join(places.hint("shuffle_hash"), own).select("text", F.col("doc_id").alias("owner"), "places", F.col("at_hash").bitwiseAND(TAG).alias("tag")), window, gram, length, k == 0)
         rows = scratch.table(found, f"windows-{length}", wait=True)
         del found
-        starts = scratch.table(repeated(rows, ["h1", "h2"], length == window), f"starts-{length}", wait=True)
-        scratch.drop(f"windows-{length}")
+        starts = scratch.table(repeated(rows, ["h1", "h2"], length == window, scratch, f"repeats-{length}"), f"starts-{length}", wait=True)
+        scratch.drop(f"windows-{length}", f"repeats-{length}")
         hashes = firsts.select(F.col("doc_id").alias("at_id"), F.col("owner").alias("at_hash"))
         of_text = F.filter("places", lambda x: F.shiftright(x, 32) == F.col("at_hash").bitwiseAND(TAG))
         places = starts.join(hashes.hint("merge"), F.col("owner") == F.col("at_id")).select("at_id", "at_hash", F.transform(of_text, lambda x: x.bitwiseAND(0xFFFFFFFF).cast("int")).alias("places"))
     copies = marks.where("copy").select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("copy"))
     verdicts = scratch.table(places.withColumn("copy", F.lit(False)).unionByName(copies), "verdicts")
+    scratch.drop("texts", "marks", "places-of-texts", "places", *(f"starts-{length}" for length in ladder(gram, window)))
     return remove_rows(docs.join(verdicts.hint("shuffle_hash"), own, "left").withColumn("copy", F.coalesce("copy", F.lit(False))), window)
 
 
