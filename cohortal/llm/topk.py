@@ -25,10 +25,12 @@ from cohortal.llm.scratch import Scratch
 
 K = 5
 SCALE = 256
-PIVOTS = 32
+PIVOTS, MOST_PIVOTS = 32, 1024  # a root of the number of vectors between them
 ANNULI = 16
-BLOCK = 2048  # vectors in a block of the index, on average
+BLOCK, MOST_BLOCK = 2048, 16_384  # vectors in a block of the index, on average; larger for more vectors, as queries go to each block
 QUERY_BLOCK = 256
+EXACT = 2.0**53  # below it products of vectors are exact in floating point, whatever the order of addition
+LARGEST = 2.0**62  # squared norm; beyond it scores would leave 64 bits
 SLACK = 1e-6  # relative; distances are floating point, a cell at the bound is kept
 OUT = "query_id long, vec_id long, score long, copies long"
 
@@ -40,9 +42,17 @@ def integer_vectors(table: DataFrame, scale: int = SCALE) -> DataFrame:
     return table.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda a: F.floor(F.lit(scale) * a)).alias("v"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy().astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+def _matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    """Rows of equal length, one at least."""
+    flat = column.flatten().to_numpy().astype(kind)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+def products(q: np.ndarray, v: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products of whole numbers as 64-bit integers; exact: norms allow floating point without an error."""
+    if exact:
+        return np.rint(q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
+    return q @ v.T
 
 
 def _distances(rows: np.ndarray, tail: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -55,12 +65,22 @@ def _distances(rows: np.ndarray, tail: np.ndarray, pivots: np.ndarray) -> np.nda
 class Index:
     """The pivots, the annuli, and the blocks as a scratch table."""
 
-    def __init__(self, vectors: DataFrame, scratch: Scratch, pivots: int = PIVOTS, annuli: int = ANNULI, block: int = BLOCK):
+    def __init__(self, vectors: DataFrame, scratch: Scratch, pivots: int | None = None, annuli: int = ANNULI, block: int | None = None):
         self.scratch, spark = scratch, scratch.spark
-        rows = scratch.table(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies")), "vectors")
-        square = F.aggregate("v", F.lit(0).cast("long"), lambda a, b: a + b * b)
-        top = rows.agg(F.max(square)).first()[0]
+        rows = scratch.table(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies")), "distinct")
+        square = F.aggregate("v", F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double"))
+        top, width, n = rows.agg(F.max(square), F.max(F.size("v")), F.count("*")).first()
         self.most = float(top or 0)
+        if self.most >= LARGEST:
+            raise ValueError("a vector's squared norm reaches 2**62; scores would leave 64 bits")
+        self.exact = self.most < EXACT
+        pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, round(n**0.5 / 8)))
+        block = block or min(MOST_BLOCK, max(BLOCK, n // 4096))
+        # shorter vectors are filled up with zeros, which add nothing to a score
+        longest = max(1, width or 0)
+        filled = F.when(F.size("v") < longest, F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(longest) - F.size("v")))).otherwise(F.col("v"))
+        rows = scratch.table(rows.withColumn("v", filled), "vectors")
+        scratch.drop("distinct")
         # a bounded sample in the order of a hash
         sample = [r["v"] for r in rows.orderBy(F.xxhash64("v"), "vec_id").limit(pivots).select("v").collect()]
         if not sample:
@@ -96,7 +116,7 @@ class Index:
 
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
     ids = table.column("vec_id").combine_chunks().to_numpy()
-    m = _matrix(table.column("v").combine_chunks()).astype(np.int64)
+    m = _matrix(table.column("v").combine_chunks(), np.int64)
     copies = table.column("copies").combine_chunks().to_numpy()
     order = np.argsort(ids, kind="stable")
     row = [pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([x[order].astype(np.int64).tobytes()], pa.binary()) for x in (ids, m, copies)]
@@ -122,15 +142,15 @@ def _best(qid: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[
     return qid[r], ids[c], score[r, c], r, c
 
 
-def _join_blocks(wanted: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+def _join_blocks(wanted: DataFrame, blocks: DataFrame, k: int, exact: bool) -> DataFrame:
     """OUT: the k best of every (query block, index block) pair; one pair is in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 qid, q, asked, ids, v, times = (np.frombuffer(batch.column(c)[row].as_py(), dtype=np.int64) for c in range(6))
-                score = q.reshape(len(qid), -1).astype(np.float64) @ v.reshape(len(ids), -1).astype(np.float64).T  # exact below 2**53
-                *found, r, c = _best(qid, ids, np.rint(score).astype(np.int64), k)
+                score = products(q.reshape(len(qid), -1), v.reshape(len(ids), -1), exact)
+                *found, r, c = _best(qid, ids, score, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*found, asked[r] * times[c])], names=["query_id", "vec_id", "score", "copies"])
 
     joined = wanted.join(blocks.hint("shuffle_hash"), ["pivot", "annulus", "part"]).select("qid", "q", "asked", "ids", "vectors", "times")
@@ -193,7 +213,7 @@ def search(queries: DataFrame, index: Index, k: int = K) -> DataFrame:
     found, parts, steps = None, packed.select("qid", "q", "asked"), (0, 2, 8, None)
     for step in range(len(steps) - 1):
         wanted = expand(parts, step > 0, steps[step], steps[step + 1])
-        more = _join_blocks(wanted, index.blocks, k)
+        more = _join_blocks(wanted, index.blocks, k, index.exact)
         found = scratch.table(_rank(more if found is None else more.unionByName(found.select("query_id", "vec_id", "score", "copies")), k), f"found-{step}")
         kth = found.where(F.col("before") + F.col("copies") >= k).select("query_id", "score")
         parts = _with_bounds(packed, kth)
@@ -225,7 +245,7 @@ def _with_bounds(packed: DataFrame, kth: DataFrame) -> DataFrame:
 
 def _pack_queries(key: tuple, table: pa.Table) -> pa.Table:
     ids = table.column("vec_id").combine_chunks().to_numpy().astype(np.int64)
-    m = _matrix(table.column("v").combine_chunks()).astype(np.int64)
+    m = _matrix(table.column("v").combine_chunks(), np.int64)
     copies = table.column("copies").combine_chunks().to_numpy().astype(np.int64)
     return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([0], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, m, copies))], names=["group", "pivot", "annulus", "qid", "q", "asked"])
 
@@ -234,9 +254,10 @@ def top_k(table: DataFrame, every: int = 50, k: int = K, **index) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of table(vec_id, embedding) whose id `every` divides, its k best.
 
     Candidates are all rows but those of the query's own id; fewer than k give all. Rows with a null id or vector, or
-    with a null or non-finite component, take no part; vectors must have one length. Equal scores go by the
-    smaller id; a row that repeats another has a rank of its own, and so has each answer to a query that is repeated. An empty table gives an empty one. Other columns are not
-    read. Scores are exact integers.
+    with a null or non-finite component, take no part. Vectors of unlike length count as filled up with zeros, an empty
+    one as zero. Equal scores go by the smaller id; a row that repeats another has a rank of its own, and so has
+    each answer to a query that is repeated. An empty table gives an empty one. Other columns, long texts
+    among them, are not read. Scores are exact integers; where a squared norm reaches 2**62 a ValueError is raised.
     """
     spark = table.sparkSession
     scratch = Scratch(spark, "topk")
