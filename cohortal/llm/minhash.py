@@ -167,7 +167,10 @@ def across_components(open_: DataFrame, sets: DataFrame, percent: int = SIMILAR)
     kind = "pivot long, part int, reps binary, comps binary, sizes binary, shingles binary"
     members = held.select("pivot", part("all", MEMBERS), "rep", "comp", "shingles").groupBy("pivot", "part").applyInArrow(_pack, kind)
     minors = held.where("comp <> main").select("pivot", part("minor", MINORS), "rep", "comp", "shingles").groupBy("pivot", "part").applyInArrow(_pack, kind)
-    minors = minors.select("pivot", *(F.col(c).alias(f"x_{c}") for c in ("reps", "comps", "sizes", "shingles")))
+    # each block goes to every block of members of its pivot, and each of those is a key of its own
+    parts = F.explode(F.sequence(F.lit(0), F.ceil(F.col("all") / MEMBERS).cast("int") - 1))
+    wide = open_.select("pivot", "all").distinct().select("pivot", parts.alias("part"))
+    minors = minors.select("pivot", *(F.col(c).alias(f"x_{c}") for c in ("reps", "comps", "sizes", "shingles"))).join(wide.hint("merge"), "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +179,7 @@ def across_components(open_: DataFrame, sets: DataFrame, percent: int = SIMILAR)
                 a, b = block_links(tuple(v[:4]), tuple(v[4:]), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    joined = members.join(minors.hint("merge"), "pivot").select("x_reps", "x_comps", "x_sizes", "x_shingles", "reps", "comps", "sizes", "shingles")
+    joined = members.join(minors.hint("merge"), ["pivot", "part"]).select("x_reps", "x_comps", "x_sizes", "x_shingles", "reps", "comps", "sizes", "shingles")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -190,8 +193,8 @@ def near_components(docs: DataFrame, scratch: Scratch, percent: int = SIMILAR) -
     Documents are linked whose sets have a Jaccard similarity of `percent` or more.
     component_id is the smallest doc_id that links reach, the document's own included. A null text, or one
     without words, has 0 shingles and is linked with nothing. Rows that repeat a doc_id are one
-    document. A row with a null doc_id takes no part: its component_id is null and it is kept. An empty table gives an
-    empty one. Other columns are not read.
+    document. A row with a null doc_id takes no part: its component_id is null and it is kept. A text of any length counts
+    whole. An empty table gives an empty one. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     prints = scratch.table(signatures(docs, banding(percent)), "signatures")
@@ -212,17 +215,22 @@ def near_components(docs: DataFrame, scratch: Scratch, percent: int = SIMILAR) -
     placed = scratch.table(placed.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("pivot", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "placed")
     per = placed.groupBy("pivot", "comp").agg(F.count("*").alias("many"))
     split = per.groupBy("pivot").agg(F.count("*").alias("comps"), F.sum("many").alias("all"), F.max("many").alias("most"), F.max_by("comp", F.struct("many", "comp")).alias("main")).where("comps > 1")
+    split = scratch.table(split, "split")  # written out, so that Spark can split the join where a pivot has very many rows
     open_ = scratch.table(placed.join(split.hint("merge"), "pivot").select("pivot", "rep", "comp", "main", "all", (F.col("all") - F.col("most")).alias("minor")), "open")
     links = scratch.table(links.union(across_components(open_, sets, percent)), "links-2")
     alike = known.join(classes.select("print", "rep").hint("merge"), "print").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.union(alike), scratch, "cc-2")
+    scratch.drop("classes", "shared", "members", "pairs-1", "sets", "links-1", "placed", "split", "open", "links-2")
     own = prints.select("doc_id", F.col("n").alias("n_shingles"))
     out = own.join(final.hint("merge"), own["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = SIMILAR) -> DataFrame:
-    """The rows of docs, with all their columns, but for the documents that are not the first of their component."""
+    """The rows of docs, with all their columns, but for the documents that are not the first of their component.
+
+    Rows with a null doc_id, and those without words, stay; so do all rows of a kept doc_id. An empty table stays empty.
+    """
     found = near_components(docs, Scratch(docs.sparkSession, "near"), percent)
     gone = found.where("not kept").select(F.col("doc_id").alias("_near_id")).distinct()
     return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_near_id"], "left_anti")
