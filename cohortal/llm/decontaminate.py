@@ -69,6 +69,17 @@ def myers(mask: dict[str, int], length: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _joined(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of a text in order, overlapping ones as one: no character is verified twice."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Matcher:
     """All pieces of a block of items in one automaton."""
 
@@ -103,16 +114,10 @@ class Matcher:
         for k, spans in windows.items():
             item_id, known, edits, mask = self.items[k]
             best = (edits + 1, 0)
-            reach = -1
-            for a, b in sorted(spans):
-                if a < reach and b <= reach:
-                    continue
-                if doc[a + edits : a + edits + len(known)] == known:
-                    found = (0, len(known) + edits)
-                else:
-                    distance, end = myers(mask, len(known), doc[a:b])
-                    found = (distance, end)
-                best = min(best, (found[0], a + found[1]))
+            for a, b in _joined(spans):
+                at = doc.find(known, a, b)
+                distance, end = (0, at - a + len(known)) if at >= 0 else myers(mask, len(known), doc[a:b])
+                best = min(best, (distance, a + end))
                 if not best[0]:
                     break
             if best[0] <= edits:
@@ -120,11 +125,11 @@ class Matcher:
         return sorted(out)
 
 
-_ready: dict[int, Matcher] = {}
+_ready: dict[tuple, Matcher] = {}
 
 
 def _matcher(items: list[tuple[int, str]]) -> Matcher:
-    key = hash(tuple(items))
+    key = tuple(items)
     if key not in _ready:
         _ready.clear()
         _ready[key] = Matcher(items)
@@ -148,8 +153,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, end): each item that a passage of a row of docs(doc_id, text) comes from.
 
     distance is the least edit distance over the passages found, end where the first such one ends in the
-    normalized text. A null or empty text or item matches nothing; a null doc_id stays null; repeated rows
-    each report; an empty table gives an empty one. Other columns are not read.
+    normalized text. A null or empty text or item matches nothing; a text of any length is scanned whole; a null
+    doc_id stays null; repeated rows each report; an empty table gives an empty one. Other columns are not read.
     """
 
     def scan(items: list[tuple[int, str]]) -> DataFrame:
@@ -169,7 +174,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item is found; all columns stay. The decision is made in the scan itself."""
+    """The rows of docs in which no item is found; all columns stay. The decision is made in the scan itself.
+
+    A null or empty text holds no item and stays; repeated rows are judged alike; an empty table stays empty.
+    """
     columns, schema = docs.columns, docs.schema
     at = columns.index("text")
     out = docs
