@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortal.llm import decontaminate, language, minhash, mixing, secret_scan, sharding, substrings, tokens, topk, url_filter
 from cohortal.llm.components import components
@@ -112,7 +113,7 @@ def brute_repeats(rows, n=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("gram", [7, 3])
+@pytest.mark.parametrize("gram", [4, 7, 3])
 def test_op2_against_brute_force(spark, docs, empty, gram):
     found = sorted((tuple(r) for r in substrings.remove_repeats(docs, gram=gram).collect()), key=str)
     want = brute_repeats(documents())
@@ -162,6 +163,23 @@ def test_op3_repeated_rows(spark):
         assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_op3_odd_vectors_and_large_scores(spark):
+    rnd = random.Random(12)
+    rows = [(k, [rnd.uniform(-2e6, 2e6) for _ in range(12)]) for k in range(60)]  # products beyond 2**53
+    rows += [(100, []), (101, [3.0]), (102, [1e6] * 5), (103, None), (104, [None, 1.0]), (105, [float("nan")])]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    fine = {k: [math.floor(256 * x) for x in v] for k, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    assert set(got) == {k for k in fine if k % 50 == 0} == {0, 50, 100}
+    for q, found in got.items():
+        scores = sorted(((-sum(a * b for a, b in zip(fine[q], v, strict=False)), k) for k, v in fine.items() if k != q))[:5]
+        assert sorted(found) == [(i + 1, k, -s) for i, (s, k) in enumerate(scores)]
+    huge = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        topk.top_k(huge, every=50)
+
+
 def test_op4_rules(spark, empty):
     cases = {
         "http://a.net/x?q": ("a.net", "/x", "net/", "block"),
@@ -202,6 +220,49 @@ def test_op4_model_learns_held_out_urls(spark):
     assert sum((got[k] == "block") == bool(b) for k, (_, b) in enumerate(rows[400:])) > 190
 
 
+def test_op4_verdicts_against_plain_regression(spark, sf_dir):
+    """The whole method again in numpy: n-grams, training rounds and verdicts on every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    got = {r["page_id"]: r for r in url_filter.filter_pages(spark, sf_dir).collect()}
+
+    def parts(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), path
+
+    def found(url):
+        host, path = parts(url)
+        cells = []
+        for tag, text in (("h", "^" + host), ("p", path + "$")):
+            cells += [zlib.crc32((tag + text[k : k + 3]).encode()) % url_filter.BUCKETS for k in range(max(len(text) - 2, 1))]
+        return np.array(cells)
+
+    urls = {r["page_id"]: r["url"] for r in pages.collect()}
+    rows = [(r["url"], r["bad"]) for r in url_filter.labelled_by_rules(pages).collect()]
+    weights, bias = np.zeros(url_filter.BUCKETS), 0.0
+    if rows and 0 < sum(b for _, b in rows) < len(rows) <= url_filter.TRAIN_ROWS:
+        x = np.zeros((len(rows), url_filter.BUCKETS))
+        for k, (url, _) in enumerate(rows):
+            cells = found(url)
+            np.add.at(x[k], cells, 1 / math.sqrt(len(cells)))
+        y = np.array([b for _, b in rows], dtype=float)
+        for _ in range(url_filter.ROUNDS):
+            pull = y - 1 / (1 + np.exp(-(x @ weights + bias)))
+            weights = (weights + url_filter.RATE * (x.T @ pull) / len(rows)) * (1 - url_filter.DECAY)
+            bias += url_filter.RATE * pull.mean()
+    judged = 0
+    for page, url in urls.items():
+        r, cells = got[page], found(url)
+        assert (r["host"], r["path"]) == parts(url)
+        p = 1 / (1 + math.exp(-(weights[cells].sum() / math.sqrt(len(cells)) + bias)))
+        assert abs(p - r["score"]) < 1e-4
+        if r["rule"] is None and abs(p - 0.5) > 1e-4:
+            judged += 1
+            assert r["verdict"] == ("block" if p > 0.5 else "allow")
+    assert len(got) == len(urls) and judged > 20
+
+
 def test_op5_targets_and_quotas():
     got = mixing.targets({"a": 100, "b": 100, None: 10})
     assert got[None] == 20 and math.isclose(sum(got.values()), 315) and got["a"] == 200
@@ -373,7 +434,7 @@ def test_op7_code():
 def test_op8_language(spark, sf_dir, empty):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     dictionaries = language.learn(docs)
-    rows = language.predict(docs, dictionaries).join(docs.select("doc_id", "lang"), "doc_id").withColumn("held", language.held_out(docs["doc_id"])).collect()
+    rows = language.predict(docs, dictionaries).join(docs.select("doc_id", "lang"), "doc_id").withColumn("held", language.held_out(F.col("doc_id"))).collect()
     held = [r for r in rows if r["held"]]
     assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
     assert np.mean([r["lang_pred"] == r["lang"] for r in held]) > 0.9
@@ -382,6 +443,17 @@ def test_op8_language(spark, sf_dir, empty):
     assert [r["lang_pred"] for r in got[:3]] == ["und"] * 3 and all(r["rejected"] for r in got[:3])
     assert got[3]["lang_pred"] in dictionaries and all(0 <= r["score"] <= 1 for r in got)
     assert language.learn(empty) == {} and language.predict(empty, {}).count() == 0
+    assert all(len(v) <= language.DICTIONARY_BYTES for v in dictionaries.values())
+    long = spark.createDataFrame([(1, max((r["text"] for r in docs.where("lang = 'de'").collect()), key=len) * 40, "x", 1), (1, "Zwölf", None, 2)], "doc_id long, text string, lang_pred string, score int")
+    assert [r["lang_pred"] for r in language.predict(long, dictionaries).collect()][0] == "de" and language.keep_known(long, dictionaries).columns == long.columns
+    # an unlearned language, far from all dictionaries alike, and the sizes by hand
+    tools = language._compressors(dictionaries)
+    for text in ("xqzw vvkj qqxz", docs.where("doc_id = 3").first()["text"]):
+        raw = text.lower().encode()
+        sizes = {lang: sum(len(tool.compress(raw[k : k + language.PIECE])) for k in range(0, len(raw), language.PIECE)) for lang, tool in tools}
+        first, second = sorted(sizes.values())[:2]
+        lang, score, rejected = language.classify(text, tools)
+        assert sizes[lang] == first and math.isclose(score, (second - first) / second) and rejected == ((second - first) / second < language.MARGIN)
     assert language.keep_known(odd, dictionaries).count() <= 1
 
 
@@ -407,7 +479,7 @@ def test_op9_against_brute_force(spark, empty):
     prose = lambda n: "".join(rnd.choice("abcde fgh") for _ in range(n))
     items = [(k, prose(rnd.randint(30, 120)).strip() + "x") for k in range(8)] + [(50, "short one"), (51, None), (52, "  "), (None, prose(40))]
     rows = []
-    for k in range(60):
+    for k in range(180):
         text = prose(150)
         if k % 3:
             chars = list(items[k % 8][1])
@@ -421,7 +493,7 @@ def test_op9_against_brute_force(spark, empty):
                     chars.insert(at, "Z")
             text = text[:70] + " " + "".join(chars).upper().replace(" ", "\n ") + " " + text[70:]
         rows.append((k, text))
-    rows += [(100, None), (101, ""), (102, "a SHORT  ONE b"), (None, items[0][1])]
+    rows += [(1000, None), (1001, ""), (1002, "a SHORT  ONE b"), (None, items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = set()
