@@ -8,7 +8,21 @@ from pyspark.sql import functions as F
 #: The elements that items may hold.
 SUPPORTED = ("H", "B", "C", "N", "O", "F", "Si", "P", "S", "Cl", "Br", "I")
 #: Feature names that begin with these have too many different values.
-HIGH_CARDINALITY = ("atom_state[", "benson_nn[", "bond_environment[", "named_path[")
+HIGH_CARDINALITY = ("path_1_3[", "path_1_4[", "benson_nn[", "inactive_empirical[")
+#: The beginning of a feature's name and its family, the first that fits.
+FAMILIES = (
+    ("atom_state[", "atom_state"),
+    ("bond_environment[", "bond_environment"),
+    ("ring[", "ring_topology"),
+    ("ring_", "ring_topology"),
+    ("fukui_", "huckel_fukui"),
+    ("huckel_", "huckel_fukui"),
+    ("first_order_v1[", "first_order_v1"),
+    ("inactive_empirical[", "inactive_empirical"),
+    ("estate_", "electrotopological_state"),
+    ("gasteiger_", "gasteiger_charge"),
+    ("rdkit_", "named_chemical_graph_descriptor"),
+)
 
 
 def first_field(line: Column) -> Column:
@@ -94,16 +108,15 @@ def clean_value(x: Column) -> Column:
 
 
 def feature_family(name: Column) -> Column:
-    """A family by ordered rules over the beginning and the content of a feature's name."""
-    return (
-        F.when(name.startswith("first_order_v1["), "first_order")
-        .when(name.startswith("ring") | name.contains("ring["), "ring")
-        .when(name.startswith("atom_state[") | name.startswith("benson_nn["), "atom_environment")
-        .when(name.startswith("bond_environment["), "bond_environment")
-        .when(name.contains("path"), "path")
-        .when(name.contains("charge"), "charge")
-        .otherwise("other")
-    )
+    """A family by the beginning of a feature's name, then by what it holds; see FAMILIES."""
+    by_start = [F.when(name.startswith(start), F.lit(family)) for start, family in FAMILIES]
+    return F.coalesce(*by_start, F.when(name.contains("charge"), "formal_charge_topology").when(name.startswith("graph_"), "classical_graph_index").otherwise("other_named_term"))
+
+
+def merged_family(name: Column, manifest: dict[str, str]) -> Column:
+    """feature_family(), but for the names that a manifest gives a family."""
+    own = [F.when(name == k, F.lit(v)) for k, v in sorted(manifest.items())]
+    return F.coalesce(*own, feature_family(name))
 
 
 def feature_block(name: Column, manifest: list[str]) -> Column:
@@ -122,6 +135,11 @@ def renamed(name: Column, old: str, new: str) -> Column:
     return F.when(name.startswith(old), F.concat(F.lit(new), F.substr(name, F.lit(len(old) + 1)))).otherwise(name)
 
 
+def rename_record(text: Column, old: str, new: str) -> Column:
+    """JSON text whose keys and string values, at any depth, begin with `new` where they began with `old`."""
+    return F.replace(text, F.lit(f'"{old}'), F.lit(f'"{new}'))
+
+
 def canonical_path(labels: Column) -> Column:
     """The lesser of the joined sequence and its reverse."""
     return F.least(F.array_join(labels, "|"), F.array_join(F.reverse(labels), "|"))
@@ -138,6 +156,6 @@ def applicability(distance: Column) -> Column:
 def pair_gap(homo: Column, lumo: Column, density: Column, floor: float) -> tuple[Column, Column, Column]:
     """(gap, score, code) of a directional pair: density over the gap, which has a floor; 0 where there is none."""
     gap = lumo - homo
-    code = F.when(gap.isNull(), "MISSING_FRONTIER_ENERGY").when(gap <= 0, "INVALID_DIRECTIONAL_GAP").when(gap < floor, "FRONTIER_GAP_REGULARIZED")
+    code = F.when(gap.isNull(), "FRONTIER_UNAVAILABLE").when(gap <= 0, "INVALID_DIRECTIONAL_GAP").when(gap < floor, "FRONTIER_GAP_REGULARIZED")
     used = F.when(gap > 0, F.greatest(gap, F.lit(floor)))
     return used, F.coalesce(density / used, F.lit(0.0)), code

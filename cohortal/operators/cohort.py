@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortal.functions.hashing import hash_bucket, hash_fraction, keyed_hash, stable_hash
 from cohortal.operators.loops import checkpointed, settle
+from cohortal.operators.ordering import quantiles, running
 
 
 def split_of(key: Column, namespace: str = "split", external: float = 0.2, validation: float = 0.1) -> Column:
@@ -39,24 +44,49 @@ def tanimoto_pairs(bits: DataFrame) -> DataFrame:
     """(grp, item_a, item_b, similarity) of pairs of a group with a bit in common, item_a < item_b."""
     n = bit_counts(bits)
     right = bits.select("grp", "bit", F.col("item").alias("item_b"))
-    both = bits.withColumnRenamed("item", "item_a").join(right, ["grp", "bit"]).where("item_a < item_b").groupBy("grp", "item_a", "item_b").agg(F.count("*").alias("both"))
-    j = both.join(n.select(F.col("item").alias("item_a"), F.col("n").alias("na")), "item_a").join(n.select(F.col("item").alias("item_b"), F.col("n").alias("nb")), "item_b")
+    both = bits.withColumnRenamed("item", "item_a").join(right.hint("merge"), ["grp", "bit"]).where("item_a < item_b").groupBy("grp", "item_a", "item_b").agg(F.count("*").alias("both"))
+    j = both.join(n.select(F.col("item").alias("item_a"), F.col("n").alias("na")).hint("merge"), "item_a").join(n.select(F.col("item").alias("item_b"), F.col("n").alias("nb")).hint("merge"), "item_b")
     return j.select("grp", "item_a", "item_b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
 
 
-def nearest_similarity(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """(item, nearest): the highest Tanimoto similarity of each query's bits to any reference; 0 without a common bit."""
-    nq, nr = bit_counts(queries), bit_counts(references)
-    r = references.select("bit", F.col("item").alias("ref"))
-    both = queries.select("item", "bit").join(r, "bit").where("item <> ref").groupBy("item", "ref").agg(F.count("*").alias("both"))
-    j = both.join(nq, "item").join(nr.select(F.col("item").alias("ref"), F.col("n").alias("nr")), "ref")
-    best = j.groupBy("item").agg(F.max(F.col("both") / (F.col("n") + F.col("nr") - F.col("both"))).alias("nearest"))
-    return nq.select("item").join(best, "item", "left").select("item", F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+def nearest_similarity(queries: DataFrame, references: DataFrame, block: int = 4096) -> DataFrame:
+    """(item, nearest): the highest Tanimoto similarity of each query's bits to any reference; 0 without a common bit.
+
+    Bit sets meet as blocks: a block of queries and one of references give one matrix product, of which each query's best stays.
+    No pair of items is a row. Bits are whole numbers above 0; an item without bits is no row here.
+    """
+    sets = lambda df, name: df.groupBy("item").agg(F.array_sort(F.collect_set("bit")).alias("bits")).select(F.col("item").cast("long").alias("item"), F.col("bits").cast("array<long>").alias("bits"))
+    many = lambda df: max(1, -(-df.count() // block))
+    q, r = checkpointed(sets(queries, "q")), checkpointed(sets(references, "r"))
+    nq, nr = many(q), many(r)
+    pack = lambda df, n, name: df.groupBy(F.pmod(F.xxhash64("item"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list("item").alias(f"{name}_items"), F.collect_list("bits").alias(f"{name}_bits"))
+    left, right = checkpointed(pack(q, nq, "qb")), checkpointed(pack(r, nr, "rb"))
+    wanted = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
+    met = wanted.join(right.hint("shuffle_hash"), "rb").select("qb_items", "qb_bits", "rb_items", "rb_bits")
+    best = met.mapInArrow(_nearest_of_blocks, "item long, nearest double").groupBy("item").agg(F.max("nearest").alias("nearest"))
+    return q.select("item").join(best.hint("merge"), "item", "left").select("item", F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
+
+
+def _nearest_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matrix(bits: pa.ListArray, names: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(bits), len(names)), dtype=np.float32)
+        out[np.repeat(np.arange(len(bits)), np.diff(bits.offsets.to_numpy())), np.searchsorted(names, bits.flatten().to_numpy())] = 1
+        return out
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            items, bits, others, other_bits = (batch.column(c)[k].values for c in range(4))
+            names = np.unique(np.concatenate((bits.flatten().to_numpy(), other_bits.flatten().to_numpy())))
+            x, y = matrix(bits, names), matrix(other_bits, names)
+            both = x @ y.T  # whole numbers, exact
+            score = both / np.maximum(x.sum(axis=1)[:, None].astype(np.float64) + y.sum(axis=1)[None, :] - both, 1)
+            score[items.to_numpy()[:, None] == others.to_numpy()[None, :]] = 0  # an item is no neighbour of itself
+            yield pa.RecordBatch.from_arrays([items.cast(pa.int64()), pa.array(score.max(axis=1))], names=["item", "nearest"])
 
 
 def similarity_strata(nearest: DataFrame, groups: DataFrame, far: float = 0.5, near: float = 0.7) -> DataFrame:
     """(grp, median, stratum) of the nearest similarities of each group's items."""
-    per = nearest.join(groups.select("item", "grp").distinct(), "item").groupBy("grp").agg(F.percentile("nearest", F.lit(0.5)).alias("median"))
+    per = quantiles(nearest.join(groups.select("item", "grp").distinct().hint("merge"), "item"), "nearest", {"median": 0.5}, "grp")
     return per.withColumn("stratum", F.when(F.col("median") <= far, "far").when(F.col("median") <= near, "mid").otherwise("near"))
 
 
@@ -100,25 +130,52 @@ def link_components(edges: DataFrame) -> DataFrame:
 def assign_components(components: DataFrame, shares: dict[str, float]) -> DataFrame:
     """(comp, size, split): components by size and hash, each to the split whose squared miss of its target grows least.
 
-    The assignment depends on its order, so that it is a fold over (component, size) rows; groups never
-    enter it.
+    That is the split which lies lowest against its target. So, among components of one size, the choices are the least of a
+    few arithmetic series, one a split: the driver only counts, for each different size, how many each split gets;
+    components and choices are then put in order and meet by their place.
     """
-    sizes = components.groupBy("comp").agg(F.count("*").alias("size"))
-    listed = sizes.select(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), stable_hash("component", F.col("comp")).alias("h"), "comp", "size")).over(Window.partitionBy())).alias("all")).limit(1)
-    total = F.aggregate("all", F.lit(0).cast("long"), lambda a, c: a + c["size"])
-    names = list(shares)
-    miss = lambda acc, c, total, k: F.pow(acc["n"][k] + c["size"] - total * shares[names[k]], F.lit(2.0)) - F.pow(acc["n"][k] - total * shares[names[k]], F.lit(2.0))
-
-    def step(acc, c):
-        costs = F.array(*(miss(acc, c, acc["total"], k) for k in range(len(names))))
-        best = (F.array_position(costs, F.array_min(costs)) - 1).cast("int")
-        counts = F.transform(acc["n"], lambda n, i: n + F.when(i == best, c["size"]).otherwise(F.lit(0).cast("long")))
-        return F.struct(counts.alias("n"), F.concat(acc["out"], F.array(F.struct(c["comp"].alias("comp"), c["size"].alias("size"), best.alias("k")))).alias("out"), acc["total"].alias("total"))
-
-    start = F.struct(F.array(*[F.lit(0).cast("long")] * len(names)).alias("n"), F.array().cast("array<struct<comp:bigint,size:bigint,k:int>>").alias("out"), total.alias("total"))
-    folded = listed.select(F.explode(F.aggregate("all", start, step)["out"]).alias("o"))
-    name = F.element_at(F.array(*map(F.lit, names)), F.col("o.k") + 1)
-    return folded.select("o.comp", "o.size", name.alias("split"))
+    spark = components.sparkSession
+    sizes = checkpointed(components.groupBy("comp").agg(F.count("*").alias("size")))
+    counts = sizes.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.col("size").desc()).collect()  # a row a different size
+    total, names = sum(r["size"] * r["n"] for r in counts), list(shares)
+    lies = [-total * shares[n] for n in names]  # what a split has, less its target
+    series = []
+    for r in counts:
+        for k, n in enumerate(_picks(lies, r["size"], r["n"])):
+            if n:
+                series.append((r["size"], k, lies[k], n))
+            lies[k] += r["size"] * n
+    runs = spark.createDataFrame(series, "size long, k int, start double, n long")
+    value = F.col("start") + F.col("j") * F.col("size")
+    choices = runs.select("size", "k", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).select((-F.col("size")).alias("o"), value.alias("v"), "k", F.lit(1).alias("_one"))
+    choices = running(choices, [], ["o", "v", "k"], {"place": "_one"}).select("place", "k")
+    ordered = sizes.select("comp", "size", (-F.col("size")).alias("o"), stable_hash("component", F.col("comp")).alias("h"), F.lit(1).alias("_one"))
+    ordered = running(ordered, [], ["o", "h", "comp"], {"place": "_one"})
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1)
+    return ordered.join(choices.hint("merge"), "place").select("comp", "size", name.alias("split"))
+
+
+def _picks(lies: list[float], size: int, n: int) -> list[int]:
+    """How many of n components of one size each split gets, the lowest taking each in turn, the first of equals."""
+    heap = [(v, k) for k, v in enumerate(lies)]
+    out = [0] * len(lies)
+    # all rise evenly once they lie within one size of each other; whole turns are taken at once
+    while n > 0:
+        heap.sort()
+        low, k = heap[0]
+        above = [v for v, _ in heap[1:]]
+        if above and above[-1] - low < size and n >= len(heap):
+            turns = n // len(heap)
+            for i, (v, j) in enumerate(heap):
+                out[j] += turns
+                heap[i] = (v + turns * size, j)
+            n -= turns * len(heap)
+            continue
+        step = max(1, min(n, int((above[0] - low) // size))) if above else n
+        out[k] += step
+        heap[0] = (low + step * size, k)
+        n -= step
+    return out
 
 
 def leakage_report(df: DataFrame, keys: list[str]) -> DataFrame:

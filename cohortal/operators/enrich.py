@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortal.operators.ordering import quantiles, same
 from cohortal.operators.prep import pending_rows, upsert
 
 
@@ -41,8 +42,10 @@ def merge_results(finished: DataFrame, new: DataFrame, keys: list[str]) -> DataF
     return upsert(finished.unionByName(new, allowMissingColumns=True), keys, "attempt")
 
 
-def derive_status(value: Column, error: Column, warnings: Column) -> Column:
-    return F.when(error.isNotNull(), "worker_error").when(value.isNull() | F.isnan(value), "missing_energy").when(F.size(warnings) > 0, "partial").otherwise("success")
+def derive_status(value: Column, error: Column, warnings: Column, unsupported: Column | None = None) -> Column:
+    """worker_error, unsupported, missing_energy, partial (there are warnings) or success, the first that holds."""
+    outside = F.coalesce(unsupported, F.lit(False)) if unsupported is not None else F.lit(False)
+    return F.when(error.isNotNull(), "worker_error").when(outside, "unsupported").when(value.isNull() | F.isnan(value), "missing_energy").when(F.size(warnings) > 0, "partial").otherwise("success")
 
 
 def pin(meta: DataFrame, current: dict[str, str]) -> None:
@@ -52,6 +55,12 @@ def pin(meta: DataFrame, current: dict[str, str]) -> None:
         raise ValueError(f"pinned inputs have changed: {', '.join(sorted(wrong))}")
 
 
+def pin_states(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """(key, state) of each key of current(key, value): same, changed, or new where stored has none."""
+    j = current.join(stored.select("key", F.col("value").alias("_stored")).hint("merge"), "key", "left")
+    return j.select("key", F.when(F.col("_stored").isNull(), "new").when(F.col("_stored") == F.col("value"), "same").otherwise("changed").alias("state"))
+
+
 def release_checks(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(name, expected, actual, ok) of two tables (name, value), and the row `all`."""
     e, a = expected.select("name", F.col("value").alias("expected")), actual.select("name", F.col("value").alias("actual"))
@@ -80,6 +89,6 @@ def subset_runtime(items: DataFrame, requested: DataFrame, timed: DataFrame) ->
 
 def throughput(timed: DataFrame, *by: str) -> DataFrame:
     """n, mean, sample deviation, median, p95 and items a second of timed(seconds)."""
-    cuts = F.percentile("seconds", F.array(F.lit(0.5), F.lit(0.95)))
-    out = timed.groupBy(*by).agg(F.count("*").alias("n"), F.avg("seconds").alias("mean"), F.stddev_samp("seconds").alias("std"), cuts.alias("q"), (F.count("*") / F.sum("seconds")).alias("rate"))
-    return out.select(*by, "n", "mean", "std", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"), "rate")
+    cuts = quantiles(timed, "seconds", {"median": 0.5, "p95": 0.95}, *by)
+    out = timed.groupBy(*by).agg(F.count("*").alias("n"), F.avg("seconds").alias("mean"), F.stddev_samp("seconds").alias("std"), (F.count("*") / F.sum("seconds")).alias("rate"))
+    return same(out, cuts, list(by), "left").select(*by, "n", "mean", "std", "median", "p95", "rate")

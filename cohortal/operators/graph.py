@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortal.functions.hashing import signed_bin
-from cohortal.operators.loops import checkpointed, settle
+from cohortal.functions.scalars import SUPPORTED, bond_class
+from cohortal.operators.loops import checkpointed, joined_in_place, settle
 
 #: The attribute names that other tools use, and ours.
 ALIASES = {"charge": "formal_charge", "hcount": "total_hcount", "is_aromatic": "aromatic", "symbol": "element"}
-SUPPORTED = ("H", "B", "C", "N", "O", "F", "Si", "P", "S", "Cl", "Br", "I")
-
 
 def directed(bonds: DataFrame) -> DataFrame:
     """Each bond both ways."""
@@ -80,13 +79,15 @@ def zagreb(bonds: DataFrame) -> DataFrame:
 
 def graph_distances(bonds: DataFrame, cutoff: int) -> DataFrame:
     """(mol_id, a, b, d), a < b: shortest paths of at most `cutoff` bonds; one frontier join for each length."""
-    step = checkpointed(directed(bonds).select("mol_id", F.col("a").alias("mid"), "b").distinct())
-    near = step.select("mol_id", F.col("mid").alias("a"), "b").withColumn("d", F.lit(1))
-    seen = frontier = near
-    for d in range(2, cutoff + 1):
-        further = frontier.select("mol_id", "a", F.col("b").alias("mid")).join(step, ["mol_id", "mid"]).select("mol_id", "a", "b").where("a <> b").distinct()
-        frontier = checkpointed(further.join(seen, ["mol_id", "a", "b"], "left_anti").withColumn("d", F.lit(d)))
-        seen = seen.unionByName(frontier)
+    step = directed(bonds).select("mol_id", F.col("a").alias("mid"), "b").distinct()
+    with joined_in_place(bonds.sparkSession, ["mol_id"], step) as (step,):
+        step = checkpointed(step)
+        near = step.select("mol_id", F.col("mid").alias("a"), "b").withColumn("d", F.lit(1))
+        seen = frontier = near
+        for d in range(2, cutoff + 1):
+            further = frontier.select("mol_id", "a", F.col("b").alias("mid")).join(step.hint("merge"), ["mol_id", "mid"]).select("mol_id", "a", "b").where("a <> b").distinct()
+            frontier = checkpointed(further.join(seen.hint("merge"), ["mol_id", "a", "b"], "left_anti").withColumn("d", F.lit(d)))
+            seen = seen.unionByName(frontier)
     return seen.where("a < b")
 
 
@@ -127,18 +128,20 @@ def path_counts(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
         labels = F.array(*columns)
         return F.concat(F.lit(f"{kind}["), F.least(F.array_join(labels, "|"), F.array_join(F.reverse(labels), "|")), F.lit("]"))
 
-    both = three.where("a < c").select("mol_id", name("path3", "e_a", "e_b", "e_c").alias("name")).unionByName(four.select("mol_id", name("path4", "e_a", "e_b", "e_c", "e_d").alias("name")))
+    both = three.where("a < c").select("mol_id", name("path_1_3", "e_a", "e_b", "e_c").alias("name")).unionByName(four.select("mol_id", name("path_1_4", "e_a", "e_b", "e_c", "e_d").alias("name")))
     return both.groupBy("mol_id", "name").agg(F.count("*").alias("n"))
 
 
 def neighbourhood_labels(atoms: DataFrame, bonds: DataFrame, rounds: int) -> DataFrame:
     """(mol_id, atom_id, label): seed labels refined by hashing each with its sorted bonds and neighbours."""
     labels = atoms.select("mol_id", "atom_id", F.sha2(atom_label(), 256).alias("label"))
-    step = directed(bonds)
-    for _ in range(rounds):
-        near = step.join(labels.select("mol_id", F.col("atom_id").alias("b"), "label"), ["mol_id", "b"])
-        around = near.groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.sort_array(F.collect_list(F.concat(F.col("bond_order").cast("int").cast("string"), F.lit(":"), "label"))).alias("around"))
-        labels = labels.join(around, ["mol_id", "atom_id"], "left").select("mol_id", "atom_id", F.sha2(F.concat_ws(",", "label", F.array_join(F.coalesce("around", F.array().cast("array<string>")), ",")), 256).alias("label"))
+    with joined_in_place(atoms.sparkSession, ["mol_id"], labels, directed(bonds)) as (labels, step):
+        labels, step = checkpointed(labels), checkpointed(step)
+        for _ in range(rounds):
+            near = step.join(labels.select("mol_id", F.col("atom_id").alias("b"), "label").hint("merge"), ["mol_id", "b"])
+            around = near.groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.sort_array(F.collect_list(F.concat(F.col("bond_order").cast("int").cast("string"), F.lit(":"), "label"))).alias("around"))  # an atom's bonds
+            labels = labels.join(around.hint("merge"), ["mol_id", "atom_id"], "left").select("mol_id", "atom_id", F.sha2(F.concat_ws(",", "label", F.array_join(F.coalesce("around", F.array().cast("array<string>")), ",")), 256).alias("label"))
+            labels = checkpointed(labels)
     return labels
 
 
@@ -168,23 +171,59 @@ def cycle_rank(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return component_counts(atoms, bonds).join(edges, "mol_id", "left").select("mol_id", (F.coalesce("edges", F.lit(0)) - F.col("atoms") + F.col("components")).alias("cycle_rank"))
 
 
+def flag(df: DataFrame, name: str) -> Column:
+    """A boolean column, false where the frame has none of that name."""
+    return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+
+
+def count_of(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0)) if name in df.columns else F.lit(0)
+
+
 def assign_pi(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(mol_id, atom_id, included, electrons, reason): a cascade over an atom's bonds and element."""
-    most = directed(bonds).groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.max("bond_order").alias("top"), F.count("*").alias("degree"))
-    near = directed(bonds).where("bond_order >= 2").select("mol_id", F.col("a").alias("mid")).distinct()
-    beside = directed(bonds).join(near, (directed(bonds)["mol_id"] == near["mol_id"]) & (F.col("b") == F.col("mid")), "left_semi").select("mol_id", F.col("a").alias("atom_id")).distinct().withColumn("beside", F.lit(True))
-    j = atoms.join(most, ["mol_id", "atom_id"], "left").join(beside, ["mol_id", "atom_id"], "left")
-    lone = F.col("element").isin("N", "O", "S") & (F.col("formal_charge") <= 0)
-    reason = F.when(F.col("top") >= 3, "triple").when(F.col("top") >= 2, "double").when(lone & F.col("beside"), "lone_pair").otherwise("none")
-    electrons = F.when(F.col("top") >= 2, 1).when(lone & F.col("beside"), 2).otherwise(0)
-    return j.select("mol_id", "atom_id", (electrons > 0).alias("included"), electrons.alias("electrons"), reason.alias("reason"))
+    """(mol_id, atom_id, included, electrons, reason, confidence): one p orbital an atom, by rules in this order.
+
+    Open-shell atoms, ends of triple bonds, elements but C, N, O and S, and charges beyond one are left out, as is what has
+    neither an aromatic flag nor a double bond. Electrons are null for what is left out.
+    """
+    top = directed(bonds).groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.max("bond_order").alias("top"))
+    j = atoms.join(top.hint("merge"), ["mol_id", "atom_id"], "left")
+    element, charge = F.col("element"), F.col("formal_charge")
+    ring, double = flag(atoms, "aromatic"), F.coalesce(F.col("top") >= 2, F.lit(False))
+    by_charge = 1 - charge  # carbon
+    anion = F.when(charge == -1, 2).otherwise(1)
+    # (condition, reason, electrons, confidence)
+    rules = [
+        (count_of(atoms, "radical_electrons") != 0, "open_shell", None, "unsupported"),
+        (F.col("top") >= 3, "triple_bond", None, "unsupported"),
+        (~element.isin("C", "N", "O", "S"), "unsupported_element", None, "unsupported"),
+        ((ring | double) & (F.abs(charge) > 1), "charge_out_of_range", None, "unsupported"),
+        (ring & (element == "C"), "aromatic_carbon", by_charge, "high"),
+        (ring & (element == "N") & (F.col("total_hcount") > 0), "pyrrole_like", F.lit(2), "high"),
+        (ring & (element == "N") & (charge == -1), "anionic_nitrogen", F.lit(2), "medium"),
+        (ring & (element == "N"), "pyridine_like", F.lit(1), "high"),
+        (ring, "aromatic_donor", F.lit(2), "medium"),
+        (double & (element == "C"), "double_bond_carbon", by_charge, "high"),
+        (double, "double_bond_hetero", anion, "medium"),
+    ]
+    pick = lambda k: F.coalesce(*(F.when(rule[0], F.lit(rule[k])) for rule in rules))
+    electrons = F.lit(None).cast("int")
+    for condition, _, value, _ in reversed(rules):
+        electrons = F.when(condition, F.lit(None).cast("int") if value is None else value.cast("int")).otherwise(electrons)
+    return j.select("mol_id", "atom_id", electrons.isNotNull().alias("included"), electrons.alias("electrons"), F.coalesce(pick(1), F.lit("none")).alias("reason"), F.coalesce(pick(3), F.lit("high")).alias("confidence"))
+
+
+def coupled(pi: DataFrame, bonds: DataFrame) -> DataFrame:
+    """The bonds that couple two included atoms: aromatic, conjugated, or of order 2 at least."""
+    on = pi.where("included").select("mol_id", "atom_id")
+    near = bonds.where(flag(bonds, "bond_aromatic") | flag(bonds, "conjugated") | (F.col("bond_order") >= 2))
+    return near.join(on.select("mol_id", F.col("atom_id").alias("a")).hint("merge"), ["mol_id", "a"], "left_semi").join(on.select("mol_id", F.col("atom_id").alias("b")).hint("merge"), ["mol_id", "b"], "left_semi")
 
 
 def pi_systems(pi: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(mol_id, system, sites, electrons): components of the included atoms."""
+    """(mol_id, system, sites, electrons): components of the included atoms over coupling bonds."""
     on = pi.where("included").select("mol_id", "atom_id", "electrons")
-    inside = bonds.join(on.select("mol_id", F.col("atom_id").alias("a")), ["mol_id", "a"], "left_semi").join(on.select("mol_id", F.col("atom_id").alias("b")), ["mol_id", "b"], "left_semi")
-    return graph_components(on, inside).join(on, ["mol_id", "atom_id"]).groupBy("mol_id", F.col("comp").alias("system")).agg(F.count("*").alias("sites"), F.sum("electrons").alias("electrons"))
+    return graph_components(on, coupled(pi, bonds)).join(on.hint("merge"), ["mol_id", "atom_id"]).groupBy("mol_id", F.col("comp").alias("system")).agg(F.count("*").alias("sites"), F.sum("electrons").alias("electrons"))
 
 
 def pi_matrix(pi: DataFrame, atoms: DataFrame, bonds: DataFrame, alpha: dict[str, float], beta: dict[float, float]) -> DataFrame:
@@ -192,7 +231,7 @@ def pi_matrix(pi: DataFrame, atoms: DataFrame, bonds: DataFrame, alpha: dict[str
     on = pi.where("included").select("mol_id", "atom_id")
     pick = lambda column, table: F.coalesce(*(F.when(column == k, F.lit(float(v))) for k, v in table.items()), F.lit(0.0))
     own = atoms.join(on, ["mol_id", "atom_id"]).select("mol_id", F.col("atom_id").alias("i"), F.col("atom_id").alias("j"), pick(F.col("element"), alpha).alias("value"))
-    off = directed(bonds).join(on.select("mol_id", F.col("atom_id").alias("a")), ["mol_id", "a"]).join(on.select("mol_id", F.col("atom_id").alias("b")), ["mol_id", "b"])
+    off = directed(coupled(pi, bonds))
     return own.unionByName(off.select("mol_id", F.col("a").alias("i"), F.col("b").alias("j"), pick(F.col("bond_order"), beta).alias("value")))
 
 
@@ -264,14 +303,19 @@ def rings_of_closures(bonds: DataFrame) -> DataFrame:
 
 
 def ring_terms(rings: DataFrame) -> DataFrame:
-    """Per molecule: rings, junction atoms, ring pairs sharing one, two or more atoms."""
+    """Per molecule: rings, junction atoms, pairs of rings with one atom in common, with the two ends of a side of both, and
+    with other two or more atoms; sides that two rings share."""
     many = rings.groupBy("mol_id").agg(F.countDistinct("ring").alias("rings"))
     junction = rings.groupBy("mol_id", "atom_id").agg(F.count("*").alias("n")).where("n > 1").groupBy("mol_id").agg(F.count("*").alias("junctions"))
     other = rings.select("mol_id", "atom_id", F.col("ring").alias("other"))
-    shared = rings.join(other, ["mol_id", "atom_id"]).where("ring < other").groupBy("mol_id", "ring", "other").agg(F.count("*").alias("n"))
-    pairs = shared.groupBy("mol_id").agg(F.sum((F.col("n") == 1).cast("int")).alias("spiro"), F.sum((F.col("n") == 2).cast("int")).alias("fused"), F.sum((F.col("n") > 2).cast("int")).alias("bridged"))
-    out = many.join(junction, "mol_id", "left").join(pairs, "mol_id", "left")
-    return out.select("mol_id", "rings", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("junctions", "spiro", "fused", "bridged")))
+    shared = rings.join(other.hint("merge"), ["mol_id", "atom_id"]).where("ring < other").groupBy("mol_id", "ring", "other").agg(F.count("*").alias("n"))
+    sides = ring_edges(rings)
+    both = sides.join(sides.withColumnRenamed("ring", "other").hint("merge"), ["mol_id", "a", "b"]).where("ring < other").groupBy("mol_id", "ring", "other").agg(F.count("*").alias("sides"))
+    shared = shared.join(both.hint("merge"), ["mol_id", "ring", "other"], "left").withColumn("sides", F.coalesce("sides", F.lit(0)))
+    fused = (F.col("n") == 2) & (F.col("sides") > 0)
+    pairs = shared.groupBy("mol_id").agg(F.sum((F.col("n") == 1).cast("int")).alias("spiro"), F.sum(fused.cast("int")).alias("fused"), F.sum(((F.col("n") >= 2) & ~fused).cast("int")).alias("bridged"), F.sum("sides").alias("shared_sides"))
+    out = many.join(junction.hint("merge"), "mol_id", "left").join(pairs.hint("merge"), "mol_id", "left")
+    return out.select("mol_id", "rings", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("junctions", "spiro", "fused", "bridged", "shared_sides")))
 
 
 def ring_strain(rings: DataFrame, by_size: dict[int, float], fused: float) -> DataFrame:
@@ -282,10 +326,44 @@ def ring_strain(rings: DataFrame, by_size: dict[int, float], fused: float) -> Da
     return own.join(ring_terms(rings).select("mol_id", "fused"), "mol_id").select("mol_id", (F.col("own") + F.col("fused") * F.lit(fused)).alias("strain"))
 
 
-def pi_ring_parity(rings: DataFrame, pi: DataFrame, penalty: float) -> DataFrame:
-    """Per molecule: penalty times size for each wholly included ring whose electrons are a multiple of four."""
-    j = rings.join(pi, ["mol_id", "atom_id"]).groupBy("mol_id", "ring").agg(F.count("*").alias("size"), F.bool_and("included").alias("whole"), F.sum("electrons").alias("electrons"))
-    return j.groupBy("mol_id").agg(F.sum(F.when(F.col("whole") & (F.col("electrons") % 4 == 0), F.col("size") * F.lit(penalty)).otherwise(0.0)).alias("penalty"))
+def ring_edges(rings: DataFrame) -> DataFrame:
+    """(mol_id, ring, a, b), a < b: the sides of each ring, from rings(mol_id, ring, atom_id, pos)."""
+    order = Window.partitionBy("mol_id", "ring").orderBy("pos")
+    first = F.first("atom_id").over(order)
+    side = rings.select("mol_id", "ring", "atom_id", F.coalesce(F.lead("atom_id").over(order), first).alias("next"))
+    return side.select("mol_id", "ring", F.least("atom_id", "next").alias("a"), F.greatest("atom_id", "next").alias("b")).where("a < b")
+
+
+def pi_ring_parity(rings: DataFrame, pi: DataFrame, bonds: DataFrame, penalty: float) -> DataFrame:
+    """Per molecule: penalty times size for each ring of included atoms, all of whose sides couple, whose electrons are a
+    multiple of four above 0."""
+    j = rings.join(pi.select("mol_id", "atom_id", "included", "electrons").hint("merge"), ["mol_id", "atom_id"]).groupBy("mol_id", "ring").agg(F.count("*").alias("size"), F.bool_and("included").alias("whole"), F.sum("electrons").alias("electrons"))
+    ends = coupled(pi, bonds).select("mol_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sides = ring_edges(rings).join(ends.hint("merge"), ["mol_id", "a", "b"]).groupBy("mol_id", "ring").agg(F.count("*").alias("sides"))
+    j = j.join(sides.hint("merge"), ["mol_id", "ring"], "left")
+    wrong = F.col("whole") & (F.coalesce("sides", F.lit(0)) == F.col("size")) & (F.col("electrons") > 0) & (F.col("electrons") % 4 == 0)
+    return j.groupBy("mol_id").agg(F.sum(F.when(wrong, F.col("size") * F.lit(penalty)).otherwise(0.0)).alias("penalty"))
+
+
+def ring_names(rings: DataFrame, atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol_id, name, n): rings by size, aromatic atoms, unsaturated bonds inside the ring, and sorted elements."""
+    own = rings.join(atoms.select("mol_id", "atom_id", "element", "aromatic").hint("merge"), ["mol_id", "atom_id"])
+    per = own.groupBy("mol_id", "ring").agg(F.count("*").alias("size"), F.sum(F.col("aromatic").cast("int")).alias("arom"), F.array_join(F.sort_array(F.collect_list("element")), ",").alias("elements"))  # as many as a ring has
+    rich = bonds.where(bond_class(F.col("bond_order"), flag(bonds, "bond_aromatic")) != "single").select("mol_id", "a", "b")
+    at = lambda c: rings.select("mol_id", "ring", F.col("atom_id").alias(c)).hint("merge")
+    inside = rich.join(at("a"), ["mol_id", "a"]).join(at("b"), ["mol_id", "ring", "b"]).groupBy("mol_id", "ring").agg(F.count("*").alias("unsat"))
+    j = per.join(inside.hint("merge"), ["mol_id", "ring"], "left")
+    name = F.format_string("ring[size=%d;arom_atoms=%d;unsat_edges=%d;elements=%s]", "size", "arom", F.coalesce("unsat", F.lit(0).cast("long")), "elements")
+    return j.groupBy("mol_id", name.alias("name")).agg(F.count("*").alias("n"))
+
+
+def exocyclic_bonds(rings: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol_id, exocyclic): double and triple bonds of which one end lies in a ring."""
+    inside = rings.select("mol_id", "atom_id").distinct()
+    at = lambda c: inside.select("mol_id", F.col("atom_id").alias(c), F.lit(1).alias(f"r{c}")).hint("merge")
+    rich = bonds.where(bond_class(F.col("bond_order"), flag(bonds, "bond_aromatic")).isin("double", "triple")).select("mol_id", "a", "b")
+    j = rich.join(at("a"), ["mol_id", "a"], "left").join(at("b"), ["mol_id", "b"], "left")
+    return j.groupBy("mol_id").agg(F.sum((F.col("ra").isNull() != F.col("rb").isNull()).cast("int")).alias("exocyclic"))
 
 
 def composition_reference(atoms: DataFrame, values: dict[str, float]) -> DataFrame:
@@ -330,19 +408,64 @@ def rotatable(bonds: DataFrame, rings: DataFrame) -> DataFrame:
     return free.groupBy("mol_id").agg(F.count("*").alias("rotatable"))
 
 
-def resonance_terms(pi: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Per molecule: pi systems, sites, the largest system, branch centres (three coupled neighbours)."""
-    on = pi.where("included").select("mol_id", "atom_id")
-    systems = pi_systems(pi, bonds).groupBy("mol_id").agg(F.count("*").alias("systems"), F.sum("sites").alias("sites"), F.max("sites").alias("largest"))
-    inside = bonds.join(on.select("mol_id", F.col("atom_id").alias("a")), ["mol_id", "a"], "left_semi").join(on.select("mol_id", F.col("atom_id").alias("b")), ["mol_id", "b"], "left_semi")
-    branch = degrees(inside).where("degree >= 3").groupBy("mol_id").agg(F.count("*").alias("branch_centres"))
-    return systems.join(branch, "mol_id", "left").withColumn("branch_centres", F.coalesce("branch_centres", F.lit(0)))
-
+def resonance_terms(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """Per molecule: components, sites and the largest component of the resonance graph, branch centres (three neighbours),
+    cross-conjugated ones (not aromatic), and simple paths of two, three and four bonds, each once.
 
-def localized_bonds(pi: DataFrame, atoms: DataFrame, bonds: DataFrame, alpha: dict[str, float], beta: float) -> DataFrame:
-    """Per molecule: over double bonds between included atoms the two-orbital gain against separate orbitals."""
+    Sites are aromatic, SP or SP2, or N, O or S without a positive charge and with a lone pair; links are aromatic, conjugated
+    or of order 1.5 at least.
+    """
+    hybrid = F.col("hybridization").isin("SP", "SP2") if "hybridization" in atoms.columns else F.lit(False)
+    donor = F.col("element").isin("N", "O", "S") & (F.col("formal_charge") <= 0) & (count_of(atoms, "lone_pairs") > 0)
+    sites = atoms.where((F.col("element") != "H") & (flag(atoms, "aromatic") | hybrid | donor)).select("mol_id", "atom_id", flag(atoms, "aromatic").alias("aromatic"))
+    sites = checkpointed(sites)
+    at = lambda c: sites.select("mol_id", F.col("atom_id").alias(c)).hint("merge")
+    links = bonds.where(flag(bonds, "bond_aromatic") | flag(bonds, "conjugated") | (F.col("bond_order") >= 1.5)).join(at("a"), ["mol_id", "a"], "left_semi").join(at("b"), ["mol_id", "b"], "left_semi")
+    step = checkpointed(directed(links).select("mol_id", "a", "b").distinct())
+    parts = settle(sites.select("mol_id", F.col("atom_id").alias("node")), step, ["mol_id"]).groupBy("mol_id", "comp").agg(F.count("*").alias("n"))
+    out = parts.groupBy("mol_id").agg(F.count("*").alias("components"), F.sum("n").alias("sites"), F.max("n").alias("largest"))
+    branch = step.groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.count("*").alias("degree")).where("degree >= 3").join(sites.hint("merge"), ["mol_id", "atom_id"])
+    out = out.join(branch.groupBy("mol_id").agg(F.count("*").alias("branch_centres"), F.sum((~F.col("aromatic")).cast("int")).alias("cross_conjugated")).hint("merge"), "mol_id", "left")
+    walk = step.select("mol_id", F.array("a", "b").alias("path"), "b")
+    for length in (2, 3, 4):
+        walk = walk.select("mol_id", "path", F.col("b").alias("a")).join(step.hint("merge"), ["mol_id", "a"]).where(~F.array_contains("path", F.col("b"))).select("mol_id", F.concat("path", F.array("b")).alias("path"), "b")
+        once = walk.where(F.element_at("path", 1) < F.col("b")).groupBy("mol_id").agg(F.count("*").alias(f"paths_{length}"))
+        out = out.join(once.hint("merge"), "mol_id", "left")
+    names = ("branch_centres", "cross_conjugated", "paths_2", "paths_3", "paths_4")
+    return out.select("mol_id", "components", "sites", "largest", *(F.coalesce(c, F.lit(0)).alias(c) for c in names))
+
+
+def localized_bonds(pi: DataFrame, atoms: DataFrame, bonds: DataFrame, alpha: dict[str, float], beta: float, increments: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """Per molecule: over coupling bonds of order 1.5 at least the two-orbital gain against separate orbitals, and an
+    increment for each such bond of unlike elements that is not aromatic."""
     pick = F.coalesce(*(F.when(F.col("element") == k, F.lit(float(v))) for k, v in alpha.items()), F.lit(0.0))
-    on = atoms.join(pi.where("included").select("mol_id", "atom_id"), ["mol_id", "atom_id"]).select("mol_id", "atom_id", pick.alias("alpha"))
-    j = bonds.where("bond_order >= 2").join(on.select("mol_id", F.col("atom_id").alias("a"), F.col("alpha").alias("x")), ["mol_id", "a"]).join(on.select("mol_id", F.col("atom_id").alias("b"), F.col("alpha").alias("y")), ["mol_id", "b"])
+    own = atoms.select("mol_id", "atom_id", "element", pick.alias("alpha"))
+    end = lambda c, e, x: own.select("mol_id", F.col("atom_id").alias(c), F.col("element").alias(e), F.col("alpha").alias(x)).hint("merge")
+    j = coupled(pi, bonds).where("bond_order >= 1.5").join(end("a", "e1", "x"), ["mol_id", "a"]).join(end("b", "e2", "y"), ["mol_id", "b"])
     half = (F.col("x") - F.col("y")) / 2
-    return j.groupBy("mol_id").agg(F.sum(-2 * F.sqrt(half * half + F.lit(beta * beta))).alias("localized"))
+    more = F.coalesce(*(F.when((F.least("e1", "e2") == min(k)) & (F.greatest("e1", "e2") == max(k)), F.lit(float(v))) for k, v in (increments or {}).items()), F.lit(0.0))
+    return j.groupBy("mol_id").agg(F.sum(-2 * F.sqrt(half * half + F.lit(beta * beta))).alias("localized"), F.sum(F.when(flag(bonds, "bond_aromatic"), 0.0).otherwise(more)).alias("increment"))
+
+
+def local_signatures(atoms: DataFrame, bonds: DataFrame, distances: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
+    """(mol_id, kind, signature): of atoms with their neighbours, of bonds with their ends, and of atom pairs `least` to `most` bonds apart."""
+    seed = F.concat_ws("|", "element", F.col("aromatic").cast("int").cast("string"), F.col("formal_charge").cast("string"), F.col("total_hcount").cast("string"))
+    own = atoms.select("mol_id", "atom_id", seed.alias("seed"), F.concat_ws(":", "element", F.col("formal_charge").cast("string"), F.col("aromatic").cast("int").cast("string")).alias("brief"))
+    kind = bond_class(F.col("bond_order"), flag(bonds, "bond_aromatic"))
+    lines = bonds.select("mol_id", "a", "b", kind.alias("kind"))
+    both = lines.unionByName(lines.select("mol_id", F.col("b").alias("a"), F.col("a").alias("b"), "kind"))
+    at = lambda c, *keep: own.select("mol_id", F.col("atom_id").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in keep)).hint("merge")
+    near = both.join(at("b", "brief"), ["mol_id", "b"]).groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "kind", "brief_b"))), ",").alias("near"), F.count("*").alias("degree"))
+    single = own.join(near.hint("merge"), ["mol_id", "atom_id"], "left").select("mol_id", F.lit("atom").alias("kind"), F.concat_ws("|", "seed", F.coalesce("degree", F.lit(0)).cast("string"), F.coalesce("near", F.lit(""))).alias("signature"))
+    ends = lambda df: df.join(at("a", "seed"), ["mol_id", "a"]).join(at("b", "seed"), ["mol_id", "b"])
+    pair = lambda head: F.concat_ws("~", head, F.least("seed_a", "seed_b"), F.greatest("seed_a", "seed_b"))
+    bond = ends(lines).select("mol_id", F.lit("bond").alias("kind"), pair(F.col("kind")).alias("signature"))
+    far = ends(distances.where(F.col("d").between(least, most))).select("mol_id", F.lit("atom_pair").alias("kind"), pair(F.col("d").cast("string")).alias("signature"))
+    return single.unionByName(bond).unionByName(far)
+
+
+def hashed_signatures(signatures: DataFrame, bins: int = 128) -> DataFrame:
+    """(mol_id, name, value): signatures of each kind counted into signed bins."""
+    place, sign = signed_bin(F.col("signature"), bins)
+    found = signatures.select("mol_id", F.concat("kind", F.lit("_"), F.lpad(place.cast("string"), 3, "0")).alias("name"), sign.alias("sign"))
+    return found.groupBy("mol_id", "name").agg(F.sum("sign").alias("value")).where("value <> 0")

@@ -10,8 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortal.functions.scalars import finite
 from cohortal.operators.cohort import fold_of
+from cohortal.operators.loops import checkpointed, with_small
 from cohortal.operators.metrics import composite, rank_metrics, summarize_groups
+from cohortal.operators.ordering import quantiles
 
 MOST_TERMS = 4000  # of a system that is solved on the driver
 ZERO = 1e-12
@@ -19,13 +22,13 @@ ZERO = 1e-12
 
 def score_linear(items: DataFrame, features: DataFrame, weights: DataFrame, intercept: float = 0.0) -> DataFrame:
     """items with `prediction`: the sum of weight times value; items without a known feature score the intercept."""
-    found = features.join(F.broadcast(weights.select("name", "weight").limit(MOST_TERMS)), "name").groupBy("item").agg(F.sum(F.col("weight") * F.col("value")).alias("s"))
-    return items.join(found, "item", "left").withColumn("prediction", F.coalesce("s", F.lit(0.0)) + F.lit(intercept)).drop("s")
+    found = with_small(features.select("item", "name", "value"), weights.select("name", "weight"), "name").groupBy("item").agg(F.sum(F.col("weight") * F.col("value")).alias("s"))
+    return items.join(found.hint("merge"), "item", "left").withColumn("prediction", F.coalesce("s", F.lit(0.0)) + F.lit(intercept)).drop("s")
 
 
 def contributions(features: DataFrame, weights: DataFrame) -> DataFrame:
     """(item, name, value): signed contributions, without those that are practically zero."""
-    each = features.join(F.broadcast(weights.select("name", "weight").limit(MOST_TERMS)), "name").select("item", "name", (F.col("weight") * F.col("value")).alias("value"))
+    each = with_small(features.select("item", "name", "value"), weights.select("name", "weight"), "name").select("item", "name", (F.col("weight") * F.col("value")).alias("value"))
     return each.where(F.abs("value") > ZERO)
 
 
@@ -44,15 +47,21 @@ def center_labels(items: DataFrame) -> DataFrame:
     return items.withColumn("centered", F.col("label") - F.avg("label").over(Window.partitionBy("grp")))
 
 
+def group_means(items: DataFrame, features: DataFrame) -> DataFrame:
+    """(grp, name, mean) of the features that a group has, over all its items; an absent value is 0."""
+    size = items.groupBy("grp").agg(F.count("*").alias("size"))
+    sums = features.groupBy("grp", "name").agg(F.sum("value").alias("s"))
+    return sums.join(size.hint("merge"), "grp").select("grp", "name", (F.col("s") / F.col("size")).alias("mean"))
+
+
 def center_features(items: DataFrame, features: DataFrame) -> DataFrame:
     """(item, grp, name, value) less the group's mean over all its items; items whose value was 0 get their row too.
 
-    A name that no item of a group has stays absent there: its mean is 0.
+    A name that no item of a group has stays absent there: its mean is 0. The result is as long as items times the
+    names of their group; fits, scores and distances below use group sums instead and stay as sparse as the features.
     """
-    size = items.groupBy("grp").agg(F.count("*").alias("size"))
-    means = features.groupBy("grp", "name").agg(F.sum("value").alias("s")).join(size, "grp").select("grp", "name", (F.col("s") / F.col("size")).alias("mean"))
-    grid = items.select("item", "grp").join(means, "grp")
-    return grid.join(features.select("item", "name", "value"), ["item", "name"], "left").select("item", "grp", "name", (F.coalesce("value", F.lit(0.0)) - F.col("mean")).alias("value"))
+    grid = items.select("item", "grp").join(group_means(items, features).hint("merge"), "grp")
+    return grid.join(features.select("item", "name", "value").hint("merge"), ["item", "name"], "left").select("item", "grp", "name", (F.coalesce("value", F.lit(0.0)) - F.col("mean")).alias("value"))
 
 
 def feature_moments(items: DataFrame, features: DataFrame) -> DataFrame:
@@ -71,12 +80,12 @@ def support_counts(features: DataFrame) -> DataFrame:
 def gram(features: DataFrame) -> DataFrame:
     """(a, b, s), a <= b: sums of products over items."""
     right = features.select("item", F.col("name").alias("b"), F.col("value").alias("w"))
-    return features.select("item", F.col("name").alias("a"), "value").join(right, "item").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("value") * F.col("w")).alias("s"))
+    return features.select("item", F.col("name").alias("a"), "value").join(right.hint("merge"), "item").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("value") * F.col("w")).alias("s"))
 
 
 def moments_with(features: DataFrame, items: DataFrame, label: str) -> DataFrame:
     """(name, s): sums of value times label."""
-    return features.join(items.select("item", F.col(label).alias("_y")), "item").groupBy("name").agg(F.sum(F.col("value") * F.col("_y")).alias("s"))
+    return features.join(items.select("item", F.col(label).alias("_y")).hint("merge"), "item").groupBy("name").agg(F.sum(F.col("value") * F.col("_y")).alias("s"))
 
 
 class System:
@@ -87,16 +96,52 @@ class System:
 
     @classmethod
     def of(cls, features: DataFrame, items: DataFrame, label: str) -> System:
-        ys = {r["name"]: r["s"] for r in moments_with(features, items, label).limit(MOST_TERMS + 1).collect()}
-        if len(ys) > MOST_TERMS:
+        return cls.by_fold(features.withColumn("fold", F.lit(0)), items.withColumn("fold", F.lit(0)), label).get(0) or cls([], np.zeros((0, 0)), np.zeros(0), items.count())
+
+    @classmethod
+    def in_groups(cls, features: DataFrame, items: DataFrame, label: str) -> System:
+        """The system of values and labels less their group's means; see by_fold()."""
+        return cls.by_fold(features.withColumn("fold", F.lit(0)), items.withColumn("fold", F.lit(0)), label, True).get(0) or cls([], np.zeros((0, 0)), np.zeros(0), items.count())
+
+    @classmethod
+    def by_fold(cls, features: DataFrame, items: DataFrame, label: str, centred: bool = False) -> dict[int, System]:
+        """A system of each fold's rows, from one pass; features and items have a column fold. Names are those of all folds.
+
+        centred: values and labels less the means of their group, which lies in one fold: products of the raw values
+        less products of group sums over the group's size, so that no centred zero is ever written out.
+        """
+        names = sorted(r["name"] for r in features.select("name").distinct().limit(MOST_TERMS + 1).collect())
+        if len(names) > MOST_TERMS:
             raise ValueError(f"over {MOST_TERMS} terms; select before")
-        names = sorted(ys)
-        at = {n: k for k, n in enumerate(names)}
-        matrix = np.zeros((len(names), len(names)))
-        for r in gram(features).collect():  # terms squared at most
-            if r["a"] in at and r["b"] in at:
-                matrix[at[r["a"]], at[r["b"]]] = matrix[at[r["b"]], at[r["a"]]] = r["s"]
-        return cls(names, matrix, np.array([ys[n] for n in names]), items.count())
+        spark = items.sparkSession
+        at = F.broadcast(spark.createDataFrame(list(enumerate(names)), "k int, name string"))
+        rows = items.select("item", "grp", "fold", F.col(label).alias("y")) if centred else items.select("item", "fold", F.col(label).alias("y"))
+        if centred:
+            rows = rows.withColumn("y", F.col("y") - F.avg("y").over(Window.partitionBy("grp")))
+        long = checkpointed(features.select("item", "name", "value").join(at, "name").join(rows.hint("merge"), "item"))
+
+        def products(df: DataFrame, key: str, scale) -> DataFrame:
+            right = df.select(key, F.col("k").alias("j"), F.col("value").alias("w"))
+            return df.join(right.hint("merge"), key).where("k <= j").groupBy("fold", "k", "j").agg(F.sum(F.col("value") * F.col("w") * scale).alias("s"))
+
+        found = products(long, "item", F.lit(1.0))
+        if centred:
+            sums = long.groupBy("fold", "grp", "k").agg(F.sum("value").alias("value")).join(rows.groupBy("grp").agg(F.count("*").alias("size")).hint("merge"), "grp")
+            found = found.unionByName(products(sums, "grp", -1.0 / F.col("size"))).groupBy("fold", "k", "j").agg(F.sum("s").alias("s"))
+        sides = long.groupBy("fold", "k").agg(F.sum(F.col("value") * F.col("y")).alias("s"))
+        sizes = {r["fold"]: r["n"] for r in items.groupBy("fold").agg(F.count("*").alias("n")).collect()}  # a row a fold
+        out = {fold: cls(names, np.zeros((len(names), len(names))), np.zeros(len(names)), n) for fold, n in sizes.items()}
+        cells = found.toArrow()  # terms squared at most, in columns
+        of, k, j, s = (cells.column(c).to_numpy() for c in ("fold", "k", "j", "s"))
+        for fold, system in out.items():
+            own = of == fold
+            system.matrix[k[own], j[own]] = system.matrix[j[own], k[own]] = s[own]
+        for r in sides.collect():
+            out[r["fold"]].right[r["k"]] = r["s"]
+        return out
+
+    def plus(self, other: System) -> System:
+        return System(self.names, self.matrix + other.matrix, self.right + other.right, self.n + other.n)
 
     def less(self, other: System) -> System:
         """This system without the rows of another one."""
@@ -137,6 +182,11 @@ class System:
         return {self.names[k]: float(x / scale[k]) for k, x in zip(on, w, strict=True) if abs(x) > 1e-10}
 
 
+def largest_weights(weights: DataFrame, n: int) -> DataFrame:
+    """The n weights of largest absolute value, ties by name."""
+    return weights.orderBy(F.abs("weight").desc(), "name").limit(n)
+
+
 def weights_frame(spark, weights: dict[str, float]) -> DataFrame:
     return spark.createDataFrame(sorted(weights.items()), "name string, weight double")
 
@@ -144,44 +194,63 @@ def weights_frame(spark, weights: dict[str, float]) -> DataFrame:
 def fit_group_ridge(items: DataFrame, features: DataFrame, alpha: float) -> dict[str, float]:
     """Ridge on labels and features centred in their groups of two items or more; group offsets play no part."""
     many = items.groupBy("grp").agg(F.count("*").alias("n")).where("n >= 2").select("grp")
-    items, features = items.join(many, "grp", "left_semi"), features.join(many, "grp", "left_semi")
-    return System.of(center_features(items, features), center_labels(items), "centered").ridge(alpha)
+    items, features = items.join(many.hint("merge"), "grp", "left_semi"), features.join(many.hint("merge"), "grp", "left_semi")
+    return System.in_groups(features, items, "label").ridge(alpha)
+
+
+def score_centred(items: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
+    """items with the prediction from centred features: the score less its mean over the group, which is the same."""
+    scored = score_linear(items, features, weights)
+    return scored.withColumn("prediction", F.col("prediction") - F.avg("prediction").over(Window.partitionBy("grp")))
 
 
 def predict_group_ridge(items: DataFrame, features: DataFrame, weights: DataFrame, scales: DataFrame) -> DataFrame:
     """items with the centred prediction and the distance: root of the mean square of scaled centred features."""
-    centered = center_features(items, features)
-    scored = score_linear(items, centered, weights)
-    return scored.join(group_distance(centered, scales), "item", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
+    scored = score_centred(items, features, weights)
+    far = sparse_group_distance(items, features, scales)
+    return scored.join(far.hint("merge"), "item", "left").withColumn("distance", F.coalesce("distance", F.lit(0.0)))
 
 
 def group_distance(centered: DataFrame, scales: DataFrame) -> DataFrame:
     """(item, distance) over all terms of scales(name, scale); absent values count as 0."""
     n = scales.agg(F.count("*").alias("terms"))
-    z = centered.join(F.broadcast(scales.select("name", "scale").limit(MOST_TERMS)), "name")
+    z = with_small(centered, scales.select("name", "scale"), "name")
     per = z.groupBy("item").agg(F.sum(F.pow(F.col("value") / F.col("scale"), F.lit(2.0))).alias("s"))
     return per.crossJoin(F.broadcast(n)).select("item", F.sqrt(F.col("s") / F.col("terms")).alias("distance"))
 
 
+def sparse_group_distance(items: DataFrame, features: DataFrame, scales: DataFrame) -> DataFrame:
+    """group_distance() of the centred features, from the raw ones: the group's own square, and what an item's values change."""
+    n = scales.agg(F.count("*").alias("terms"))
+    means = with_small(group_means(items, features), scales.select("name", "scale"), "name")
+    base = means.groupBy("grp").agg(F.sum(F.pow(F.col("mean") / F.col("scale"), F.lit(2.0))).alias("base"))
+    near = features.select("item", "grp", "name", "value").join(means.hint("merge"), ["grp", "name"])
+    square = (F.pow(F.col("value") - F.col("mean"), F.lit(2.0)) - F.pow("mean", F.lit(2.0))) / F.pow("scale", F.lit(2.0))
+    gain = near.groupBy("item").agg(F.sum(square).alias("gain"))
+    j = items.select("item", "grp").join(base.hint("merge"), "grp", "left").join(gain.hint("merge"), "item", "left").crossJoin(F.broadcast(n))
+    total = F.coalesce("base", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))
+    return j.select("item", F.sqrt(F.greatest(F.lit(0.0), total) / F.col("terms")).alias("distance"))
+
+
 def mean_distance(items: DataFrame, features: DataFrame, moments: DataFrame) -> DataFrame:
     """(item, distance) from the training means: root of the mean of z^2 over all terms, zeros included."""
     base = moments.agg(F.sum(F.pow(F.col("mean") / F.col("scale"), F.lit(2.0))).alias("base"), F.count("*").alias("terms"))
-    z = features.join(F.broadcast(moments.limit(MOST_TERMS)), "name")
+    z = with_small(features, moments.select("name", "mean", "scale"), "name")
     gain = F.pow((F.col("value") - F.col("mean")) / F.col("scale"), F.lit(2.0)) - F.pow(F.col("mean") / F.col("scale"), F.lit(2.0))
     per = z.groupBy("item").agg(F.sum(gain).alias("s"))
-    return items.select("item").join(per, "item", "left").crossJoin(F.broadcast(base)).select("item", F.sqrt(F.greatest(F.lit(0.0), F.coalesce("s", F.lit(0.0)) + F.col("base")) / F.col("terms")).alias("distance"))
+    return items.select("item").join(per.hint("merge"), "item", "left").crossJoin(F.broadcast(base)).select("item", F.sqrt(F.greatest(F.lit(0.0), F.coalesce("s", F.lit(0.0)) + F.col("base")) / F.col("terms")).alias("distance"))
 
 
 def distance_q99(distances: DataFrame) -> DataFrame:
-    return distances.agg(F.percentile("distance", F.lit(0.99)).alias("q99"))
+    return quantiles(distances, "distance", {"q99": 0.99})
 
 
 def predict(items: DataFrame, counts: DataFrame, features: DataFrame, card: dict, count_weights: DataFrame, term_weights: DataFrame, moments: DataFrame, ranges: DataFrame) -> DataFrame:
     """items with composition, connectivity, prediction, distance and warnings. counts(item, element, n)."""
-    composition = counts.join(F.broadcast(count_weights.limit(MOST_TERMS)), "element").groupBy("item").agg(F.sum(F.col("weight") * F.col("n")).alias("composition"))
-    out = counts.join(F.broadcast(ranges.limit(MOST_TERMS)), "element").groupBy("item").agg(F.bool_or((F.col("n") < F.col("lo")) | (F.col("n") > F.col("hi"))).alias("outside"))
+    composition = with_small(counts, count_weights, "element").groupBy("item").agg(F.sum(F.col("weight") * F.col("n")).alias("composition"))
+    out = with_small(counts, ranges, "element").groupBy("item").agg(F.bool_or((F.col("n") < F.col("lo")) | (F.col("n") > F.col("hi"))).alias("outside"))
     terms = score_linear(items, features, term_weights).select("item", F.col("prediction").alias("connectivity"))
-    j = items.join(composition, "item", "left").join(terms, "item").join(mean_distance(items, features, moments), "item").join(out, "item", "left")
+    j = items.join(composition.hint("merge"), "item", "left").join(terms.hint("merge"), "item").join(mean_distance(items, features, moments).hint("merge"), "item").join(out.hint("merge"), "item", "left")
     j = j.withColumn("composition", F.coalesce("composition", F.lit(0.0)) + F.lit(card["intercept"]))
     codes = F.array_compact(F.array(F.when(F.col("distance") > card["q99"], F.lit("DISTANCE_OUTSIDE_Q99")), F.when(F.coalesce("outside", F.lit(False)), F.lit("COMPOSITION_OUTSIDE_RANGE"))))
     return j.withColumn("prediction", F.col("composition") + F.col("connectivity")).withColumn("warnings", codes).drop("outside")
@@ -211,22 +280,37 @@ def fit_ridge(items: DataFrame, features: DataFrame, alpha: float) -> tuple[floa
     """(intercept, weights): standardised ridge, the intercept without a penalty."""
     one = items.withColumn("grp", F.lit("all"))
     same = features.withColumn("grp", F.lit("all"))
-    weights = System.of(center_features(one, same), center_labels(one), "centered").ridge(alpha)
-    mean = {r["name"]: r["m"] for r in features.groupBy("name").agg(F.sum("value").alias("m")).collect()}
+    weights = System.in_groups(same, one, "label").ridge(alpha)
+    mean = {r["name"]: r["m"] for r in features.groupBy("name").agg(F.sum("value").alias("m")).collect()}  # as many as the system has, at most MOST_TERMS
     n, y = items.agg(F.count("*"), F.avg("label")).first()
     return float(y) - sum(w * mean[k] / n for k, w in weights.items()), weights
 
 
-def refine(items: DataFrame, design: DataFrame, residual: str, alpha: float) -> dict[str, float]:
-    """Anchored corrections: least |r - Z d|^2 + alpha |d|^2; alpha 0 gives the least norm. design(item, name, value)."""
+def refine(items: DataFrame, design: DataFrame, residual: str, alpha: float, scales: DataFrame | None = None) -> dict[str, float]:
+    """Anchored corrections: least |r - Z d|^2 + alpha |d|^2 over columns over their scale; alpha 0 gives the least norm.
+
+    design(item, name, value); scales(name, scale) has 1 for the intercept, the larger of 1 and the deviation for counts, and
+    stored scales for terms; a name without one has 1. Corrections are those of the unscaled columns, and the base is not changed.
+    """
     if items.count() < 2 or items.select("item").distinct().count() != items.count():
         raise ValueError("refinement needs two items at least, each once")
+    if items.where(~finite(F.col(residual))).limit(1).count():
+        raise ValueError("residuals must be finite")
+    if scales is not None:
+        design = with_small(design, scales, "name", "left").select("item", "name", (F.col("value") / F.coalesce("scale", F.lit(1.0))).alias("value"))
     s = System.of(design, items, residual)
     if alpha:
         w = np.linalg.solve(s.matrix + alpha * np.eye(len(s.names)), s.right)
     else:
         w = np.linalg.lstsq(s.matrix, s.right, rcond=None)[0]
-    return dict(zip(s.names, map(float, w), strict=True))
+    own = {r["name"]: r["scale"] for r in scales.where(F.col("name").isin(s.names)).collect()} if scales is not None else {}  # as many as terms
+    return {n: float(x) / own.get(n, 1.0) for n, x in zip(s.names, w, strict=True)}
+
+
+def count_scales(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """(name, scale) of count columns over all items: their deviation, 1 at least."""
+    moments = feature_moments(items, counts.select("item", F.col("element").alias("name"), F.col("n").cast("double").alias("value")))
+    return moments.select("name", F.greatest(F.col("scale"), F.lit(1.0)).alias("scale"))
 
 
 def tune_ridge(items: DataFrame, features: DataFrame, alphas: list[float], folds: int = 3, outer: int | None = None, preferred: float = 0.0) -> DataFrame:
@@ -235,21 +319,27 @@ def tune_ridge(items: DataFrame, features: DataFrame, alphas: list[float], folds
     One system a fold: all rows less the fold's; every alpha is solved from it on the driver.
     """
     spark = items.sparkSession
-    centered = center_features(items, features).withColumn("fold", fold_of(F.col("grp"), folds, outer)).cache()
-    rows = center_labels(items).withColumn("fold", fold_of(F.col("grp"), folds, outer)).cache()
-    whole = System.of(centered, rows, "centered")
-    listed = []
-    for fold in range(folds):
-        rest = whole.less(System.of(centered.where(F.col("fold") == fold), rows.where(F.col("fold") == fold), "centered"))
-        for alpha in alphas:
-            listed += [(alpha, fold, name, w) for name, w in rest.ridge(alpha).items()]
-    weights = spark.createDataFrame(listed, "alpha double, fold int, name string, weight double")
-    scored = centered.join(F.broadcast(weights), ["fold", "name"]).groupBy("alpha", "item").agg(F.sum(F.col("value") * F.col("weight")).alias("prediction"))
-    pooled = scored.join(rows.select("item", "grp", "label"), "item").withColumn("grp", F.concat_ws("@", F.col("alpha").cast("string"), "grp"))
+    features = checkpointed(features.withColumn("fold", fold_of(F.col("grp"), folds, outer)))
+    rows = checkpointed(items.withColumn("fold", fold_of(F.col("grp"), folds, outer)))
+    parts = System.by_fold(features, rows, "label", True)
+    whole = total(parts)
+    listed = [(alpha, fold, name, w) for fold, part in parts.items() for alpha in alphas for name, w in whole.less(part).ridge(alpha).items()]
+    weights = F.broadcast(spark.createDataFrame(listed, "alpha double, fold int, name string, weight double"))  # terms x folds x alphas
+    scored = features.join(weights, ["fold", "name"]).groupBy("alpha", "item").agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
+    # the group's mean, which centring takes off, changes no rank and no correlation in the group; absent items score 0
+    every = rows.select("item", "grp", "label").crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in alphas], "alpha double")))
+    pooled = every.join(scored.hint("merge"), ["alpha", "item"], "left").select("alpha", "item", "label", F.coalesce("s", F.lit(0.0)).alias("prediction"), F.concat_ws("@", F.col("alpha").cast("string"), "grp").alias("grp"))
     metrics = rank_metrics(pooled).withColumn("alpha", F.element_at(F.split("grp", "@"), 1).cast("double"))
     return composite(summarize_groups(metrics, "alpha")).select("alpha", "pearson", "spearman", "composite")
 
 
+def total(parts: dict[int, System]) -> System:
+    out = None
+    for part in parts.values():
+        out = part if out is None else out.plus(part)
+    return out
+
+
 def best_alpha(tuned: DataFrame, preferred: float = 0.0) -> DataFrame:
     """The alpha of highest composite; a tie goes to the one whose logarithm is nearest to the preferred one."""
     near = -F.abs(F.log10("alpha") - F.lit(preferred))
@@ -264,13 +354,12 @@ def nested_cv(items: DataFrame, features: DataFrame, alphas: list[float], outer:
         train, rest = items.where(folds != fold), items.where(folds == fold)
         tuned = best_alpha(tune_ridge(train, features.where(folds != fold), alphas, inner, fold)).first()
         w = weights_frame(spark, fit_group_ridge(train, features.where(folds != fold), tuned["alpha"]))
-        now = score_linear(rest, center_features(rest, features.where(folds == fold)), w).withColumn("fold", F.lit(fold))
+        now = score_centred(rest, features.where(folds == fold), w).withColumn("fold", F.lit(fold))
         out = now if out is None else out.unionByName(now)
     return out
 
 
 def ensemble_predict(members: DataFrame, weights: DataFrame) -> DataFrame:
     """(item, prediction, distance) of members(member, item, prediction, distance): weighted sums, the largest distance."""
-    total = weights.agg(F.sum("weight").alias("total"))
-    w = weights.crossJoin(total).select("member", (F.col("weight") / F.col("total")).alias("w"))
-    return members.join(F.broadcast(w.limit(MOST_TERMS)), "member").groupBy("item").agg(F.sum(F.col("w") * F.col("prediction")).alias("prediction"), F.max("distance").alias("distance"))
+    w = weights.crossJoin(F.broadcast(weights.agg(F.sum("weight").alias("total")))).select("member", (F.col("weight") / F.col("total")).alias("w"))
+    return with_small(members, w, "member").groupBy("item").agg(F.sum(F.col("w") * F.col("prediction")).alias("prediction"), F.max("distance").alias("distance"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortal.operators.loops import checkpointed
+from cohortal.operators.ordering import average_ranks, classes, quantiles, running, same
+
 TIE = 1e-12
+MOST_OF_A_GROUP = 2000  # rows whose pairs are made
 
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:
@@ -20,33 +24,63 @@ def avg_rank(value: str, *by: str) -> Column:
 
 def profile(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, sample deviation, minimum, exact quantiles, maximum."""
-    cuts = F.percentile(value, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), cuts.alias("q"), F.max(value).alias("max"))
-    return out.select(*by, "n", "mean", "std", "min", *(F.col("q")[k].alias(name) for k, name in enumerate(("q05", "q25", "median", "q75", "q95"))), "max")
+    cuts = quantiles(df, value, {"q05": 0.05, "q25": 0.25, "median": 0.5, "q75": 0.75, "q95": 0.95}, *by)
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    return same(out, cuts, list(by), "left").select(*by, "n", "mean", "std", "min", "q05", "q25", "median", "q75", "q95", "max")
 
 
 def regression_metrics(df: DataFrame, *by: str) -> DataFrame:
     """n, MAE, RMSE, median absolute error, R2, Pearson, Spearman and mean signed error of (label, prediction)."""
-    error = F.col("prediction") - F.col("label")
-    ranked = df.withColumn("_rl", avg_rank("label", *by)).withColumn("_rp", avg_rank("prediction", *by)).withColumn("_e", error)
+    rows = df.select(*by, "label", "prediction", (F.col("prediction") - F.col("label")).alias("_e")).withColumn("_a", F.abs("_e"))
+    ranked = average_ranks(average_ranks(rows, list(by), "label", "_rl"), list(by), "prediction", "_rp")
     square = F.sum(F.col("_e") * F.col("_e"))
-    return ranked.groupBy(*by).agg(
+    found = ranked.groupBy(*by).agg(
         F.count("*").alias("n"),
-        F.avg(F.abs("_e")).alias("mae"),
+        F.avg("_a").alias("mae"),
         F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"),
-        F.percentile(F.abs("_e"), F.lit(0.5)).alias("median_abs_error"),
         (1 - F.try_divide(square, F.var_pop("label") * F.count("*"))).alias("r2"),
         safe_corr("label", "prediction").alias("pearson"),
         safe_corr("_rl", "_rp").alias("spearman"),
         F.avg("_e").alias("mean_signed_error"),
     )
+    middle = quantiles(rows, "_a", {"median_abs_error": 0.5}, *by)
+    return same(found, middle, list(by), "left").select(*by, "n", "mae", "rmse", "median_abs_error", "r2", "pearson", "spearman", "mean_signed_error")
 
 
-def pairs(df: DataFrame, group: str = "grp", item: str = "item", columns: tuple[str, ...] = ("label", "prediction")) -> DataFrame:
-    """All unordered pairs of a group, item_a < item_b. Groups must be small: sample before."""
+def pairs(df: DataFrame, group: str = "grp", item: str = "item", columns: tuple[str, ...] = ("label", "prediction"), most: int = MOST_OF_A_GROUP) -> DataFrame:
+    """All unordered pairs of a group, item_a < item_b. For small groups: one of over `most` rows is an error, sample it before."""
     left = df.select(group, F.col(item).alias("item_a"), *(F.col(c).alias(f"{c}_a") for c in columns))
     right = df.select(group, F.col(item).alias("item_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
-    return left.join(right, group).where("item_a < item_b")
+    size = df.groupBy(group).agg(F.count("*").alias("_n"))
+    checked = size.select(group, F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"a group has over {most} rows; sample it before")).cast("boolean")).alias("_fits"))
+    left = left.join(checked.hint("merge"), group).where("_fits").drop("_fits")
+    return left.join(right.hint("merge"), group).where("item_a < item_b")
+
+
+def concordance(df: DataFrame, near: float = 0.0) -> DataFrame:
+    """(grp, concordance) of (grp, label, prediction): over pairs of a group with different labels, 1 if both orders agree and 1/2
+    if the predictions tie. Values no more than `near` apart in their order are equal.
+
+    Pairs are counted, not made. Labels are numbered in their order; two numbers first differ at one binary digit, which
+    makes a key of the digits above it; there, pairs of agreeing order are sums of rows with a 0 before each row
+    with a 1 in the order of the predictions. So each row counts once a digit, in keys that are split by range.
+    """
+    cells = df.where("label is not null and prediction is not null").groupBy("grp", "label", "prediction").agg(F.count("*").alias("w"))
+    cells = same(cells, classes(cells, ["grp"], "label", "rl", near), ["grp", "label"])
+    cells = same(cells, classes(cells, ["grp"], "prediction", "rp", near), ["grp", "prediction"])
+    cells = checkpointed(cells.groupBy("grp", "rl", "rp").agg(F.sum("w").alias("w")))
+    top = cells.groupBy("grp").agg(F.max("rl").alias("_top"), F.sum("w").alias("n"))
+    each = cells.groupBy("grp", "rl").agg(F.sum("w").alias("c")).groupBy("grp").agg(F.sum(F.col("c") * F.col("c")).alias("same"))
+    digits = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("_top") + 1.0)).cast("int"), F.lit(1)) - 1)
+    split = same(cells, top.where("_top > 0").select("grp", "_top"), ["grp"]).select("grp", "rl", "rp", "w", F.explode(digits).alias("digit"))
+    bit = F.call_function("shiftright", F.col("rl"), F.col("digit")).bitwiseAND(F.lit(1))
+    keyed = split.select("grp", "digit", F.call_function("shiftright", F.col("rl"), F.col("digit") + 1).alias("head"), "rp", F.when(bit == 0, F.col("w")).otherwise(0).alias("zero"), F.when(bit == 1, F.col("w")).otherwise(0).alias("one"))
+    keyed = keyed.groupBy("grp", "digit", "head", "rp").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+    placed = running(keyed, ["grp", "digit", "head"], ["rp"], {"before": "zero"})
+    agree = F.sum(F.col("one") * (F.col("before") + 0.5 * F.col("zero")))
+    score = placed.groupBy("grp").agg(agree.alias("agree"))
+    total = same(top, each, ["grp"]).select("grp", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
+    return same(total, score, ["grp"], "left").where("pairs > 0").select("grp", (F.coalesce("agree", F.lit(0.0)) / F.col("pairs")).alias("concordance"))
 
 
 def rank_metrics(df: DataFrame, mode: str = "tie_aware") -> DataFrame:
@@ -58,19 +92,16 @@ def rank_metrics(df: DataFrame, mode: str = "tie_aware") -> DataFrame:
     labels (within 1e-12). keep_ties: the same by exact equality. The last two keep every group.
     """
     near = 0.0 if mode == "keep_ties" else TIE
-    group = Window.partitionBy("grp")
-    ranked = df.withColumn("_rl", avg_rank("label", "grp")).withColumn("_rp", avg_rank("prediction", "grp"))
-    ranked = ranked.withColumn("_bl", F.col("label") <= F.min("label").over(group) + near).withColumn("_bp", F.col("prediction") <= F.min("prediction").over(group) + near)
+    rows = df.select("grp", "item", "label", "prediction")
+    ranked = average_ranks(average_ranks(rows, ["grp"], "label", "_rl"), ["grp"], "prediction", "_rp")
+    least = rows.groupBy("grp").agg(F.min("label").alias("_ml"), F.min("prediction").alias("_mp"))
+    ranked = same(ranked, least, ["grp"]).withColumn("_bl", F.col("label") <= F.col("_ml") + near).withColumn("_bp", F.col("prediction") <= F.col("_mp") + near)
     if mode == "drop_undefined":
         top = (F.min_by("item", F.struct("prediction", "item")) == F.min_by("item", F.struct("label", "item"))).cast("double")
     else:
         top = F.sum((F.col("_bl") & F.col("_bp")).cast("double")) / F.sum(F.col("_bp").cast("double"))
     per = ranked.groupBy("grp").agg(F.count("*").alias("size"), safe_corr("label", "prediction").alias("pearson"), safe_corr("_rl", "_rp").alias("spearman"), top.alias("top1"))
-    up, out = F.col("label_a") - F.col("label_b"), F.col("prediction_a") - F.col("prediction_b")
-    tied = F.abs(out) <= near
-    score = F.when(tied, 0.5).when(F.signum(up) == F.signum(out), 1.0).otherwise(0.0)
-    matched = pairs(df).where(F.abs(up) > near).groupBy("grp").agg(F.avg(score).alias("concordance"))
-    found = per.join(matched, "grp", "left").select("grp", "size", "pearson", "spearman", "concordance", "top1")
+    found = same(per, concordance(rows, near), ["grp"], "left").select("grp", "size", "pearson", "spearman", "concordance", "top1")
     return found.where("pearson is not null and spearman is not null") if mode == "drop_undefined" else found
 
 
@@ -99,8 +130,9 @@ def margin_bins(pairs_: DataFrame, bins: int = 5) -> DataFrame:
     """Pairs cut at exact quantiles of the absolute difference of predictions: n and mean correctness of each bin."""
     up, out = F.col("label_a") - F.col("label_b"), F.col("prediction_a") - F.col("prediction_b")
     right = F.when(out == 0, 0.5).when(F.signum(up) == F.signum(out), 1.0).otherwise(0.0)
-    found = pairs_.where(up != 0).select(F.abs(out).alias("margin"), right.alias("right"))
-    edges = found.agg(F.percentile("margin", F.array(*(F.lit(k / bins) for k in range(1, bins)))).alias("edges"))
+    found = checkpointed(pairs_.where(up != 0).select(F.abs(out).alias("margin"), right.alias("right")))
+    names = [f"e{k}" for k in range(1, bins)]
+    edges = quantiles(found, "margin", {n: k / bins for k, n in enumerate(names, 1)}).select(F.array(*names).alias("edges"))
     place = F.size(F.filter("edges", lambda e: F.col("margin") >= e)).alias("bin")  # half-open but for the last
     return found.crossJoin(F.broadcast(edges)).select(place, "margin", "right").groupBy("bin").agg(F.count("*").alias("n"), F.avg("margin").alias("mean_margin"), F.avg("right").alias("correctness"))
 
@@ -123,10 +155,10 @@ def is_partition(df: DataFrame, key: str, strata: dict[str, Column]) -> DataFram
 
 def draws(groups: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(rep, slot, place): for each replicate as many hash-driven draws of a place as there are rows in groups."""
-    n = groups.agg(F.count("*").alias("n"))
+    n = groups.count()
     spark = groups.sparkSession
     reps = spark.range(replicates).withColumnRenamed("id", "rep")
-    slots = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)))).alias("slot"), "n").where("n > 0")
+    slots = spark.range(n).select(F.col("id").alias("slot"), F.lit(n).alias("n"))
     return slots.crossJoin(F.broadcast(reps)).select("rep", "slot", F.pmod(F.xxhash64(F.lit(seed), "rep", "slot"), F.col("n")).alias("place"))
 
 
@@ -137,9 +169,9 @@ def bootstrap_ci(groups: DataFrame, value: str, replicates: int = 200, seed: int
     over rows. The draw counts of a replicate depend on the seed alone.
     """
     numbered = groups.select("grp", F.col(value).alias("v"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
-    numbered = numbered.withColumn("place", (F.row_number().over(Window.orderBy("grp")) - 1).cast("long"))
+    numbered = running(numbered.withColumn("_one", F.lit(1)), [], ["grp"], {"place": "_one"}).drop("_one")
     times = draws(groups, replicates, seed).groupBy("rep", "place").agg(F.count("*").alias("times"))
-    per = times.join(numbered, "place").groupBy("rep").agg((F.sum(F.col("times") * F.col("v")) / F.sum(F.col("times") * F.col("w"))).alias("stat"))
+    per = times.join(numbered.hint("merge"), "place").groupBy("rep").agg((F.sum(F.col("times") * F.col("v")) / F.sum(F.col("times") * F.col("w"))).alias("stat"))
     low = (1 - level) / 2
     ends = F.percentile("stat", F.array(F.lit(low), F.lit(1 - low)))
     point = numbered.agg((F.sum("v") / F.sum("w")).alias("estimate"))
@@ -149,13 +181,12 @@ def bootstrap_ci(groups: DataFrame, value: str, replicates: int = 200, seed: int
 def permutation_null(df: DataFrame, replicates: int = 50, seed: int = 11) -> DataFrame:
     """Labels permuted inside groups: mean correlation of each replicate, its range, and the add-one p value."""
     spark = df.sparkSession
-    reps = spark.range(replicates).select(F.col("id").cast("int").alias("rep"))
-    many = df.select("grp", "item", "label", "prediction").crossJoin(F.broadcast(reps))
-    by_item = Window.partitionBy("rep", "grp").orderBy("item")
-    by_hash = Window.partitionBy("rep", "grp").orderBy(F.xxhash64(F.lit(seed), "rep", "item"), "item")
-    placed = many.withColumn("at", F.row_number().over(by_item)).withColumn("to", F.row_number().over(by_hash))
-    moved = placed.select("rep", "grp", F.col("to").alias("at"), F.col("label").alias("moved"))
-    joined = placed.select("rep", "grp", "at", "prediction").join(moved, ["rep", "grp", "at"])
+    reps = F.broadcast(spark.range(replicates).select(F.col("id").cast("int").alias("rep")))
+    rows = checkpointed(running(df.select("grp", "item", "label", "prediction").withColumn("_one", F.lit(1)), ["grp"], ["item"], {"at": "_one"}).drop("_one"))
+    many = rows.crossJoin(reps).select("rep", "grp", "item", "label", "at", "prediction", F.lit(1).alias("_one"))
+    # a permuted place is the place in the order of a hash
+    moved = running(many.select("rep", "grp", F.xxhash64(F.lit(seed), "rep", "item").alias("_h"), "item", "label", "_one"), ["rep", "grp"], ["_h", "item"], {"at": "_one"}).select("rep", "grp", "at", F.col("label").alias("moved"))
+    joined = many.select("rep", "grp", "at", "prediction").join(moved.hint("merge"), ["rep", "grp", "at"])
     per = joined.groupBy("rep", "grp").agg(safe_corr("moved", "prediction").alias("r")).groupBy("rep").agg(F.avg("r").alias("r"))
     seen = df.groupBy("grp").agg(safe_corr("label", "prediction").alias("r")).agg(F.avg("r").alias("observed"))
     ends = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))
@@ -163,6 +194,22 @@ def permutation_null(df: DataFrame, replicates: int = 50, seed: int = 11) -> Dat
     return out.select("observed", "mean", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"), "max", "p")
 
 
+def long_metrics(df: DataFrame, model: str) -> DataFrame:
+    """(model, metric, value) rows of a table with a row a model and a column a metric."""
+    names = [c for c in df.columns if c != model]
+    return df.select(F.col(model).alias("model"), F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))).alias("m")).select("model", "m.metric", "m.value")
+
+
+def reaggregate(groups: DataFrame, medians: DataFrame, old: DataFrame, far: float = 0.5, near: float = 0.7) -> DataFrame:
+    """(stratum, groups, items, pearson): strata by similarity from stored groups(grp, size, pearson) and medians(grp, median), and
+    the old strata that they do not replace. Each stored group must fall into one stratum."""
+    stratum = F.when(F.col("median") <= far, "far").when(F.col("median") <= near, "mid").when(F.col("median").isNotNull(), "near")
+    placed = groups.join(medians.hint("merge"), "grp", "left").withColumn("stratum", stratum)
+    placed = placed.withColumn("stratum", F.coalesce("stratum", F.raise_error(F.concat(F.lit("no median for group "), F.col("grp").cast("string"))).cast("string")))
+    new = placed.groupBy("stratum").agg(F.count("*").alias("groups"), F.sum("size").alias("items"), F.avg("pearson").alias("pearson"))
+    return new.unionByName(old.where(~F.col("stratum").isin("far", "mid", "near")))
+
+
 def paired_delta(left: DataFrame, right: DataFrame, *metrics: str) -> DataFrame:
     """Per group the difference left minus right of each metric; groups of both tables."""
     r = right.select("grp", *(F.col(m).alias(f"_{m}") for m in metrics))

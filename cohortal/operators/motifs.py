@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortal.operators.graph import directed
+from cohortal.operators.graph import count_of, directed, flag
 from cohortal.operators.loops import checkpointed
 
 MOST_ROUNDS = 50
@@ -81,14 +81,36 @@ def rigid_pairs(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFra
 
 
 def expand_orbitals(atoms: DataFrame, bonds: DataFrame, pi: DataFrame) -> DataFrame:
-    """(mol_id, atom_id, orbital, electrons, scale): one orbital an included atom, two for a triple bond or two double ones.
+    """(mol_id, atom_id, orbital, electrons, scale): the p orbitals of each atom, numbered from 0.
 
-    A lone-pair donor brings two electrons, its coupling scaled by one over the root of its coupled neighbours.
+    An included atom has one, with its electrons. With one electron each: two at either end of a triple bond, two at the SP
+    middle of two double bonds, and one for each multiple bond of a sulfur that has two to oxygen. N, O or S with a lone
+    pair and none of these, single-bonded to an orbital over a conjugated bond or to such a sulfur, gives one of two electrons;
+    scale is what its coupling shrinks by when it meets several orbitals of one sulfur.
     """
-    doubles = directed(bonds).where("bond_order >= 2").groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.count("*").alias("doubles"))
-    on = pi.where("included")
-    near = directed(bonds).join(on.select("mol_id", F.col("atom_id").alias("b")), ["mol_id", "b"], "left_semi").groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.count("*").alias("coupled"))
-    j = on.join(doubles, ["mol_id", "atom_id"], "left").join(near, ["mol_id", "atom_id"], "left")
-    many = F.when((F.col("reason") == "triple") | (F.col("doubles") >= 2), 2).otherwise(1)
-    scale = F.when((F.col("reason") == "lone_pair") & (F.col("coupled") > 0), 1 / F.sqrt(F.col("coupled").cast("double"))).otherwise(1.0)
-    return j.select("mol_id", "atom_id", F.explode(F.sequence(F.lit(0), many - 1)).alias("orbital"), "electrons", scale.alias("scale"))
+    flags = bonds.select("mol_id", "a", "b", "bond_order", flag(bonds, "bond_aromatic").alias("ring"), flag(bonds, "conjugated").alias("conjugated"))
+    ways = flags.unionByName(flags.select("mol_id", F.col("b").alias("a"), F.col("a").alias("b"), "bond_order", "ring", "conjugated"))
+    element = atoms.select("mol_id", "atom_id", "element")
+    around = ways.join(element.select("mol_id", F.col("atom_id").alias("b"), F.col("element").alias("other")).hint("merge"), ["mol_id", "b"])
+    order = F.col("bond_order")
+    counted = around.groupBy("mol_id", F.col("a").alias("atom_id")).agg(
+        F.bool_or(order >= 2.5).alias("triple"),
+        F.sum(((order >= 1.5) & (order < 2.5) & ~F.col("ring")).cast("int")).alias("doubles"),
+        F.sum(((order >= 1.5) & (F.col("other") == "O")).cast("int")).alias("oxygens"),
+    )
+    own = atoms.join(pi.select("mol_id", "atom_id", "electrons").hint("merge"), ["mol_id", "atom_id"]).join(counted.hint("merge"), ["mol_id", "atom_id"], "left")
+    hybrid = F.col("hybridization") if "hybridization" in atoms.columns else F.lit(None).cast("string")
+    triple = F.coalesce("triple", F.lit(False))
+    middle = F.coalesce((F.col("doubles") == 2) & (hybrid == "SP"), F.lit(False)) & (triple | F.col("electrons").isNotNull())
+    sulfur = F.when((F.col("element") == "S") & (F.col("oxygens") >= 2), F.col("oxygens")).otherwise(0)
+    many = F.greatest(F.col("electrons").isNotNull().cast("int"), F.when(triple, 2).otherwise(0), F.when(middle, 2).otherwise(0), sulfur)
+    donor = F.col("element").isin("N", "O", "S") & (F.col("formal_charge") <= 0) & (count_of(atoms, "lone_pairs") > 0)
+    own = own.select("mol_id", "atom_id", "electrons", many.alias("many"), sulfur.alias("sulfur"), (triple | F.coalesce((F.col("doubles") == 2) & (hybrid == "SP"), F.lit(False)) | (sulfur > 0)).alias("ones"), donor.alias("donor"))
+    own = checkpointed(own)
+    plain = own.where("many > 0").select("mol_id", "atom_id", F.explode(F.sequence(F.lit(0), F.col("many").cast("int") - 1)).alias("orbital"), F.when(F.col("ones"), 1).otherwise(F.col("electrons")).alias("electrons"), F.lit(1.0).alias("scale"))
+    targets = own.where("many > 0").select("mol_id", F.col("atom_id").alias("b"), "sulfur")
+    near = ways.where(order < 1.5).join(targets.hint("merge"), ["mol_id", "b"]).where((F.col("sulfur") > 0) | F.col("conjugated"))
+    scale = 1 / F.sqrt(F.max(F.greatest("sulfur", F.lit(1))).cast("double"))
+    near = near.groupBy("mol_id", F.col("a").alias("atom_id")).agg(scale.alias("scale"))
+    donors = own.where("many = 0 and donor").join(near.hint("merge"), ["mol_id", "atom_id"]).select("mol_id", "atom_id", F.lit(0).alias("orbital"), F.lit(2).alias("electrons"), "scale")
+    return plain.unionByName(donors)

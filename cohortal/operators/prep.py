@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortal.functions.scalars import first_reason, reaction_components
+from cohortal.operators.graph import count_of
+from cohortal.operators.loops import with_small
 
 
 def split_reactions(raw: DataFrame, text: str = "s", location: str = "location") -> DataFrame:
@@ -104,8 +106,9 @@ def group_ceiling(df: DataFrame, column: str, most: float) -> DataFrame:
 def drop_unseen(evaluation: DataFrame, training: DataFrame, elements: str = "elements") -> DataFrame:
     """Evaluation rows of groups that hold no element which training lacks."""
     known = training.select(F.explode(elements).alias("e")).distinct()
-    strange = evaluation.select("grp", F.explode(elements).alias("e")).join(F.broadcast(known.limit(1000)), "e", "left_anti").select("grp").distinct()
-    return evaluation.join(strange, "grp", "left_anti")
+    strange = evaluation.select("grp", F.explode(elements).alias("e"))
+    strange = with_small(strange, known, "e", "left_anti").select("grp").distinct()
+    return evaluation.join(strange.hint("merge"), "grp", "left_anti")
 
 
 def apply_firewall(evaluation: DataFrame, training: DataFrame, identity: str, by_group_first: bool = False) -> DataFrame:
@@ -135,17 +138,33 @@ def pending_rows(manifest: DataFrame, finished: DataFrame, keys: list[str], retr
 
 
 def upsert(table: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The latest row of each key."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
-    return table.withColumn("_place", place).where("_place = 1").drop("_place")
-
-
-def validate_domain(atoms: DataFrame, components: DataFrame, supported: tuple[str, ...], strict: bool = False) -> DataFrame:
-    """(mol_id, reason): the first of several components, unsupported element, charge; null where a molecule passes."""
-    per = atoms.groupBy("mol_id").agg(F.count("*").alias("n"), F.bool_or(~F.col("element").isin(*supported)).alias("strange"), F.sum("formal_charge").alias("charge"))
+    """The latest row of each key; partial maxima meet in the shuffle, so that a key of very many rows is no burden."""
+    rest = F.xxhash64(*sorted(c for c in table.columns if c not in keys))  # a tie goes by the rest of the row
+    row = F.struct(*(c for c in table.columns if c not in keys))
+    return table.groupBy(*keys).agg(F.max_by(row, F.struct(order, rest)).alias("_row")).select(*(c if c in keys else F.col("_row")[c].alias(c) for c in table.columns))
+
+
+def validate_domain(atoms: DataFrame, components: DataFrame, supported: tuple[str, ...], strict: bool = False, molecules: DataFrame | None = None, charges: tuple[int, ...] = (0,)) -> DataFrame:
+    """(mol_id, reason): the first of empty, disconnected, isotope, unsupported_element, charged and radical; null where a
+    molecule passes. molecules(mol_id) tells of those without atoms; strict raises at the first reason."""
+    per = atoms.groupBy("mol_id").agg(
+        F.bool_or(count_of(atoms, "isotope") != 0).alias("isotope"),
+        F.bool_or(~F.coalesce(F.col("element").isin(*supported), F.lit(False))).alias("strange"),
+        F.sum("formal_charge").alias("charge"),
+        F.sum(count_of(atoms, "radical_electrons")).alias("radicals"),
+    )
     parts = components.groupBy("mol_id").agg(F.countDistinct("comp").alias("parts"))
-    reason = first_reason((F.col("parts") > 1, "disconnected"), (F.col("strange"), "unsupported_element"), (F.col("charge") != 0, "charged"))
-    out = per.join(parts, "mol_id").select("mol_id", reason.alias("reason"))
+    known = per.join(parts.hint("merge"), "mol_id", "left").withColumn("held", F.lit(True))
+    every = known if molecules is None else molecules.select("mol_id").distinct().join(known.hint("merge"), "mol_id", "left")
+    rules = [
+        (F.col("held").isNull(), "empty"),
+        (F.col("parts") > 1, "disconnected"),
+        (F.col("isotope"), "isotope"),
+        (F.col("strange"), "unsupported_element"),
+        (~F.col("charge").isin(*charges), "charged"),
+        (F.col("radicals") != 0, "radical"),
+    ]
+    out = every.select("mol_id", first_reason(*rules).alias("reason"))
     if strict:
         out = out.withColumn("reason", F.when(F.col("reason").isNotNull(), F.raise_error(F.concat_ws(" ", F.lit("not in the domain:"), F.col("mol_id").cast("string"), "reason")).cast("string")))
     return out

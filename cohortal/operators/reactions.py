@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortal.functions.scalars import pair_gap
+from cohortal.functions.scalars import finite, pair_gap
+from cohortal.operators.graph import count_of
+from cohortal.operators.ordering import running
 
-#: The most bonds of an element.
-MAX_VALENCE = {"H": 1, "B": 3, "C": 4, "N": 3, "O": 2, "F": 1, "Si": 4, "P": 5, "S": 6, "Cl": 1, "Br": 1, "I": 1}
+#: The most bonds of an element that a proposed bond may bring it to.
+MAX_VALENCE = {"H": 1, "B": 4, "C": 4, "N": 4, "O": 3, "F": 1, "Si": 4, "P": 5, "S": 6, "Cl": 1, "Br": 1, "I": 1}
+#: Weights of the terms of a pair's score.
+PAIR_WEIGHTS = {"fmo": 1.0, "hsab": 0.25, "charge": 0.05, "accessibility": 0.1}
 
 
 def bond_changes(left: DataFrame, right: DataFrame, keys: list[str], keep_unchanged: bool = False) -> DataFrame:
@@ -54,12 +58,12 @@ def candidate_pairs(atoms: DataFrame) -> DataFrame:
 
 
 def valence_allowed(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
-    """(mol_id, atom_id, allowed): whether one more single bond fits the element's most."""
+    """(mol_id, atom_id, allowed): whether one more single bond fits the element's most; never at an open-shell atom or an unknown element."""
     both = bonds.select("mol_id", F.col("a").alias("atom_id"), "bond_order").union(bonds.select("mol_id", "b", "bond_order"))
     used = both.groupBy("mol_id", "atom_id").agg(F.sum("bond_order").alias("used"))
     most = F.coalesce(*(F.when(F.col("element") == k, F.lit(v)) for k, v in MAX_VALENCE.items()))
-    fits = F.coalesce("used", F.lit(0.0)) + F.col("total_hcount") + 1 <= most
-    return atoms.join(used, ["mol_id", "atom_id"], "left").select("mol_id", "atom_id", F.coalesce(fits, F.lit(False)).alias("allowed"))
+    fits = (count_of(atoms, "radical_electrons") == 0) & (F.coalesce("used", F.lit(0.0)) + F.col("total_hcount") + 1 <= most)
+    return atoms.join(used.hint("merge"), ["mol_id", "atom_id"], "left").select("mol_id", "atom_id", F.coalesce(fits, F.lit(False)).alias("allowed"))
 
 
 def merge_frontiers(systems: DataFrame) -> DataFrame:
@@ -70,20 +74,40 @@ def merge_frontiers(systems: DataFrame) -> DataFrame:
 
 
 def hsab(homo: Column, lumo: Column, floor: float = 0.05) -> dict[str, Column]:
-    """Electronegativity, hardness and softness of a component; the hardness has a floor."""
-    hardness = F.greatest((lumo - homo) / 2, F.lit(floor))
-    return {"electronegativity": -(homo + lumo) / 2, "hardness": hardness, "softness": 1 / (2 * hardness)}
+    """Electronegativity, hardness and softness of a component; the softness is that of a hardness of `floor` at least."""
+    hardness = (lumo - homo) / 2
+    return {"electronegativity": -(homo + lumo) / 2, "hardness": hardness, "softness": 1 / F.greatest(hardness, F.lit(floor))}
 
 
-def score_pairs(pairs: DataFrame, floor: float = 0.05, weights: tuple[float, float, float] = (1.0, 0.5, 0.25)) -> DataFrame:
-    """pairs(..., homo_a, lumo_a, hd_a, ld_a, q_a and the same of b) with both directions' gaps, the better one, and the score."""
-    gap_ab, fmo_ab, code_ab = pair_gap(F.col("homo_a"), F.col("lumo_b"), F.col("hd_a") * F.col("ld_b"), floor)
-    gap_ba, fmo_ba, code_ba = pair_gap(F.col("homo_b"), F.col("lumo_a"), F.col("hd_b") * F.col("ld_a"), floor)
-    forward = fmo_ab >= fmo_ba
-    a, b = hsab(F.col("homo_a"), F.col("lumo_a"), floor), hsab(F.col("homo_b"), F.col("lumo_b"), floor)
-    soft = a["softness"] * F.col("hd_a") * b["softness"] * F.col("ld_b")
-    score = weights[0] * F.greatest(fmo_ab, fmo_ba) + weights[1] * soft - weights[2] * F.col("q_a") * F.col("q_b")
-    return pairs.withColumn("direction", F.when(forward, "a_to_b").otherwise("b_to_a")).withColumn("gap", F.when(forward, gap_ab).otherwise(gap_ba)).withColumn("code", F.when(forward, code_ab).otherwise(code_ba)).withColumn("score", score)
+def accessibility(pi: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol_id, atom_id, accessibility): one over one more than the neighbours outside the pi systems."""
+    both = bonds.select("mol_id", F.col("a").alias("atom_id"), F.col("b").alias("other")).union(bonds.select("mol_id", "b", "a"))
+    outside = both.join(pi.where("included").select("mol_id", F.col("atom_id").alias("other")).hint("merge"), ["mol_id", "other"], "left_anti")
+    many = outside.groupBy("mol_id", "atom_id").agg(F.count("*").alias("n"))
+    return pi.select("mol_id", "atom_id").join(many.hint("merge"), ["mol_id", "atom_id"], "left").select("mol_id", "atom_id", (1.0 / (1 + F.coalesce("n", F.lit(0)))).alias("accessibility"))
+
+
+def score_pairs(pairs: DataFrame, floor: float = 0.05, weights: dict[str, float] = PAIR_WEIGHTS) -> DataFrame:
+    """pairs(..., homo_a, lumo_a, hd_a, ld_a, q_a, acc_a and the same of b) with the terms of the score, and the score.
+
+    fmo_a_to_b and fmo_b_to_a: density products over the directional gaps, both of which count; hsab: local softness
+    products of both directions; charge: minus the product of the charges; accessibility: the sum of both ends'. direction
+    names the stronger of the two, or mixed; codes are those of either direction.
+    """
+    _, forward, code_ab = pair_gap(F.col("homo_a"), F.col("lumo_b"), F.col("hd_a") * F.col("ld_b"), floor)
+    _, backward, code_ba = pair_gap(F.col("homo_b"), F.col("lumo_a"), F.col("hd_b") * F.col("ld_a"), floor)
+    soft = [F.coalesce(hsab(F.col(f"homo_{c}"), F.col(f"lumo_{c}"), floor)["softness"], F.lit(0.0)) for c in "ab"]
+    terms = {
+        "fmo_a_to_b": forward,
+        "fmo_b_to_a": backward,
+        "hsab": soft[0] * soft[1] * (F.col("hd_a") * F.col("ld_b") + F.col("hd_b") * F.col("ld_a")),
+        "charge": -F.col("q_a") * F.col("q_b"),
+        "accessibility": F.col("acc_a") + F.col("acc_b"),
+    }
+    scored = pairs.select("*", *(c.alias(n) for n, c in terms.items()), F.array_compact(F.array(code_ab, code_ba)).alias("codes"))
+    score = weights["fmo"] * (F.col("fmo_a_to_b") + F.col("fmo_b_to_a")) + sum((weights[n] * F.col(n) for n in ("hsab", "charge", "accessibility")), F.lit(0.0))
+    direction = F.when(F.col("fmo_a_to_b") > F.col("fmo_b_to_a"), "A_to_B").when(F.col("fmo_b_to_a") > F.col("fmo_a_to_b"), "B_to_A").otherwise("mixed")
+    return scored.withColumn("score", score).withColumn("direction", direction)
 
 
 def rank_pairs(scored: DataFrame, k: int) -> DataFrame:
@@ -92,18 +116,64 @@ def rank_pairs(scored: DataFrame, k: int) -> DataFrame:
 
 
 def group_equivalent_pairs(scored: DataFrame) -> DataFrame:
-    """(mol_id, key, a, b, n): pairs of equal rounded score as one, with the first pair and their number."""
-    key = F.round("score", 10)
-    return scored.groupBy("mol_id", key.alias("key")).agg(F.min(F.struct("a", "b")).alias("p"), F.count("*").alias("n")).select("mol_id", "key", "p.a", "p.b", "n")
+    """(mol_id, a, b, score, n, pairs): pairs whose ends are alike as one, with the first pair, its score, and the list.
+
+    Alike are ends of equal element, formal charge, densities (to ten digits) and accessibility; scored has them as
+    element_, charge_, hd_, ld_ and acc_ of a and b.
+    """
+    alike = [F.round(f"{c}_{x}", 10) if c in ("hd", "ld") else F.col(f"{c}_{x}") for x in "ab" for c in ("element", "charge", "hd", "ld", "acc")]
+    keys = [c.alias(f"_k{k}") for k, c in enumerate(alike)]
+    listed = F.array_sort(F.collect_list(F.struct("a", "b")))  # the pairs of one molecule
+    found = scored.groupBy("mol_id", *keys).agg(F.min(F.struct("a", "b", "score")).alias("p"), F.count("*").alias("n"), listed.alias("pairs"))
+    return found.select("mol_id", "p.a", "p.b", "p.score", "n", "pairs")
 
 
-def score_its(delta: DataFrame, terms: DataFrame, weights: dict[str, float], status: DataFrame) -> DataFrame:
-    """(reaction, status, score): the state's delta plus weighted edit terms; null where the mapping is unsupported."""
+def formed_pairs(scored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Per molecule with formed bonds: sums of the terms over the scored pairs that become bonds, and whether one has no row.
+
+    changes(mol_id, a, b, kind); a pair is the same in either order.
+    """
+    order = lambda df: df.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
+    formed = order(changes.where("kind = 'formed'")).select("mol_id", "lo", "hi").distinct()
+    terms = order(scored).select("mol_id", "lo", "hi", (F.col("fmo_a_to_b") + F.col("fmo_b_to_a")).alias("fmo"), "hsab", "charge")
+    j = formed.join(terms.hint("merge"), ["mol_id", "lo", "hi"], "left")
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("fmo", "hsab", "charge")]
+    warning = F.when(F.bool_or(F.col("fmo").isNull()), "FORMED_BOND_NOT_PAIR_SCORABLE")
+    return j.groupBy("mol_id").agg(F.count("*").alias("formed"), *sums, warning.alias("warning"))
+
+
+def score_its(delta: DataFrame, terms: DataFrame, weights: dict[str, float], status: DataFrame, formed: DataFrame | None = None) -> DataFrame:
+    """(reaction, status, score): the state's delta plus weighted edit terms, less the stabilization of formed(reaction,
+    stabilization) bonds; null where the mapping is unsupported."""
     w = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in weights.items()), F.lit(0.0))
     penalty = terms.groupBy("reaction").agg(F.sum(F.col("change") * w).alias("penalty"))
-    j = status.join(delta.select("reaction", "delta"), "reaction", "left").join(penalty, "reaction", "left")
+    j = status.join(delta.select("reaction", "delta").hint("merge"), "reaction", "left").join(penalty.hint("merge"), "reaction", "left")
+    j = j.join(formed.select("reaction", "stabilization").hint("merge"), "reaction", "left") if formed is not None else j.withColumn("stabilization", F.lit(0.0))
     good = F.col("status") == "success"
-    return j.select("reaction", "status", F.when(good, F.col("delta") + F.coalesce("penalty", F.lit(0.0))).alias("score"))
+    return j.select("reaction", "status", F.when(good, F.col("delta") + F.coalesce("penalty", F.lit(0.0)) - F.coalesce("stabilization", F.lit(0.0))).alias("score"))
+
+
+#: The families of scorers by name: functions from reactions(reaction, delta, edits) and constants to a column `score`.
+SCORERS: dict[str, Callable[[DataFrame, dict[str, float]], DataFrame]] = {
+    "GRAPH": lambda df, _: df.withColumn("score", F.col("delta")),
+    "ITS": lambda df, constants: df.withColumn("score", F.col("delta") + F.lit(constants.get("edit", 0.0)) * F.col("edits")),
+}
+
+
+def score_with(name: str, reactions: DataFrame, constants: dict[str, float] | None = None) -> DataFrame:
+    """reactions with the score of the scorer of that name; a null delta gives a null score."""
+    if name not in SCORERS:
+        raise ValueError(f"unknown scorer {name}; known are {', '.join(sorted(SCORERS))}")
+    return SCORERS[name](reactions, constants or {})
+
+
+def lowest_per_item(candidates: DataFrame) -> DataFrame:
+    """(item, candidate, energy): the candidate of least energy, ties to the smaller one; null and non-finite energies have
+    failed, and an item with no other is an error."""
+    good = F.when(finite(F.col("energy")), F.struct("energy", "candidate"))
+    per = candidates.groupBy("item").agg(F.min(good).alias("p"))
+    none = F.raise_error(F.concat(F.lit("no candidate with an energy for item "), F.col("item").cast("string")))
+    return per.select("item", F.coalesce(F.col("p.candidate"), none.cast(candidates.schema["candidate"].dataType)).alias("candidate"), "p.energy")
 
 
 def sort_reactions(df: DataFrame, keep_order: bool = False) -> DataFrame:
@@ -111,6 +181,13 @@ def sort_reactions(df: DataFrame, keep_order: bool = False) -> DataFrame:
     return df.orderBy("ix") if keep_order else df.orderBy(F.col("score").asc_nulls_last(), "ix")
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """df with its place from 1 in the order of sort_reactions(); ix tells rows apart."""
+    rows = df.withColumn("_failed", F.col("score").isNull().cast("int")).withColumn("_one", F.lit(1))
+    out = running(rows, [], ["_failed", "score", "ix"], {"_before": "_one"})
+    return out.withColumn("place", F.col("_before") + 1).drop("_failed", "_one", "_before")
+
+
 def screen(df: DataFrame, k: int, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """df(item, score) with `final` and `status`: the k lowest scores go to `evaluate` once each, the others pass.
 
@@ -118,6 +195,6 @@ def screen(df: DataFrame, k: int, evaluate: Callable[[DataFrame], DataFrame]) ->
     """
     chosen = df.where("score is not null").orderBy("score", "item").limit(k).select("item").distinct()
     values = evaluate(chosen).withColumn("_seen", F.lit(True))
-    j = df.join(values, "item", "left")
+    j = df.join(values.hint("merge"), "item", "left")
     status = F.when(F.col("score").isNull(), "failed").when(F.col("_seen") & F.col("value").isNull(), "evaluation_failed").when(F.col("_seen"), "evaluated").otherwise("screened")
     return j.select(*df.columns, F.coalesce("value", "score").alias("final"), status.alias("status"))

@@ -11,14 +11,10 @@ from cohortal.operators import cohort, linear, metrics, prep
 
 def fold_supports(items: DataFrame, features: DataFrame, alpha: float, folds: int = 3) -> dict[int, set[str]]:
     """The lasso support of each fold's training rows, from one system less the fold's."""
-    centered = linear.center_features(items, features).withColumn("fold", cohort.fold_of(F.col("grp"), folds)).cache()
-    rows = linear.center_labels(items).withColumn("fold", cohort.fold_of(F.col("grp"), folds)).cache()
-    whole = linear.System.of(centered, rows, "centered")
-    out = {}
-    for fold in range(folds):
-        part = linear.System.of(centered.where(F.col("fold") == fold), rows.where(F.col("fold") == fold), "centered")
-        out[fold] = set(whole.less(part).lasso(alpha))
-    return out
+    fold = cohort.fold_of(F.col("grp"), folds)
+    parts = linear.System.by_fold(features.withColumn("fold", fold), items.withColumn("fold", fold), "label", True)
+    whole = linear.total(parts)
+    return {k: set(whole.less(part).lasso(alpha)) for k, part in parts.items()}
 
 
 def tune_support(items: DataFrame, features: DataFrame, lassos: list[float], ridges: list[float], folds: int = 3) -> DataFrame:
@@ -64,7 +60,7 @@ def baseline_ladder(items: DataFrame, counts: DataFrame, features: DataFrame, we
     scored = linear.score_linear(items, features, weights)
     both = with_composition(scored.withColumn("rest", F.col("label") - F.col("prediction")), counts, "rest")
     steps = {
-        "mean": items.crossJoin(items.agg(F.avg("label").alias("prediction"))),
+        "mean": items.crossJoin(F.broadcast(items.agg(F.avg("label").alias("prediction")))),
         "composition": with_composition(items, counts, "label").withColumn("prediction", F.col("composition")),
         "composition_size": with_composition(items, counts.unionByName(size), "label").withColumn("prediction", F.col("composition")),
         "connectivity": scored,
@@ -79,7 +75,7 @@ def baseline_ladder(items: DataFrame, counts: DataFrame, features: DataFrame, we
 
 def ablate_blocks(items: DataFrame, counts: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
     """(block, metrics...): one family of terms left out, the composition fitted again."""
-    blocks = [r["family"] for r in weights.select(feature_family(F.col("name")).alias("family")).distinct().orderBy("family").limit(50).collect()]
+    blocks = [r["family"] for r in weights.select(feature_family(F.col("name")).alias("family")).distinct().orderBy("family").collect()]  # at most as many as feature_family() names
     out = None
     for block in blocks:
         rest = weights.where(feature_family(F.col("name")) != block)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortal.functions import hashing as H
 from cohortal.functions import scalars as S
 from cohortal.operators import cohort, enrich, graph, linear, metrics, motifs, prep, reactions, studies
+from cohortal.operators.loops import checkpointed
 from cohortal.plans import bindings as B
 
 QUERIES: dict = {}
@@ -285,13 +286,6 @@ def finite_labels(spark, d):
     return p.select(F.col("p_partkey").alias("item"), value.alias("label"), reason.alias("reason"))
 
 
-@query("feature_families")
-def feature_families(spark, d):
-    counts = graph.env_counts(B.atoms(spark, d), B.bonds(spark, d)).select("name").distinct()
-    kept = counts.withColumn("family", S.feature_family(F.col("name"))).withColumn("compact", S.is_compact(F.col("name")))
-    return kept.groupBy("family", "compact").agg(F.count("*").alias("terms"))
-
-
 # ---------------------------------------------------------------- cohorts
 @query("hash_split", f"WITH {B.ITEMS}, s AS (SELECT item, grp, CASE WHEN {_SPLIT} < 0.2 THEN 'external' WHEN {_SPLIT} < 0.2::DOUBLE + 0.1::DOUBLE THEN 'validation' ELSE 'training' END AS split FROM items) SELECT split, count(DISTINCT grp) AS groups, count(*) AS items, count(DISTINCT item) AS identities FROM s GROUP BY 1")
 def hash_split(spark, d):
@@ -416,10 +410,10 @@ def regression_metrics(spark, d):
     return rounded(metrics.regression_metrics(B.scored(spark, d), "grp"), "mae", "rmse", "median_abs_error", "r2", "pearson", "spearman", "mean_signed_error")
 
 
-_RANK_SQL = f"""WITH {_SAMPLE}, {_RANKED.format(src='sampled')},
+_RANK_SQL = f"""WITH {B.SCORED}, {_RANKED.format(src='scored')},
 flags AS (SELECT *, label <= min(label) OVER (PARTITION BY grp) + {{near}} AS bl, prediction <= min(prediction) OVER (PARTITION BY grp) + {{near}} AS bp FROM ranked),
 per AS (SELECT grp, count(*) AS size, {_CORR.format(x='label', y='prediction')} AS pearson, {_CORR.format(x='rl', y='rp')} AS spearman, {{top}} AS top1 FROM flags GROUP BY 1),
-conc AS (SELECT a.grp, avg(CASE WHEN abs(a.prediction - b.prediction) <= {{near}} THEN 0.5 WHEN sign(a.label - b.label) = sign(a.prediction - b.prediction) THEN 1.0 ELSE 0.0 END) AS concordance FROM sampled a JOIN sampled b ON a.grp = b.grp AND a.item < b.item WHERE abs(a.label - b.label) > {{near}} GROUP BY 1),
+conc AS (SELECT a.grp, avg(CASE WHEN abs(a.prediction - b.prediction) <= {{near}} THEN 0.5 WHEN sign(a.label - b.label) = sign(a.prediction - b.prediction) THEN 1.0 ELSE 0.0 END) AS concordance FROM scored a JOIN scored b ON a.grp = b.grp AND a.item < b.item WHERE abs(a.label - b.label) > {{near}} GROUP BY 1),
 found AS (SELECT per.grp, size, pearson, spearman, concordance, CAST(top1 AS DOUBLE) AS top1 FROM per LEFT JOIN conc ON per.grp = conc.grp {{keep}})"""
 _SHARE = "sum(CASE WHEN bl AND bp THEN 1 ELSE 0 END) / sum(CASE WHEN bp THEN 1 ELSE 0 END)"
 _FIRST = "CASE WHEN first(item ORDER BY prediction, item) = first(item ORDER BY label, item) THEN 1 ELSE 0 END"
@@ -428,7 +422,7 @@ _COLUMNS = f"SELECT grp, size, round(pearson, {R}) AS pearson, round(spearman, {
 
 
 def _rank_query(mode):
-    return lambda spark, d: rounded(metrics.rank_metrics(_sampled(spark, d), mode), "pearson", "spearman", "concordance", "top1")
+    return lambda spark, d: rounded(metrics.rank_metrics(B.scored(spark, d), mode), "pearson", "spearman", "concordance", "top1")
 
 
 for _mode, (_near, _top, _keep) in _MODES.items():
@@ -442,20 +436,34 @@ _MEANS = ("pearson", "pearson_weighted", "pearson_positive", "spearman", "spearm
 
 @query("summarize_groups", f"{_TIE_AWARE} SELECT {_SUMMARY}, round((avg(pearson) + avg(spearman)) / 2, {R}) AS composite FROM found")
 def summarize_groups(spark, d):
-    return rounded(metrics.composite(metrics.summarize_groups(metrics.rank_metrics(_sampled(spark, d)))), *_MEANS, "composite")
+    return rounded(metrics.composite(metrics.summarize_groups(metrics.rank_metrics(B.scored(spark, d)))), *_MEANS, "composite")
 
 
-@query("stratified_metrics", f"""{_TIE_AWARE}, strata AS (SELECT *, unnest(list_filter([CASE WHEN size < 10 THEN 'small' END, CASE WHEN size = 10 THEN 'full' END, CASE WHEN grp LIKE '%BUILDING' THEN 'building' END, CASE WHEN pearson > 0.9 THEN 'inside' ELSE 'outside' END], lambda x: x IS NOT NULL)) AS stratum FROM found) SELECT stratum, {_SUMMARY} FROM strata GROUP BY 1""")
+@query("stratified_metrics", f"""{_TIE_AWARE}, strata AS (SELECT *, unnest(list_filter([CASE WHEN size < 12 THEN 'small' END, CASE WHEN size = 12 THEN 'twelve' END, CASE WHEN grp LIKE '%BUILDING' THEN 'building' END, CASE WHEN pearson > 0.9 THEN 'inside' ELSE 'outside' END], lambda x: x IS NOT NULL)) AS stratum FROM found) SELECT stratum, {_SUMMARY} FROM strata GROUP BY 1""")
 def stratified_metrics(spark, d):
-    found = metrics.rank_metrics(_sampled(spark, d))
-    strata = {"small": F.col("size") < 10, "full": F.col("size") == 10, "building": F.col("grp").endswith("BUILDING"), "inside": F.col("pearson") > 0.9, "outside": ~F.coalesce(F.col("pearson") > 0.9, F.lit(False))}
+    found = metrics.rank_metrics(B.scored(spark, d))
+    strata = {"small": F.col("size") < 12, "twelve": F.col("size") == 12, "building": F.col("grp").endswith("BUILDING"), "inside": F.col("pearson") > 0.9, "outside": ~F.coalesce(F.col("pearson") > 0.9, F.lit(False))}
     return rounded(metrics.summarize_groups(metrics.stratify(found, strata), "stratum"), *_MEANS)
 
 
-@query("margin_quintiles", f"""WITH {_SAMPLE}, p AS (SELECT abs(a.prediction - b.prediction) AS margin, CASE WHEN a.prediction = b.prediction THEN 0.5 WHEN sign(a.label - b.label) = sign(a.prediction - b.prediction) THEN 1.0 ELSE 0.0 END AS ok FROM sampled a JOIN sampled b ON a.grp = b.grp AND a.item < b.item WHERE a.label <> b.label),
+_BY_CUSTOMER = "by_customer AS (SELECT o_custkey AS grp, o_orderkey AS item, o_totalprice / 1000 AS label, o_totalprice / 2000 + sqrt(CAST(o_orderkey AS DOUBLE)) AS prediction FROM orders)"
+
+
+def _by_customer(spark, d):
+    """Orders in groups of one customer, which are small however many there are."""
+    o = B.read(spark, d, "orders")
+    return o.select(F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("item"), (F.col("o_totalprice") / 1000).alias("label"), (F.col("o_totalprice") / 2000 + F.sqrt(F.col("o_orderkey").cast("double"))).alias("prediction"))
+
+
+@query("group_pairs", f"WITH {_BY_CUSTOMER} SELECT a.grp, a.item AS item_a, b.item AS item_b, round(a.label - b.label, {R}) + 0.0 AS label_gap FROM by_customer a JOIN by_customer b ON a.grp = b.grp AND a.item < b.item")
+def group_pairs(spark, d):
+    return rounded(metrics.pairs(_by_customer(spark, d)).select("grp", "item_a", "item_b", (F.col("label_a") - F.col("label_b")).alias("label_gap")), "label_gap")
+
+
+@query("margin_quintiles", f"""WITH {_BY_CUSTOMER}, p AS (SELECT abs(a.prediction - b.prediction) AS margin, CASE WHEN a.prediction = b.prediction THEN 0.5 WHEN sign(a.label - b.label) = sign(a.prediction - b.prediction) THEN 1.0 ELSE 0.0 END AS ok FROM by_customer a JOIN by_customer b ON a.grp = b.grp AND a.item < b.item WHERE a.label <> b.label),
 e AS (SELECT quantile_cont(margin, [0.2, 0.4, 0.6, 0.8]) AS e FROM p) SELECT CAST(len(list_filter(e, lambda x: margin >= x)) AS INT) AS bin, count(*) AS n, round(avg(margin), {R}) AS mean_margin, round(avg(ok), {R}) AS correctness FROM p, e GROUP BY 1""")
 def margin_quintiles(spark, d):
-    return rounded(metrics.margin_bins(metrics.pairs(_sampled(spark, d))), "mean_margin", "correctness")
+    return rounded(metrics.margin_bins(metrics.pairs(_by_customer(spark, d))), "mean_margin", "correctness")
 
 
 @query("paired_delta", f"WITH {B.SCORED}, a AS (SELECT grp, avg(abs(label - prediction)) AS mae FROM scored GROUP BY 1), b AS (SELECT grp, avg(abs(label)) AS mae FROM scored WHERE item % 2 = 0 GROUP BY 1) SELECT grp, round(a.mae - b.mae, {R}) AS mae FROM a JOIN b USING (grp)")
@@ -485,7 +493,7 @@ def permutation_null(spark, d):
 
 @query("metric_gates", f"{_TIE_AWARE}, s AS (SELECT avg(pearson) AS p, avg(top1) AS t, avg(1 / size) AS c FROM found) SELECT unnest(['correlates', 'beats_chance', 'all']) AS gate, unnest([p > 0.5, t > c, p > 0.5 AND t > c]) AS passed FROM s")
 def metric_gates(spark, d):
-    s = metrics.summarize_groups(metrics.rank_metrics(_sampled(spark, d)))
+    s = metrics.summarize_groups(metrics.rank_metrics(B.scored(spark, d)))
     return metrics.gates(s, {"correlates": F.col("pearson") > 0.5, "beats_chance": F.col("top1") > F.col("chance_top1")})
 
 
@@ -496,7 +504,7 @@ def modal_choice(spark, d):
 
 @query("worst_groups", f"{_TIE_AWARE} SELECT grp, round(pearson, {R}) AS pearson FROM found WHERE pearson IS NOT NULL ORDER BY round(pearson, {R}), grp LIMIT 20")
 def worst_groups(spark, d):
-    return rounded(metrics.rank_metrics(_sampled(spark, d)), "pearson").where("pearson is not null").select("grp", "pearson").orderBy("pearson", "grp").limit(20)
+    return rounded(metrics.rank_metrics(B.scored(spark, d)), "pearson").where("pearson is not null").select("grp", "pearson").orderBy("pearson", "grp").limit(20)
 
 
 # ---------------------------------------------------------------- features and fits
@@ -556,7 +564,7 @@ def _fit_inputs(spark, d):
 @query("fit_group_ridge")
 def fit_group_ridge(spark, d):
     items, features = _fit_inputs(spark, d)
-    w = linear.weights_frame(spark, linear.fit_group_ridge(items, features.join(items.select("item"), "item", "left_semi"), 1.0))
+    w = linear.weights_frame(spark, linear.fit_group_ridge(items, features.join(items.select("item").hint("merge"), "item", "left_semi"), 1.0))
     return rounded(w, "weight")
 
 
@@ -582,14 +590,14 @@ def fit_ridge(spark, d):
 @query("lasso_support")
 def lasso_support(spark, d):
     items, features = _fit_inputs(spark, d)
-    s = linear.System.of(linear.center_features(items, features.join(items.select("item"), "item", "left_semi")), linear.center_labels(items), "centered")
-    return rounded(linear.weights_frame(spark, s.lasso(0.5)), "weight")
+    s = linear.System.in_groups(features.join(items.select("item").hint("merge"), "item", "left_semi"), items, "label")
+    return rounded(linear.weights_frame(spark, s.lasso(0.05)), "weight")
 
 
 @query("tune_ridge")
 def tune_ridge(spark, d):
     items, features = _fit_inputs(spark, d)
-    return rounded(linear.tune_ridge(items, features.join(items.select("item"), "item", "left_semi"), [0.1, 1.0, 10.0]), "pearson", "spearman", "composite")
+    return rounded(linear.tune_ridge(items, features.join(items.select("item").hint("merge"), "item", "left_semi"), [0.1, 1.0, 10.0]), "pearson", "spearman", "composite")
 
 
 @query("refine_weights")
@@ -655,23 +663,35 @@ def path_indices(spark, d):
 _NAMED = "named AS (SELECT mol_id, atom_id, element, element || CASE WHEN aromatic THEN '*' ELSE '' END || 'h' || total_hcount || 'q' || formal_charge AS label FROM atoms)"
 
 
-@query("environment_counts", f"""WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_NAMED}, near AS (SELECT e.mol_id, e.a AS atom_id, string_agg(n.element, '.' ORDER BY n.element) AS near FROM directed e JOIN named n ON n.mol_id = e.mol_id AND n.atom_id = e.b GROUP BY 1, 2),
+_ENV = f"""{B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_NAMED}, near AS (SELECT e.mol_id, e.a AS atom_id, string_agg(n.element, '.' ORDER BY n.element) AS near FROM directed e JOIN named n ON n.mol_id = e.mol_id AND n.atom_id = e.b GROUP BY 1, 2),
 names AS (SELECT mol_id, 'atom_state[' || label || ']' AS name FROM named UNION ALL SELECT n.mol_id, 'benson_nn[' || element || '|' || coalesce(near, '') || ']' FROM named n LEFT JOIN near USING (mol_id, atom_id)
- UNION ALL SELECT e.mol_id, 'bond_environment[' || least(x.label, y.label) || ';' || CAST(bond_order AS INT) || ';' || greatest(x.label, y.label) || ']' FROM bonds e JOIN named x ON x.mol_id = e.mol_id AND x.atom_id = e.a JOIN named y ON y.mol_id = e.mol_id AND y.atom_id = e.b)
-SELECT mol_id, name, count(*) AS n FROM names GROUP BY 1, 2""")
+ UNION ALL SELECT e.mol_id, 'bond_environment[' || least(x.label, y.label) || ';' || CAST(bond_order AS INT) || ';' || greatest(x.label, y.label) || ']' FROM bonds e JOIN named x ON x.mol_id = e.mol_id AND x.atom_id = e.a JOIN named y ON y.mol_id = e.mol_id AND y.atom_id = e.b)"""
+
+
+@query("environment_counts", f"WITH {_ENV} SELECT mol_id, name, count(*) AS n FROM names GROUP BY 1, 2")
 def environment_counts(spark, d):
     return graph.env_counts(B.atoms(spark, d), B.bonds(spark, d))
 
 
-@query("path_counts", f"""WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, s AS (SELECT e.mol_id, a, b, x.element AS ea, y.element AS eb FROM directed e JOIN atoms x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = b),
+_PATHS = """s AS (SELECT e.mol_id, a, b, x.element AS ea, y.element AS eb FROM directed e JOIN atoms x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = b),
 p3 AS (SELECT s.mol_id, s.a, s.b, t.b AS c, s.ea, s.eb, t.eb AS ec FROM s JOIN s t ON t.mol_id = s.mol_id AND t.a = s.b WHERE s.a <> t.b),
 p4 AS (SELECT p.*, t.b AS d, t.eb AS ed FROM p3 p JOIN s t ON t.mol_id = p.mol_id AND t.a = p.c WHERE t.b <> p.a AND t.b <> p.b),
-n AS (SELECT mol_id, 'path3[' || least(ea || '|' || eb || '|' || ec, ec || '|' || eb || '|' || ea) || ']' AS name FROM p3 WHERE a < c UNION ALL SELECT mol_id, 'path4[' || least(ea || '|' || eb || '|' || ec || '|' || ed, ed || '|' || ec || '|' || eb || '|' || ea) || ']' FROM p4 WHERE a < d)
-SELECT mol_id, name, count(*) AS n FROM n GROUP BY 1, 2""")
+paths AS (SELECT mol_id, 'path_1_3[' || least(ea || '|' || eb || '|' || ec, ec || '|' || eb || '|' || ea) || ']' AS name FROM p3 WHERE a < c UNION ALL SELECT mol_id, 'path_1_4[' || least(ea || '|' || eb || '|' || ec || '|' || ed, ed || '|' || ec || '|' || eb || '|' || ea) || ']' FROM p4 WHERE a < d)"""
+
+
+@query("path_counts", f"WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_PATHS} SELECT mol_id, name, count(*) AS n FROM paths GROUP BY 1, 2")
 def path_counts(spark, d):
     return graph.path_counts(B.atoms(spark, d), B.bonds(spark, d))
 
 
+@query("feature_families", f"WITH {_ENV}, {_PATHS}, every AS (SELECT DISTINCT name FROM (SELECT name FROM names UNION ALL SELECT name FROM paths)) SELECT CASE WHEN name LIKE 'atom_state[%' THEN 'atom_state' WHEN name LIKE 'bond_environment[%' THEN 'bond_environment' ELSE 'other_named_term' END AS family, NOT regexp_matches(name, '^(path_1_3|path_1_4|benson_nn|inactive_empirical)\\[') AS compact, count(*) AS terms FROM every GROUP BY 1, 2")
+def feature_families(spark, d):
+    atoms, bonds = B.atoms(spark, d), B.bonds(spark, d)
+    counts = graph.env_counts(atoms, bonds).select("name").union(graph.path_counts(atoms, bonds).select("name")).distinct()
+    kept = counts.withColumn("family", S.feature_family(F.col("name"))).withColumn("compact", S.is_compact(F.col("name")))
+    return kept.groupBy("family", "compact").agg(F.count("*").alias("terms"))
+
+
 _WL0 = f"{B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_NAMED}, wl0 AS (SELECT mol_id, atom_id, sha256(label) AS label FROM named)"
 _WLN = "around{k} AS (SELECT e.mol_id, e.a AS atom_id, string_agg(CAST(bond_order AS INT) || ':' || label, ',' ORDER BY CAST(bond_order AS INT) || ':' || label) AS around FROM directed e JOIN wl{j} w ON w.mol_id = e.mol_id AND w.atom_id = e.b GROUP BY 1, 2), wl{k} AS (SELECT w.mol_id, w.atom_id, sha256(label || ',' || coalesce(around, '')) AS label FROM wl{j} w LEFT JOIN around{k} r USING (mol_id, atom_id))"
 _WL2 = f"{_WL0}, {_WLN.format(k=1, j=0)}, {_WLN.format(k=2, j=1)}"
@@ -701,20 +721,24 @@ def graph_identity(spark, d):
     return graph.graph_identity(_labels(spark, d), graph.graph_components(B.atoms(spark, d), B.bonds(spark, d)))
 
 
-_PI = f"""{B.ATOMS}, {B.BONDS}, {_DIRECTED}, top AS (SELECT mol_id, a AS atom_id, max(bond_order) AS top FROM directed GROUP BY 1, 2), near AS (SELECT DISTINCT mol_id, a AS mid FROM directed WHERE bond_order >= 2), beside AS (SELECT DISTINCT e.mol_id, e.a AS atom_id FROM directed e JOIN near n ON n.mol_id = e.mol_id AND n.mid = e.b),
-pi AS (SELECT a.mol_id, a.atom_id, a.element, CASE WHEN top >= 2 THEN 1 WHEN element IN ('N', 'O', 'S') AND formal_charge <= 0 AND b.atom_id IS NOT NULL THEN 2 ELSE 0 END AS electrons, CASE WHEN top >= 3 THEN 'triple' WHEN top >= 2 THEN 'double' WHEN element IN ('N', 'O', 'S') AND formal_charge <= 0 AND b.atom_id IS NOT NULL THEN 'lone_pair' ELSE 'none' END AS reason FROM atoms a LEFT JOIN top USING (mol_id, atom_id) LEFT JOIN beside b ON b.mol_id = a.mol_id AND b.atom_id = a.atom_id)"""
+_PI = f"""{B.ATOMS}, {B.BONDS}, {_DIRECTED}, top AS (SELECT mol_id, a AS atom_id, max(bond_order) AS top FROM directed GROUP BY 1, 2),
+pi AS (SELECT *, CASE reason WHEN 'aromatic_carbon' THEN 1 - formal_charge WHEN 'double_bond_carbon' THEN 1 - formal_charge WHEN 'pyrrole_like' THEN 2 WHEN 'anionic_nitrogen' THEN 2 WHEN 'pyridine_like' THEN 1 WHEN 'aromatic_donor' THEN 2 WHEN 'double_bond_hetero' THEN CASE WHEN formal_charge = -1 THEN 2 ELSE 1 END END::INT AS electrons FROM (
+ SELECT a.*, top, CASE WHEN radical_electrons > 0 THEN 'open_shell' WHEN top >= 3 THEN 'triple_bond' WHEN aromatic AND element = 'C' THEN 'aromatic_carbon' WHEN aromatic AND element = 'N' THEN CASE WHEN total_hcount > 0 THEN 'pyrrole_like' WHEN formal_charge = -1 THEN 'anionic_nitrogen' ELSE 'pyridine_like' END WHEN aromatic THEN 'aromatic_donor' WHEN top >= 2 AND element = 'C' THEN 'double_bond_carbon' WHEN top >= 2 THEN 'double_bond_hetero' ELSE 'none' END AS reason
+ FROM atoms a LEFT JOIN top USING (mol_id, atom_id))),
+coupled AS (SELECT e.* FROM bonds e JOIN pi x ON x.mol_id = e.mol_id AND x.atom_id = e.a AND x.electrons IS NOT NULL JOIN pi y ON y.mol_id = e.mol_id AND y.atom_id = e.b AND y.electrons IS NOT NULL WHERE bond_aromatic OR conjugated OR bond_order >= 2),
+inside AS (SELECT mol_id, a, b, bond_order FROM coupled UNION ALL SELECT mol_id, b, a, bond_order FROM coupled)"""
 
 
 def _pi(spark, d):
     return graph.assign_pi(B.atoms(spark, d), B.bonds(spark, d))
 
 
-@query("assign_pi", f"WITH {_PI} SELECT mol_id, atom_id, electrons > 0 AS included, electrons, reason FROM pi")
+@query("assign_pi", f"WITH {_PI} SELECT mol_id, atom_id, electrons IS NOT NULL AS included, coalesce(electrons, -1) AS electrons, reason, CASE WHEN reason IN ('open_shell', 'triple_bond') THEN 'unsupported' WHEN reason IN ('anionic_nitrogen', 'aromatic_donor', 'double_bond_hetero') THEN 'medium' ELSE 'high' END AS confidence FROM pi")
 def assign_pi(spark, d):
-    return _pi(spark, d)
+    return _pi(spark, d).withColumn("electrons", F.coalesce("electrons", F.lit(-1)))
 
 
-_SYSTEMS = f"{_PI}, inside AS (SELECT e.mol_id, e.a, e.b, e.bond_order FROM directed e JOIN pi x ON x.mol_id = e.mol_id AND x.atom_id = e.a AND x.electrons > 0 JOIN pi y ON y.mol_id = e.mol_id AND y.atom_id = e.b AND y.electrons > 0), reach(mol_id, x, y) AS (SELECT mol_id, atom_id, atom_id FROM pi WHERE electrons > 0 UNION SELECT r.mol_id, r.x, e.b FROM reach r JOIN inside e ON e.mol_id = r.mol_id AND e.a = r.y), sys AS (SELECT mol_id, x AS atom_id, min(y) AS system FROM reach GROUP BY 1, 2)"
+_SYSTEMS = f"{_PI}, reach(mol_id, x, y) AS (SELECT mol_id, atom_id, atom_id FROM pi WHERE electrons IS NOT NULL UNION SELECT r.mol_id, r.x, e.b FROM reach r JOIN inside e ON e.mol_id = r.mol_id AND e.a = r.y), sys AS (SELECT mol_id, x AS atom_id, min(y) AS system FROM reach GROUP BY 1, 2)"
 
 
 @query("pi_systems", f"WITH RECURSIVE {_SYSTEMS} SELECT mol_id, system, count(*) AS sites, CAST(sum(electrons) AS BIGINT) AS electrons FROM sys JOIN pi USING (mol_id, atom_id) GROUP BY 1, 2")
@@ -723,7 +747,7 @@ def pi_systems(spark, d):
 
 
 ALPHA, BETA = {"C": 0.0, "N": 0.5, "O": 1.0, "S": 0.4}, {1.0: -0.8, 2.0: -1.1}
-_MATRIX = _PI + ", inside AS (SELECT e.mol_id, e.a, e.b, e.bond_order FROM directed e JOIN pi x ON x.mol_id = e.mol_id AND x.atom_id = e.a AND x.electrons > 0 JOIN pi y ON y.mol_id = e.mol_id AND y.atom_id = e.b AND y.electrons > 0), matrix AS (SELECT mol_id, atom_id AS i, atom_id AS j, CAST(CASE element WHEN 'N' THEN 0.5 WHEN 'O' THEN 1.0 WHEN 'S' THEN 0.4 ELSE 0 END AS DOUBLE) AS value FROM pi WHERE electrons > 0 UNION ALL SELECT mol_id, a, b, CAST(CASE WHEN bond_order = 1 THEN -0.8 ELSE -1.1 END AS DOUBLE) FROM inside)"
+_MATRIX = _PI + ", matrix AS (SELECT mol_id, atom_id AS i, atom_id AS j, CAST(CASE element WHEN 'N' THEN 0.5 WHEN 'O' THEN 1.0 WHEN 'S' THEN 0.4 ELSE 0 END AS DOUBLE) AS value FROM pi WHERE electrons IS NOT NULL UNION ALL SELECT mol_id, a, b, CAST(CASE WHEN bond_order = 1 THEN -0.8 WHEN bond_order = 2 THEN -1.1 ELSE 0 END AS DOUBLE) FROM inside)"
 
 
 @query("pi_matrix", f"WITH {_MATRIX} SELECT mol_id, i, j, value FROM matrix")
@@ -760,8 +784,9 @@ def bond_energy(spark, d):
     return rounded(graph.bond_energy(B.atoms(spark, d), B.bonds(spark, d), ENERGY, HYDROGEN, FALLBACK), "energy")
 
 
-_RINGS = f"{B.ATOMS}, {B.BONDS}, rings AS (SELECT e.mol_id, e.a AS ring, e.a + k AS atom_id FROM bonds e, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE e.b = e.a + 3 AND (SELECT count(*) FROM bonds c WHERE c.mol_id = e.mol_id AND c.b = c.a + 1 AND c.a BETWEEN e.a AND e.a + 2) = 3)"
-_RING_TERMS = _RINGS + ", n AS (SELECT mol_id, count(DISTINCT ring) AS rings FROM rings GROUP BY 1), jn AS (SELECT mol_id, count(*) AS junctions FROM (SELECT mol_id, atom_id FROM rings GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1), sh AS (SELECT x.mol_id, x.ring, y.ring AS other, count(*) AS k FROM rings x JOIN rings y ON y.mol_id = x.mol_id AND y.atom_id = x.atom_id AND x.ring < y.ring GROUP BY 1, 2, 3), pr AS (SELECT mol_id, count(*) FILTER (k = 1) AS spiro, count(*) FILTER (k = 2) AS fused, count(*) FILTER (k > 2) AS bridged FROM sh GROUP BY 1), terms AS (SELECT n.mol_id, rings, coalesce(junctions, 0) AS junctions, coalesce(spiro, 0) AS spiro, coalesce(fused, 0) AS fused, coalesce(bridged, 0) AS bridged FROM n LEFT JOIN jn USING (mol_id) LEFT JOIN pr USING (mol_id))"
+_RING = "rings AS (SELECT e.mol_id, e.a AS ring, e.a + k AS atom_id FROM bonds e, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE e.b = e.a + 3 AND (SELECT count(*) FROM bonds c WHERE c.mol_id = e.mol_id AND c.b = c.a + 1 AND c.a BETWEEN e.a AND e.a + 2) = 3)"
+_RINGS = f"{B.ATOMS}, {B.BONDS}, {_RING}"
+_RING_TERMS = _RINGS + ", sides AS (SELECT r.mol_id, r.ring, least(r.atom_id, q.atom_id) AS a, greatest(r.atom_id, q.atom_id) AS b FROM rings r JOIN rings q ON q.mol_id = r.mol_id AND q.ring = r.ring AND (q.atom_id = r.atom_id + 1 OR (r.atom_id = r.ring AND q.atom_id = r.ring + 3))), both_sides AS (SELECT x.mol_id, x.ring, y.ring AS other, count(*) AS sides FROM sides x JOIN sides y ON y.mol_id = x.mol_id AND y.a = x.a AND y.b = x.b AND x.ring < y.ring GROUP BY 1, 2, 3), n AS (SELECT mol_id, count(DISTINCT ring) AS rings FROM rings GROUP BY 1), jn AS (SELECT mol_id, count(*) AS junctions FROM (SELECT mol_id, atom_id FROM rings GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1), sh AS (SELECT x.mol_id, x.ring, y.ring AS other, count(*) AS k FROM rings x JOIN rings y ON y.mol_id = x.mol_id AND y.atom_id = x.atom_id AND x.ring < y.ring GROUP BY 1, 2, 3), pr AS (SELECT mol_id, count(*) FILTER (k = 1) AS spiro, count(*) FILTER (k = 2 AND sides > 0) AS fused, count(*) FILTER (k >= 2 AND NOT (k = 2 AND coalesce(sides, 0) > 0)) AS bridged, CAST(coalesce(sum(sides), 0) AS BIGINT) AS shared_sides FROM sh LEFT JOIN both_sides USING (mol_id, ring, other) GROUP BY 1), terms AS (SELECT n.mol_id, rings, coalesce(junctions, 0) AS junctions, coalesce(spiro, 0) AS spiro, coalesce(fused, 0) AS fused, coalesce(bridged, 0) AS bridged, coalesce(shared_sides, 0) AS shared_sides FROM n LEFT JOIN jn USING (mol_id) LEFT JOIN pr USING (mol_id))"
 
 
 @query("ring_terms", f"WITH {_RING_TERMS} SELECT * FROM terms")
@@ -774,9 +799,22 @@ def ring_strain(spark, d):
     return rounded(graph.ring_strain(graph.rings_of_closures(B.bonds(spark, d)), {3: 1.2, 4: 1.1}, 0.3), "strain")
 
 
-@query("ring_parity")
+@query("ring_parity", f"WITH {_PI}, {_RING}, t AS (SELECT r.mol_id, ring, count(*) AS size, bool_and(electrons IS NOT NULL) AS whole, sum(electrons) AS e FROM rings r JOIN pi USING (mol_id, atom_id) GROUP BY 1, 2), s AS (SELECT r.mol_id, r.ring, count(*) AS sides FROM (SELECT DISTINCT mol_id, ring FROM rings) r JOIN coupled c ON c.mol_id = r.mol_id AND c.a >= r.ring AND c.b <= r.ring + 3 AND (c.b = c.a + 1 OR (c.a = r.ring AND c.b = r.ring + 3)) GROUP BY 1, 2) SELECT t.mol_id, round(sum(CASE WHEN whole AND sides = size AND e > 0 AND e % 4 = 0 THEN size * 0.2 ELSE 0 END), {R})::DOUBLE AS penalty FROM t LEFT JOIN s USING (mol_id, ring) GROUP BY 1")
 def ring_parity(spark, d):
-    return rounded(graph.pi_ring_parity(graph.rings_of_closures(B.bonds(spark, d)), _pi(spark, d), 0.2), "penalty")
+    bonds = B.bonds(spark, d)
+    return rounded(graph.pi_ring_parity(graph.rings_of_closures(bonds), _pi(spark, d), bonds, 0.2), "penalty")
+
+
+@query("ring_names", f"WITH {_RINGS}, own AS (SELECT mol_id, ring, count(*) AS size, count(*) FILTER (aromatic) AS arom, string_agg(element, ',' ORDER BY element) AS elements FROM rings JOIN atoms USING (mol_id, atom_id) GROUP BY 1, 2), u AS (SELECT r.mol_id, r.ring, count(*) AS k FROM (SELECT DISTINCT mol_id, ring FROM rings) r JOIN bonds e ON e.mol_id = r.mol_id AND e.a BETWEEN r.ring AND r.ring + 3 AND e.b BETWEEN r.ring AND r.ring + 3 AND (bond_aromatic OR bond_order >= 1.5) GROUP BY 1, 2) SELECT mol_id, 'ring[size=' || size || ';arom_atoms=' || arom || ';unsat_edges=' || coalesce(k, 0) || ';elements=' || elements || ']' AS name, count(*) AS n FROM own LEFT JOIN u USING (mol_id, ring) GROUP BY 1, 2")
+def ring_names(spark, d):
+    bonds = B.bonds(spark, d)
+    return graph.ring_names(graph.rings_of_closures(bonds), B.atoms(spark, d), bonds)
+
+
+@query("exocyclic_bonds", f"WITH {_RINGS}, r AS (SELECT DISTINCT mol_id, atom_id FROM rings) SELECT e.mol_id, CAST(sum(CASE WHEN (x.mol_id IS NULL) <> (y.mol_id IS NULL) THEN 1 ELSE 0 END) AS BIGINT) AS exocyclic FROM bonds e LEFT JOIN r x ON x.mol_id = e.mol_id AND x.atom_id = e.a LEFT JOIN r y ON y.mol_id = e.mol_id AND y.atom_id = e.b WHERE NOT bond_aromatic AND bond_order >= 1.5 GROUP BY 1")
+def exocyclic_bonds(spark, d):
+    bonds = B.bonds(spark, d)
+    return graph.exocyclic_bonds(graph.rings_of_closures(bonds), bonds)
 
 
 @query("composition_reference", f"WITH {B.ATOMS}, p AS (SELECT mol_id, bool_or(element = 'S') AS u, sum(CASE element WHEN 'C' THEN -1.0 WHEN 'N' THEN -2.5 WHEN 'O' THEN -4.0 END) AS s FROM atoms GROUP BY 1) SELECT mol_id, CASE WHEN u THEN 'unsupported' ELSE 'success' END AS status, CASE WHEN NOT u THEN round(s, {R})::DOUBLE END AS score FROM p")
@@ -798,19 +836,40 @@ def pair_distance_terms(spark, d):
     return rounded(graph.pair_distance_terms(coords, B.bonds(spark, d)), "coulomb", "overlap")
 
 
-@query("rotatable_bonds")
+@query("rotatable_bonds", f"WITH {B.ATOMS}, {B.PARTS}, {_DIRECTED}, {_DEG}, {_RING}, r AS (SELECT DISTINCT mol_id, atom_id FROM rings) SELECT e.mol_id, count(*) AS rotatable FROM bonds e JOIN deg x ON x.mol_id = e.mol_id AND x.atom_id = e.a AND x.degree > 1 JOIN deg y ON y.mol_id = e.mol_id AND y.atom_id = e.b AND y.degree > 1 LEFT JOIN r p ON p.mol_id = e.mol_id AND p.atom_id = e.a LEFT JOIN r q ON q.mol_id = e.mol_id AND q.atom_id = e.b WHERE bond_order = 1 AND p.mol_id IS NULL AND q.mol_id IS NULL GROUP BY 1")
 def rotatable_bonds(spark, d):
-    return graph.rotatable(B.bonds(spark, d), graph.rings_of_closures(B.bonds(spark, d)))
+    bonds = B.bonds(spark, d, several=True)
+    return graph.rotatable(bonds, graph.rings_of_closures(bonds))
 
 
-@query("resonance_terms")
+_RES = f"""{B.ATOMS}, {B.BONDS}, site AS (SELECT mol_id, atom_id, aromatic FROM atoms WHERE aromatic OR hybridization IN ('SP', 'SP2') OR (element IN ('N', 'O', 'S') AND formal_charge <= 0 AND lone_pairs > 0)),
+half AS (SELECT e.mol_id, a, b FROM bonds e JOIN site x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN site y ON y.mol_id = e.mol_id AND y.atom_id = b WHERE bond_aromatic OR conjugated OR bond_order >= 1.5),
+step AS (SELECT mol_id, a, b FROM half UNION SELECT mol_id, b, a FROM half),
+reach(mol_id, x, y) AS (SELECT mol_id, atom_id, atom_id FROM site UNION SELECT r.mol_id, r.x, s.b FROM reach r JOIN step s ON s.mol_id = r.mol_id AND s.a = r.y),
+part AS (SELECT mol_id, comp, count(*) AS n FROM (SELECT mol_id, x, min(y) AS comp FROM reach GROUP BY 1, 2) GROUP BY 1, 2), one AS (SELECT mol_id, count(*) AS components, CAST(sum(n) AS BIGINT) AS sites, max(n) AS largest FROM part GROUP BY 1),
+br AS (SELECT d.mol_id, count(*) AS branch_centres, count(*) FILTER (NOT aromatic) AS cross_conjugated FROM (SELECT mol_id, a AS atom_id FROM step GROUP BY 1, 2 HAVING count(*) >= 3) d JOIN site USING (mol_id, atom_id) GROUP BY 1),
+w2 AS (SELECT s.mol_id, s.a AS p0, s.b AS p1, t.b AS p2 FROM step s JOIN step t ON t.mol_id = s.mol_id AND t.a = s.b AND t.b <> s.a), w3 AS (SELECT w.*, t.b AS p3 FROM w2 w JOIN step t ON t.mol_id = w.mol_id AND t.a = p2 AND t.b NOT IN (p0, p1)), w4 AS (SELECT w.*, t.b AS p4 FROM w3 w JOIN step t ON t.mol_id = w.mol_id AND t.a = p3 AND t.b NOT IN (p0, p1, p2)),
+c2 AS (SELECT mol_id, count(*) AS k FROM w2 WHERE p0 < p2 GROUP BY 1), c3 AS (SELECT mol_id, count(*) AS k FROM w3 WHERE p0 < p3 GROUP BY 1), c4 AS (SELECT mol_id, count(*) AS k FROM w4 WHERE p0 < p4 GROUP BY 1)"""
+
+
+@query("resonance_terms", f"WITH RECURSIVE {_RES} SELECT one.mol_id, components, sites, largest, coalesce(branch_centres, 0) AS branch_centres, coalesce(cross_conjugated, 0) AS cross_conjugated, coalesce(c2.k, 0) AS paths_2, coalesce(c3.k, 0) AS paths_3, coalesce(c4.k, 0) AS paths_4 FROM one LEFT JOIN br USING (mol_id) LEFT JOIN c2 USING (mol_id) LEFT JOIN c3 USING (mol_id) LEFT JOIN c4 USING (mol_id)")
 def resonance_terms(spark, d):
-    return graph.resonance_terms(_pi(spark, d), B.bonds(spark, d))
+    return graph.resonance_terms(B.atoms(spark, d), B.bonds(spark, d))
 
 
-@query("localized_bonds", f"WITH {_PI}, o AS (SELECT mol_id, atom_id, CAST(CASE element WHEN 'N' THEN 0.5 WHEN 'O' THEN 1.0 WHEN 'S' THEN 0.4 ELSE 0 END AS DOUBLE) AS al FROM pi WHERE electrons > 0) SELECT e.mol_id, round(sum(-2 * sqrt(((x.al - y.al) / 2) ** 2 + 1.21)), {R}) AS localized FROM bonds e JOIN o x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN o y ON y.mol_id = e.mol_id AND y.atom_id = b WHERE bond_order >= 2 GROUP BY 1")
+@query("localized_bonds", f"WITH {_PI}, o AS (SELECT mol_id, atom_id, element, CAST(CASE element WHEN 'N' THEN 0.5 WHEN 'O' THEN 1.0 WHEN 'S' THEN 0.4 ELSE 0 END AS DOUBLE) AS al FROM pi) SELECT e.mol_id, round(sum(-2 * sqrt(((x.al - y.al) / 2) ** 2 + 1.21)), {R}) AS localized, round(sum(CASE WHEN bond_aromatic THEN 0 WHEN least(x.element, y.element) = 'C' AND greatest(x.element, y.element) = 'O' THEN -0.3 WHEN least(x.element, y.element) = 'C' AND greatest(x.element, y.element) = 'N' THEN -0.2 ELSE 0 END), {R})::DOUBLE + 0.0 AS increment FROM coupled e JOIN o x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN o y ON y.mol_id = e.mol_id AND y.atom_id = b WHERE bond_order >= 1.5 GROUP BY 1")
 def localized_bonds(spark, d):
-    return rounded(graph.localized_bonds(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, 1.1), "localized")
+    found = graph.localized_bonds(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, 1.1, {("C", "O"): -0.3, ("C", "N"): -0.2})
+    return rounded(found, "localized", "increment")
+
+
+_SEEDS = "own AS (SELECT mol_id, atom_id, concat_ws('|', element, CAST(aromatic AS INT), formal_charge, total_hcount) AS seed, concat_ws(':', element, formal_charge, CAST(aromatic AS INT)) AS brief FROM atoms), kinds AS (SELECT mol_id, a, b, CASE WHEN bond_aromatic THEN 'aromatic' WHEN bond_order >= 2.5 THEN 'triple' WHEN bond_order >= 1.5 THEN 'double' ELSE 'single' END AS kind FROM bonds), near AS (SELECT k.mol_id, k.a AS atom_id, string_agg(k.kind || ':' || o.brief, ',' ORDER BY k.kind || ':' || o.brief) AS near, count(*) AS degree FROM (SELECT * FROM kinds UNION ALL SELECT mol_id, b, a, kind FROM kinds) k JOIN own o ON o.mol_id = k.mol_id AND o.atom_id = k.b GROUP BY 1, 2), sig AS (SELECT mol_id, 'atom' AS kind, concat_ws('|', seed, coalesce(degree, 0), coalesce(near, '')) AS signature FROM own LEFT JOIN near USING (mol_id, atom_id) UNION ALL SELECT k.mol_id, 'bond', concat_ws('~', k.kind, least(x.seed, y.seed), greatest(x.seed, y.seed)) FROM kinds k JOIN own x ON x.mol_id = k.mol_id AND x.atom_id = a JOIN own y ON y.mol_id = k.mol_id AND y.atom_id = b UNION ALL SELECT t.mol_id, 'atom_pair', concat_ws('~', d, least(x.seed, y.seed), greatest(x.seed, y.seed)) FROM dist t JOIN own x ON x.mol_id = t.mol_id AND x.atom_id = a JOIN own y ON y.mol_id = t.mol_id AND y.atom_id = b WHERE d BETWEEN 2 AND 4), bins AS (SELECT mol_id, kind || '_' || lpad(CAST(('0x' || substr(sha256(signature), 1, 16))::UBIGINT % 128 AS VARCHAR), 3, '0') AS name, CASE WHEN ('0x' || substr(sha256(signature), 17, 2))::UBIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END AS s FROM sig)"
+
+
+@query("local_signatures", f"WITH RECURSIVE {_DIST}, {_SEEDS} SELECT mol_id, name, sum(s) AS value FROM bins GROUP BY 1, 2 HAVING sum(s) <> 0")
+def local_signatures(spark, d):
+    atoms, bonds = B.atoms(spark, d), B.bonds(spark, d)
+    return graph.hashed_signatures(graph.local_signatures(atoms, bonds, graph.graph_distances(bonds, 4)))
 
 
 @query("bond_inventory", f"WITH {B.ATOMS}, {B.BONDS} SELECT mol_id, name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT e.mol_id, least(x.element, y.element) || '-' || greatest(x.element, y.element) || ';' || CAST(bond_order AS INT) AS name, 1 AS n FROM bonds e JOIN atoms x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = b UNION ALL SELECT mol_id, least('H', element) || '-' || greatest('H', element) || ';1', total_hcount FROM atoms WHERE total_hcount > 0) GROUP BY 1, 2")
@@ -822,10 +881,11 @@ def bond_inventory(spark, d):
     return lines.unionByName(h).groupBy("mol_id", "name").agg(F.sum("n").alias("n"))
 
 
-@query("domain_validation", f"WITH RECURSIVE {_COMP}, p AS (SELECT mol_id, count(DISTINCT comp) AS k FROM comp GROUP BY 1), q AS (SELECT mol_id, bool_or(element = 'S') AS s, sum(formal_charge) AS c FROM atoms GROUP BY 1) SELECT mol_id, CASE WHEN k > 1 THEN 'disconnected' WHEN s THEN 'unsupported_element' WHEN c <> 0 THEN 'charged' END AS reason FROM p JOIN q USING (mol_id)")
+@query("domain_validation", f"WITH RECURSIVE {_COMP}, p AS (SELECT mol_id, count(DISTINCT comp) AS k FROM comp GROUP BY 1), q AS (SELECT mol_id, bool_or(isotope > 0) AS i, bool_or(element = 'S') AS s, sum(formal_charge) AS c, sum(radical_electrons) AS r FROM atoms WHERE mol_id % 101 <> 0 GROUP BY 1) SELECT o_orderkey AS mol_id, CASE WHEN q.mol_id IS NULL THEN 'empty' WHEN k > 1 THEN 'disconnected' WHEN i THEN 'isotope' WHEN s THEN 'unsupported_element' WHEN c <> 0 THEN 'charged' WHEN r > 0 THEN 'radical' END AS reason FROM orders LEFT JOIN q ON q.mol_id = o_orderkey LEFT JOIN p ON p.mol_id = o_orderkey")
 def domain_validation(spark, d):
-    a = B.atoms(spark, d)
-    return prep.validate_domain(a, graph.graph_components(a, B.bonds(spark, d, several=True)), ("C", "N", "O"))
+    a = B.atoms(spark, d).where("mol_id % 101 <> 0")
+    every = B.read(spark, d, "orders").select(F.col("o_orderkey").alias("mol_id"))
+    return prep.validate_domain(a, graph.graph_components(a, B.bonds(spark, d, several=True).where("mol_id % 101 <> 0")), ("C", "N", "O"), molecules=every)
 
 
 # ---------------------------------------------------------------- reactions
@@ -865,7 +925,7 @@ def reaction_delta(spark, d):
     return reactions.reaction_delta(sides, values).withColumn("delta", F.round("delta", 4))
 
 
-@query("valence_filter", f"WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, u AS (SELECT mol_id, a AS atom_id, sum(bond_order) AS u FROM directed GROUP BY 1, 2) SELECT a.mol_id, a.atom_id, coalesce(u, 0) + total_hcount + 1 <= CASE element WHEN 'C' THEN 4 WHEN 'N' THEN 3 WHEN 'O' THEN 2 ELSE 6 END AS allowed FROM atoms a LEFT JOIN u USING (mol_id, atom_id)")
+@query("valence_filter", f"WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, u AS (SELECT mol_id, a AS atom_id, sum(bond_order) AS u FROM directed GROUP BY 1, 2) SELECT a.mol_id, a.atom_id, radical_electrons = 0 AND coalesce(u, 0) + total_hcount + 1 <= CASE element WHEN 'C' THEN 4 WHEN 'N' THEN 4 WHEN 'O' THEN 3 ELSE 6 END AS allowed FROM atoms a LEFT JOIN u USING (mol_id, atom_id)")
 def valence_filter(spark, d):
     return reactions.valence_allowed(B.atoms(spark, d), B.bonds(spark, d))
 
@@ -884,21 +944,42 @@ def merge_frontiers(spark, d):
 
 
 def _pair_scores(spark, d):
-    f = reactions.merge_frontiers(_frontiers(spark, d)).join(B.atoms(spark, d).select("mol_id", "atom_id", F.col("partial_charge").alias("q")), ["mol_id", "atom_id"])
-    side = lambda s: f.select("mol_id", F.col("atom_id").alias(s), F.col("homo").alias(f"homo_{s}"), F.col("lumo").alias(f"lumo_{s}"), F.col("homo_density").alias(f"hd_{s}"), F.col("lumo_density").alias(f"ld_{s}"), F.col("q").alias(f"q_{s}"))
+    a, e = B.atoms(spark, d), B.bonds(spark, d)
+    f = reactions.merge_frontiers(_frontiers(spark, d)).join(a.select("mol_id", "atom_id", "element", "formal_charge", F.col("partial_charge").alias("q")).hint("merge"), ["mol_id", "atom_id"])
+    f = f.join(reactions.valence_allowed(a, e).where("allowed").hint("merge"), ["mol_id", "atom_id"], "left_semi").join(reactions.accessibility(_pi(spark, d), e).hint("merge"), ["mol_id", "atom_id"])
+    f = checkpointed(f)
+    side = lambda s: f.select("mol_id", F.col("atom_id").alias(s), F.col("homo").alias(f"homo_{s}"), F.col("lumo").alias(f"lumo_{s}"), F.col("homo_density").alias(f"hd_{s}"), F.col("lumo_density").alias(f"ld_{s}"), F.col("q").alias(f"q_{s}"), F.col("accessibility").alias(f"acc_{s}"), F.col("element").alias(f"element_{s}"), F.col("formal_charge").alias(f"charge_{s}"))
     pairs = reactions.candidate_pairs(f.select("mol_id", "atom_id", "comp")).select("mol_id", "a", "b")
-    return reactions.score_pairs(pairs.join(side("a"), ["mol_id", "a"]).join(side("b"), ["mol_id", "b"]))
+    return reactions.score_pairs(pairs.join(side("a").hint("merge"), ["mol_id", "a"]).join(side("b").hint("merge"), ["mol_id", "b"]))
+
+
+_PAIRS = _PI + """, systems AS (SELECT mol_id, atom_id % 2 AS comp, atom_id, partial_charge * 10 AS homo, partial_charge * 10 + total_hcount * 0.02 AS lumo FROM atoms), ends AS (SELECT *, max(homo) OVER (PARTITION BY mol_id, comp) AS top, min(lumo) OVER (PARTITION BY mol_id, comp) AS low FROM systems),
+used AS (SELECT mol_id, a AS atom_id, sum(bond_order) AS u FROM directed GROUP BY 1, 2), outside AS (SELECT e.mol_id, e.a AS atom_id, count(*) AS k FROM directed e JOIN pi ON pi.mol_id = e.mol_id AND pi.atom_id = e.b AND pi.electrons IS NULL GROUP BY 1, 2),
+f AS (SELECT n.mol_id, n.comp, n.atom_id, top AS h, low AS l, CASE WHEN homo = top THEN 0.5 ELSE 0.0 END::DOUBLE AS hd, CASE WHEN lumo = low THEN 0.25 ELSE 0.0 END::DOUBLE AS ld, t.element, t.formal_charge, t.partial_charge AS q, 1.0::DOUBLE / (1 + coalesce(k, 0)) AS acc, 1 / greatest((low - top) / 2, 0.05) AS soft FROM ends n JOIN atoms t USING (mol_id, atom_id) LEFT JOIN used USING (mol_id, atom_id) LEFT JOIN outside USING (mol_id, atom_id)
+ WHERE t.radical_electrons = 0 AND coalesce(u, 0) + t.total_hcount + 1 <= CASE t.element WHEN 'C' THEN 4 WHEN 'N' THEN 4 WHEN 'O' THEN 3 ELSE 6 END),
+p AS (SELECT x.mol_id, x.atom_id AS a, y.atom_id AS b, CASE WHEN y.l - x.h > 0 THEN x.hd * y.ld / greatest(y.l - x.h, 0.05) ELSE 0 END AS ab, CASE WHEN x.l - y.h > 0 THEN y.hd * x.ld / greatest(x.l - y.h, 0.05) ELSE 0 END AS ba, x.soft * y.soft * (x.hd * y.ld + y.hd * x.ld) AS hsab, -x.q * y.q AS charge, x.acc + y.acc AS acc,
+ concat_ws(';', CASE WHEN y.l - x.h <= 0 THEN 'INVALID_DIRECTIONAL_GAP' WHEN y.l - x.h < 0.05 THEN 'FRONTIER_GAP_REGULARIZED' END, CASE WHEN x.l - y.h <= 0 THEN 'INVALID_DIRECTIONAL_GAP' WHEN x.l - y.h < 0.05 THEN 'FRONTIER_GAP_REGULARIZED' END) AS codes, concat_ws('/', x.element, x.formal_charge, x.hd, x.ld, round(x.acc, 9), y.element, y.formal_charge, y.hd, y.ld, round(y.acc, 9)) AS alike
+ FROM f x JOIN f y ON y.mol_id = x.mol_id AND x.comp < y.comp),
+scored AS (SELECT *, round(ab + ba + 0.25 * hsab + 0.05 * charge + 0.1 * acc, 6) + 0.0 AS score, CASE WHEN ab > ba THEN 'A_to_B' WHEN ba > ab THEN 'B_to_A' ELSE 'mixed' END AS direction FROM p)"""
 
 
-@query("pair_ranking")
+@query("pair_ranking", f"WITH {_PAIRS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY mol_id ORDER BY score DESC, a, b) AS INT) AS rank FROM scored) SELECT mol_id, a, b, direction, round(ab, {R}) AS fmo_a_to_b, round(ba, {R}) AS fmo_b_to_a, round(hsab, {R}) AS hsab, round(charge, {R}) + 0.0 AS charge, round(acc, {R}) AS accessibility, codes, score, rank FROM r WHERE rank <= 3")
 def pair_ranking(spark, d):
-    scored = _pair_scores(spark, d).withColumn("score", F.round("score", 9))
-    return rounded(reactions.rank_pairs(scored, 3), "score", "gap").select("mol_id", "a", "b", "direction", "gap", "code", "score", "rank")
+    scored = rounded(_pair_scores(spark, d), "score")
+    best = rounded(reactions.rank_pairs(scored, 3), "fmo_a_to_b", "fmo_b_to_a", "hsab", "charge", "accessibility")
+    return best.select("mol_id", "a", "b", "direction", "fmo_a_to_b", "fmo_b_to_a", "hsab", "charge", "accessibility", F.array_join("codes", ";").alias("codes"), "score", "rank")
 
 
-@query("equivalent_pairs")
+@query("equivalent_pairs", f"WITH {_PAIRS} SELECT mol_id, count(*) AS n, CAST(split_part(min(lpad(a::VARCHAR, 3, '0') || '-' || lpad(b::VARCHAR, 3, '0')), '-', 1) AS INT) AS a, CAST(split_part(min(lpad(a::VARCHAR, 3, '0') || '-' || lpad(b::VARCHAR, 3, '0')), '-', 2) AS INT) AS b, string_agg(a || '-' || b, ' ' ORDER BY a, b) AS pairs FROM scored GROUP BY mol_id, alike")
 def equivalent_pairs(spark, d):
-    return rounded(reactions.group_equivalent_pairs(_pair_scores(spark, d)), "key")
+    found = reactions.group_equivalent_pairs(_pair_scores(spark, d))
+    return found.select("mol_id", "a", "b", "n", F.array_join(F.transform("pairs", lambda p: F.concat_ws("-", p["a"].cast("string"), p["b"].cast("string"))), " ").alias("pairs"))
+
+
+@query("formed_pairs", f"WITH {_PAIRS}, g AS (SELECT mol_id, atom_id AS lo, atom_id + 1 AS hi FROM atoms WHERE total_hcount = 2), j AS (SELECT g.mol_id, s.a, s.ab + s.ba AS fmo, s.hsab, s.charge FROM g LEFT JOIN scored s ON s.mol_id = g.mol_id AND least(s.a, s.b) = lo AND greatest(s.a, s.b) = hi) SELECT mol_id, count(*) AS formed, round(coalesce(sum(fmo), 0), {R}) AS fmo, round(coalesce(sum(hsab), 0), {R}) AS hsab, round(coalesce(sum(charge), 0), {R}) + 0.0 AS charge, CASE WHEN bool_or(a IS NULL) THEN 'FORMED_BOND_NOT_PAIR_SCORABLE' END AS warning FROM j GROUP BY 1")
+def formed_pairs(spark, d):
+    changes = B.atoms(spark, d).where("total_hcount = 2").select("mol_id", F.col("atom_id").alias("b"), (F.col("atom_id") + 1).alias("a"), F.lit("formed").alias("kind"))
+    return rounded(reactions.formed_pairs(_pair_scores(spark, d), changes), "fmo", "hsab", "charge")
 
 
 @query("screening", f"WITH s AS (SELECT p_partkey AS item, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS score FROM part), k AS (SELECT item FROM s WHERE score IS NOT NULL ORDER BY score, item LIMIT 25) SELECT s.item, s.score, CASE WHEN k.item IS NOT NULL THEN round(sqrt(s.item), {R}) ELSE s.score END AS final, CASE WHEN s.score IS NULL THEN 'failed' WHEN k.item IS NOT NULL THEN 'evaluated' ELSE 'screened' END AS status FROM s LEFT JOIN k USING (item)")
@@ -958,7 +1039,15 @@ def rigid_pairs(spark, d):
     return motifs.rigid_pairs(B.atoms(spark, d), b, graph.rings_of_closures(b))
 
 
-@query("expand_orbitals", f"WITH {_PI}, dbl AS (SELECT mol_id, a AS atom_id, count(*) AS k FROM directed WHERE bond_order >= 2 GROUP BY 1, 2), coup AS (SELECT e.mol_id, e.a AS atom_id, count(*) AS c FROM directed e JOIN pi ON pi.mol_id = e.mol_id AND pi.atom_id = e.b AND pi.electrons > 0 GROUP BY 1, 2) SELECT pi.mol_id, pi.atom_id, CAST(unnest(CASE WHEN reason = 'triple' OR k >= 2 THEN [0, 1] ELSE [0] END) AS INT) AS orbital, electrons, round(CASE WHEN reason = 'lone_pair' AND c > 0 THEN 1 / sqrt(c) ELSE 1.0 END, {R}) AS scale FROM pi LEFT JOIN dbl USING (mol_id, atom_id) LEFT JOIN coup USING (mol_id, atom_id) WHERE electrons > 0")
+_ORBITALS = f"""{_PI}, triple AS (SELECT DISTINCT mol_id, a AS atom_id FROM directed WHERE bond_order >= 2.5),
+cumul AS (SELECT mol_id, atom_id FROM (SELECT mol_id, a AS atom_id FROM bonds WHERE bond_order >= 1.5 AND bond_order < 2.5 AND NOT bond_aromatic UNION ALL SELECT mol_id, b FROM bonds WHERE bond_order >= 1.5 AND bond_order < 2.5 AND NOT bond_aromatic) JOIN atoms USING (mol_id, atom_id) WHERE hybridization = 'SP' GROUP BY 1, 2 HAVING count(*) = 2),
+sulf AS (SELECT e.mol_id, e.a AS atom_id, count(*) AS k FROM directed e JOIN atoms x ON x.mol_id = e.mol_id AND x.atom_id = e.a AND x.element = 'S' JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = e.b AND y.element = 'O' WHERE bond_order >= 1.5 GROUP BY 1, 2 HAVING count(*) >= 2),
+fixed AS (SELECT a.mol_id, a.atom_id, p.electrons, (p.electrons IS NOT NULL OR t.mol_id IS NOT NULL) AS base, t.mol_id IS NOT NULL AS trip, greatest(CASE WHEN p.electrons IS NOT NULL THEN 1 ELSE 0 END, CASE WHEN t.mol_id IS NOT NULL THEN 2 ELSE 0 END, CASE WHEN c.mol_id IS NOT NULL AND (p.electrons IS NOT NULL OR t.mol_id IS NOT NULL) THEN 2 ELSE 0 END, coalesce(s.k, 0)) AS many, c.mol_id IS NOT NULL OR s.mol_id IS NOT NULL OR t.mol_id IS NOT NULL AS ones, coalesce(s.k, 0) AS k FROM atoms a JOIN pi p USING (mol_id, atom_id) LEFT JOIN triple t USING (mol_id, atom_id) LEFT JOIN cumul c USING (mol_id, atom_id) LEFT JOIN sulf s USING (mol_id, atom_id)),
+ways AS (SELECT mol_id, a, b, bond_order, conjugated FROM bonds UNION ALL SELECT mol_id, b, a, bond_order, conjugated FROM bonds),
+donor AS (SELECT a.mol_id, a.atom_id, max(CASE WHEN f.k > 1 THEN f.k ELSE 1 END) AS m FROM atoms a JOIN fixed o ON o.mol_id = a.mol_id AND o.atom_id = a.atom_id AND o.many = 0 JOIN ways w ON w.mol_id = a.mol_id AND w.a = a.atom_id AND w.bond_order < 1.5 JOIN fixed f ON f.mol_id = w.mol_id AND f.atom_id = w.b AND f.many > 0 AND (f.k > 0 OR w.conjugated) WHERE a.element IN ('N', 'O', 'S') AND a.formal_charge <= 0 AND a.lone_pairs > 0 GROUP BY 1, 2)"""
+
+
+@query("expand_orbitals", f"WITH {_ORBITALS} SELECT mol_id, atom_id, CAST(unnest(range(many)) AS INT) AS orbital, CASE WHEN ones THEN 1 ELSE electrons END AS electrons, 1.0::DOUBLE AS scale FROM fixed WHERE many > 0 UNION ALL SELECT mol_id, atom_id, 0, 2, round(1 / sqrt(m), {R}) FROM donor")
 def expand_orbitals(spark, d):
     return rounded(motifs.expand_orbitals(B.atoms(spark, d), B.bonds(spark, d), _pi(spark, d)), "scale")
 
@@ -999,20 +1088,20 @@ def fit_bits(spark, d):
 @query("tune_support")
 def tune_support(spark, d):
     items, features = _fit_inputs(spark, d)
-    return rounded(studies.tune_support(items, features.join(items.select("item"), "item", "left_semi"), [0.05], [1.0, 10.0], 2), "composite")
+    return rounded(studies.tune_support(items, features.join(items.select("item").hint("merge"), "item", "left_semi"), [0.05], [1.0, 10.0], 2), "composite")
 
 
 @query("fit_final")
 def fit_final(spark, d):
     items, features = _fit_inputs(spark, d)
-    weights, q99 = studies.fit_final(items, features.join(items.select("item"), "item", "left_semi"), 0.05, 1.0, 2)
+    weights, q99 = studies.fit_final(items, features.join(items.select("item").hint("merge"), "item", "left_semi"), 0.05, 1.0, 2)
     return rounded(weights.withColumn("q99", F.lit(q99)), "weight", "mean", "scale", "q99")
 
 
 @query("nested_cv")
 def nested_cv(spark, d):
     items, features = _fit_inputs(spark, d)
-    return rounded(linear.nested_cv(items, features.join(items.select("item"), "item", "left_semi"), [1.0, 10.0], 2, 2), "prediction").select("item", "grp", "prediction", "fold")
+    return rounded(linear.nested_cv(items, features.join(items.select("item").hint("merge"), "item", "left_semi"), [1.0, 10.0], 2, 2), "prediction").select("item", "grp", "prediction", "fold")
 
 
 @query("evaluate_external")

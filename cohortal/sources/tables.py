@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortal.operators.loops import checkpointed
+from cohortal.operators.ordering import running
+
 STRUCTURE_ALIASES = ("SMILES", "smiles", "Canonical_SMILES", "mol")
 LABEL_ALIASES = ("energy", "energy_eV")
 
@@ -40,18 +43,29 @@ def read_manifest(df: DataFrame, split: str) -> DataFrame:
     return df.withColumn("split", F.when(F.col("split").eqNullSafe(split), F.col("split")).otherwise(wrong))
 
 
-def scan_files(spark: SparkSession, path: str, pattern: str, expected: int | None = None) -> DataFrame:
-    """(path, length, sha256) of the files of a folder; their number must be the expected one."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def scan_files(spark: SparkSession, path: str, pattern: str, expected: int | None = None, exclude: str | None = None) -> DataFrame:
+    """(path, length, sha256) of the files below a folder, without derived ones, whose paths match `exclude`; their number must be
+    the expected one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    files = files.where(~F.col("path").rlike(exclude)) if exclude else files
+    files = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
     if expected is not None and (n := files.count()) != expected:
         raise ValueError(f"{n} files match {pattern}; {expected} expected")
     return files
 
 
-def dataset_digest(df: DataFrame, key: str) -> DataFrame:
-    """One row: a digest of the rows' digests in the order of key."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    return df.select(F.struct(F.col(key).alias("k"), row.alias("h")).alias("r")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["h"]), ""), 256).alias("sha256"))
+def dataset_digest(df: DataFrame, key: str, fan: int = 1024) -> DataFrame:
+    """One row: the root of a tree of digests over the rows in the order of key, `fan` to a node. Keys must differ; a null in a
+    row counts as \\N. No task sees more than `fan` digests."""
+    row = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\\\N")) for c in df.columns)), 256)
+    level = running(df.select(F.col(key).alias("k"), row.alias("h"), F.lit(1).alias("one")), [], ["k"], {"at": "one"}).select("at", "h")
+    if not level.limit(1).count():
+        return df.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("sha256"))
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda r: r["h"]), "")
+        level = checkpointed(level.groupBy(F.floor(F.col("at") / fan).alias("up")).agg(F.sha2(joined, 256).alias("h")).select(F.col("up").alias("at"), "h"))
+        if level.count() == 1:
+            return level.select(F.col("h").alias("sha256"))
 
 
 def load_model(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
@@ -76,11 +90,20 @@ def save_model(card: dict, weights: DataFrame, path: str) -> None:
     one.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), head.alias("card"), "weights", "means", "scales")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def load_ensemble(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(member, name, weight, mean, scale) of several model files."""
-    out = None
-    for member, path in paths.items():
-        now = load_model(spark, path)[1].select(F.lit(member).alias("member"), "*")
+def load_ensemble(spark: SparkSession, manifest: str) -> DataFrame:
+    """(member, name, weight, mean, scale, share) of the models that a manifest names, by paths relative to it.
+
+    The manifest is JSON with `members` and, if they are not alike, `weights`; shares are weights over their sum.
+    """
+    found = spark.read.text(manifest, wholetext=True).select(F.from_json("value", "members array<string>, weights array<double>").alias("m")).select("m.*").first()
+    if found is None or not found["members"]:
+        raise ValueError("the manifest names no member")
+    weights = found["weights"] or [1.0] * len(found["members"])
+    if len(weights) != len(found["members"]) or min(weights) < 0 or not sum(weights) > 0:
+        raise ValueError("weights must be as many as members, not negative, and not all 0")
+    base, out = manifest.rstrip("/").rsplit("/", 1)[0], None
+    for member, weight in zip(found["members"], weights, strict=True):
+        now = load_model(spark, f"{base}/{member}")[1].select(F.lit(member).alias("member"), "*", F.lit(weight / sum(weights)).alias("share"))
         out = now if out is None else out.unionByName(now)
     return out
 
@@ -92,31 +115,54 @@ def export_table(df: DataFrame, path: str, order: list[str], form: str = "parque
 
 
 def write_scores(df: DataFrame, path: str, form: str = "csv") -> None:
-    """Predictions as CSV (warnings joined by ';') or JSON lines."""
+    """df(item, prediction, warnings, error, ...) as path/predictions and, where error is set, path/failures.
+
+    CSV joins warnings by ';'; JSON lines keep the list.
+    """
+    good = df.where("error is null").drop("error")
+    bad = df.where("error is not null").select("item", "error")
     if form == "json":
-        df.write.mode("overwrite").json(path)
+        good.write.mode("overwrite").json(f"{path}/predictions")
+        bad.write.mode("overwrite").json(f"{path}/failures")
     else:
-        df.withColumn("warnings", F.array_join("warnings", ";")).write.mode("overwrite").csv(path, header=True)
+        good.withColumn("warnings", F.array_join("warnings", ";")).write.mode("overwrite").csv(f"{path}/predictions", header=True)
+        bad.write.mode("overwrite").csv(f"{path}/failures", header=True)
+
+
+def audit(df: DataFrame, stage: str, counters: dict[str, Column], rules: list[str] | None = None, hashes: dict[str, Column] | None = None) -> DataFrame:
+    """One row for a caller to write as JSON: stage, counters (aggregates of df), the rules in words, and hashes of what was read."""
+    one = df.agg(F.struct(*(c.cast("long").alias(n) for n, c in counters.items())).alias("counters"))
+    kept = F.struct(*(c.alias(n) for n, c in hashes.items())) if hashes else F.lit(None).cast("struct<none:string>")
+    return one.select(F.lit(stage).alias("stage"), "counters", F.array(*map(F.lit, rules or [])).cast("array<string>").alias("rules"), kept.alias("hashes"))
+
+
+#: The columns of the comparison tables.
+GLOBAL_METRICS = ("mae", "rmse", "median_abs_error", "r2", "pearson", "spearman")
+LOCAL_METRICS = ("mean_pearson", "mean_spearman", "mean_concordance", "top1")
+
+
+def summary_tables(whole: DataFrame, local: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Comparison tables of models from long metrics (model, metric, value): a row a model, fixed columns, null where unknown."""
 
+    def table(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        return df.groupBy("model").pivot("metric", list(names)).agg(F.first("value")).select("model", *names)
 
-def audit(df: DataFrame, stage: str, **counters) -> DataFrame:
-    """(stage, counters): one row of named aggregates, which a caller writes as JSON."""
-    one = df.agg(*(c.cast("long").alias(n) for n, c in counters.items()))
-    return one.select(F.lit(stage).alias("stage"), F.map_from_arrays(F.array(*map(F.lit, counters)), F.array(*counters)).alias("counters"))
+    return table(whole, GLOBAL_METRICS), table(local, LOCAL_METRICS)
 
 
-def export_training(items: DataFrame, fold: int, folds: int = 5) -> DataFrame:
-    """(item, grp, centered, part): group-centred labels; the fold's groups are `val`, the others `train`."""
+def export_training(items: DataFrame, fold: int, path: str, folds: int = 5) -> None:
+    """CSV (item, centered, part): group-centred labels; the fold's groups are `val`, the others `train`."""
     from cohortal.operators.cohort import fold_of
     from cohortal.operators.linear import center_labels
 
     part = F.when(fold_of(F.col("grp"), folds) == fold, "val").otherwise("train")
-    return center_labels(items).select("item", "grp", "centered", part.alias("part"))
+    center_labels(items).select("item", "centered", part.alias("part")).write.mode("overwrite").csv(path, header=True)
 
 
 def import_predictions(requested: DataFrame, predictions: DataFrame) -> DataFrame:
     """(item, prediction): means over folds; items must be those that were asked for."""
     per = predictions.groupBy("item").agg(F.avg("prediction").alias("prediction"))
-    if per.join(requested, "item", "left_anti").limit(1).count() or requested.join(per, "item", "left_anti").limit(1).count():
+    per = checkpointed(per)
+    if per.join(requested.hint("merge"), "item", "left_anti").limit(1).count() or requested.join(per.hint("merge"), "item", "left_anti").limit(1).count():
         raise ValueError("predicted items are not the requested ones")
     return per

@@ -1,10 +1,13 @@
 """Operators on the small tables whose results are known by hand."""
 
+import hashlib
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortal.operators import cohort, enrich, graph, linear, metrics, prep, reactions
+from cohortal.operators import cohort, enrich, graph, linear, loops, metrics, ordering, prep, reactions
 from cohortal.sources import tables
 from cohortal.streaming import scoring
 
@@ -93,9 +96,25 @@ def molecule(spark, bonds, elements, mol=1):
 
 
 def test_pi_counts(spark):
-    for bonds, elements, want in (([(0, 1, 2.0)], "CC", [2]), ([(0, 1, 2.0), (1, 2, 1.0), (2, 3, 2.0)], "CCCC", [4]), ([(0, 1, 2.0), (1, 2, 1.0)], "CCO", [4])):
+    """Ethene; butadiene, whose middle bond is conjugated, and the same without that flag; acetaldehyde."""
+    for bonds, elements, conjugated, want in (
+        ([(0, 1, 2.0)], "CC", (), [2]),
+        ([(0, 1, 2.0), (1, 2, 1.0), (2, 3, 2.0)], "CCCC", (1,), [4]),
+        ([(0, 1, 2.0), (1, 2, 1.0), (2, 3, 2.0)], "CCCC", (), [2, 2]),
+        ([(0, 1, 2.0), (1, 2, 1.0)], "OCC", (), [2]),
+    ):
         atoms, b = molecule(spark, bonds, elements)
-        assert [r["electrons"] for r in graph.pi_systems(graph.assign_pi(atoms, b), b).collect()] == want
+        b = b.withColumn("conjugated", F.col("a").isin(*conjugated) if conjugated else F.lit(False))
+        assert sorted(r["electrons"] for r in graph.pi_systems(graph.assign_pi(atoms, b), b).collect()) == want
+
+
+def test_pi_counts_of_rings(spark):
+    """Benzene, pyridine, pyrrole and furan have six electrons in one system."""
+    for elements, hydrogens in (("CCCCCC", {}), ("NCCCCC", {0: 0}), ("NCCCC", {0: 1}), ("OCCCC", {0: 0})):
+        n = len(elements)
+        atoms = spark.createDataFrame([(1, k, e, 0, hydrogens.get(k, 1), True) for k, e in enumerate(elements)], "mol_id long, atom_id int, element string, formal_charge int, total_hcount int, aromatic boolean")
+        bonds = spark.createDataFrame([(1, k, (k + 1) % n, 1.5, True) for k in range(n)], "mol_id long, a int, b int, bond_order double, bond_aromatic boolean")
+        assert [(r["sites"], r["electrons"]) for r in graph.pi_systems(graph.assign_pi(atoms, bonds), bonds).collect()] == [(n, 6)]
 
 
 def test_graph_identity_is_free_of_ids(spark):
@@ -218,3 +237,125 @@ def test_stream_scores_as_a_table(spark, tmp_path):
     q.awaitTermination(60)
     got = {r["item"]: r["prediction"] for r in spark.table("scored").collect()}
     assert got == {"a": 2.0, "b": 1.0} == {r["item"]: r["prediction"] for r in scoring.score_stream(rows, {"x": 0.5}, 1.0).collect()}
+
+
+def test_scores_use_every_weight(spark):
+    n = 5000
+    items = spark.createDataFrame([(1, "g", 0.0)], "item long, grp string, label double")
+    features = spark.range(n).select(F.lit(1).cast("long").alias("item"), F.lit("g").alias("grp"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("name"), F.lit(1.0).alias("value"))
+    weights = features.select("name", F.lit(1.0).alias("weight"))
+    assert linear.score_linear(items, features, weights).first()["prediction"] == n
+    assert linear.contributions(features, weights).count() == n
+    assert loops.with_small(features, weights, "name", most=10).count() == n
+    assert abs(linear.group_distance(features, weights.withColumnRenamed("weight", "scale")).first()["distance"] - 1) < 1e-12
+
+
+def test_unseen_elements_beyond_a_thousand(spark):
+    rows = spark.range(1500).select(F.col("id").alias("item"), F.col("id").cast("string").alias("grp"), F.array(F.concat(F.lit("E"), F.col("id").cast("string"))).alias("elements"))
+    assert prep.drop_unseen(rows, rows).count() == 1500
+    assert prep.drop_unseen(rows, rows.where("item <> 7")).count() == 1499
+
+
+def test_pi_rules(spark):
+    """Atoms one by one: element, charge, hydrogens, aromatic, radical, order of the one bond."""
+    cases = [
+        ("C", 0, 1, True, 0, 1.0, 1, "aromatic_carbon"),
+        ("C", 1, 1, True, 0, 1.0, 0, "aromatic_carbon"),
+        ("C", -1, 1, True, 0, 1.0, 2, "aromatic_carbon"),
+        ("N", 0, 0, True, 0, 1.0, 1, "pyridine_like"),
+        ("N", 0, 1, True, 0, 1.0, 2, "pyrrole_like"),
+        ("N", -1, 0, True, 0, 1.0, 2, "anionic_nitrogen"),
+        ("O", 0, 0, True, 0, 1.0, 2, "aromatic_donor"),
+        ("S", 0, 0, True, 0, 1.0, 2, "aromatic_donor"),
+        ("C", 2, 0, True, 0, 1.0, None, "charge_out_of_range"),
+        ("C", 0, 2, False, 0, 2.0, 1, "double_bond_carbon"),
+        ("C", 1, 2, False, 0, 2.0, 0, "double_bond_carbon"),
+        ("O", 0, 0, False, 0, 2.0, 1, "double_bond_hetero"),
+        ("O", -1, 0, False, 0, 2.0, 2, "double_bond_hetero"),
+        ("C", 0, 1, False, 0, 3.0, None, "triple_bond"),
+        ("C", 0, 1, True, 1, 2.0, None, "open_shell"),
+        ("P", 0, 0, True, 0, 2.0, None, "unsupported_element"),
+        ("O", 0, 1, False, 0, 1.0, None, "none"),
+    ]
+    atoms = [(k, 0, e, q, h, a, r) for k, (e, q, h, a, r, *_) in enumerate(cases)] + [(k, 1, "C", 0, 3, False, 0) for k in range(len(cases))]
+    atoms = spark.createDataFrame(atoms, "mol_id long, atom_id int, element string, formal_charge int, total_hcount int, aromatic boolean, radical_electrons int")
+    bonds = spark.createDataFrame([(k, 0, 1, c[5]) for k, c in enumerate(cases)], "mol_id long, a int, b int, bond_order double")
+    got = {r["mol_id"]: r for r in graph.assign_pi(atoms, bonds).where("atom_id = 0").collect()}
+    for k, c in enumerate(cases):
+        assert (got[k]["electrons"], got[k]["reason"], got[k]["included"]) == (c[6], c[7], c[6] is not None)
+
+
+def test_valence_and_radicals(spark):
+    rows = [(1, 0, "B", 3, 0, True), (1, 1, "N", 3, 0, True), (1, 2, "O", 2, 0, True), (1, 3, "C", 4, 0, False), (1, 4, "C", 0, 1, False), (1, 5, "Xx", 0, 0, False), (1, 6, "F", 1, 0, False)]
+    atoms = spark.createDataFrame([r[:5] for r in rows], "mol_id long, atom_id int, element string, total_hcount int, radical_electrons int")
+    none = spark.createDataFrame([], "mol_id long, a int, b int, bond_order double")
+    assert {r["atom_id"]: r["allowed"] for r in reactions.valence_allowed(atoms, none).collect()} == {r[1]: r[5] for r in rows}
+
+
+def test_pair_scores_add_both_directions(spark):
+    row = (1, 0, 1, -1.0, 0.5, 0.4, 0.3, 0.2, 1.0, -1.0, 0.5, 0.4, 0.3, -0.1, 0.5)
+    names = ["mol_id", "a", "b"] + [f"{c}_{x}" for x in "ab" for c in ("homo", "lumo", "hd", "ld", "q", "acc")]
+    got = reactions.score_pairs(spark.createDataFrame([row], names)).first()
+    fmo, soft = 0.4 * 0.3 / 1.5, 1 / 0.75
+    assert abs(got["fmo_a_to_b"] - fmo) < 1e-12 and got["direction"] == "mixed" and got["codes"] == []
+    assert abs(got["score"] - (2 * fmo + 0.25 * soft * soft * 2 * 0.12 + 0.05 * 0.02 + 0.1 * 1.5)) < 1e-12
+
+
+def test_concordance_against_pairs(spark):
+    rnd = random.Random(2)
+    rows = [(g, k, float(rnd.randint(0, n)), rnd.randint(0, n) / 3) for g, n in (("a", 40), ("b", 3), ("c", 1), (None, 9)) for k in range(n * 3)] + [("one", 1, 1.0, 2.0)]
+    got = {r["grp"]: r["concordance"] for r in metrics.concordance(spark.createDataFrame(rows, "grp string, item long, label double, prediction double")).collect()}
+    for g in {r[0] for r in rows}:
+        own = [r[2:] for r in rows if r[0] == g]
+        scores = [0.5 if p == q else float((x < y) == (p < q)) for i, (x, p) in enumerate(own) for y, q in own[:i] if x != y]
+        assert (g in got) == bool(scores) and (not scores or abs(got[g] - sum(scores) / len(scores)) < 1e-12)
+
+
+def test_quantiles_and_ranks_of_groups_over_many_ranges(spark):
+    rnd = random.Random(4)
+    rows = [("big", float(rnd.randint(0, 300))) for _ in range(3000)] + [("small", 5.0), (None, 1.0), (None, 2.0), ("small", None)]
+    df = spark.createDataFrame(rows, "grp string, v double").repartition(5)
+    got = {r["grp"]: r for r in ordering.quantiles(df, "v", {"q1": 0.25, "q9": 0.99}, "grp").collect()}
+    big = [v for g, v in rows if g == "big"]
+    assert np.allclose([got["big"]["q1"], got["big"]["q9"]], np.quantile(big, [0.25, 0.99])) and got[None]["q1"] == 1.25 and got["small"]["q9"] == 5.0
+    ranks = {(r["grp"], r["v"]): r["rank"] for r in ordering.average_ranks(df, ["grp"], "v", "rank").collect()}
+    assert all(ranks["big", v] == sum(x < v for x in big) + (big.count(v) + 1) / 2 for v in set(big[:50]))
+
+
+def test_assign_components_is_the_greedy_choice(spark):
+    sizes = [9, 7, 7, 7, 4, 4, 4, 4, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1]
+    rows = [(c * 100 + k, c) for c, n in enumerate(sizes) for k in range(n)]
+    shares = {"training": 0.7, "validation": 0.1, "external": 0.2}
+    got = {r["comp"]: r["split"] for r in cohort.assign_components(spark.createDataFrame(rows, "grp long, comp long"), shares).collect()}
+    order = sorted(range(len(sizes)), key=lambda c: (-sizes[c], hashlib.sha256(f"component: {c}".encode()).hexdigest()))
+    total, held, want = sum(sizes), dict.fromkeys(shares, 0), {}
+    for c in order:
+        want[c] = min(shares, key=lambda s: (held[s] + sizes[c] - total * shares[s]) ** 2 - (held[s] - total * shares[s]) ** 2)
+        held[want[c]] += sizes[c]
+    assert got == want
+
+
+def test_nearest_similarity_in_blocks(spark):
+    rnd = random.Random(8)
+    sets = {k: set(rnd.sample(range(40), rnd.randint(1, 12))) for k in range(60)}
+    df = spark.createDataFrame([(k, b) for k, s in sets.items() for b in s], "item long, bit int")
+    got = {r["item"]: r["nearest"] for r in cohort.nearest_similarity(df.where("item < 20"), df, block=7).collect()}
+    want = {k: max(len(sets[k] & s) / len(sets[k] | s) for j, s in sets.items() if j != k) for k in range(20)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_candidates_without_an_energy_are_an_error(spark):
+    df = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (2, 1, None)], "item long, candidate long, energy double")
+    assert reactions.lowest_per_item(df.where("item = 1")).first()["candidate"] == 2
+    with pytest.raises(Exception, match="no candidate"):
+        reactions.lowest_per_item(df).collect()
+
+
+def test_a_cluster_must_name_its_folder(spark):
+    from types import SimpleNamespace as Stand
+
+    assert loops.shared_folder(spark, "x").split("/")[-1].startswith("x-")
+    context = Stand(getCheckpointDir=lambda: None, master="spark://somewhere:7077")
+    session = Stand(sparkContext=context, conf=Stand(get=lambda name, default: default))
+    with pytest.raises(ValueError, match="all executors share"):
+        loops.checkpointed(Stand(sparkSession=session))

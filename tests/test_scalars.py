@@ -61,5 +61,5 @@ def test_bonds_and_pairs(spark):
     gap = lambda h, l: [one(spark, c) for c in S.pair_gap(F.lit(h).cast("double"), F.lit(l).cast("double"), F.lit(0.5), 0.05)]  # noqa: E731, E741
     assert gap(1.0, 0.5) == [None, 0.0, "INVALID_DIRECTIONAL_GAP"]
     assert gap(0.0, 0.01) == [0.05, 10.0, "FRONTIER_GAP_REGULARIZED"]
-    assert gap(None, 1.0)[1:] == [0.0, "MISSING_FRONTIER_ENERGY"]
+    assert gap(None, 1.0)[1:] == [0.0, "FRONTIER_UNAVAILABLE"]
     assert math.isclose(gap(0.0, 2.0)[1], 0.25)
