@@ -46,6 +46,46 @@ def normalize_atoms(atoms: DataFrame, strict: bool = False) -> DataFrame:
     return out
 
 
+def normalize_bonds(bonds: DataFrame, strict: bool = False) -> DataFrame:
+    """bonds(mol_id, a, b, bond_order or order) with the order as a double, flags with defaults, and a code; an order that is no number
+    above 0 counts as 1, and is an error if strict."""
+    if "order" in bonds.columns and "bond_order" not in bonds.columns:
+        bonds = bonds.withColumnRenamed("order", "bond_order")
+    order = F.col("bond_order").try_cast("double")
+    good = F.coalesce(~F.isnan(order) & (order > 0) & (order < float("inf")), F.lit(False))
+    out = bonds.withColumn("warnings", F.array_compact(F.array(F.when(~good, F.lit("INVALID_BOND_ORDER")))))
+    out = out.withColumn("bond_order", F.when(good, order).otherwise(1.0))
+    for name in ("bond_aromatic", "conjugated"):
+        out = out.withColumn(name, flag(bonds, name))
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("invalid bond order in "), F.col("mol_id").cast("string"))).cast("double")
+        out = out.withColumn("bond_order", F.when(F.size("warnings") > 0, wrong).otherwise(F.col("bond_order")))
+    return out
+
+
+def composition(atoms: DataFrame) -> DataFrame:
+    """(mol_id, element, n): atoms and their implicit hydrogens; what does not stand there has no row."""
+    one = atoms.select("mol_id", "element", F.lit(1).cast("long").alias("n"))
+    hydrogen = atoms.select("mol_id", F.lit("H").alias("element"), F.col("total_hcount").cast("long").alias("n"))
+    return one.unionByName(hydrogen).groupBy("mol_id", "element").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def composition_features(atoms: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """Per molecule: a count of each element of `numbers`, atoms, the sum of atomic numbers, atoms squared."""
+    of = [F.sum((F.col("element") == e).cast("int")).alias(e.lower()) for e in numbers]
+    number = F.coalesce(*(F.when(F.col("element") == e, F.lit(z)) for e, z in numbers.items()))
+    return atoms.groupBy("mol_id").agg(*of, F.count("*").alias("heavy"), F.sum(number).alias("electrons"), (F.count("*") * F.count("*")).alias("heavy_square"))
+
+
+def bond_inventory(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol_id, name, n): bonds by sorted elements and order, those to implicit hydrogens among them."""
+    at = lambda c, x: atoms.select("mol_id", F.col("atom_id").alias(c), F.col("element").alias(x)).hint("merge")
+    name = lambda x, y, order: F.concat(F.least(x, y), F.lit("-"), F.greatest(x, y), F.lit(";"), order)
+    lines = bonds.join(at("a", "x"), ["mol_id", "a"]).join(at("b", "y"), ["mol_id", "b"]).select("mol_id", name(F.col("x"), F.col("y"), F.col("bond_order").cast("int").cast("string")).alias("name"), F.lit(1).alias("n"))
+    h = atoms.where("total_hcount > 0").select("mol_id", name(F.lit("H"), F.col("element"), F.lit("1")).alias("name"), F.col("total_hcount").alias("n"))
+    return lines.unionByName(h).groupBy("mol_id", "name").agg(F.sum("n").alias("n"))
+
+
 def graph_components(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     """(mol_id, atom_id, comp): comp is the least atom of the connected component."""
     nodes = atoms.select("mol_id", F.col("atom_id").alias("node"))
@@ -254,14 +294,17 @@ def charge_topology(atoms: DataFrame, distances: DataFrame, most: int = 4) -> Da
     return j.groupBy("mol_id", "d").agg(F.sum(F.abs(F.col("q_a") - F.col("q_b"))).alias("difference"), F.sum(F.col("q_a") * F.col("q_b")).alias("product"))
 
 
-def formal_charge_terms(atoms: DataFrame, distances: DataFrame) -> DataFrame:
-    """Per molecule: sum of q^2, of q*q/d over charged pairs, of 1/d over pairs of like and of unlike sign."""
-    own = atoms.groupBy("mol_id").agg(F.sum(F.col("formal_charge") * F.col("formal_charge")).alias("magnitude"))
+def formal_charge_terms(atoms: DataFrame, distances: DataFrame, hardness: dict[str, float] | None = None) -> DataFrame:
+    """Per molecule: sum of q^2, of the element's hardness times q^2, of q*q/d over charged pairs, of 1/d over pairs of like and of
+    unlike sign."""
+    table = F.coalesce(*(F.when(F.col("element") == k, F.lit(float(v))) for k, v in (hardness or {}).items()), F.lit(0.0))
+    square = F.col("formal_charge") * F.col("formal_charge")
+    own = atoms.groupBy("mol_id").agg(F.sum(square).alias("magnitude"), F.sum(table * square).alias("hardness"))
     c = lambda x: atoms.where("formal_charge <> 0").select("mol_id", F.col("atom_id").alias(x), F.col("formal_charge").alias(f"q_{x}"))
     j = distances.join(c("a"), ["mol_id", "a"]).join(c("b"), ["mol_id", "b"])
     near = F.col("q_a") * F.col("q_b")
     pairs = j.groupBy("mol_id").agg(F.sum(near / F.col("d")).alias("coulomb"), F.sum(F.when(near > 0, 1 / F.col("d")).otherwise(0.0)).alias("like"), F.sum(F.when(near < 0, 1 / F.col("d")).otherwise(0.0)).alias("unlike"))
-    return own.join(pairs, "mol_id", "left").select("mol_id", "magnitude", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("coulomb", "like", "unlike")))
+    return own.join(pairs.hint("merge"), "mol_id", "left").select("mol_id", "magnitude", "hardness", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("coulomb", "like", "unlike")))
 
 
 def steric_terms(atoms: DataFrame, bonds: DataFrame, radius: dict[str, float]) -> DataFrame:
@@ -318,6 +361,20 @@ def ring_terms(rings: DataFrame) -> DataFrame:
     return out.select("mol_id", "rings", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("junctions", "spiro", "fused", "bridged", "shared_sides")))
 
 
+def small_ring_terms(rings: DataFrame, bonds: DataFrame, small: tuple[int, int] = (3, 4), medium: tuple[int, int] = (8, 11)) -> DataFrame:
+    """Per molecule: small rings with single sides only, and with other ones; medium rings; bridgeheads, atoms of three rings or more;
+    the mean of the sizes' squared distance from six."""
+    size = rings.groupBy("mol_id", "ring").agg(F.count("*").alias("size"))
+    rich = bonds.where(bond_class(F.col("bond_order"), flag(bonds, "bond_aromatic")) != "single").select("mol_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    inside = ring_edges(rings).join(rich.hint("merge"), ["mol_id", "a", "b"]).groupBy("mol_id", "ring").agg(F.count("*").alias("rich"))
+    j = size.join(inside.hint("merge"), ["mol_id", "ring"], "left")
+    little = F.col("size").between(*small)
+    heads = rings.groupBy("mol_id", "atom_id").agg(F.count("*").alias("n")).where("n >= 3").groupBy("mol_id").agg(F.count("*").alias("bridgeheads"))
+    count = lambda c: F.sum(c.cast("int"))
+    out = j.groupBy("mol_id").agg(count(little & F.col("rich").isNull()).alias("saturated_small"), count(little & F.col("rich").isNotNull()).alias("unsaturated_small"), count(F.col("size").between(*medium)).alias("medium"), F.avg((F.col("size") - 6) * (F.col("size") - 6)).alias("size_deviation"))
+    return out.join(heads.hint("merge"), "mol_id", "left").withColumn("bridgeheads", F.coalesce("bridgeheads", F.lit(0)))
+
+
 def ring_strain(rings: DataFrame, by_size: dict[int, float], fused: float) -> DataFrame:
     """Per molecule: tabulated strain of each ring's size, and an increment for each fused pair."""
     size = rings.groupBy("mol_id", "ring").agg(F.count("*").alias("size"))
@@ -404,7 +461,7 @@ def rotatable(bonds: DataFrame, rings: DataFrame) -> DataFrame:
     ring_atoms = rings.select("mol_id", "atom_id").distinct()
     s = bonds.where("bond_order = 1").join(d.select("mol_id", F.col("atom_id").alias("a")), ["mol_id", "a"], "left_semi").join(d.select("mol_id", F.col("atom_id").alias("b")), ["mol_id", "b"], "left_semi")
     inside = ring_atoms.select("mol_id", F.col("atom_id").alias("a"))
-    free = s.join(inside, ["mol_id", "a"], "left_anti").join(ring_atoms.select("mol_id", F.col("atom_id").alias("b")), ["mol_id", "b"], "left_anti")
+    free = s.join(inside.hint("merge"), ["mol_id", "a"], "left_anti").join(ring_atoms.select("mol_id", F.col("atom_id").alias("b")).hint("merge"), ["mol_id", "b"], "left_anti")
     return free.groupBy("mol_id").agg(F.count("*").alias("rotatable"))
 
 

@@ -122,6 +122,17 @@ def summarize_groups(metrics: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def worst_groups(metrics: DataFrame, n: int, metric: str = "pearson") -> DataFrame:
+    """(grp, metric): the n groups of lowest metric, ties by group; those without one do not count."""
+    return metrics.where(F.col(metric).isNotNull()).select("grp", metric).orderBy(metric, "grp").limit(n)
+
+
+def centred_most(df: DataFrame, value: str, group: str) -> DataFrame:
+    """(centered_max_abs): the largest distance of a value from its group's mean; 0 where a group fixes the value."""
+    means = df.groupBy(group).agg(F.avg(value).alias("_m"))
+    return same(df.select(group, value), means, [group]).agg(F.max(F.abs(F.col(value) - F.col("_m"))).alias("centered_max_abs"))
+
+
 def composite(summary: DataFrame) -> DataFrame:
     return summary.withColumn("composite", (F.col("pearson") + F.col("spearman")) / 2)
 

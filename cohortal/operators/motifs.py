@@ -42,7 +42,7 @@ def motif_terms(atoms: DataFrame, bonds: DataFrame, rewards: dict[str, float]) -
 def flexible_distances(bonds: DataFrame, rings: DataFrame, cutoff: int) -> DataFrame:
     """(mol_id, a, b, d, flexible): shortest paths, with the fewest flexible (single, outside rings) bonds on one."""
     inside = rings.select("mol_id", "atom_id").distinct()
-    marked = bonds.join(inside.select("mol_id", F.col("atom_id").alias("a"), F.lit(1).alias("ra")), ["mol_id", "a"], "left").join(inside.select("mol_id", F.col("atom_id").alias("b"), F.lit(1).alias("rb")), ["mol_id", "b"], "left")
+    marked = bonds.join(inside.select("mol_id", F.col("atom_id").alias("a"), F.lit(1).alias("ra")).hint("merge"), ["mol_id", "a"], "left").join(inside.select("mol_id", F.col("atom_id").alias("b"), F.lit(1).alias("rb")).hint("merge"), ["mol_id", "b"], "left")
     flexible = ((F.col("bond_order") < 2) & ~(F.col("ra").isNotNull() & F.col("rb").isNotNull())).cast("int")
     one = marked.select("mol_id", "a", "b", flexible.alias("f"))
     step = one.unionByName(one.select("mol_id", F.col("b").alias("a"), F.col("a").alias("b"), "f"))
@@ -71,10 +71,10 @@ def rigid_pairs(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFra
         ends = left.select("mol_id", F.explode(F.array("donor", "acceptor")).alias("atom_id"), order.alias("o"))
         first = ends.groupBy("mol_id", "atom_id").agg(F.min("o").alias("first"))
         of = lambda side: first.select("mol_id", F.col("atom_id").alias(side), F.col("first").alias(f"first_{side}"))  # noqa: E731, B023
-        now = checkpointed(left.join(of("donor"), ["mol_id", "donor"]).join(of("acceptor"), ["mol_id", "acceptor"]).where((F.col("first_donor") == order) & (F.col("first_acceptor") == order)).select("mol_id", "donor", "acceptor", "d"))
+        now = checkpointed(left.join(of("donor").hint("merge"), ["mol_id", "donor"]).join(of("acceptor").hint("merge"), ["mol_id", "acceptor"]).where((F.col("first_donor") == order) & (F.col("first_acceptor") == order)).select("mol_id", "donor", "acceptor", "d"))
         picked = now if picked is None else picked.unionByName(now)
         used = now.select("mol_id", F.explode(F.array("donor", "acceptor")).alias("atom_id"))
-        left = checkpointed(left.join(used.withColumnRenamed("atom_id", "donor"), ["mol_id", "donor"], "left_anti").join(used.withColumnRenamed("atom_id", "acceptor"), ["mol_id", "acceptor"], "left_anti"))
+        left = checkpointed(left.join(used.withColumnRenamed("atom_id", "donor").hint("merge"), ["mol_id", "donor"], "left_anti").join(used.withColumnRenamed("atom_id", "acceptor").hint("merge"), ["mol_id", "acceptor"], "left_anti"))
         if not left.limit(1).count():
             return picked
     raise RuntimeError("pairs are still left")

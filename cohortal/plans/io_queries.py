@@ -55,7 +55,7 @@ def scan_files(spark, d):
 
 
 @query("dataset_digest", """WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS pos, sha256(concat_ws('|', c_custkey, c_mktsegment, c_nationkey)) AS h FROM customer), a AS (SELECT pos // 1024 AS pos, sha256(string_agg(h, '' ORDER BY r.pos)) AS h FROM r GROUP BY pos // 1024), b AS (SELECT pos // 1024 AS pos, sha256(string_agg(h, '' ORDER BY a.pos)) AS h FROM a GROUP BY pos // 1024)
-SELECT CASE WHEN (SELECT count(*) FROM a) = 1 THEN (SELECT h FROM a) ELSE (SELECT h FROM b) END AS sha256""")
+SELECT CASE WHEN (SELECT count(*) FROM a) = 1 THEN (SELECT max(h) FROM a) ELSE (SELECT max(h) FROM b) END AS sha256""")
 def dataset_digest(spark, d):
     return T.dataset_digest(B.read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_custkey")
 

@@ -261,9 +261,7 @@ def hill_formula(spark, d):
 
 
 def _composition(spark, d):
-    a = B.atoms(spark, d)
-    both = a.select("mol_id", "element", F.lit(1).cast("long").alias("n")).unionByName(a.select("mol_id", F.lit("H").alias("element"), F.col("total_hcount").cast("long").alias("n")))
-    return both.groupBy("mol_id", "element").agg(F.sum("n").alias("n")).where("n > 0")
+    return graph.composition(B.atoms(spark, d))
 
 
 @query("composition", f"WITH {B.ATOMS} SELECT mol_id, element, CAST(sum(n) AS BIGINT) AS n FROM (SELECT mol_id, element, 1 AS n FROM atoms UNION ALL SELECT mol_id, 'H', total_hcount FROM atoms) GROUP BY 1, 2 HAVING sum(n) > 0")
@@ -273,9 +271,7 @@ def composition(spark, d):
 
 @query("composition_vector", f"WITH {B.ATOMS} SELECT mol_id, count(*) FILTER (element = 'C') AS c, count(*) FILTER (element = 'N') AS n, count(*) FILTER (element = 'O') AS o, count(*) FILTER (element = 'S') AS s, count(*) AS heavy, CAST(sum(CASE element WHEN 'C' THEN 6 WHEN 'N' THEN 7 WHEN 'O' THEN 8 ELSE 16 END) AS BIGINT) AS electrons, count(*) * count(*) AS heavy_square FROM atoms GROUP BY 1")
 def composition_vector(spark, d):
-    of = lambda e: F.sum((F.col("element") == e).cast("int")).alias(e.lower())
-    number = F.when(F.col("element") == "C", 6).when(F.col("element") == "N", 7).when(F.col("element") == "O", 8).otherwise(16)
-    return B.atoms(spark, d).groupBy("mol_id").agg(*(of(e) for e in "CNOS"), F.count("*").alias("heavy"), F.sum(number).alias("electrons"), (F.count("*") * F.count("*")).alias("heavy_square"))
+    return graph.composition_features(B.atoms(spark, d), {"C": 6, "N": 7, "O": 8, "S": 16})
 
 
 @query("finite_labels", "SELECT p_partkey AS item, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS label, CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 10 = 0 THEN 'nonfinite_label' ELSE 'missing_label' END END AS reason FROM part")
@@ -367,11 +363,15 @@ def link_components(spark, d):
 
 @query("assign_components")
 def assign_components(spark, d):
-    found = cohort.link_components(_edges(spark, d))
+    """Suppliers linked by the dearest lines, which make many components."""
+    lines = B.read(spark, d, "lineitem").where("l_quantity >= 50 and l_extendedprice >= 90000")
+    found = cohort.link_components(lines.select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("link")).distinct())
     return cohort.assign_components(found, {"training": 0.7, "validation": 0.1, "external": 0.2})
 
 
-@query("select_cohorts")
+@query("select_cohorts", f"""WITH {B.ATOMS}, {B.MOLECULES}, good AS (SELECT formula AS grp FROM molecules GROUP BY 1 HAVING count(*) >= 3 AND count(DISTINCT label) >= 2 AND max(n_atoms) <= 9), k AS (SELECT grp FROM good ORDER BY sha256('budget: ' || grp), grp LIMIT 60),
+r AS (SELECT grp, mol_id AS item, count(*) OVER (PARTITION BY grp) AS group_size_available, CAST(row_number() OVER (PARTITION BY grp ORDER BY sha256('cohort:' || grp || ':' || mol_id), mol_id) AS INT) AS selection_rank FROM molecules JOIN k ON k.grp = formula)
+SELECT CASE WHEN {_SPLIT} < 0.2 THEN 'external' WHEN {_SPLIT} < 0.2::DOUBLE + 0.1::DOUBLE THEN 'validation' ELSE 'training' END AS split, grp, item, selection_rank, group_size_available FROM r WHERE selection_rank <= 10""")
 def select_cohorts(spark, d):
     m = B.molecules(spark, d).select(F.col("mol_id").alias("item"), F.col("formula").alias("grp"), "label", "n_atoms")
     return cohort.select_cohorts(m)
@@ -504,7 +504,12 @@ def modal_choice(spark, d):
 
 @query("worst_groups", f"{_TIE_AWARE} SELECT grp, round(pearson, {R}) AS pearson FROM found WHERE pearson IS NOT NULL ORDER BY round(pearson, {R}), grp LIMIT 20")
 def worst_groups(spark, d):
-    return rounded(metrics.rank_metrics(B.scored(spark, d)), "pearson").where("pearson is not null").select("grp", "pearson").orderBy("pearson", "grp").limit(20)
+    return metrics.worst_groups(rounded(metrics.rank_metrics(B.scored(spark, d)), "pearson"), 20)
+
+
+@query("worst_groups_by_rank", f"{_TIE_AWARE} SELECT grp, round(spearman, {R}) AS spearman FROM found WHERE spearman IS NOT NULL ORDER BY round(spearman, {R}), grp LIMIT 20")
+def worst_groups_by_rank(spark, d):
+    return metrics.worst_groups(rounded(metrics.rank_metrics(B.scored(spark, d)), "spearman"), 20, "spearman")
 
 
 # ---------------------------------------------------------------- features and fits
@@ -553,8 +558,7 @@ def composition_ranges(spark, d):
 @query("zero_information", f"WITH {B.ATOMS}, {B.MOLECULES}, c AS (SELECT m.mol_id, m.formula, count(*) FILTER (element = 'C') AS c FROM atoms a JOIN molecules m USING (mol_id) GROUP BY 1, 2) SELECT round(max(abs(c - m)), {R}) AS centered_max_abs FROM (SELECT c, avg(c) OVER (PARTITION BY formula) AS m FROM c)")
 def zero_information(spark, d):
     c = B.atoms(spark, d).groupBy("mol_id").agg(F.sum((F.col("element") == "C").cast("int")).alias("c")).join(B.molecules(spark, d), "mol_id")
-    far = F.abs(F.col("c") - F.avg("c").over(Window.partitionBy("formula")))
-    return rounded(c.select(far.alias("far")).agg(F.max("far").alias("centered_max_abs")), "centered_max_abs")
+    return rounded(metrics.centred_most(c, "c", "formula"), "centered_max_abs")
 
 
 def _fit_inputs(spark, d):
@@ -637,6 +641,13 @@ def normalize_graphs(spark, d):
     return rounded(graph.normalize_atoms(odd), "partial_charge").select("mol_id", "atom_id", F.array_join("warnings", ";").alias("warnings"), "partial_charge", "formal_charge")
 
 
+@query("normalize_bonds", f"WITH {B.ATOMS}, {B.BONDS} SELECT mol_id, a, b, CASE WHEN a % 3 = 0 THEN 1.0::DOUBLE ELSE bond_order END AS bond_order, CASE WHEN a % 3 = 0 THEN 'INVALID_BOND_ORDER' ELSE '' END AS warnings, bond_aromatic, false AS conjugated FROM bonds")
+def normalize_bonds(spark, d):
+    odd = F.when(F.col("a") % 9 == 0, "x").when(F.col("a") % 9 == 3, "-1").when(F.col("a") % 9 == 6, "NaN").otherwise(F.col("bond_order").cast("string"))
+    found = graph.normalize_bonds(B.bonds(spark, d).select("mol_id", "a", "b", odd.alias("order"), "bond_aromatic"))
+    return found.select("mol_id", "a", "b", "bond_order", F.array_join("warnings", ";").alias("warnings"), "bond_aromatic", "conjugated")
+
+
 @query("degree_features", f"WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_DEG}, j AS (SELECT a.*, coalesce(degree, 0) AS degree FROM atoms a LEFT JOIN deg USING (mol_id, atom_id)) SELECT mol_id, count(*) AS atoms, CAST(sum(degree) / 2 AS BIGINT) AS bonds, CAST(sum(formal_charge) AS BIGINT) AS charge, CAST(sum(abs(formal_charge)) AS BIGINT) AS abs_charge, count(*) FILTER (aromatic) AS aromatic, " + ", ".join(f"count(*) FILTER (degree = {k}) AS degree_{k}" for k in range(1, 5)) + " FROM j GROUP BY 1")
 def degree_features(spark, d):
     return graph.degree_features(B.atoms(spark, d), B.bonds(spark, d))
@@ -716,7 +727,7 @@ def symmetry_terms(spark, d):
     return rounded(graph.symmetry_terms(_labels(spark, d)), "entropy")
 
 
-@query("graph_identity")
+@query("graph_identity", f"WITH RECURSIVE {_WL2}, reach(mol_id, x, y) AS (SELECT mol_id, atom_id, atom_id FROM atoms UNION SELECT r.mol_id, r.x, e.b FROM reach r JOIN directed e ON e.mol_id = r.mol_id AND e.a = r.y), comp AS (SELECT mol_id, x AS atom_id, min(y) AS comp FROM reach GROUP BY 1, 2), parts AS (SELECT mol_id, comp, sha256(string_agg(label, ',' ORDER BY label)) AS part FROM wl2 JOIN comp USING (mol_id, atom_id) GROUP BY 1, 2) SELECT mol_id, sha256(string_agg(part, '.' ORDER BY part)) AS identity FROM parts GROUP BY 1")
 def graph_identity(spark, d):
     return graph.graph_identity(_labels(spark, d), graph.graph_components(B.atoms(spark, d), B.bonds(spark, d)))
 
@@ -766,9 +777,9 @@ def charge_topology(spark, d):
     return rounded(graph.charge_topology(B.atoms(spark, d), graph.graph_distances(B.bonds(spark, d), 4)), "difference", "product")
 
 
-@query("formal_charge_terms", f"WITH RECURSIVE {_DIST}, o AS (SELECT mol_id, CAST(sum(formal_charge * formal_charge) AS BIGINT) AS magnitude FROM atoms GROUP BY 1), p AS (SELECT t.mol_id, sum(x.formal_charge * y.formal_charge / d) AS c, sum(CASE WHEN x.formal_charge * y.formal_charge > 0 THEN 1 / d ELSE 0 END) AS l, sum(CASE WHEN x.formal_charge * y.formal_charge < 0 THEN 1 / d ELSE 0 END) AS u FROM dist t JOIN atoms x ON x.mol_id = t.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = t.mol_id AND y.atom_id = b WHERE x.formal_charge <> 0 AND y.formal_charge <> 0 GROUP BY 1) SELECT mol_id, magnitude, round(coalesce(c, 0), {R}) + 0.0 AS coulomb, round(coalesce(l, 0), {R}) AS \"like\", round(coalesce(u, 0), {R}) AS unlike FROM o LEFT JOIN p USING (mol_id)")
+@query("formal_charge_terms", f"WITH RECURSIVE {_DIST}, o AS (SELECT mol_id, CAST(sum(formal_charge * formal_charge) AS BIGINT) AS magnitude, round(sum(formal_charge * formal_charge * CASE element WHEN 'C' THEN 5.0 WHEN 'N' THEN 7.2 WHEN 'O' THEN 6.1 ELSE 0 END), 6)::DOUBLE AS hardness FROM atoms GROUP BY 1), p AS (SELECT t.mol_id, sum(x.formal_charge * y.formal_charge / d) AS c, sum(CASE WHEN x.formal_charge * y.formal_charge > 0 THEN 1 / d ELSE 0 END) AS l, sum(CASE WHEN x.formal_charge * y.formal_charge < 0 THEN 1 / d ELSE 0 END) AS u FROM dist t JOIN atoms x ON x.mol_id = t.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = t.mol_id AND y.atom_id = b WHERE x.formal_charge <> 0 AND y.formal_charge <> 0 GROUP BY 1) SELECT mol_id, magnitude, hardness, round(coalesce(c, 0), {R}) + 0.0 AS coulomb, round(coalesce(l, 0), {R}) AS \"like\", round(coalesce(u, 0), {R}) AS unlike FROM o LEFT JOIN p USING (mol_id)")
 def formal_charge_terms(spark, d):
-    return rounded(graph.formal_charge_terms(B.atoms(spark, d), graph.graph_distances(B.bonds(spark, d), 4)), "coulomb", "like", "unlike")
+    return rounded(graph.formal_charge_terms(B.atoms(spark, d), graph.graph_distances(B.bonds(spark, d), 4), {"C": 5.0, "N": 7.2, "O": 6.1}), "hardness", "coulomb", "like", "unlike")
 
 
 @query("steric_terms", f"WITH {B.ATOMS}, {B.BONDS}, {_DIRECTED}, {_DEG}, r AS (SELECT mol_id, atom_id, CASE element WHEN 'C' THEN 1.7 WHEN 'N' THEN 1.55 WHEN 'O' THEN 1.52 ELSE 1.8 END::DOUBLE AS r FROM atoms), s AS (SELECT e.mol_id, a, b, r FROM directed e JOIN r ON r.mol_id = e.mol_id AND r.atom_id = e.b), c AS (SELECT x.mol_id, sum(x.r * y.r) AS crowding, count(*) AS np FROM s x JOIN s y ON y.mol_id = x.mol_id AND y.a = x.a AND x.b < y.b GROUP BY 1), t AS (SELECT mol_id, count(*) FILTER (degree = 3) AS tertiary, count(*) FILTER (degree >= 4) AS quaternary FROM deg GROUP BY 1), w AS (SELECT e.mol_id, count(*) FILTER (x.degree >= 3 AND y.degree >= 3) AS adj FROM bonds e JOIN deg x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN deg y ON y.mol_id = e.mol_id AND y.atom_id = b GROUP BY 1) SELECT mol_id, tertiary, quaternary, adj AS adjacent_branches, round(coalesce(crowding, 0), {R}) AS crowding, coalesce(np, 0) AS neighbour_pairs FROM t JOIN w USING (mol_id) LEFT JOIN c USING (mol_id)")
@@ -805,6 +816,12 @@ def ring_parity(spark, d):
     return rounded(graph.pi_ring_parity(graph.rings_of_closures(bonds), _pi(spark, d), bonds, 0.2), "penalty")
 
 
+@query("small_ring_terms", f"WITH {_RING_TERMS}, u AS (SELECT DISTINCT s.mol_id, s.ring FROM sides s JOIN bonds e ON e.mol_id = s.mol_id AND e.a = s.a AND e.b = s.b WHERE bond_aromatic OR bond_order >= 1.5), h AS (SELECT mol_id, count(*) AS heads FROM (SELECT mol_id, atom_id FROM rings GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1) SELECT r.mol_id, count(*) FILTER (u.ring IS NULL) AS saturated_small, count(*) FILTER (u.ring IS NOT NULL) AS unsaturated_small, 0::BIGINT AS medium, 4.0::DOUBLE AS size_deviation, coalesce(max(heads), 0) AS bridgeheads FROM (SELECT DISTINCT mol_id, ring FROM rings) r LEFT JOIN u USING (mol_id, ring) LEFT JOIN h ON h.mol_id = r.mol_id GROUP BY 1")
+def small_ring_terms(spark, d):
+    bonds = B.bonds(spark, d)
+    return graph.small_ring_terms(graph.rings_of_closures(bonds), bonds)
+
+
 @query("ring_names", f"WITH {_RINGS}, own AS (SELECT mol_id, ring, count(*) AS size, count(*) FILTER (aromatic) AS arom, string_agg(element, ',' ORDER BY element) AS elements FROM rings JOIN atoms USING (mol_id, atom_id) GROUP BY 1, 2), u AS (SELECT r.mol_id, r.ring, count(*) AS k FROM (SELECT DISTINCT mol_id, ring FROM rings) r JOIN bonds e ON e.mol_id = r.mol_id AND e.a BETWEEN r.ring AND r.ring + 3 AND e.b BETWEEN r.ring AND r.ring + 3 AND (bond_aromatic OR bond_order >= 1.5) GROUP BY 1, 2) SELECT mol_id, 'ring[size=' || size || ';arom_atoms=' || arom || ';unsat_edges=' || coalesce(k, 0) || ';elements=' || elements || ']' AS name, count(*) AS n FROM own LEFT JOIN u USING (mol_id, ring) GROUP BY 1, 2")
 def ring_names(spark, d):
     bonds = B.bonds(spark, d)
@@ -874,11 +891,7 @@ def local_signatures(spark, d):
 
 @query("bond_inventory", f"WITH {B.ATOMS}, {B.BONDS} SELECT mol_id, name, CAST(sum(n) AS BIGINT) AS n FROM (SELECT e.mol_id, least(x.element, y.element) || '-' || greatest(x.element, y.element) || ';' || CAST(bond_order AS INT) AS name, 1 AS n FROM bonds e JOIN atoms x ON x.mol_id = e.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = b UNION ALL SELECT mol_id, least('H', element) || '-' || greatest('H', element) || ';1', total_hcount FROM atoms WHERE total_hcount > 0) GROUP BY 1, 2")
 def bond_inventory(spark, d):
-    a, e = B.atoms(spark, d), B.bonds(spark, d)
-    j = e.join(a.select("mol_id", F.col("atom_id").alias("a"), F.col("element").alias("x")), ["mol_id", "a"]).join(a.select("mol_id", F.col("atom_id").alias("b"), F.col("element").alias("y")), ["mol_id", "b"])
-    lines = j.select("mol_id", F.concat(F.least("x", "y"), F.lit("-"), F.greatest("x", "y"), F.lit(";"), F.col("bond_order").cast("int").cast("string")).alias("name"), F.lit(1).alias("n"))
-    h = a.where("total_hcount > 0").select("mol_id", F.concat(F.least(F.lit("H"), "element"), F.lit("-"), F.greatest(F.lit("H"), "element"), F.lit(";1")).alias("name"), F.col("total_hcount").alias("n"))
-    return lines.unionByName(h).groupBy("mol_id", "name").agg(F.sum("n").alias("n"))
+    return graph.bond_inventory(B.atoms(spark, d), B.bonds(spark, d))
 
 
 @query("domain_validation", f"WITH RECURSIVE {_COMP}, p AS (SELECT mol_id, count(DISTINCT comp) AS k FROM comp GROUP BY 1), q AS (SELECT mol_id, bool_or(isotope > 0) AS i, bool_or(element = 'S') AS s, sum(formal_charge) AS c, sum(radical_electrons) AS r FROM atoms WHERE mol_id % 101 <> 0 GROUP BY 1) SELECT o_orderkey AS mol_id, CASE WHEN q.mol_id IS NULL THEN 'empty' WHEN k > 1 THEN 'disconnected' WHEN i THEN 'isotope' WHEN s THEN 'unsupported_element' WHEN c <> 0 THEN 'charged' WHEN r > 0 THEN 'radical' END AS reason FROM orders LEFT JOIN q ON q.mol_id = o_orderkey LEFT JOIN p ON p.mol_id = o_orderkey")
