@@ -24,13 +24,12 @@ LEAST_EDITS = 1
 LEAST_ITEM = 24  # characters; shorter items would match by chance and are looked up unchanged
 BLOCK_CHARS = 4_000_000
 SCHEMA = "doc_id long, item_id long, distance int, end long"
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
-_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 
 
 def normal(text: str | None) -> str:
     """A-Z lower-cased; white space as single spaces, none at the ends."""
-    return " ".join(x for x in (text or "").translate(_LOWER).translate(_SPACES).split(" ") if x)
+    # bytes know ASCII letters and white space only
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()).decode("utf-8", "surrogatepass")
 
 
 def budget(item: str) -> int:

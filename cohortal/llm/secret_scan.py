@@ -3,6 +3,9 @@
 Candidates are runs of token characters. For each character class (hex digits, base-64) a window of fixed width
 slides over the candidate; its Shannon entropy is kept by adding the character that enters and removing the one
 that leaves. Windows at or above the class's threshold make a span, unless the allow-list knows the candidate.
+
+A window also needs a few digits: letters alone reach the entropy of a key in ordinary joined words, of which
+documents have very many, while a random key of 20 characters without a digit is rare (hex) or has one close by (base-64).
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 CLASSES = (("hex", frozenset("0123456789abcdefABCDEF"), 20, 3.0, 3), ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 20, 3.9, 2))
 #: Shapes of candidates that are no secrets.
 ALLOW = (re.compile(r"[a-z]+(?:[-_/][a-z]+)*"), re.compile(r"[A-Z]+(?:[-_/][A-Z]+)*"), re.compile(r"[0-9]+(?:[-_/=][0-9]+)*"), re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"), re.compile(r"(.)\1*"), re.compile(r"(?:https?/*|www|ftp).*"))
+RECOUNT = 4096  # steps after which the sum is taken anew
 KINDS = ("assign", "access", "hex", "entropy")
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
 
@@ -60,6 +64,8 @@ def window_entropies(text: str, width: int) -> list[float]:
             add(text[k - width], -1)
         if k >= width - 1:
             out.append(math.log2(width) - total / width)
+        if k % RECOUNT == RECOUNT - 1:  # running sums drift over very long candidates
+            total = sum(n * math.log2(n) for n in count.values() if n > 1)
     return out
 
 
@@ -103,8 +109,8 @@ def scan(text: str | None) -> tuple[list[int], str, str, int]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): the columns of SCHEMA.
 
-    A null or empty text has no spans; a null doc_id stays null; repeated rows stay; an empty table gives
-    an empty one. Rows are independent: Spark deals them, one text is in memory at a time besides its batch.
+    A null or empty text has no spans; a text of any length is scanned whole; a null doc_id stays null; repeated rows
+    stay; an empty table gives an empty one. Other columns are not read. Rows are independent: Spark deals them, one text is in memory at a time besides its batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,7 +152,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = docs.where("doc_id is not null and text is not null")
     texts = scratch.table(some.select("doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text").alias("text_hash")).distinct(), "texts")
-    firsts = texts.groupBy("sha", "text_hash").agg(F.min("doc_id").alias("first"))
+    firsts = scratch.table(texts.groupBy("sha", "text_hash").agg(F.min("doc_id").alias("first")), "firsts")  # written out for the same reason
     marks = scratch.table(texts.join(firsts.hint("merge"), ["sha", "text_hash"]).select("doc_id", "text_hash", (F.col("doc_id") > F.col("first")).alias("copy")), "marks")
     # anchors that stand in two different texts; a text is its own owner here, however many documents have it
     rows = scratch.table(anchor_rows(some.select("text", F.xxhash64("text").alias("owner")), window, gram), "anchors")
@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         places = starts.join(hashes.hint("merge"), F.col("owner") == F.col("at_id")).select("at_id", "at_hash", F.transform(of_text, lambda x: x.bitwiseAND(0xFFFFFFFF).cast("int")).alias("places"))
     copies = marks.where("copy").select(F.col("doc_id").alias("at_id"), F.col("text_hash").alias("at_hash"), F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("copy"))
     verdicts = scratch.table(places.withColumn("copy", F.lit(False)).unionByName(copies), "verdicts")
-    scratch.drop("texts", "marks", "places-of-texts", "places", *(f"starts-{length}" for length in ladder(gram, window)))
+    scratch.drop("texts", "firsts", "marks", "places-of-texts", "places", *(f"starts-{length}" for length in ladder(gram, window)))
     return remove_rows(docs.join(verdicts.hint("shuffle_hash"), own, "left").withColumn("copy", F.coalesce("copy", F.lit(False))), window)
 
 

@@ -321,7 +321,7 @@ def shingles(text):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else ({tuple(w)} if w else set())
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = [(r[0], shingles(r[1])) for r in rows]
     parent = {d: d for d, _ in sets if d is not None}
 
@@ -332,7 +332,7 @@ def brute_components(rows):
 
     for i, (a, s) in enumerate(sets):
         for b, t in sets[:i]:
-            if s and t and a is not None and b is not None and 100 * len(s & t) >= 85 * len(s | t):
+            if s and t and a is not None and b is not None and 100 * len(s & t) >= percent * len(s | t):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return sorted(((d, len(s), None if d is None else find(d), d is None or find(d) == d) for d, s in sets), key=str)
@@ -552,6 +552,69 @@ def test_op10_entropy(spark, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def plain_entropy_spans(text):
+    """Every window of every candidate by itself, then merged."""
+    inside = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        if any(a.fullmatch(m[0]) for a in secret_scan.ALLOW):
+            continue
+        for _, chars, width, least, digits in secret_scan.CLASSES:
+            for k in range(len(m[0]) - width + 1):
+                w = m[0][k : k + width]
+                bits = -sum(w.count(c) / width * math.log2(w.count(c) / width) for c in set(w))
+                if set(w) <= chars and bits >= least - 1e-12 and sum(c.isdigit() for c in w) >= digits:
+                    inside.append((m.start() + k, m.start() + k + width))
+    out = []
+    for a, b in sorted(inside):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def test_op10_entropy_spans_against_every_window():
+    rnd, found = random.Random(14), 0
+    parts = ["0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789+/", "aab", "word-", " ", ".", "é", "https", "9"]
+    for _ in range(400):
+        text = "".join("".join(rnd.choice(p) for _ in range(rnd.randint(1, 40))) for p in rnd.choices(parts, k=rnd.randint(1, 6)))
+        want = plain_entropy_spans(text)
+        assert secret_scan.entropy_spans(text) == want
+        found += len(want)
+    long = "".join(rnd.choice(parts[1]) for _ in range(20_000))
+    assert secret_scan.entropy_spans(long) == plain_entropy_spans(long) and found > 100
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, shard int, row string, comp long, n long, bands string, value double"
+
+
+def test_stages_survive_odd_tables(spark, sf_dir):
+    """Empty tables, nulls, repeated rows, long texts and columns named like those that operators make."""
+    import corpus_pipeline
+
+    rnd = random.Random(15)
+    prose = lambda n: " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(1, 8))) for _ in range(n))
+    texts = [prose(60) for _ in range(12)] + [prose(9000), "", None, " \n", "12 3", prose(60)]
+    rows = [(k, t, None if k % 5 == 0 else ("en", "de")[k % 2], None if k % 4 == 0 else "s", len(t or ""), k, "r", k, k, "b", 1.0) for k, t in enumerate(texts)]
+    rows += [rows[3], rows[3], (None, texts[2], "en", None, 3, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None)]
+    for table in (spark.createDataFrame(rows, ODD).repartition(4), spark.createDataFrame([], ODD)):
+        size = table.count()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, table, sf_dir)
+            if k < 4:
+                assert out.columns == table.columns and (size or out.count() == 0)
+            else:
+                assert out.count() == size
+    odd = spark.createDataFrame(rows, ODD)
+    kept = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup_stage(spark, odd, sf_dir).collect()}
+    assert (None, texts[2]) in kept and (2, texts[2]) in kept and (14, None) in kept and (13, "") in kept
+    clean = corpus_pipeline.decontamination_stage(spark, odd, sf_dir).collect()
+    assert len(clean) == len(rows)  # nothing of the benchmark is in there
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 40").first()["text"]
+    leaked = spark.createDataFrame([(1, item.upper(), 7), (2, prose(20_000) + " " + item[:-1] + " " + prose(5), 7), (None, item, 7), (3, None, 7)], "doc_id long, text string, end int")
+    assert [(r["doc_id"], r["end"]) for r in decontaminate.keep_clean(leaked, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()] == [(3, 7)]
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__ as entry
 

@@ -45,7 +45,7 @@ def test_language_stage(stages):
 
 
 def test_near_dedup_stage(stages):
-    kept = {r[0] for r in brute_components(rows(stages[1])) if r[3]}
+    kept = {r[0] for r in brute_components(rows(stages[1]), 80) if r[3]}
     assert rows(stages[2]) == [r for r in rows(stages[1]) if r[0] in kept]
 
 
