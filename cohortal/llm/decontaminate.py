@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortal.llm.memory import tidy
+
 EDIT_SHARE = 16  # one edit is allowed for so many characters
 LEAST_EDITS = 1
 LEAST_ITEM = 24  # characters; shorter items would match by chance and are looked up unchanged
@@ -157,6 +159,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
 
     def scan(items: list[tuple[int, str]]) -> DataFrame:
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tool = _matcher(items)
             for batch in batches:
@@ -182,6 +185,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = docs
     for block in item_blocks(benchmark):
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], items=block) -> Iterator[pa.RecordBatch]:
             tool = _matcher(items)
             for batch in batches:

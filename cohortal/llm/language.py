@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortal.llm.memory import tidy
+
 DICTIONARY_BYTES = 256 * 1024  # of a language's dictionary, which bounds the sample
 SAMPLE_CHARS = 512  # of a sampled piece of a document
 SPARE = 3  # so many times the pieces that fill a dictionary are drawn, as some repeat
@@ -111,6 +113,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     gives an empty one. Other columns are not read.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _compressors(dictionaries)
         for batch in batches:
@@ -129,6 +132,7 @@ def keep_known(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     columns, schema = docs.columns, docs.schema
     at = columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _compressors(dictionaries)
         for batch in batches:

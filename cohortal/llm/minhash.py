@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortal.llm.components import components
+from cohortal.llm.memory import tidy
 from cohortal.llm.scratch import Scratch
 from cohortal.llm.words import mix, window_hashes, word_hashes
 
@@ -79,6 +80,7 @@ def band_keys(found: np.ndarray, width: int = ROWS) -> np.ndarray:
 def signatures(docs: DataFrame, width: int = ROWS) -> DataFrame:
     """(doc_id, n, print, bands) of docs(doc_id, text): set size, a fingerprint of the set, its bucket keys."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, prints, bands = [], [], []
@@ -99,6 +101,7 @@ def signatures(docs: DataFrame, width: int = ROWS) -> DataFrame:
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, shingles binary) of docs(doc_id, text)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = pa.array([shingle_set(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
@@ -115,6 +118,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILAR) -> bool:
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataFrame:
     """Those of pairs(a, b) whose whole sets are similar. Spark splits the joins where an id has many pairs."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
@@ -127,6 +131,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = SIMILAR) -> DataF
 
 
 MEMBERS, MINORS = 192, 64  # sets in a block, on average
+MEETINGS = 1 << 19  # tokens in common that are counted at once
+TEXTS_AT_ONCE = 2000  # that a task gets from Spark
+PAIRS_AT_ONCE = 32  # block pairs that a task has in memory
 
 
 def _pack(key: tuple, table: pa.Table) -> pa.Table:
@@ -140,15 +147,24 @@ def _pack(key: tuple, table: pa.Table) -> pa.Table:
 def block_links(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], percent: int = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
     """Links between sets of two blocks (reps, comps, sizes, shingles) that lie in different components.
 
-    Of a set's links into one component the first is enough. Intersections are counted for the whole block at once.
+    Of a set's links into one component the first is enough. Intersections are counted for many sets at once.
     """
     order = np.argsort(y[3], kind="stable")
-    tokens, owner = y[3][order], np.repeat(np.arange(len(y[0])), y[2])[order]
+    tokens, owner = y[3][order], np.repeat(np.arange(len(y[0]), dtype=np.int32), y[2])[order]
     low, high = np.searchsorted(tokens, x[3], "left"), np.searchsorted(tokens, x[3], "right")
     many = high - low
-    of_x = np.repeat(np.repeat(np.arange(len(x[0])), x[2]), many)
-    of_y = owner[np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-    both = np.bincount(of_x * len(y[0]) + of_y, minlength=len(x[0]) * len(y[0])).reshape(len(x[0]), len(y[0]))
+    both = np.zeros((len(x[0]), len(y[0])), dtype=np.int64)
+    ends = np.concatenate(([0], np.cumsum(x[2])))  # of the tokens of each set
+    met = np.concatenate(([0], np.cumsum(many)))[ends]  # tokens in common before each set
+    first = 0
+    while first < len(x[0]):  # some sets at a time, as many as have about MEETINGS tokens in common with the block
+        last = max(first + 1, int(np.searchsorted(met, met[first] + MEETINGS, "right")) - 1)
+        part = slice(ends[first], ends[last])
+        n = many[part]
+        of_x = np.repeat(np.repeat(np.arange(last - first, dtype=np.int32), x[2][first:last]), n)
+        of_y = owner[np.repeat((low[part] - (np.cumsum(n) - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)]
+        both[first:last] = np.bincount(of_x * len(y[0]) + of_y, minlength=(last - first) * len(y[0])).reshape(last - first, len(y[0]))
+        first = last
     alike = (100 * both >= percent * (x[2][:, None] + y[2][None, :] - both)) & (x[1][:, None] != y[1][None, :])
     i, j = np.nonzero(alike)
     keep = np.unique(np.stack((i, y[1][j])), axis=1, return_index=True)[1] if len(i) else np.zeros(0, dtype=np.int64)
@@ -172,6 +188,7 @@ def across_components(open_: DataFrame, sets: DataFrame, percent: int = SIMILAR)
     wide = open_.select("pivot", "all").distinct().select("pivot", parts.alias("part"))
     minors = minors.select("pivot", *(F.col(c).alias(f"x_{c}") for c in ("reps", "comps", "sizes", "shingles"))).join(wide.hint("merge"), "pivot")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -197,7 +214,8 @@ def near_components(docs: DataFrame, scratch: Scratch, percent: int = SIMILAR) -
     whole. An empty table gives an empty one. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    prints = scratch.table(signatures(docs, banding(percent)), "signatures")
+    with scratch.batches(TEXTS_AT_ONCE):
+        prints = scratch.table(signatures(docs, banding(percent)), "signatures")
     known = prints.where("n > 0 and doc_id is not null")
     classes = scratch.table(known.groupBy("print", "n").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("print", "n", F.col("least.doc_id").alias("rep"), F.col("least.bands").alias("bands")), "classes")
     buckets = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
@@ -208,8 +226,9 @@ def near_components(docs: DataFrame, scratch: Scratch, percent: int = SIMILAR) -
     first = scratch.table(first, "pairs-1")
     # whole texts are read again for the classes that share a bucket with another
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.table(shingle_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
-    links = scratch.table(verified(first, sets, percent), "links-1")
+    with scratch.batches(TEXTS_AT_ONCE):
+        sets = scratch.table(shingle_sets(docs.join(wanted.hint("merge"), "doc_id", "left_semi")), "sets")
+        links = scratch.table(verified(first, sets, percent), "links-1")
     found = components(links, scratch, "cc-1")
     placed = members.where(F.col("rep") >= F.col("pivot")).select("pivot", "rep", "n").distinct()
     placed = scratch.table(placed.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select("pivot", "rep", "n", F.coalesce("comp", "rep").alias("comp")), "placed")
@@ -217,7 +236,8 @@ def near_components(docs: DataFrame, scratch: Scratch, percent: int = SIMILAR) -
     split = per.groupBy("pivot").agg(F.count("*").alias("comps"), F.sum("many").alias("all"), F.max("many").alias("most"), F.max_by("comp", F.struct("many", "comp")).alias("main")).where("comps > 1")
     split = scratch.table(split, "split")  # written out, so that Spark can split the join where a pivot has very many rows
     open_ = scratch.table(placed.join(split.hint("merge"), "pivot").select("pivot", "rep", "comp", "main", "all", (F.col("all") - F.col("most")).alias("minor")), "open")
-    links = scratch.table(links.union(across_components(open_, sets, percent)), "links-2")
+    with scratch.batches(PAIRS_AT_ONCE):
+        links = scratch.table(links.union(across_components(open_, sets, percent)), "links-2")
     alike = known.join(classes.select("print", "rep").hint("merge"), "print").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     final = components(links.union(alike), scratch, "cc-2")
     scratch.drop("classes", "shared", "members", "pairs-1", "sets", "links-1", "placed", "split", "open", "links-2")

@@ -6,11 +6,14 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -44,6 +47,16 @@ class Scratch:
         self.release(wait)
         return self.spark.read.schema(schema).parquet(path)
 
+    @contextmanager
+    def batches(self, rows: int) -> Iterator[None]:
+        """Inside, Python tasks of tables that are written get so many rows at once: for rows that are whole blocks."""
+        old = self.spark.conf.get(BATCH_ROWS)
+        self.spark.conf.set(BATCH_ROWS, rows)
+        try:
+            yield
+        finally:
+            self.spark.conf.set(BATCH_ROWS, old)
+
     def numbered(self, df: DataFrame, keys: list[str], name: str, number: str) -> DataFrame:
         """df, written as a table, with the place (from 0) of each row among the rows of its keys.
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortal.llm.memory import tidy
 from cohortal.llm.scratch import Scratch
 from cohortal.llm.words import window_hashes, word_hashes
 
@@ -52,6 +53,7 @@ def _raw(text) -> bytes:
 def anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """(gram, owner, place): each anchor of docs(text, owner) once."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, owners, places = [], [], []
@@ -90,6 +92,7 @@ def candidate_rows(docs: DataFrame, window: int, gram: int, length: int, by_anch
     steps = [gram, *ladder(gram, window)]
     shorter = steps[steps.index(length) - 1]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list[np.ndarray]] = [[], [], [], []]
@@ -120,6 +123,7 @@ def candidate_rows(docs: DataFrame, window: int, gram: int, length: int, by_anch
 def remove_rows(docs: DataFrame, window: int) -> DataFrame:
     """The columns of OUT for docs(doc_id, text, places, copy)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

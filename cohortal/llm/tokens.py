@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortal.llm.memory import tidy
 from cohortal.llm.scratch import Scratch
 
 END_ID = 2
@@ -27,6 +28,7 @@ MAX_BITS = 16
 BLOCK = 256  # ids between two checkpoints
 SEGMENT_IDS = 1 << 18  # a segment is closed when it has as many ids
 PART_TOKENS = 8_000_000  # ids in a range partition, on average
+TEXTS_AT_ONCE = 2000  # that a task gets from Spark
 CACHE_PIECES = 1 << 20  # different pieces that a worker keeps
 MOST_IDS = 1 << 20  # the largest vocabulary whose counts and lengths go to the driver
 VOCABULARY = "byte_bpe_50k.json"
@@ -51,7 +53,7 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = np.arange(256, dtype="<u2")
 _ALPHABET[sorted(set(range(256)) - _PRINTABLE)] = 256 + np.arange(256 - len(_PRINTABLE))
 _HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # masks of the first bytes of a little-endian word
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 19  # of text that is cut and looked up at once
 
 
 def cuts(text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,6 +264,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
 def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids binary, n): the ids of each whole text and the end id. A null text is empty."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
         end = np.array([end_id], dtype=tool.kind)
@@ -277,6 +280,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFr
 def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all documents; each task sends a row an id at most."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
@@ -376,6 +380,7 @@ def write_segments(encoded: DataFrame, kind: str, lengths: np.ndarray, path: str
     """Writes encoded(doc_id, ids, n) in ascending order of doc_id; equal ids in the order of their content."""
     code_of = lengths.tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -413,6 +418,7 @@ def read_segments(spark: SparkSession, path: str, lengths: np.ndarray) -> DataFr
         before[part], total = total, total + sizes[part]
     code_of = lengths.tobytes()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(np.frombuffer(code_of, dtype=np.uint8))
         for batch in batches:
@@ -441,7 +447,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None) -> np
     scratch = Scratch(docs.sparkSession, "tokens")
     path_of = tokenizer or tokenizer_path()
     kind = encoder(path_of).kind
-    encoded = scratch.table(encode_documents(docs, path_of), "ids")
+    with scratch.batches(TEXTS_AT_ONCE):
+        encoded = scratch.table(encode_documents(docs, path_of), "ids")
     found = count_ids(encoded, kind).limit(MOST_IDS + 1).collect()
     if len(found) > MOST_IDS:
         raise ValueError(f"over {MOST_IDS} different ids")

@@ -29,6 +29,7 @@ PIVOTS, MOST_PIVOTS = 32, 1024  # a root of the number of vectors between them
 ANNULI = 16
 BLOCK, MOST_BLOCK = 2048, 16_384  # vectors in a block of the index, on average; larger for more vectors, as queries go to each block
 QUERY_BLOCK = 256
+PAIRS_AT_ONCE = 16  # block pairs that a task has in memory
 EXACT = 2.0**53  # below it products of vectors are exact in floating point, whatever the order of addition
 LARGEST = 2.0**62  # squared norm; beyond it scores would leave 64 bits
 SLACK = 1e-6  # relative; distances are floating point, a cell at the bound is kept
@@ -214,7 +215,8 @@ def search(queries: DataFrame, index: Index, k: int = K) -> DataFrame:
     for step in range(len(steps) - 1):
         wanted = expand(parts, step > 0, steps[step], steps[step + 1])
         more = _join_blocks(wanted, index.blocks, k, index.exact)
-        found = scratch.table(_rank(more if found is None else more.unionByName(found.select("query_id", "vec_id", "score", "copies")), k), f"found-{step}")
+        with scratch.batches(PAIRS_AT_ONCE):
+            found = scratch.table(_rank(more if found is None else more.unionByName(found.select("query_id", "vec_id", "score", "copies")), k), f"found-{step}")
         kth = found.where(F.col("before") + F.col("copies") >= k).select("query_id", "score")
         parts = _with_bounds(packed, kth)
     return _each(found, k)
