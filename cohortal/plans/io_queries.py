@@ -12,6 +12,7 @@ from cohortal.operators.loops import shared_folder
 from cohortal.plans import bindings as B
 from cohortal.plans.queries import _CORR, _RANKED, R, query, rounded
 from cohortal.sources import tables as T
+from cohortal.streaming import scoring
 
 
 # ---------------------------------------------------------------- scans
@@ -222,6 +223,38 @@ def strata_partition(spark, d):
     return metrics.is_partition(o, "o_orderkey", metrics.size_strata(F.col("o_custkey") % 9))
 
 
+# ---------------------------------------------------------------- streams
+def _streamed(spark, rows, transform):
+    """What a stream over the files of rows writes to files, all of them read once."""
+    path = shared_folder(spark, "stream")
+    rows.write.parquet(f"{path}/in")
+    stream = transform(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+    done = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+@query("stream_scores", f"SELECT p_partkey AS item, round(1.0 + 0.5 * p_size + CASE WHEN p_partkey % 2 = 0 THEN -0.25 * p_retailprice ELSE 0 END, {R}) + 0.0 AS prediction FROM part")
+def stream_scores(spark, d):
+    p = B.read(spark, d, "part")
+    even = F.when(F.col("p_partkey") % 2 == 0, F.lit("price")).otherwise("unknown")
+    rows = p.select(F.col("p_partkey").alias("item"), F.create_map(F.lit("size"), F.col("p_size").cast("double"), even, F.col("p_retailprice").cast("double")).alias("features"))
+    return rounded(_streamed(spark, rows, lambda x: scoring.score_stream(x, {"size": 0.5, "price": -0.25}, 1.0)), "prediction").select("item", "prediction")
+
+
+@query("stream_components", f"WITH {B.RAW}, p AS (SELECT location, string_split(regexp_extract(trim(s), '^\\S+'), '>') AS parts FROM raw), u AS (SELECT location, unnest(['reactant', 'reagent', 'product']) AS side, unnest(parts) AS part FROM p WHERE len(parts) = 3) SELECT location, side, unnest(list_filter(string_split(part, '.'), lambda x: x <> '')) AS component FROM u")
+def stream_components(spark, d):
+    return _streamed(spark, B.raw(spark, d), scoring.split_stream).select("location", "side", "component")
+
+
+@query("stream_labels", "SELECT c_custkey AS item, CASE WHEN c_custkey % 4 <> 0 THEN round(c_acctbal, 2) END AS label, CASE WHEN c_custkey % 8 = 0 THEN 'nonfinite_label' WHEN c_custkey % 4 = 0 THEN 'missing_label' END AS reason FROM customer")
+def stream_labels(spark, d):
+    c = B.read(spark, d, "customer")
+    text = F.when(F.col("c_custkey") % 8 == 0, "inf").when(F.col("c_custkey") % 4 == 0, "n/a").otherwise(F.round("c_acctbal", 2).cast("string"))
+    rows = c.select(F.col("c_custkey").alias("item"), text.alias("energy"), F.lit(" ").alias("energy_eV"))
+    return _streamed(spark, rows, lambda x: scoring.label_stream(x, "energy_eV", "energy")).select("item", "label", "reason")
+
+
 # ---------------------------------------------------------------- column functions
 @query("reaction_sides", "SELECT p_partkey AS item, CASE WHEN p_partkey % 4 <> 0 THEN concat(p_brand, '+', p_type) END AS \"left\", CASE WHEN p_partkey % 4 <> 0 THEN p_name END AS \"right\" FROM part")
 def reaction_sides(spark, d):
