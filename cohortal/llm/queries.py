@@ -1,6 +1,6 @@
 """Queries of the numbered operators, and SQL for those that it can express."""
 
-from cohortal.llm import decontaminate, language, minhash, mixing, secret_scan, sharding, substrings, tokens, topk, url_filter
+from cohortal.llm import decontaminate, language, minhash, mixing, secret_scan, sharding, substrings, tokens, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.shard_documents,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language": language.language_documents,
     "op9_decontamination": decontaminate.leaked_documents,
     "op10_secrets": secret_scan.secret_documents,
+    "op13_toxicity": toxicity.toxic_documents,
 }
 
 SQL = {"op1_sharding": sharding.SQL, "op3_topk": topk.SQL}
