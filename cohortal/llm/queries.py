@@ -1,6 +1,6 @@
 """Queries of the numbered operators, and SQL for those that it can express."""
 
-from cohortal.llm import decontaminate, importance, language, minhash, mixing, secret_scan, sharding, substrings, tokens, topk, toxicity, url_filter
+from cohortal.llm import decontaminate, importance, language, minhash, mixing, negatives, secret_scan, sharding, substrings, tokens, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.shard_documents,
@@ -14,7 +14,8 @@ QUERIES = {
     "op9_decontamination": decontaminate.leaked_documents,
     "op10_secrets": secret_scan.secret_documents,
     "op11_importance": importance.importance_documents,
+    "op12_negatives": negatives.mined_embeddings,
     "op13_toxicity": toxicity.toxic_documents,
 }
 
-SQL = {"op1_sharding": sharding.SQL, "op3_topk": topk.SQL, "op11_importance": importance.SQL}
+SQL = {"op1_sharding": sharding.SQL, "op3_topk": topk.SQL, "op11_importance": importance.SQL, "op12_negatives": negatives.SQL}
