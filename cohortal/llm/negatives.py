@@ -2,7 +2,7 @@
 
 Rows are dealt into blocks of bounded size, by label bucket and a hash, and stored by dimension: a block holds one
 array a dimension and each dimension's least and greatest value. An anchor reads a block's dimensions in
-descending order of its own magnitudes. What the unread dimensions can still add lies between two sums over
+descending order of its own magnitudes, most of them before the first test. What the unread dimensions can still add lies between two sums over
 their extremes, so that each candidate's score has two bounds; a candidate that can't be among the first k of any window
 of scores leaves the bitmap, and the rest are read on until all dimensions are in and their scores are exact.
 
@@ -33,7 +33,7 @@ BLOCK, MOST_BLOCK = 4096, 16_384  # rows of a block on average; larger for more
 GROUP = 256  # anchors that meet a block together
 PAIRS_AT_ONCE = 8
 EXACT, NARROW = 2.0**53, 2.0**24  # sums below them are exact in double and in single precision
-FIRST, STEP = 0.5, 8  # the share of dimensions read before the first test, and how many between tests
+FIRST, STEP = 0.65, 6  # the share of dimensions read before the first test, and how many between tests
 ROW = "key long, found_id long, score long"
 
 
@@ -46,42 +46,57 @@ def taking_part(table: DataFrame, label: Column) -> DataFrame:
     return rows.select(F.xxhash64("vec_id", "label", "v").alias("key"), "vec_id", "label", "v")
 
 
-def resolve(q: np.ndarray, columns: np.ndarray, least: np.ndarray, most: np.ndarray, able: np.ndarray, low: list[float], high: list[float], floor: list[float], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, scores) of the block's rows that are among the first k of a window, ties to the smaller place.
+class Reading:
+    """What some anchors (rows of q) have read of a block: for each, its order of dimensions, partial scores and what is left to come.
 
-    columns holds an array a dimension, least and most their extremes, able the places that may answer. A window is
-    the scores from low to high; answers below its floor aren't wanted.
+    columns holds an array a dimension. The first dimensions of every anchor are read in one product, in which the
+    others count as zeros.
     """
-    order = np.argsort(-np.abs(q), kind="stable")
-    one, other = (q * least)[order], (q * most)[order]
-    rest_low, rest_high = (np.append(np.cumsum(x[::-1])[::-1], 0) for x in (np.minimum(one, other), np.maximum(one, other)))
-    n, end, partial, places = len(q), 0, None, able
-    while end < n and len(places):
-        start, end = end, min(n, end + STEP) if end else max(1, int(n * FIRST))
-        dims = order[start:end]
-        if 2 * len(places) < columns.shape[1]:
-            now = q[dims] @ columns[dims[:, None], places[None, :]]
-        else:
-            now = (q[dims] @ columns[dims])[places]
-        partial = now if partial is None else partial + now
-        below, above = rest_low[end], rest_high[end]
-        keep = np.zeros(len(places), dtype=bool)
-        for lo, hi, fl in zip(low, high, floor, strict=True):
-            best = max(lo, fl)
-            if lo - below <= hi - above:
-                sure = partial[(partial >= lo - below) & (partial <= hi - above)]  # inside whatever the rest adds
-                if len(sure) >= k:
-                    best = max(best, np.partition(sure, len(sure) - k)[len(sure) - k] + below)
-            keep |= (partial >= best - above) & (partial <= hi - below)
-        places, partial = places[keep], partial[keep]
-    if not len(places):
-        return places, np.zeros(0, dtype=np.int64)
-    by_score = np.argsort(-partial, kind="stable")
-    places, partial = places[by_score], partial[by_score]
-    taken = np.zeros(len(places), dtype=bool)
-    for lo, hi, fl in zip(low, high, floor, strict=True):
-        taken[np.flatnonzero((partial >= max(lo, fl)) & (partial <= hi))[:k]] = True
-    return places[taken], partial[taken].astype(np.int64)
+
+    def __init__(self, q: np.ndarray, columns: np.ndarray):
+        self.q, self.columns = q, columns
+        self.order = np.argsort(-np.abs(q), axis=1, kind="stable")
+        extremes = [np.take_along_axis(q.astype(np.float64) * x.astype(np.float64)[None, :], self.order, axis=1) for x in (columns.min(axis=1), columns.max(axis=1))]
+        self.below, self.above = (np.pad(np.cumsum(x[:, ::-1], axis=1)[:, ::-1], ((0, 0), (0, 1))) for x in (np.minimum(*extremes), np.maximum(*extremes)))
+        self.read = max(1, int(q.shape[1] * FIRST))
+        first = np.zeros_like(q)
+        at = self.order[:, : self.read]
+        np.put_along_axis(first, at, np.take_along_axis(q, at, axis=1), axis=1)
+        self.partial = first @ columns
+
+    def resolve(self, a: int, able: np.ndarray, low: list[float], high: list[float], floor: list[float], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the block's rows that are among the first k of a window of anchor a, ties to the smaller place.
+
+        able marks the places that may answer. A window is the scores from low to high; answers below its
+        floor aren't wanted.
+        """
+        q, order, columns = self.q[a], self.order[a], self.columns
+        end, n, partial = self.read, len(q), self.partial[a]
+        wanted = [max(x) for x in zip(low, floor, strict=True)]
+        below, above = float(self.below[a, end]), float(self.above[a, end])
+        places = np.flatnonzero(able & (partial >= min(wanted) - above) & (partial <= max(high) - below))
+        partial = partial[places]
+        while len(places):
+            keep = np.zeros(len(places), dtype=bool)
+            for w, (lo, hi) in enumerate(zip(low, high, strict=True)):
+                if lo - below <= hi - above:
+                    sure = partial[(partial >= lo - below) & (partial <= hi - above)]  # inside whatever the rest adds
+                    if len(sure) >= k:
+                        wanted[w] = max(wanted[w], float(np.partition(sure, len(sure) - k)[len(sure) - k]) + below)
+                keep |= (partial >= wanted[w] - above) & (partial <= hi - below)
+            places, partial = places[keep], partial[keep]
+            if end == n:
+                break
+            start, end = end, min(n, end + STEP)
+            dims = order[start:end]
+            partial = partial + q[dims] @ columns[dims[:, None], places[None, :]]
+            below, above = float(self.below[a, end]), float(self.above[a, end])
+        by_score = np.argsort(-partial, kind="stable")
+        places, partial = places[by_score], partial[by_score]
+        taken = np.zeros(len(places), dtype=bool)
+        for lo, hi in zip(wanted, high, strict=True):
+            taken[np.flatnonzero((partial >= lo) & (partial <= hi))[:k]] = True
+        return places[taken], partial[taken].astype(np.int64)
 
 
 def _numbers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -167,13 +182,13 @@ class Columns:
                     keys, asked, own, q, sizes, low, high, floor, ids, labels, columns = (np.frombuffer(batch.column(c)[row].as_py(), dtype=np.float64 if 5 <= c <= 7 else np.int64) for c in range(11))
                     columns = columns.reshape(-1, len(ids)).astype(kind)
                     q = q.reshape(len(keys), -1).astype(kind)
-                    least, most = columns.min(axis=1).astype(np.float64), columns.max(axis=1).astype(np.float64)
+                    reading = Reading(q, columns)
                     ends = np.cumsum(sizes)
                     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                     for a, end in enumerate(ends.tolist()):
                         w = slice(end - int(sizes[a]), end)
-                        able = np.flatnonzero(((labels == own[a]) == same) & (ids != asked[a]))
-                        places, scores = resolve(q[a], columns, least, most, able, low[w].tolist(), high[w].tolist(), floor[w].tolist(), k)
+                        able = ((labels == own[a]) == same) & (ids != asked[a])
+                        places, scores = reading.resolve(a, able, low[w].tolist(), high[w].tolist(), floor[w].tolist(), k)
                         out.append((np.full(len(places), keys[a]), ids[places], scores))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["key", "found_id", "score"])
 
