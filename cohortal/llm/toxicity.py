@@ -93,9 +93,9 @@ class Matcher:
     def scan(self, text: str | None) -> tuple[int, int, float]:
         """(words, words with a term, weight): the heaviest term counts for a word; words inside an exception phrase count for nothing."""
         known = folded(text)
-        words = known.count(" ") - 1
-        if words <= 0 or not self.any:
-            return max(0, words), 0, 0.0
+        words = known.count(" ") - 1 if len(known) > 2 else 0
+        if not words or not self.any:
+            return words, 0, 0.0
         best: dict[int, float] = {}
         spared: list[tuple[int, int]] = []
         for last, (size, weight) in self.tool.iter(known):
@@ -213,7 +213,7 @@ def lexicon(counts: Iterable[tuple[str, int, int]], all_toxic: int, all_clean: i
 
 
 def fitted(cells: Iterable[tuple[float, float, int, int]], rounds: int = 50) -> tuple[float, float, float]:
-    """Logistic regression on bins (log weight, log length, toxic, rows), with a small penalty on the slopes."""
+    """Logistic regression on bins (log weight, log length, toxic: 0 or 1, rows), with a small penalty on the slopes."""
     rows = sorted(cells)
     x = np.array([[1.0, w, n] for w, n, _, _ in rows])
     y, m = (np.array([r[k] for r in rows], dtype=float) for k in (2, 3))
