@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortal.functions.scalars import finite
+from cohortal.operators import gram as tiles
 from cohortal.operators.cohort import fold_of
 from cohortal.operators.loops import checkpointed, with_small
 from cohortal.operators.metrics import composite, rank_metrics, summarize_groups
-from cohortal.operators.ordering import quantiles
+from cohortal.operators.ordering import quantiles, running, same, with_mean
 
 MOST_TERMS = 4000  # of a system that is solved on the driver
 ZERO = 1e-12
@@ -39,12 +40,14 @@ def top_contributions(parts: DataFrame, n: int) -> DataFrame:
 
 def rank_group(scored: DataFrame) -> DataFrame:
     """scored(grp, item, prediction) with rank (ties in the order of the items) and the distance to the best."""
-    group = Window.partitionBy("grp")
-    return scored.withColumn("rank", F.row_number().over(group.orderBy("prediction", "item"))).withColumn("delta", F.col("prediction") - F.min("prediction").over(group))
+    placed = running(scored.withColumn("_one", F.lit(1)), ["grp"], ["prediction", "item"], {"_before": "_one"})
+    best = scored.groupBy("grp").agg(F.min("prediction").alias("_best"))
+    found = same(placed, best, ["grp"])
+    return found.select(*scored.columns, (F.col("_before") + 1).cast("int").alias("rank"), (F.col("prediction") - F.col("_best")).alias("delta"))
 
 
 def center_labels(items: DataFrame) -> DataFrame:
-    return items.withColumn("centered", F.col("label") - F.avg("label").over(Window.partitionBy("grp")))
+    return with_mean(items, ["grp"], "label", "_mean").withColumn("centered", F.col("label") - F.col("_mean")).drop("_mean")
 
 
 def group_means(items: DataFrame, features: DataFrame) -> DataFrame:
@@ -89,69 +92,85 @@ def moments_with(features: DataFrame, items: DataFrame, label: str) -> DataFrame
 
 
 class System:
-    """A Gram matrix and right-hand side on the driver, names in order."""
+    """A Gram matrix and right-hand side on the driver, names in order; square is the sum of squared labels, sums and
+    label_sum are those of the raw columns and labels."""
 
-    def __init__(self, names: list[str], matrix: np.ndarray, right: np.ndarray, n: int):
-        self.names, self.matrix, self.right, self.n = names, matrix, right, n
+    def __init__(self, names: list[str], matrix: np.ndarray, right: np.ndarray, n: int, square: float = 0.0, sums: np.ndarray | None = None, label_sum: float = 0.0):
+        self.names, self.matrix, self.right, self.n, self.square = names, matrix, right, n, square
+        self.sums, self.label_sum = np.zeros(len(names)) if sums is None else sums, label_sum
 
     @classmethod
     def of(cls, features: DataFrame, items: DataFrame, label: str) -> System:
-        return cls.by_fold(features.withColumn("fold", F.lit(0)), items.withColumn("fold", F.lit(0)), label).get(0) or cls([], np.zeros((0, 0)), np.zeros(0), items.count())
+        return cls.by_fold(features, items.withColumn("fold", F.lit(0)), label).get(0) or cls([], np.zeros((0, 0)), np.zeros(0), 0)
 
     @classmethod
     def in_groups(cls, features: DataFrame, items: DataFrame, label: str) -> System:
         """The system of values and labels less their group's means; see by_fold()."""
-        return cls.by_fold(features.withColumn("fold", F.lit(0)), items.withColumn("fold", F.lit(0)), label, True).get(0) or cls([], np.zeros((0, 0)), np.zeros(0), items.count())
+        return cls.by_fold(features, items.withColumn("fold", F.lit(0)), label, True).get(0) or cls([], np.zeros((0, 0)), np.zeros(0), 0)
 
     @classmethod
     def by_fold(cls, features: DataFrame, items: DataFrame, label: str, centred: bool = False) -> dict[int, System]:
-        """A system of each fold's rows, from one pass; features and items have a column fold. Names are those of all folds.
+        """A system of each fold's rows, from one pass. Names are those of all folds; items(item, grp, fold, label) has an item once
+        for each fold that it lies in, and items without a label take no part.
 
-        centred: values and labels less the means of their group, which lies in one fold: products of the raw values
-        less products of group sums over the group's size, so that no centred zero is ever written out.
+        Every item is one sparse row, with its label and a one as two further places; tasks add up products of rows as
+        tiles (see gram.py). centred: values and labels less the means of their group, which lies in one fold: products of
+        the raw rows less those of the group's sums over the root of its size. No centred zero is ever
+        written out, and no group has to be in one task.
         """
         names = sorted(r["name"] for r in features.select("name").distinct().limit(MOST_TERMS + 1).collect())
         if len(names) > MOST_TERMS:
             raise ValueError(f"over {MOST_TERMS} terms; select before")
-        spark = items.sparkSession
+        spark, p = items.sparkSession, len(names)
         at = F.broadcast(spark.createDataFrame(list(enumerate(names)), "k int, name string"))
-        rows = items.select("item", "grp", "fold", F.col(label).alias("y")) if centred else items.select("item", "fold", F.col(label).alias("y"))
+        values = features.select("item", "name", "value").join(at, "name").select("item", "k", F.col("value").cast("double").alias("value"))
+        known = items.where(F.col(label).isNotNull()).select("item", F.col("grp") if centred else F.lit(None).cast("string").alias("grp"), F.col("fold").cast("long").alias("fold"), F.col(label).cast("double").alias("y"))
+        held = known.join(tiles.item_rows(values).hint("merge"), "item", "left")
+        none = F.array().cast("array<int>"), F.array().cast("array<double>")
+        rows = held.select("grp", (F.col("fold") * 2).alias("fold"), F.concat(F.coalesce("places", none[0]), F.array(F.lit(p), F.lit(p + 1))).alias("places"), F.concat(F.coalesce("values", none[1]), F.array(F.col("y"), F.lit(1.0))).alias("values"))
+        every = rows
         if centred:
-            rows = rows.withColumn("y", F.col("y") - F.avg("y").over(Window.partitionBy("grp")))
-        long = checkpointed(features.select("item", "name", "value").join(at, "name").join(rows.hint("merge"), "item"))
+            rows = checkpointed(rows)
+            cells = rows.select("grp", "fold", F.explode(F.arrays_zip("places", "values")).alias("c")).groupBy("grp", "fold", F.col("c.places").alias("k")).agg(F.sum("c.values").alias("value"))
+            size = F.get("values", (F.array_position("places", p + 1) - 1).cast("int"))
+            sums = tiles.item_rows(cells, "grp", "fold").withColumn("_root", F.sqrt(size))
+            every = rows.drop("grp").unionByName(sums.select((F.col("fold") + 1).alias("fold"), "places", F.transform("values", lambda x: x / F.col("_root")).alias("values")))
+        found = tiles.squares(tiles.added(tiles.tiles(every, p + 2)), p + 2)
+        out = {}
+        for fold in sorted(k // 2 for k in found if k % 2 == 0):
+            raw = found[2 * fold]
+            m = raw - found[2 * fold + 1] if centred else raw
+            out[fold] = cls(names, m[:p, :p], m[:p, p], round(raw[p + 1, p + 1]), float(m[p, p]), raw[:p, p + 1], float(raw[p, p + 1]))
+        return out
 
-        def products(df: DataFrame, key: str, scale) -> DataFrame:
-            right = df.select(key, F.col("k").alias("j"), F.col("value").alias("w"))
-            return df.join(right.hint("merge"), key).where("k <= j").groupBy("fold", "k", "j").agg(F.sum(F.col("value") * F.col("w") * scale).alias("s"))
+    def centred(self) -> System:
+        """The system of columns and labels less their means over all rows."""
+        n = max(1, self.n)
+        return System(self.names, self.matrix - np.outer(self.sums, self.sums) / n, self.right - self.sums * self.label_sum / n, self.n, self.square - self.label_sum**2 / n, self.sums, self.label_sum)
 
-        found = products(long, "item", F.lit(1.0))
-        if centred:
-            sums = long.groupBy("fold", "grp", "k").agg(F.sum("value").alias("value")).join(rows.groupBy("grp").agg(F.count("*").alias("size")).hint("merge"), "grp")
-            found = found.unionByName(products(sums, "grp", -1.0 / F.col("size"))).groupBy("fold", "k", "j").agg(F.sum("s").alias("s"))
-        sides = long.groupBy("fold", "k").agg(F.sum(F.col("value") * F.col("y")).alias("s"))
-        sizes = {r["fold"]: r["n"] for r in items.groupBy("fold").agg(F.count("*").alias("n")).collect()}  # a row a fold
-        out = {fold: cls(names, np.zeros((len(names), len(names))), np.zeros(len(names)), n) for fold, n in sizes.items()}
-        cells = found.toArrow()  # terms squared at most, in columns
-        of, k, j, s = (cells.column(c).to_numpy() for c in ("fold", "k", "j", "s"))
-        for fold, system in out.items():
-            own = of == fold
-            system.matrix[k[own], j[own]] = system.matrix[j[own], k[own]] = s[own]
-        for r in sides.collect():
-            out[r["fold"]].right[r["k"]] = r["s"]
-        return out
+    def only(self, names: set[str]) -> System:
+        """The system of some of the columns."""
+        on = [k for k, name in enumerate(self.names) if name in names]
+        return System([self.names[k] for k in on], self.matrix[np.ix_(on, on)], self.right[on], self.n, self.square, self.sums[on], self.label_sum)
+
+    def rmse(self, weights: dict[str, float]) -> float:
+        """Root of the mean squared residual of the system's own rows."""
+        w = np.array([weights.get(name, 0.0) for name in self.names])
+        return float(np.sqrt(max(0.0, self.square - 2 * w @ self.right + w @ self.matrix @ w) / max(1, self.n)))
 
     def plus(self, other: System) -> System:
-        return System(self.names, self.matrix + other.matrix, self.right + other.right, self.n + other.n)
+        return System(self.names, self.matrix + other.matrix, self.right + other.right, self.n + other.n, self.square + other.square, self.sums + other.sums, self.label_sum + other.label_sum)
 
     def less(self, other: System) -> System:
         """This system without the rows of another one."""
-        matrix, right = self.matrix.copy(), self.right.copy()
+        matrix, right, sums = self.matrix.copy(), self.right.copy(), self.sums.copy()
         at = {n: k for k, n in enumerate(self.names)}
         own = [at[n] for n in other.names if n in at]
         theirs = [k for k, n in enumerate(other.names) if n in at]
         matrix[np.ix_(own, own)] -= other.matrix[np.ix_(theirs, theirs)]
         right[own] -= other.right[theirs]
-        return System(self.names, matrix, right, self.n - other.n)
+        sums[own] -= other.sums[theirs]
+        return System(self.names, matrix, right, self.n - other.n, self.square - other.square, sums, self.label_sum - other.label_sum)
 
     def ridge(self, alpha: float) -> dict[str, float]:
         """Weights of the unscaled columns; the penalty is on columns of unit deviation (zero columns get 0)."""
@@ -191,17 +210,21 @@ def weights_frame(spark, weights: dict[str, float]) -> DataFrame:
     return spark.createDataFrame(sorted(weights.items()), "name string, weight double")
 
 
+def in_several(items: DataFrame) -> DataFrame:
+    """The items of groups of two or more; a group of one has no centred label or value."""
+    many = items.groupBy("grp").agg(F.count("*").alias("n")).where("n >= 2").select("grp")
+    return items.join(many.hint("merge"), "grp", "left_semi")
+
+
 def fit_group_ridge(items: DataFrame, features: DataFrame, alpha: float) -> dict[str, float]:
     """Ridge on labels and features centred in their groups of two items or more; group offsets play no part."""
-    many = items.groupBy("grp").agg(F.count("*").alias("n")).where("n >= 2").select("grp")
-    items, features = items.join(many.hint("merge"), "grp", "left_semi"), features.join(many.hint("merge"), "grp", "left_semi")
-    return System.in_groups(features, items, "label").ridge(alpha)
+    return System.in_groups(features, in_several(items), "label").ridge(alpha)
 
 
 def score_centred(items: DataFrame, features: DataFrame, weights: DataFrame) -> DataFrame:
     """items with the prediction from centred features: the score less its mean over the group, which is the same."""
     scored = score_linear(items, features, weights)
-    return scored.withColumn("prediction", F.col("prediction") - F.avg("prediction").over(Window.partitionBy("grp")))
+    return with_mean(scored, ["grp"], "prediction", "_mean").withColumn("prediction", F.col("prediction") - F.col("_mean")).drop("_mean")
 
 
 def predict_group_ridge(items: DataFrame, features: DataFrame, weights: DataFrame, scales: DataFrame) -> DataFrame:
@@ -276,14 +299,13 @@ def fit_composition(items: DataFrame, counts: DataFrame) -> dict[str, float]:
     return dict(zip(s.names, map(float, w), strict=True))
 
 
-def fit_ridge(items: DataFrame, features: DataFrame, alpha: float) -> tuple[float, dict[str, float]]:
-    """(intercept, weights): standardised ridge, the intercept without a penalty."""
-    one = items.withColumn("grp", F.lit("all"))
-    same = features.withColumn("grp", F.lit("all"))
-    weights = System.in_groups(same, one, "label").ridge(alpha)
-    mean = {r["name"]: r["m"] for r in features.groupBy("name").agg(F.sum("value").alias("m")).collect()}  # as many as the system has, at most MOST_TERMS
-    n, y = items.agg(F.count("*"), F.avg("label")).first()
-    return float(y) - sum(w * mean[k] / n for k, w in weights.items()), weights
+def fit_ridge(items: DataFrame, features: DataFrame, alpha: float) -> tuple[float, dict[str, float], float]:
+    """(intercept, weights, residual RMSE): standardised ridge, the intercept without a penalty. One pass over the rows."""
+    raw = System.of(features, items, "label")
+    system = raw.centred()
+    weights = system.ridge(alpha)
+    mean = dict(zip(raw.names, raw.sums / max(1, raw.n), strict=True))
+    return float(raw.label_sum / max(1, raw.n) - sum(w * mean[k] for k, w in weights.items())), weights, system.rmse(weights)
 
 
 def refine(items: DataFrame, design: DataFrame, residual: str, alpha: float, scales: DataFrame | None = None) -> dict[str, float]:

@@ -1,4 +1,4 @@
-"""Ranks, regression metrics, ranking metrics inside groups, strata and resampling."""
+"""Ranks, regression metrics, ranking metrics inside groups, and strata."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortal.operators.loops import checkpointed
-from cohortal.operators.ordering import average_ranks, classes, quantiles, running, same
+from cohortal.operators.ordering import MOST_LOCAL, average_ranks, largest, quantiles, running, same, value_counts
 
 TIE = 1e-12
-MOST_OF_A_GROUP = 2000  # rows whose pairs are made
+MOST_OF_A_BLOCK = 2000  # rows of a group that meet as one block
 
 
 def safe_corr(x: Column | str, y: Column | str) -> Column:
@@ -47,64 +47,121 @@ def regression_metrics(df: DataFrame, *by: str) -> DataFrame:
     return same(found, middle, list(by), "left").select(*by, "n", "mae", "rmse", "median_abs_error", "r2", "pearson", "spearman", "mean_signed_error")
 
 
-def pairs(df: DataFrame, group: str = "grp", item: str = "item", columns: tuple[str, ...] = ("label", "prediction"), most: int = MOST_OF_A_GROUP) -> DataFrame:
-    """All unordered pairs of a group, item_a < item_b. For small groups: one of over `most` rows is an error, sample it before."""
-    left = df.select(group, F.col(item).alias("item_a"), *(F.col(c).alias(f"{c}_a") for c in columns))
-    right = df.select(group, F.col(item).alias("item_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
-    size = df.groupBy(group).agg(F.count("*").alias("_n"))
-    checked = size.select(group, F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"a group has over {most} rows; sample it before")).cast("boolean")).alias("_fits"))
-    left = left.join(checked.hint("merge"), group).where("_fits").drop("_fits")
-    return left.join(right.hint("merge"), group).where("item_a < item_b")
+def pairs(df: DataFrame, group: str = "grp", item: str = "item", columns: tuple[str, ...] = ("label", "prediction"), block: int = MOST_OF_A_BLOCK) -> DataFrame:
+    """All unordered pairs of a group, item_a < item_b. A group of over `block` rows is dealt into blocks by hash, and pairs of
+    blocks meet, so that no task makes the pairs of a whole large group."""
+    size = df.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    dealt = same(df.select(group, item, *columns), size, [group]).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    left = dealt.select(group, F.col("_own").alias("_a"), others.alias("_b"), F.col(item).alias("item_a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = dealt.select(group, others.alias("_a"), F.col("_own").alias("_b"), F.col(item).alias("item_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    return same(left, right, [group, "_a", "_b"]).where("item_a < item_b").drop("_a", "_b")
 
 
-def concordance(df: DataFrame, near: float = 0.0) -> DataFrame:
-    """(grp, concordance) of (grp, label, prediction): over pairs of a group with different labels, 1 if both orders agree and 1/2
-    if the predictions tie. Values no more than `near` apart in their order are equal.
+def concordance(df: DataFrame) -> DataFrame:
+    """(grp, concordance) of (grp, label, prediction): over all pairs of a group, 1 if both orders agree and 1/2 if labels or
+    predictions are equal. Groups of one row have none.
 
     Pairs are counted, not made. Labels are numbered in their order; two numbers first differ at one binary digit, which
     makes a key of the digits above it; there, pairs of agreeing order are sums of rows with a 0 before each row
     with a 1 in the order of the predictions. So each row counts once a digit, in keys that are split by range.
     """
     cells = df.where("label is not null and prediction is not null").groupBy("grp", "label", "prediction").agg(F.count("*").alias("w"))
-    cells = same(cells, classes(cells, ["grp"], "label", "rl", near), ["grp", "label"])
-    cells = same(cells, classes(cells, ["grp"], "prediction", "rp", near), ["grp", "prediction"])
+    return _agreement(same(same(cells, _places(df, "label", "rl"), ["grp", "label"]), _places(df, "prediction", "rp"), ["grp", "prediction"]))
+
+
+def _places(df: DataFrame, value: str, name: str) -> DataFrame:
+    return value_counts(df, ["grp"], value).select("grp", value, F.col("before").alias(name))
+
+
+def _agreement(cells: DataFrame) -> DataFrame:
+    """(grp, concordance) of cells(grp, rl, rp, w): numbers in the order of labels and predictions, and how often they stand together."""
     cells = checkpointed(cells.groupBy("grp", "rl", "rp").agg(F.sum("w").alias("w")))
     top = cells.groupBy("grp").agg(F.max("rl").alias("_top"), F.sum("w").alias("n"))
-    each = cells.groupBy("grp", "rl").agg(F.sum("w").alias("c")).groupBy("grp").agg(F.sum(F.col("c") * F.col("c")).alias("same"))
-    digits = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.col("_top") + 1.0)).cast("int"), F.lit(1)) - 1)
-    split = same(cells, top.where("_top > 0").select("grp", "_top"), ["grp"]).select("grp", "rl", "rp", "w", F.explode(digits).alias("digit"))
-    bit = F.call_function("shiftright", F.col("rl"), F.col("digit")).bitwiseAND(F.lit(1))
-    keyed = split.select("grp", "digit", F.call_function("shiftright", F.col("rl"), F.col("digit") + 1).alias("head"), "rp", F.when(bit == 0, F.col("w")).otherwise(0).alias("zero"), F.when(bit == 1, F.col("w")).otherwise(0).alias("one"))
+    each = cells.groupBy("grp", "rl").agg(F.sum("w").alias("c")).groupBy("grp").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("equal"))
+    split = same(cells, top.where("_top > 0").select("grp", "_top"), ["grp"]).select("grp", "rl", "rp", "w", F.explode(_digits(F.col("_top"))).alias("digit"))
+    bit, head = _bit(F.col("rl"), F.col("digit"))
+    keyed = split.select("grp", "digit", head.alias("head"), "rp", F.when(bit == 0, F.col("w")).otherwise(0).alias("zero"), F.when(bit == 1, F.col("w")).otherwise(0).alias("one"))
     keyed = keyed.groupBy("grp", "digit", "head", "rp").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
     placed = running(keyed, ["grp", "digit", "head"], ["rp"], {"before": "zero"})
-    agree = F.sum(F.col("one") * (F.col("before") + 0.5 * F.col("zero")))
-    score = placed.groupBy("grp").agg(agree.alias("agree"))
-    total = same(top, each, ["grp"]).select("grp", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"))
-    return same(total, score, ["grp"], "left").where("pairs > 0").select("grp", (F.coalesce("agree", F.lit(0.0)) / F.col("pairs")).alias("concordance"))
+    score = placed.groupBy("grp").agg(F.sum(F.col("one") * (F.col("before") + 0.5 * F.col("zero"))).alias("agree"))
+    found = same(same(top, each, ["grp"]), score, ["grp"], "left").where("n > 1")
+    return found.select("grp", ((F.coalesce("agree", F.lit(0.0)) + F.col("equal") / 4) / (F.col("n") * (F.col("n") - 1) / 2)).alias("concordance"))
+
+
+def _digits(top: Column) -> Column:
+    """Numbers of the binary digits of whole numbers up to top."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(top + 1.0)).cast("int"), F.lit(1)) - 1)
+
 
+def _bit(number: Column, digit: Column) -> tuple[Column, Column]:
+    """The digit of a number, and the number of the digits above it."""
+    return F.call_function("shiftright", number, digit).bitwiseAND(F.lit(1)), F.call_function("shiftright", number, digit + 1)
 
-def rank_metrics(df: DataFrame, mode: str = "tie_aware") -> DataFrame:
+
+def rank_metrics(df: DataFrame, mode: str = "tie_aware", most: int = MOST_LOCAL) -> DataFrame:
     """Per group of (grp, item, label, prediction): size, pearson, spearman, concordance, top1.
 
-    Concordance counts a pair as 1 if both orders agree, as 1/2 if the predictions tie; pairs of equal labels do not
-    count. drop_undefined: top1 is whether the first predicted minimum is the first least label, groups
+    Concordance is over all pairs of a group, 1 if both orders agree and 1/2 if labels or predictions are equal.
+    drop_undefined: top1 is whether the first predicted minimum is the first least label, groups
     without a correlation go. tie_aware: top1 is the share of predicted minima (within 1e-12) that are least
     labels (within 1e-12). keep_ties: the same by exact equality. The last two keep every group.
+
+    Labels and predictions are numbered once each; ranks, and the orders that concordance compares, are those numbers. Where
+    no group has over `most` rows, all of it happens where one shuffle has put the group; else rows are dealt by range.
     """
     near = 0.0 if mode == "keep_ties" else TIE
     rows = df.select("grp", "item", "label", "prediction")
-    ranked = average_ranks(average_ranks(rows, ["grp"], "label", "_rl"), ["grp"], "prediction", "_rp")
-    least = rows.groupBy("grp").agg(F.min("label").alias("_ml"), F.min("prediction").alias("_mp"))
-    ranked = same(ranked, least, ["grp"]).withColumn("_bl", F.col("label") <= F.col("_ml") + near).withColumn("_bp", F.col("prediction") <= F.col("_mp") + near)
-    if mode == "drop_undefined":
-        top = (F.min_by("item", F.struct("prediction", "item")) == F.min_by("item", F.struct("label", "item"))).cast("double")
-    else:
-        top = F.sum((F.col("_bl") & F.col("_bp")).cast("double")) / F.sum(F.col("_bp").cast("double"))
-    per = ranked.groupBy("grp").agg(F.count("*").alias("size"), safe_corr("label", "prediction").alias("pearson"), safe_corr("_rl", "_rp").alias("spearman"), top.alias("top1"))
-    found = same(per, concordance(rows, near), ["grp"], "left").select("grp", "size", "pearson", "spearman", "concordance", "top1")
+    found = _local_metrics(rows, near, mode) if largest(rows, ["grp"]) <= most else _ranged_metrics(rows, near, mode)
     return found.where("pearson is not null and spearman is not null") if mode == "drop_undefined" else found
 
 
+def _top1(mode: str, each: Column) -> Column:
+    """top1 over the rows for which `each` holds."""
+    if mode == "drop_undefined":
+        first = lambda c: F.min_by(F.when(each, F.col("item")), F.when(each, F.struct(c, "item")))
+        return (first("prediction") == first("label")).cast("double")
+    return F.sum((each & F.col("_bl") & F.col("_bp")).cast("double")) / F.sum((each & F.col("_bp")).cast("double"))
+
+
+def _local_metrics(rows: DataFrame, near: float, mode: str) -> DataFrame:
+    group = Window.partitionBy("grp")
+    whole = F.col("label").isNotNull() & F.col("prediction").isNotNull()
+    for c, place, many in (("label", "rl", "cl"), ("prediction", "rp", "cp")):
+        rows = rows.withColumn(place, F.rank().over(group.orderBy(c)) - 1).withColumn(many, F.count("*").over(Window.partitionBy("grp", c)))
+    rows = rows.withColumn("_equal", F.sum(whole.cast("long")).over(Window.partitionBy("grp", "label")))
+    rows = rows.withColumn("_top", F.max("rl").over(group)).withColumn("_bl", F.col("label") <= F.min("label").over(group) + near).withColumn("_bp", F.col("prediction") <= F.min("prediction").over(group) + near)
+    split = rows.withColumn("digit", F.explode(_digits(F.col("_top"))))
+    bit, head = _bit(F.col("rl"), F.col("digit"))
+    split = split.withColumn("head", head).withColumn("_zero", (whole & (bit == 0)).cast("long")).withColumn("_one", whole & (bit == 1))
+    order = Window.partitionBy("grp", "digit", "head").orderBy("rp")
+    below = F.coalesce(F.sum("_zero").over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    split = split.withColumn("_agree", F.when(F.col("_one"), below + 0.5 * F.sum("_zero").over(order.rangeBetween(0, 0))).otherwise(0.0))
+    each = F.col("digit") == 0
+    once = lambda c: F.when(each, c)
+    rank = lambda c, place, many: once(F.when(F.col(c).isNotNull(), F.col(place) + (F.col(many) + 1) / 2))
+    n = F.sum(once(whole.cast("long")))
+    agree = F.sum("_agree") + F.sum(once(F.when(whole, F.col("_equal") - 1))) / 4
+    return split.groupBy("grp").agg(
+        F.count(once(F.lit(1))).alias("size"),
+        safe_corr(once(F.col("label")), once(F.col("prediction"))).alias("pearson"),
+        safe_corr(rank("label", "rl", "cl"), rank("prediction", "rp", "cp")).alias("spearman"),
+        F.try_divide(agree, n * (n - 1) / 2).alias("concordance"),
+        _top1(mode, each).alias("top1"),
+    )
+
+
+def _ranged_metrics(rows: DataFrame, near: float, mode: str) -> DataFrame:
+    for c, place, many in (("label", "rl", "cl"), ("prediction", "rp", "cp")):
+        numbers = checkpointed(value_counts(rows, ["grp"], c)).select("grp", c, F.col("before").alias(place), F.col("many").alias(many))
+        rows = same(rows, numbers, ["grp", c], "left")
+    least = rows.groupBy("grp").agg(F.min("label").alias("_ml"), F.min("prediction").alias("_mp"))
+    rows = checkpointed(same(rows, least, ["grp"]).withColumn("_bl", F.col("label") <= F.col("_ml") + near).withColumn("_bp", F.col("prediction") <= F.col("_mp") + near))
+    per = rows.groupBy("grp").agg(F.count("*").alias("size"), safe_corr("label", "prediction").alias("pearson"), safe_corr(F.col("rl") + (F.col("cl") + 1) / 2, F.col("rp") + (F.col("cp") + 1) / 2).alias("spearman"), _top1(mode, F.lit(True)).alias("top1"))
+    cells = rows.where("rl is not null and rp is not null").select("grp", "rl", "rp", F.lit(1).alias("w"))
+    return same(per, _agreement(cells), ["grp"], "left").select("grp", "size", "pearson", "spearman", "concordance", "top1")
+
+
 def summarize_groups(metrics: DataFrame, *by: str) -> DataFrame:
     """Unweighted and size-weighted means over groups; correlations where they are defined."""
     weighted = lambda c: F.try_divide(F.sum(F.col("size") * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("size"))))
@@ -137,17 +194,6 @@ def composite(summary: DataFrame) -> DataFrame:
     return summary.withColumn("composite", (F.col("pearson") + F.col("spearman")) / 2)
 
 
-def margin_bins(pairs_: DataFrame, bins: int = 5) -> DataFrame:
-    """Pairs cut at exact quantiles of the absolute difference of predictions: n and mean correctness of each bin."""
-    up, out = F.col("label_a") - F.col("label_b"), F.col("prediction_a") - F.col("prediction_b")
-    right = F.when(out == 0, 0.5).when(F.signum(up) == F.signum(out), 1.0).otherwise(0.0)
-    found = checkpointed(pairs_.where(up != 0).select(F.abs(out).alias("margin"), right.alias("right")))
-    names = [f"e{k}" for k in range(1, bins)]
-    edges = quantiles(found, "margin", {n: k / bins for k, n in enumerate(names, 1)}).select(F.array(*names).alias("edges"))
-    place = F.size(F.filter("edges", lambda e: F.col("margin") >= e)).alias("bin")  # half-open but for the last
-    return found.crossJoin(F.broadcast(edges)).select(place, "margin", "right").groupBy("bin").agg(F.count("*").alias("n"), F.avg("margin").alias("mean_margin"), F.avg("right").alias("correctness"))
-
-
 def stratify(df: DataFrame, strata: dict[str, Column]) -> DataFrame:
     """df once for each stratum that a row belongs to, with the stratum's name; strata may overlap."""
     names = F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in strata.items())))
@@ -164,47 +210,6 @@ def is_partition(df: DataFrame, key: str, strata: dict[str, Column]) -> DataFram
     return df.agg(F.bool_and(hits == 1).alias("partitions"), F.count(key).alias("n"))
 
 
-def draws(groups: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(rep, slot, place): for each replicate as many hash-driven draws of a place as there are rows in groups."""
-    n = groups.count()
-    spark = groups.sparkSession
-    reps = spark.range(replicates).withColumnRenamed("id", "rep")
-    slots = spark.range(n).select(F.col("id").alias("slot"), F.lit(n).alias("n"))
-    return slots.crossJoin(F.broadcast(reps)).select("rep", "slot", F.pmod(F.xxhash64(F.lit(seed), "rep", "slot"), F.col("n")).alias("place"))
-
-
-def bootstrap_ci(groups: DataFrame, value: str, replicates: int = 200, seed: int = 7, weight: str | None = None, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean of `value` over resampled groups (key, value[, weight]).
-
-    With a weight the statistic is the ratio of the resampled sums of value and of weight, as it must be for a mean
-    over rows. The draw counts of a replicate depend on the seed alone.
-    """
-    numbered = groups.select("grp", F.col(value).alias("v"), (F.col(weight) if weight else F.lit(1.0)).alias("w"))
-    numbered = running(numbered.withColumn("_one", F.lit(1)), [], ["grp"], {"place": "_one"}).drop("_one")
-    times = draws(groups, replicates, seed).groupBy("rep", "place").agg(F.count("*").alias("times"))
-    per = times.join(numbered.hint("merge"), "place").groupBy("rep").agg((F.sum(F.col("times") * F.col("v")) / F.sum(F.col("times") * F.col("w"))).alias("stat"))
-    low = (1 - level) / 2
-    ends = F.percentile("stat", F.array(F.lit(low), F.lit(1 - low)))
-    point = numbered.agg((F.sum("v") / F.sum("w")).alias("estimate"))
-    return per.agg(F.count("*").alias("replicates"), ends.alias("e")).crossJoin(point).select("estimate", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"), "replicates")
-
-
-def permutation_null(df: DataFrame, replicates: int = 50, seed: int = 11) -> DataFrame:
-    """Labels permuted inside groups: mean correlation of each replicate, its range, and the add-one p value."""
-    spark = df.sparkSession
-    reps = F.broadcast(spark.range(replicates).select(F.col("id").cast("int").alias("rep")))
-    rows = checkpointed(running(df.select("grp", "item", "label", "prediction").withColumn("_one", F.lit(1)), ["grp"], ["item"], {"at": "_one"}).drop("_one"))
-    many = rows.crossJoin(reps).select("rep", "grp", "item", "label", "at", "prediction", F.lit(1).alias("_one"))
-    # a permuted place is the place in the order of a hash
-    moved = running(many.select("rep", "grp", F.xxhash64(F.lit(seed), "rep", "item").alias("_h"), "item", "label", "_one"), ["rep", "grp"], ["_h", "item"], {"at": "_one"}).select("rep", "grp", "at", F.col("label").alias("moved"))
-    joined = many.select("rep", "grp", "at", "prediction").join(moved.hint("merge"), ["rep", "grp", "at"])
-    per = joined.groupBy("rep", "grp").agg(safe_corr("moved", "prediction").alias("r")).groupBy("rep").agg(F.avg("r").alias("r"))
-    seen = df.groupBy("grp").agg(safe_corr("label", "prediction").alias("r")).agg(F.avg("r").alias("observed"))
-    ends = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))
-    out = per.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.avg("r").alias("mean"), ends.alias("e"), F.max("r").alias("max"), ((F.sum((F.col("r") >= F.col("observed")).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
-    return out.select("observed", "mean", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"), "max", "p")
-
-
 def long_metrics(df: DataFrame, model: str) -> DataFrame:
     """(model, metric, value) rows of a table with a row a model and a column a metric."""
     names = [c for c in df.columns if c != model]

@@ -1,7 +1,8 @@
 """Running sums, ranks and exact quantiles over sorted rows, however few and large the groups are.
 
-Rows are dealt by range and sorted once; sums run inside a range, and the ranges of a group add up as one row each. No
-task holds a whole group, and equal values are one row with a count.
+Where every group has few enough rows for a task, which is counted, sums run in a window of the group. Else rows are
+dealt by range and sorted once; sums run inside a range, and the ranges of a group add up as one row each, so that no
+task holds a whole group. Equal values are one row with a count.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from cohortal.operators.loops import checkpointed
 
+MOST_LOCAL = 1_000_000  # rows of a group that a window sums up
+
 
 def same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """left joined with right on columns of equal name, nulls being equal; right's copies go."""
@@ -21,11 +24,19 @@ def same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner"
     return left.join(renamed.hint("merge"), condition, how).drop(*(f"_j_{c}" for c in names))
 
 
+def largest(df: DataFrame, keys: list[str]) -> int:
+    """The number of rows of the largest group; tasks count before rows are shuffled."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
 def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
     """df with, for each (name, column) of sums, the sum of the column over the rows of the same keys that come before.
 
     order must tell apart the rows of a key.
     """
+    if keys and largest(df, keys) <= MOST_LOCAL:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()))
     columns = [F.col(c) for c in (*keys, *order)]
     placed = checkpointed(df.repartitionByRange(*columns).sortWithinPartitions(*columns)).withColumn("_part", F.spark_partition_id())
     inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -63,16 +74,8 @@ def quantiles(df: DataFrame, value: str, shares: dict[str, float], *by: str) ->
     return found.select(*keys, *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part(n)).alias(n) for n in shares))
 
 
-def classes(df: DataFrame, keys: list[str], value: str, name: str, near: float = 0.0) -> DataFrame:
-    """(*keys, value, name): the different values of a key numbered from 0 in their order; a value no more than `near` above
-    the one before it has that one's number."""
-    values = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
-    columns = [F.col(c) for c in (*keys, value)]
-    placed = checkpointed(values.repartitionByRange(*columns).sortWithinPartitions(*columns)).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part", *keys).orderBy(value)
-    parts = placed.groupBy("_part", *keys).agg(F.max(value).alias("_last"))
-    parts = parts.select("_part", *keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_part")).alias("_before"))
-    gap = F.col(value) - F.coalesce(F.lag(value).over(inside), F.col("_before"))
-    steps = same(placed, parts, ["_part", *keys]).select(*keys, value, F.when(gap.isNull() | (gap > near), 1).otherwise(0).alias("_step"))
-    found = running(steps, keys, [value], {"_earlier": "_step"})
-    return found.select(*keys, value, (F.col("_earlier") + F.col("_step") - 1).alias(name))
+def with_mean(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """df with the mean of a column over the rows of its keys: in a window where groups fit into a task, else joined."""
+    if largest(df, keys) <= MOST_LOCAL:
+        return df.withColumn(name, F.avg(value).over(Window.partitionBy(*keys)))
+    return same(df, df.groupBy(*keys).agg(F.avg(value).alias(name)), keys)

@@ -11,8 +11,7 @@ from cohortal.operators import cohort, linear, metrics, prep
 
 def fold_supports(items: DataFrame, features: DataFrame, alpha: float, folds: int = 3) -> dict[int, set[str]]:
     """The lasso support of each fold's training rows, from one system less the fold's."""
-    fold = cohort.fold_of(F.col("grp"), folds)
-    parts = linear.System.by_fold(features.withColumn("fold", fold), items.withColumn("fold", fold), "label", True)
+    parts = linear.System.by_fold(features, items.withColumn("fold", cohort.fold_of(F.col("grp"), folds)), "label", True)
     whole = linear.total(parts)
     return {k: set(whole.less(part).lasso(alpha)) for k, part in parts.items()}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortal.functions import hashing as H
 from cohortal.functions import scalars as S
-from cohortal.operators import cohort, enrich, graph, linear, metrics, motifs, prep, reactions, studies
+from cohortal.operators import cohort, enrich, graph, linear, margins, metrics, motifs, prep, reactions, resampling, studies
 from cohortal.operators.loops import checkpointed
 from cohortal.plans import bindings as B
 
@@ -413,7 +413,7 @@ def regression_metrics(spark, d):
 _RANK_SQL = f"""WITH {B.SCORED}, {_RANKED.format(src='scored')},
 flags AS (SELECT *, label <= min(label) OVER (PARTITION BY grp) + {{near}} AS bl, prediction <= min(prediction) OVER (PARTITION BY grp) + {{near}} AS bp FROM ranked),
 per AS (SELECT grp, count(*) AS size, {_CORR.format(x='label', y='prediction')} AS pearson, {_CORR.format(x='rl', y='rp')} AS spearman, {{top}} AS top1 FROM flags GROUP BY 1),
-conc AS (SELECT a.grp, avg(CASE WHEN abs(a.prediction - b.prediction) <= {{near}} THEN 0.5 WHEN sign(a.label - b.label) = sign(a.prediction - b.prediction) THEN 1.0 ELSE 0.0 END) AS concordance FROM scored a JOIN scored b ON a.grp = b.grp AND a.item < b.item WHERE abs(a.label - b.label) > {{near}} GROUP BY 1),
+conc AS (SELECT a.grp, avg(CASE WHEN (a.prediction - b.prediction) * (a.label - b.label) > 0 THEN 1.0 WHEN (a.prediction - b.prediction) * (a.label - b.label) = 0 THEN 0.5 ELSE 0.0 END) AS concordance FROM scored a JOIN scored b ON a.grp = b.grp AND a.item < b.item GROUP BY 1),
 found AS (SELECT per.grp, size, pearson, spearman, concordance, CAST(top1 AS DOUBLE) AS top1 FROM per LEFT JOIN conc ON per.grp = conc.grp {{keep}})"""
 _SHARE = "sum(CASE WHEN bl AND bp THEN 1 ELSE 0 END) / sum(CASE WHEN bp THEN 1 ELSE 0 END)"
 _FIRST = "CASE WHEN first(item ORDER BY prediction, item) = first(item ORDER BY label, item) THEN 1 ELSE 0 END"
@@ -460,10 +460,11 @@ def group_pairs(spark, d):
     return rounded(metrics.pairs(_by_customer(spark, d)).select("grp", "item_a", "item_b", (F.col("label_a") - F.col("label_b")).alias("label_gap")), "label_gap")
 
 
-@query("margin_quintiles", f"""WITH {_BY_CUSTOMER}, p AS (SELECT abs(a.prediction - b.prediction) AS margin, CASE WHEN a.prediction = b.prediction THEN 0.5 WHEN sign(a.label - b.label) = sign(a.prediction - b.prediction) THEN 1.0 ELSE 0.0 END AS ok FROM by_customer a JOIN by_customer b ON a.grp = b.grp AND a.item < b.item WHERE a.label <> b.label),
-e AS (SELECT quantile_cont(margin, [0.2, 0.4, 0.6, 0.8]) AS e FROM p) SELECT CAST(len(list_filter(e, lambda x: margin >= x)) AS INT) AS bin, count(*) AS n, round(avg(margin), {R}) AS mean_margin, round(avg(ok), {R}) AS correctness FROM p, e GROUP BY 1""")
+@query("margin_quintiles", f"""WITH {B.SCORED}, p AS (SELECT abs(a.prediction - b.prediction) AS margin, CASE WHEN (a.prediction - b.prediction) * (a.label - b.label) > 0 THEN 1.0 WHEN (a.prediction - b.prediction) * (a.label - b.label) = 0 THEN 0.5 ELSE 0.0 END AS ok FROM scored a JOIN scored b ON a.grp = b.grp AND a.item < b.item),
+e AS (SELECT quantile_cont(margin, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM p), b AS (SELECT CAST(len(list_filter(e[2:5], lambda x: margin >= x)) AS INT) AS bin, margin, ok, e FROM p, e)
+SELECT bin, round(any_value(e[bin + 1]), {R}) AS lower, round(any_value(e[bin + 2]), {R}) AS upper, count(*) AS n, round(avg(margin), {R}) AS mean_margin, round(avg(ok), {R}) AS correctness FROM b GROUP BY 1""")
 def margin_quintiles(spark, d):
-    return rounded(metrics.margin_bins(metrics.pairs(_by_customer(spark, d))), "mean_margin", "correctness")
+    return rounded(margins.margin_bins(B.scored(spark, d)), "lower", "upper", "mean_margin", "correctness")
 
 
 @query("paired_delta", f"WITH {B.SCORED}, a AS (SELECT grp, avg(abs(label - prediction)) AS mae FROM scored GROUP BY 1), b AS (SELECT grp, avg(abs(label)) AS mae FROM scored WHERE item % 2 = 0 GROUP BY 1) SELECT grp, round(a.mae - b.mae, {R}) AS mae FROM a JOIN b USING (grp)")
@@ -477,18 +478,33 @@ def paired_delta(spark, d):
 @query("bootstrap_interval")
 def bootstrap_interval(spark, d):
     per = B.scored(spark, d).groupBy("grp").agg(metrics.safe_corr("label", "prediction").alias("pearson"))
-    return rounded(metrics.bootstrap_ci(per, "pearson"), "estimate", "low", "high")
+    return rounded(resampling.bootstrap_ci(per, "pearson"), "estimate", "low", "high")
 
 
 @query("bootstrap_mae")
 def bootstrap_mae(spark, d):
     per = B.scored(spark, d).groupBy("grp").agg(F.sum(F.abs(F.col("label") - F.col("prediction"))).alias("e"), F.count("*").alias("n"))
-    return rounded(metrics.bootstrap_ci(per, "e", weight="n"), "estimate", "low", "high")
+    return rounded(resampling.bootstrap_ci(per, "e", weight="n"), "estimate", "low", "high")
+
+
+@query("bootstrap_rmse")
+def bootstrap_rmse(spark, d):
+    error = F.col("label") - F.col("prediction")
+    per = B.scored(spark, d).groupBy("grp").agg(F.sum(error * error).alias("e"), F.count("*").alias("n"))
+    return rounded(resampling.bootstrap_ci(per, "e", weight="n", root=True), "estimate", "low", "high")
+
+
+@query("bootstrap_paired")
+def bootstrap_paired(spark, d):
+    """The RMSE of the prediction less that of the group's mean, over the same draws."""
+    error = F.col("label") - F.col("prediction")
+    per = B.scored(spark, d).groupBy("grp").agg(F.sum(error * error).alias("e"), (F.var_pop("label") * F.count("*")).alias("base"), F.count("*").alias("n"))
+    return rounded(resampling.bootstrap_ci(per, "e", weight="n", root=True, versus="base"), "estimate", "low", "high")
 
 
 @query("permutation_null")
 def permutation_null(spark, d):
-    return rounded(metrics.permutation_null(B.scored(spark, d)), "observed", "mean", "low", "high", "max", "p")
+    return rounded(resampling.permutation_null(B.scored(spark, d)), "observed", "mean", "low", "high", "max", "p")
 
 
 @query("metric_gates", f"{_TIE_AWARE}, s AS (SELECT avg(pearson) AS p, avg(top1) AS t, avg(1 / size) AS c FROM found) SELECT unnest(['correlates', 'beats_chance', 'all']) AS gate, unnest([p > 0.5, t > c, p > 0.5 AND t > c]) AS passed FROM s")
@@ -572,11 +588,12 @@ def fit_group_ridge(spark, d):
     return rounded(w, "weight")
 
 
-@query("predict_group_ridge", _CENTERED + f", {WEIGHTS_SQL} SELECT item, round(coalesce(sum(w.weight * value), 0), {R}) AS prediction, round(coalesce(sqrt(sum((value / 2.0) ** 2) / 3), 0), {R}) AS distance FROM mol_items LEFT JOIN centered c USING (item) LEFT JOIN w USING (name) GROUP BY 1")
+@query("predict_group_ridge", _CENTERED + f", {WEIGHTS_SQL} SELECT item, round(round(coalesce(sum(w.weight * value), 0), 9), {R}) AS prediction, round(coalesce(sqrt(sum((value / 2.0) ** 2) / 3), 0), {R}) AS distance FROM mol_items LEFT JOIN centered c USING (item) LEFT JOIN w USING (name) GROUP BY 1")
 def predict_group_ridge(spark, d):
     scales = linear.weights_frame(spark, dict.fromkeys(WEIGHTS, 2.0)).withColumnRenamed("weight", "scale")
     out = linear.predict_group_ridge(B.mol_items(spark, d), B.features(spark, d), linear.weights_frame(spark, WEIGHTS), scales)
-    return rounded(out, "prediction", "distance").select("item", "prediction", "distance")
+    # predictions that end in a half of the last digit kept are rounded twice, so that the order of a sum doesn't decide
+    return rounded(out.withColumn("prediction", F.round("prediction", 9)), "prediction", "distance").select("item", "prediction", "distance")
 
 
 @query("fit_composition")
@@ -587,8 +604,8 @@ def fit_composition(spark, d):
 
 @query("fit_ridge")
 def fit_ridge(spark, d):
-    intercept, weights = linear.fit_ridge(B.mol_items(spark, d), B.features(spark, d), 1.0)
-    return rounded(linear.weights_frame(spark, weights | {"intercept": intercept}), "weight")
+    intercept, weights, rmse = linear.fit_ridge(B.mol_items(spark, d), B.features(spark, d), 1.0)
+    return rounded(linear.weights_frame(spark, weights | {"intercept": intercept, "residual_rmse": rmse}), "weight")
 
 
 @query("lasso_support")

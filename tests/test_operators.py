@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortal.operators import cohort, enrich, graph, linear, loops, metrics, ordering, prep, reactions
+from cohortal.operators import cohort, enrich, graph, linear, loops, metrics, ordering, prep, reactions, resampling
 from cohortal.sources import tables
 from cohortal.streaming import scoring
 
@@ -33,8 +33,8 @@ def test_group_ridge_ignores_group_offsets(spark, groups):
 def test_plain_ridge_and_refinement(spark):
     items = spark.createDataFrame([(k, "g", 2.0 * k + 1) for k in range(6)], "item long, grp string, label double")
     features = spark.createDataFrame([(k, "g", "x", float(k)) for k in range(1, 6)], "item long, grp string, name string, value double")
-    intercept, w = linear.fit_ridge(items, features, 1e-10)
-    assert abs(intercept + 3.5 * w["x"] - 8) < 1e-6
+    intercept, w, rmse = linear.fit_ridge(items, features, 1e-10)
+    assert abs(intercept + 3.5 * w["x"] - 8) < 1e-6 and rmse < 1e-4
     scored = items.withColumn("residual", F.col("label"))
     z = np.array([[0.0], [1], [2], [3], [4], [5]])
     want = np.linalg.solve(z.T @ z + 0.5 * np.eye(1), z.T @ np.array([1.0, 3, 5, 7, 9, 11]))[0]
@@ -76,17 +76,17 @@ def test_rank_metric_modes(spark):
     df = spark.createDataFrame(rows, "grp string, item long, label double, prediction double")
     tie = {r["grp"]: r for r in metrics.rank_metrics(df).collect()}
     assert tie["a"]["top1"] == 0.5 and abs(tie["a"]["concordance"] - 2.5 / 3) < 1e-12
-    assert tie["c"]["pearson"] is None and tie["c"]["concordance"] is None and tie["c"]["top1"] == 1.0
+    assert tie["c"]["pearson"] is None and tie["c"]["concordance"] == 0.5 and tie["c"]["top1"] == 1.0
     strict = metrics.rank_metrics(df, "drop_undefined").collect()
     assert [r["grp"] for r in strict] == ["a"] and strict[0]["top1"] == 1.0
 
 
 def test_resampling_is_repeatable(spark):
     df = spark.createDataFrame([(f"g{k}", float(k % 7)) for k in range(40)], "grp string, v double")
-    a, b = metrics.bootstrap_ci(df, "v", 100).first(), metrics.bootstrap_ci(df.repartition(3), "v", 100).first()
+    a, b = resampling.bootstrap_ci(df, "v", 100).first(), resampling.bootstrap_ci(df.repartition(3), "v", 100).first()
     assert a == b and a["low"] < a["estimate"] < a["high"]
     rows = [(g, k, float(k), float(k * k)) for g in "abcdef" for k in range(6)]
-    null = metrics.permutation_null(spark.createDataFrame(rows, "grp string, item long, label double, prediction double"), 30).first()
+    null = resampling.permutation_null(spark.createDataFrame(rows, "grp string, item long, label double, prediction double"), 30).first()
     assert null["observed"] > 0.9 and abs(null["mean"]) < 0.3 and abs(null["p"] - 1 / 31) < 1e-12
 
 
@@ -307,7 +307,7 @@ def test_concordance_against_pairs(spark):
     got = {r["grp"]: r["concordance"] for r in metrics.concordance(spark.createDataFrame(rows, "grp string, item long, label double, prediction double")).collect()}
     for g in {r[0] for r in rows}:
         own = [r[2:] for r in rows if r[0] == g]
-        scores = [0.5 if p == q else float((x < y) == (p < q)) for i, (x, p) in enumerate(own) for y, q in own[:i] if x != y]
+        scores = [0.5 if p == q or x == y else float((x < y) == (p < q)) for i, (x, p) in enumerate(own) for y, q in own[:i]]
         assert (g in got) == bool(scores) and (not scores or abs(got[g] - sum(scores) / len(scores)) < 1e-12)
 
 
