@@ -199,10 +199,10 @@ def graph_identity(labels: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def symmetry_terms(labels: DataFrame) -> DataFrame:
-    """Per molecule: number of label classes, pairs of equal atoms, entropy of the classes in bits."""
+    """Per molecule: number of label classes, pairs of equal atoms, natural entropy of the classes."""
     per = labels.groupBy("mol_id", "label").agg(F.count("*").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("mol_id"))
-    return per.withColumn("p", share).groupBy("mol_id").agg(F.count("*").alias("classes"), F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("equivalent_pairs"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+    return per.withColumn("p", share).groupBy("mol_id").agg(F.count("*").alias("classes"), F.sum(F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("equivalent_pairs"), (-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
 
 
 def cycle_rank(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -267,24 +267,32 @@ def pi_systems(pi: DataFrame, bonds: DataFrame) -> DataFrame:
 
 
 def pi_matrix(pi: DataFrame, atoms: DataFrame, bonds: DataFrame, alpha: dict[str, float], beta: dict[float, float]) -> DataFrame:
-    """(mol_id, i, j, value): the diagonal by element, both off-diagonal entries by bond order."""
+    """(mol_id, system, i, j, value): the diagonal by element, both off-diagonal entries by bond order; a system is named by its
+    least atom. An element or a bond order without a parameter is an error."""
     on = pi.where("included").select("mol_id", "atom_id")
-    pick = lambda column, table: F.coalesce(*(F.when(column == k, F.lit(float(v))) for k, v in table.items()), F.lit(0.0))
-    own = atoms.join(on, ["mol_id", "atom_id"]).select("mol_id", F.col("atom_id").alias("i"), F.col("atom_id").alias("j"), pick(F.col("element"), alpha).alias("value"))
-    off = directed(coupled(pi, bonds))
-    return own.unionByName(off.select("mol_id", F.col("a").alias("i"), F.col("b").alias("j"), pick(F.col("bond_order"), beta).alias("value")))
+    inside = coupled(pi, bonds)
+    systems = graph_components(on, inside).select("mol_id", "atom_id", F.col("comp").alias("system"))
+
+    def pick(column: Column, table: dict, what: str) -> Column:
+        unknown = F.raise_error(F.concat(F.lit(f"no parameter for {what} "), F.coalesce(column.cast("string"), F.lit("null")))).cast("double")
+        return F.coalesce(*(F.when(column == k, F.lit(float(v))) for k, v in table.items()), unknown)
+
+    own = atoms.select("mol_id", "atom_id", "element").join(systems.hint("merge"), ["mol_id", "atom_id"]).select("mol_id", "system", F.col("atom_id").alias("i"), F.col("atom_id").alias("j"), pick(F.col("element"), alpha, "element").alias("value"))
+    off = directed(inside).join(systems.select("mol_id", F.col("atom_id").alias("a"), "system").hint("merge"), ["mol_id", "a"])
+    return own.unionByName(off.select("mol_id", "system", F.col("a").alias("i"), F.col("b").alias("j"), pick(F.col("bond_order"), beta, "bond order").alias("value")))
 
 
 def spectral_moments(matrix: DataFrame) -> DataFrame:
-    """Per molecule the traces of the second, third and fourth power of its matrix, over its size."""
-    right = matrix.select("mol_id", F.col("i").alias("j"), F.col("j").alias("k"), F.col("value").alias("w"))
-    square = matrix.join(right, ["mol_id", "j"]).groupBy("mol_id", "i", "k").agg(F.sum(F.col("value") * F.col("w")).alias("s"))
-    size = matrix.groupBy("mol_id").agg(F.countDistinct("i").alias("size"))
-    second = square.where("i = k").groupBy("mol_id").agg(F.sum("s").alias("m2"))
-    third = square.join(matrix.select("mol_id", F.col("j").alias("i"), F.col("i").alias("k"), "value"), ["mol_id", "i", "k"]).groupBy("mol_id").agg(F.sum(F.col("s") * F.col("value")).alias("m3"))
-    fourth = square.join(square.select("mol_id", F.col("i").alias("k"), F.col("k").alias("i"), F.col("s").alias("t")), ["mol_id", "i", "k"]).groupBy("mol_id").agg(F.sum(F.col("s") * F.col("t")).alias("m4"))
-    joined = size.join(second, "mol_id", "left").join(third, "mol_id", "left").join(fourth, "mol_id", "left")
-    return joined.select("mol_id", *((F.coalesce(m, F.lit(0.0)) / F.col("size")).alias(m) for m in ("m2", "m3", "m4")))
+    """Per molecule the traces of the second, third and fourth power of each system's matrix over the system's size, summed over its systems."""
+    keys = ["mol_id", "system"]
+    right = matrix.select(*keys, F.col("i").alias("j"), F.col("j").alias("k"), F.col("value").alias("w"))
+    square = matrix.join(right.hint("merge"), [*keys, "j"]).groupBy(*keys, "i", "k").agg(F.sum(F.col("value") * F.col("w")).alias("s"))
+    size = matrix.groupBy(*keys).agg(F.countDistinct("i").alias("size"))
+    second = square.where("i = k").groupBy(*keys).agg(F.sum("s").alias("m2"))
+    third = square.join(matrix.select(*keys, F.col("j").alias("i"), F.col("i").alias("k"), "value").hint("merge"), [*keys, "i", "k"]).groupBy(*keys).agg(F.sum(F.col("s") * F.col("value")).alias("m3"))
+    fourth = square.join(square.select(*keys, F.col("i").alias("k"), F.col("k").alias("i"), F.col("s").alias("t")).hint("merge"), [*keys, "i", "k"]).groupBy(*keys).agg(F.sum(F.col("s") * F.col("t")).alias("m4"))
+    joined = size.join(second.hint("merge"), keys, "left").join(third.hint("merge"), keys, "left").join(fourth.hint("merge"), keys, "left")
+    return joined.groupBy("mol_id").agg(*(F.sum(F.coalesce(m, F.lit(0.0)) / F.col("size")).alias(m) for m in ("m2", "m3", "m4")))
 
 
 def charge_topology(atoms: DataFrame, distances: DataFrame, most: int = 4) -> DataFrame:
@@ -295,15 +303,15 @@ def charge_topology(atoms: DataFrame, distances: DataFrame, most: int = 4) -> Da
 
 
 def formal_charge_terms(atoms: DataFrame, distances: DataFrame, hardness: dict[str, float] | None = None) -> DataFrame:
-    """Per molecule: sum of q^2, of the element's hardness times q^2, of q*q/d over charged pairs, of 1/d over pairs of like and of
-    unlike sign."""
+    """Per molecule: sum of |q|, of the element's hardness times q^2, of q*q/d over charged pairs, of |q*q|/d over pairs of like and
+    of unlike sign."""
     table = F.coalesce(*(F.when(F.col("element") == k, F.lit(float(v))) for k, v in (hardness or {}).items()), F.lit(0.0))
     square = F.col("formal_charge") * F.col("formal_charge")
-    own = atoms.groupBy("mol_id").agg(F.sum(square).alias("magnitude"), F.sum(table * square).alias("hardness"))
+    own = atoms.groupBy("mol_id").agg(F.sum(F.abs("formal_charge")).alias("magnitude"), F.sum(table * square).alias("hardness"))
     c = lambda x: atoms.where("formal_charge <> 0").select("mol_id", F.col("atom_id").alias(x), F.col("formal_charge").alias(f"q_{x}"))
     j = distances.join(c("a"), ["mol_id", "a"]).join(c("b"), ["mol_id", "b"])
     near = F.col("q_a") * F.col("q_b")
-    pairs = j.groupBy("mol_id").agg(F.sum(near / F.col("d")).alias("coulomb"), F.sum(F.when(near > 0, 1 / F.col("d")).otherwise(0.0)).alias("like"), F.sum(F.when(near < 0, 1 / F.col("d")).otherwise(0.0)).alias("unlike"))
+    pairs = j.groupBy("mol_id").agg(F.sum(near / F.col("d")).alias("coulomb"), F.sum(F.when(near > 0, near / F.col("d")).otherwise(0.0)).alias("like"), F.sum(F.when(near < 0, -near / F.col("d")).otherwise(0.0)).alias("unlike"))
     return own.join(pairs.hint("merge"), "mol_id", "left").select("mol_id", "magnitude", "hardness", *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("coulomb", "like", "unlike")))
 
 
@@ -347,7 +355,7 @@ def rings_of_closures(bonds: DataFrame) -> DataFrame:
 
 def ring_terms(rings: DataFrame) -> DataFrame:
     """Per molecule: rings, junction atoms, pairs of rings with one atom in common, with the two ends of a side of both, and
-    with other two or more atoms; sides that two rings share."""
+    with other two or more atoms; sides of two rings or more, each once."""
     many = rings.groupBy("mol_id").agg(F.countDistinct("ring").alias("rings"))
     junction = rings.groupBy("mol_id", "atom_id").agg(F.count("*").alias("n")).where("n > 1").groupBy("mol_id").agg(F.count("*").alias("junctions"))
     other = rings.select("mol_id", "atom_id", F.col("ring").alias("other"))
@@ -356,14 +364,15 @@ def ring_terms(rings: DataFrame) -> DataFrame:
     both = sides.join(sides.withColumnRenamed("ring", "other").hint("merge"), ["mol_id", "a", "b"]).where("ring < other").groupBy("mol_id", "ring", "other").agg(F.count("*").alias("sides"))
     shared = shared.join(both.hint("merge"), ["mol_id", "ring", "other"], "left").withColumn("sides", F.coalesce("sides", F.lit(0)))
     fused = (F.col("n") == 2) & (F.col("sides") > 0)
-    pairs = shared.groupBy("mol_id").agg(F.sum((F.col("n") == 1).cast("int")).alias("spiro"), F.sum(fused.cast("int")).alias("fused"), F.sum(((F.col("n") >= 2) & ~fused).cast("int")).alias("bridged"), F.sum("sides").alias("shared_sides"))
-    out = many.join(junction.hint("merge"), "mol_id", "left").join(pairs.hint("merge"), "mol_id", "left")
+    pairs = shared.groupBy("mol_id").agg(F.sum((F.col("n") == 1).cast("int")).alias("spiro"), F.sum(fused.cast("int")).alias("fused"), F.sum(((F.col("n") >= 2) & ~fused).cast("int")).alias("bridged"))
+    common = sides.groupBy("mol_id", "a", "b").agg(F.count("*").alias("n")).where("n > 1").groupBy("mol_id").agg(F.count("*").alias("shared_sides"))
+    out = many.join(junction.hint("merge"), "mol_id", "left").join(pairs.hint("merge"), "mol_id", "left").join(common.hint("merge"), "mol_id", "left")
     return out.select("mol_id", "rings", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("junctions", "spiro", "fused", "bridged", "shared_sides")))
 
 
 def small_ring_terms(rings: DataFrame, bonds: DataFrame, small: tuple[int, int] = (3, 4), medium: tuple[int, int] = (8, 11)) -> DataFrame:
     """Per molecule: small rings with single sides only, and with other ones; medium rings; bridgeheads, atoms of three rings or more;
-    the mean of the sizes' squared distance from six."""
+    the sum of the sizes' squared distances from six, and the variance of the sizes."""
     size = rings.groupBy("mol_id", "ring").agg(F.count("*").alias("size"))
     rich = bonds.where(bond_class(F.col("bond_order"), flag(bonds, "bond_aromatic")) != "single").select("mol_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     inside = ring_edges(rings).join(rich.hint("merge"), ["mol_id", "a", "b"]).groupBy("mol_id", "ring").agg(F.count("*").alias("rich"))
@@ -371,16 +380,18 @@ def small_ring_terms(rings: DataFrame, bonds: DataFrame, small: tuple[int, int]
     little = F.col("size").between(*small)
     heads = rings.groupBy("mol_id", "atom_id").agg(F.count("*").alias("n")).where("n >= 3").groupBy("mol_id").agg(F.count("*").alias("bridgeheads"))
     count = lambda c: F.sum(c.cast("int"))
-    out = j.groupBy("mol_id").agg(count(little & F.col("rich").isNull()).alias("saturated_small"), count(little & F.col("rich").isNotNull()).alias("unsaturated_small"), count(F.col("size").between(*medium)).alias("medium"), F.avg((F.col("size") - 6) * (F.col("size") - 6)).alias("size_deviation"))
+    out = j.groupBy("mol_id").agg(count(little & F.col("rich").isNull()).alias("saturated_small"), count(little & F.col("rich").isNotNull()).alias("unsaturated_small"), count(F.col("size").between(*medium)).alias("medium"), F.sum((F.col("size") - 6) * (F.col("size") - 6)).cast("double").alias("size_deviation"), F.var_pop("size").alias("size_variance"))
     return out.join(heads.hint("merge"), "mol_id", "left").withColumn("bridgeheads", F.coalesce("bridgeheads", F.lit(0)))
 
 
-def ring_strain(rings: DataFrame, by_size: dict[int, float], fused: float) -> DataFrame:
-    """Per molecule: tabulated strain of each ring's size, and an increment for each fused pair."""
+def ring_strain(rings: DataFrame, by_size: dict[int, float], fused: float, large: float = 0.0) -> DataFrame:
+    """Per molecule: tabulated strain of each ring's size (`large` for sizes out of the table), and an increment for each further ring
+    that an atom is in."""
     size = rings.groupBy("mol_id", "ring").agg(F.count("*").alias("size"))
-    value = F.coalesce(*(F.when(F.col("size") == k, F.lit(v)) for k, v in by_size.items()), F.lit(0.0))
+    value = F.coalesce(*(F.when(F.col("size") == k, F.lit(float(v))) for k, v in by_size.items()), F.lit(float(large)))
     own = size.groupBy("mol_id").agg(F.sum(value).alias("own"))
-    return own.join(ring_terms(rings).select("mol_id", "fused"), "mol_id").select("mol_id", (F.col("own") + F.col("fused") * F.lit(fused)).alias("strain"))
+    extra = rings.groupBy("mol_id", "atom_id").agg((F.count("*") - 1).alias("n")).groupBy("mol_id").agg(F.sum("n").alias("extra"))
+    return own.join(extra.hint("merge"), "mol_id").select("mol_id", (F.col("own") + F.col("extra") * F.lit(float(fused))).alias("strain"))
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
@@ -447,12 +458,12 @@ def ledger_score(terms: DataFrame, exclude: tuple[str, ...] = (), override: dict
 
 
 def pair_distance_terms(coords: DataFrame, bonds: DataFrame) -> DataFrame:
-    """Per molecule over non-bonded pairs of coords(mol_id, atom_id, q, x, y, z): q*q over the distance (1/2 at least), and exp(-r)."""
+    """Per molecule over non-bonded pairs of coords(mol_id, atom_id, q, x, y, z): q*q/r and exp(-r), r being 1/2 at least."""
     one = coords.select("mol_id", F.col("atom_id").alias("a"), *(F.col(c).alias(f"{c}1") for c in "qxyz"))
     two = coords.select("mol_id", F.col("atom_id").alias("b"), *(F.col(c).alias(f"{c}2") for c in "qxyz"))
     far = one.join(two, "mol_id").where("a < b").join(bonds.select("mol_id", "a", "b"), ["mol_id", "a", "b"], "left_anti")
     r = F.sqrt(sum(((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0)))
-    return far.withColumn("r", r).groupBy("mol_id").agg(F.sum(F.col("q1") * F.col("q2") / F.greatest("r", F.lit(0.5))).alias("coulomb"), F.sum(F.exp(-F.col("r"))).alias("overlap"))
+    return far.withColumn("r", F.greatest(r, F.lit(0.5))).groupBy("mol_id").agg(F.sum(F.col("q1") * F.col("q2") / F.col("r")).alias("coulomb"), F.sum(F.exp(-F.col("r"))).alias("overlap"))
 
 
 def rotatable(bonds: DataFrame, rings: DataFrame) -> DataFrame:

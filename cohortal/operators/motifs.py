@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortal.operators.graph import count_of, directed, flag
+from cohortal.operators.graph import count_of, directed, flag, ring_edges
 from cohortal.operators.loops import checkpointed
 
 MOST_ROUNDS = 50
@@ -40,10 +40,13 @@ def motif_terms(atoms: DataFrame, bonds: DataFrame, rewards: dict[str, float]) -
 
 
 def flexible_distances(bonds: DataFrame, rings: DataFrame, cutoff: int) -> DataFrame:
-    """(mol_id, a, b, d, flexible): shortest paths, with the fewest flexible (single, outside rings) bonds on one."""
-    inside = rings.select("mol_id", "atom_id").distinct()
-    marked = bonds.join(inside.select("mol_id", F.col("atom_id").alias("a"), F.lit(1).alias("ra")).hint("merge"), ["mol_id", "a"], "left").join(inside.select("mol_id", F.col("atom_id").alias("b"), F.lit(1).alias("rb")).hint("merge"), ["mol_id", "b"], "left")
-    flexible = ((F.col("bond_order") < 2) & ~(F.col("ra").isNotNull() & F.col("rb").isNotNull())).cast("int")
+    """(mol_id, a, b, d, flexible): shortest paths, with the fewest flexible bonds on one. Rigid are aromatic and conjugated bonds, sides of
+    a ring and bonds of order 1.5 or more."""
+    inside = ring_edges(rings).select("mol_id", F.col("a").alias("_x"), F.col("b").alias("_y")).distinct().withColumn("_side", F.lit(True))
+    near = bonds.withColumn("_x", F.least("a", "b")).withColumn("_y", F.greatest("a", "b"))
+    marked = near.join(inside.hint("merge"), ["mol_id", "_x", "_y"], "left")
+    rigid = flag(bonds, "bond_aromatic") | flag(bonds, "conjugated") | F.col("_side").isNotNull() | (F.col("bond_order") >= 1.5)
+    flexible = (~rigid).cast("int")
     one = marked.select("mol_id", "a", "b", flexible.alias("f"))
     step = one.unionByName(one.select("mol_id", F.col("b").alias("a"), F.col("a").alias("b"), "f"))
     step = checkpointed(step)
@@ -58,16 +61,19 @@ def flexible_distances(bonds: DataFrame, rings: DataFrame, cutoff: int) -> DataF
 def rigid_pairs(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFrame:
     """(mol_id, donor, acceptor, d): donors and acceptors four or five bonds apart over at most one flexible bond.
 
-    Greedy by distance, donor, acceptor; an atom serves once. In each round the pairs that are first for both of
+    Donors are N, O and S with hydrogen and without a positive charge; acceptors N, O and S without a positive charge that have a
+    lone pair (lone_pairs, where atoms has that column). Greedy in the order of the pair written as text; an atom serves once. In each round the pairs that are first for both of
     their atoms are taken and what they touch goes, which is what the one-by-one choice gives.
     """
-    donor = atoms.where(F.col("element").isin("N", "O") & (F.col("total_hcount") > 0)).select("mol_id", F.col("atom_id").alias("donor"))
-    acceptor = atoms.where(F.col("element").isin("N", "O", "S") & (F.col("formal_charge") <= 0)).select("mol_id", F.col("atom_id").alias("acceptor"))
+    hetero = F.col("element").isin("N", "O", "S") & (F.coalesce("formal_charge", F.lit(0)) <= 0)
+    free = F.coalesce(F.col("lone_pairs"), F.lit(0)) > 0 if "lone_pairs" in atoms.columns else F.lit(True)
+    donor = atoms.where(hetero & (F.col("total_hcount") > 0)).select("mol_id", F.col("atom_id").alias("donor"))
+    acceptor = atoms.where(hetero & free).select("mol_id", F.col("atom_id").alias("acceptor"))
     far = flexible_distances(bonds, rings, 5).where("d >= 4 and flexible <= 1").select("mol_id", F.col("a").alias("donor"), F.col("b").alias("acceptor"), "d")
     left = checkpointed(far.join(donor, ["mol_id", "donor"], "left_semi").join(acceptor, ["mol_id", "acceptor"], "left_semi").select("mol_id", "donor", "acceptor", "d"))
     picked = None
     for _ in range(MOST_ROUNDS):
-        order = F.struct("d", "donor", "acceptor")
+        order = F.struct(F.concat(F.lit("("), F.col("donor").cast("string"), F.lit(", "), F.col("acceptor").cast("string"), F.lit(")")).alias("text"), "donor", "acceptor")
         ends = left.select("mol_id", F.explode(F.array("donor", "acceptor")).alias("atom_id"), order.alias("o"))
         first = ends.groupBy("mol_id", "atom_id").agg(F.min("o").alias("first"))
         of = lambda side: first.select("mol_id", F.col("atom_id").alias(side), F.col("first").alias(f"first_{side}"))  # noqa: E731, B023

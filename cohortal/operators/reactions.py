@@ -91,17 +91,19 @@ def score_pairs(pairs: DataFrame, floor: float = 0.05, weights: dict[str, float]
     """pairs(..., homo_a, lumo_a, hd_a, ld_a, q_a, acc_a and the same of b) with the terms of the score, and the score.
 
     fmo_a_to_b and fmo_b_to_a: density products over the directional gaps, both of which count; hsab: local softness
-    products of both directions; charge: minus the product of the charges; accessibility: the sum of both ends'. direction
+    products of both directions; charge: minus the product of the partial charges, a missing one being the formal charge (charge_a,
+    charge_b); accessibility: the sum of both ends'. direction
     names the stronger of the two, or mixed; codes are those of either direction.
     """
     _, forward, code_ab = pair_gap(F.col("homo_a"), F.col("lumo_b"), F.col("hd_a") * F.col("ld_b"), floor)
     _, backward, code_ba = pair_gap(F.col("homo_b"), F.col("lumo_a"), F.col("hd_b") * F.col("ld_a"), floor)
     soft = [F.coalesce(hsab(F.col(f"homo_{c}"), F.col(f"lumo_{c}"), floor)["softness"], F.lit(0.0)) for c in "ab"]
+    charge = {c: F.coalesce(F.col(f"q_{c}"), F.col(f"charge_{c}").cast("double") if f"charge_{c}" in pairs.columns else F.lit(None).cast("double")) for c in "ab"}
     terms = {
         "fmo_a_to_b": forward,
         "fmo_b_to_a": backward,
         "hsab": soft[0] * soft[1] * (F.col("hd_a") * F.col("ld_b") + F.col("hd_b") * F.col("ld_a")),
-        "charge": -F.col("q_a") * F.col("q_b"),
+        "charge": -charge["a"] * charge["b"],
         "accessibility": F.col("acc_a") + F.col("acc_b"),
     }
     scored = pairs.select("*", *(c.alias(n) for n, c in terms.items()), F.array_compact(F.array(code_ab, code_ba)).alias("codes"))

@@ -739,7 +739,7 @@ def hashed_environments(spark, d):
     return graph.hashed_environments(_labels(spark, d))
 
 
-@query("symmetry_terms", f"WITH {_WL2}, c AS (SELECT mol_id, label, count(*) AS n FROM wl2 GROUP BY 1, 2), t AS (SELECT *, n / sum(n) OVER (PARTITION BY mol_id) AS p FROM c) SELECT mol_id, count(*) AS classes, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS equivalent_pairs, round(-sum(p * log2(p)), {R}) + 0.0 AS entropy FROM t GROUP BY 1")
+@query("symmetry_terms", f"WITH {_WL2}, c AS (SELECT mol_id, label, count(*) AS n FROM wl2 GROUP BY 1, 2), t AS (SELECT *, n / sum(n) OVER (PARTITION BY mol_id) AS p FROM c) SELECT mol_id, count(*) AS classes, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS equivalent_pairs, round(-sum(p * ln(p)), {R}) + 0.0 AS entropy FROM t GROUP BY 1")
 def symmetry_terms(spark, d):
     return rounded(graph.symmetry_terms(_labels(spark, d)), "entropy")
 
@@ -775,15 +775,20 @@ def pi_systems(spark, d):
 
 
 ALPHA, BETA = {"C": 0.0, "N": 0.5, "O": 1.0, "S": 0.4}, {1.0: -0.8, 2.0: -1.1}
-_MATRIX = _PI + ", matrix AS (SELECT mol_id, atom_id AS i, atom_id AS j, CAST(CASE element WHEN 'N' THEN 0.5 WHEN 'O' THEN 1.0 WHEN 'S' THEN 0.4 ELSE 0 END AS DOUBLE) AS value FROM pi WHERE electrons IS NOT NULL UNION ALL SELECT mol_id, a, b, CAST(CASE WHEN bond_order = 1 THEN -0.8 WHEN bond_order = 2 THEN -1.1 ELSE 0 END AS DOUBLE) FROM inside)"
+_MATRIX = _SYSTEMS + ", matrix AS (SELECT mol_id, system, atom_id AS i, atom_id AS j, CAST(CASE element WHEN 'N' THEN 0.5 WHEN 'O' THEN 1.0 WHEN 'S' THEN 0.4 ELSE 0 END AS DOUBLE) AS value FROM pi JOIN sys USING (mol_id, atom_id) WHERE electrons IS NOT NULL UNION ALL SELECT e.mol_id, system, a, b, CAST(CASE WHEN bond_order = 1 THEN -0.8 WHEN bond_order = 2 THEN -1.1 END AS DOUBLE) FROM inside e JOIN sys ON sys.mol_id = e.mol_id AND sys.atom_id = e.a)"
 
 
-@query("pi_matrix", f"WITH {_MATRIX} SELECT mol_id, i, j, value FROM matrix")
+@query("pi_matrix", f"WITH RECURSIVE {_MATRIX} SELECT mol_id, system, i, j, value FROM matrix")
 def pi_matrix(spark, d):
     return graph.pi_matrix(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, BETA)
 
 
-@query("spectral_moments", f"WITH {_MATRIX}, sq AS (SELECT x.mol_id, x.i, y.j, sum(x.value * y.value) AS s FROM matrix x JOIN matrix y ON y.mol_id = x.mol_id AND y.i = x.j GROUP BY 1, 2, 3), n AS (SELECT mol_id, count(DISTINCT i) AS n FROM matrix GROUP BY 1), m2 AS (SELECT mol_id, sum(s) AS v FROM sq WHERE i = j GROUP BY 1), m3 AS (SELECT s.mol_id, sum(s.s * m.value) AS v FROM sq s JOIN matrix m ON m.mol_id = s.mol_id AND m.i = s.j AND m.j = s.i GROUP BY 1), m4 AS (SELECT s.mol_id, sum(s.s * t.s) AS v FROM sq s JOIN sq t ON t.mol_id = s.mol_id AND t.i = s.j AND t.j = s.i GROUP BY 1) SELECT n.mol_id, round(coalesce(m2.v, 0) / n + 1e-9, 5) AS m2, round(coalesce(m3.v, 0) / n + 1e-9, 5) + 0.0 AS m3, round(coalesce(m4.v, 0) / n + 1e-9, 5) AS m4 FROM n LEFT JOIN m2 USING (mol_id) LEFT JOIN m3 USING (mol_id) LEFT JOIN m4 USING (mol_id)")
+@query("spectral_moments", f"""WITH RECURSIVE {_MATRIX}, sq AS (SELECT x.mol_id, x.system, x.i, y.j, sum(x.value * y.value) AS s FROM matrix x JOIN matrix y ON y.mol_id = x.mol_id AND y.i = x.j GROUP BY 1, 2, 3, 4),
+n AS (SELECT mol_id, system, count(DISTINCT i) AS n FROM matrix GROUP BY 1, 2), m2 AS (SELECT mol_id, system, sum(s) AS v FROM sq WHERE i = j GROUP BY 1, 2),
+m3 AS (SELECT s.mol_id, s.system, sum(s.s * m.value) AS v FROM sq s JOIN matrix m ON m.mol_id = s.mol_id AND m.i = s.j AND m.j = s.i GROUP BY 1, 2),
+m4 AS (SELECT s.mol_id, s.system, sum(s.s * t.s) AS v FROM sq s JOIN sq t ON t.mol_id = s.mol_id AND t.i = s.j AND t.j = s.i GROUP BY 1, 2)
+SELECT n.mol_id, round(sum(coalesce(m2.v, 0) / n) + 1e-9, 5) AS m2, round(sum(coalesce(m3.v, 0) / n) + 1e-9, 5) + 0.0 AS m3, round(sum(coalesce(m4.v, 0) / n) + 1e-9, 5) AS m4
+FROM n LEFT JOIN m2 USING (mol_id, system) LEFT JOIN m3 USING (mol_id, system) LEFT JOIN m4 USING (mol_id, system) GROUP BY 1""")
 def spectral_moments(spark, d):
     found = graph.spectral_moments(graph.pi_matrix(_pi(spark, d), B.atoms(spark, d), B.bonds(spark, d), ALPHA, BETA))
     return found.select("mol_id", *((F.round(F.col(m) + 1e-9, 5) + F.lit(0.0)).alias(m) for m in ("m2", "m3", "m4")))
@@ -794,7 +799,7 @@ def charge_topology(spark, d):
     return rounded(graph.charge_topology(B.atoms(spark, d), graph.graph_distances(B.bonds(spark, d), 4)), "difference", "product")
 
 
-@query("formal_charge_terms", f"WITH RECURSIVE {_DIST}, o AS (SELECT mol_id, CAST(sum(formal_charge * formal_charge) AS BIGINT) AS magnitude, round(sum(formal_charge * formal_charge * CASE element WHEN 'C' THEN 5.0 WHEN 'N' THEN 7.2 WHEN 'O' THEN 6.1 ELSE 0 END), 6)::DOUBLE AS hardness FROM atoms GROUP BY 1), p AS (SELECT t.mol_id, sum(x.formal_charge * y.formal_charge / d) AS c, sum(CASE WHEN x.formal_charge * y.formal_charge > 0 THEN 1 / d ELSE 0 END) AS l, sum(CASE WHEN x.formal_charge * y.formal_charge < 0 THEN 1 / d ELSE 0 END) AS u FROM dist t JOIN atoms x ON x.mol_id = t.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = t.mol_id AND y.atom_id = b WHERE x.formal_charge <> 0 AND y.formal_charge <> 0 GROUP BY 1) SELECT mol_id, magnitude, hardness, round(coalesce(c, 0), {R}) + 0.0 AS coulomb, round(coalesce(l, 0), {R}) AS \"like\", round(coalesce(u, 0), {R}) AS unlike FROM o LEFT JOIN p USING (mol_id)")
+@query("formal_charge_terms", f"WITH RECURSIVE {_DIST}, o AS (SELECT mol_id, CAST(sum(abs(formal_charge)) AS BIGINT) AS magnitude, round(sum(formal_charge * formal_charge * CASE element WHEN 'C' THEN 5.0 WHEN 'N' THEN 7.2 WHEN 'O' THEN 6.1 ELSE 0 END), 6)::DOUBLE AS hardness FROM atoms GROUP BY 1), p AS (SELECT t.mol_id, sum(x.formal_charge * y.formal_charge / d) AS c, sum(CASE WHEN x.formal_charge * y.formal_charge > 0 THEN abs(x.formal_charge * y.formal_charge) / d ELSE 0 END) AS l, sum(CASE WHEN x.formal_charge * y.formal_charge < 0 THEN abs(x.formal_charge * y.formal_charge) / d ELSE 0 END) AS u FROM dist t JOIN atoms x ON x.mol_id = t.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = t.mol_id AND y.atom_id = b WHERE x.formal_charge <> 0 AND y.formal_charge <> 0 GROUP BY 1) SELECT mol_id, magnitude, hardness, round(coalesce(c, 0), {R}) + 0.0 AS coulomb, round(coalesce(l, 0), {R}) AS \"like\", round(coalesce(u, 0), {R}) AS unlike FROM o LEFT JOIN p USING (mol_id)")
 def formal_charge_terms(spark, d):
     return rounded(graph.formal_charge_terms(B.atoms(spark, d), graph.graph_distances(B.bonds(spark, d), 4), {"C": 5.0, "N": 7.2, "O": 6.1}), "hardness", "coulomb", "like", "unlike")
 
@@ -814,7 +819,7 @@ def bond_energy(spark, d):
 
 _RING = "rings AS (SELECT e.mol_id, e.a AS ring, e.a + k AS atom_id FROM bonds e, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE e.b = e.a + 3 AND (SELECT count(*) FROM bonds c WHERE c.mol_id = e.mol_id AND c.b = c.a + 1 AND c.a BETWEEN e.a AND e.a + 2) = 3)"
 _RINGS = f"{B.ATOMS}, {B.BONDS}, {_RING}"
-_RING_TERMS = _RINGS + ", sides AS (SELECT r.mol_id, r.ring, least(r.atom_id, q.atom_id) AS a, greatest(r.atom_id, q.atom_id) AS b FROM rings r JOIN rings q ON q.mol_id = r.mol_id AND q.ring = r.ring AND (q.atom_id = r.atom_id + 1 OR (r.atom_id = r.ring AND q.atom_id = r.ring + 3))), both_sides AS (SELECT x.mol_id, x.ring, y.ring AS other, count(*) AS sides FROM sides x JOIN sides y ON y.mol_id = x.mol_id AND y.a = x.a AND y.b = x.b AND x.ring < y.ring GROUP BY 1, 2, 3), n AS (SELECT mol_id, count(DISTINCT ring) AS rings FROM rings GROUP BY 1), jn AS (SELECT mol_id, count(*) AS junctions FROM (SELECT mol_id, atom_id FROM rings GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1), sh AS (SELECT x.mol_id, x.ring, y.ring AS other, count(*) AS k FROM rings x JOIN rings y ON y.mol_id = x.mol_id AND y.atom_id = x.atom_id AND x.ring < y.ring GROUP BY 1, 2, 3), pr AS (SELECT mol_id, count(*) FILTER (k = 1) AS spiro, count(*) FILTER (k = 2 AND sides > 0) AS fused, count(*) FILTER (k >= 2 AND NOT (k = 2 AND coalesce(sides, 0) > 0)) AS bridged, CAST(coalesce(sum(sides), 0) AS BIGINT) AS shared_sides FROM sh LEFT JOIN both_sides USING (mol_id, ring, other) GROUP BY 1), terms AS (SELECT n.mol_id, rings, coalesce(junctions, 0) AS junctions, coalesce(spiro, 0) AS spiro, coalesce(fused, 0) AS fused, coalesce(bridged, 0) AS bridged, coalesce(shared_sides, 0) AS shared_sides FROM n LEFT JOIN jn USING (mol_id) LEFT JOIN pr USING (mol_id))"
+_RING_TERMS = _RINGS + ", sides AS (SELECT r.mol_id, r.ring, least(r.atom_id, q.atom_id) AS a, greatest(r.atom_id, q.atom_id) AS b FROM rings r JOIN rings q ON q.mol_id = r.mol_id AND q.ring = r.ring AND (q.atom_id = r.atom_id + 1 OR (r.atom_id = r.ring AND q.atom_id = r.ring + 3))), both_sides AS (SELECT x.mol_id, x.ring, y.ring AS other, count(*) AS sides FROM sides x JOIN sides y ON y.mol_id = x.mol_id AND y.a = x.a AND y.b = x.b AND x.ring < y.ring GROUP BY 1, 2, 3), n AS (SELECT mol_id, count(DISTINCT ring) AS rings FROM rings GROUP BY 1), jn AS (SELECT mol_id, count(*) AS junctions FROM (SELECT mol_id, atom_id FROM rings GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1), sh AS (SELECT x.mol_id, x.ring, y.ring AS other, count(*) AS k FROM rings x JOIN rings y ON y.mol_id = x.mol_id AND y.atom_id = x.atom_id AND x.ring < y.ring GROUP BY 1, 2, 3), pr AS (SELECT mol_id, count(*) FILTER (k = 1) AS spiro, count(*) FILTER (k = 2 AND sides > 0) AS fused, count(*) FILTER (k >= 2 AND NOT (k = 2 AND coalesce(sides, 0) > 0)) AS bridged FROM sh LEFT JOIN both_sides USING (mol_id, ring, other) GROUP BY 1), cs AS (SELECT mol_id, count(*) AS shared_sides FROM (SELECT mol_id, a, b FROM sides GROUP BY 1, 2, 3 HAVING count(*) > 1) GROUP BY 1), terms AS (SELECT n.mol_id, rings, coalesce(junctions, 0) AS junctions, coalesce(spiro, 0) AS spiro, coalesce(fused, 0) AS fused, coalesce(bridged, 0) AS bridged, coalesce(shared_sides, 0) AS shared_sides FROM n LEFT JOIN jn USING (mol_id) LEFT JOIN pr USING (mol_id) LEFT JOIN cs USING (mol_id))"
 
 
 @query("ring_terms", f"WITH {_RING_TERMS} SELECT * FROM terms")
@@ -822,9 +827,9 @@ def ring_terms(spark, d):
     return graph.ring_terms(graph.rings_of_closures(B.bonds(spark, d)))
 
 
-@query("ring_strain", f"WITH {_RING_TERMS} SELECT mol_id, round(rings * 1.1 + fused * 0.3, {R})::DOUBLE AS strain FROM terms")
+@query("ring_strain", f"WITH {_RING_TERMS}, x AS (SELECT mol_id, sum(k - 1) AS extra FROM (SELECT mol_id, atom_id, count(*) AS k FROM rings GROUP BY 1, 2) GROUP BY 1) SELECT mol_id, round(rings * 1.1 + extra * 0.3, {R})::DOUBLE AS strain FROM terms JOIN x USING (mol_id)")
 def ring_strain(spark, d):
-    return rounded(graph.ring_strain(graph.rings_of_closures(B.bonds(spark, d)), {3: 1.2, 4: 1.1}, 0.3), "strain")
+    return rounded(graph.ring_strain(graph.rings_of_closures(B.bonds(spark, d)), {3: 1.2, 4: 1.1}, 0.3, 0.2), "strain")
 
 
 @query("ring_parity", f"WITH {_PI}, {_RING}, t AS (SELECT r.mol_id, ring, count(*) AS size, bool_and(electrons IS NOT NULL) AS whole, sum(electrons) AS e FROM rings r JOIN pi USING (mol_id, atom_id) GROUP BY 1, 2), s AS (SELECT r.mol_id, r.ring, count(*) AS sides FROM (SELECT DISTINCT mol_id, ring FROM rings) r JOIN coupled c ON c.mol_id = r.mol_id AND c.a >= r.ring AND c.b <= r.ring + 3 AND (c.b = c.a + 1 OR (c.a = r.ring AND c.b = r.ring + 3)) GROUP BY 1, 2) SELECT t.mol_id, round(sum(CASE WHEN whole AND sides = size AND e > 0 AND e % 4 = 0 THEN size * 0.2 ELSE 0 END), {R})::DOUBLE AS penalty FROM t LEFT JOIN s USING (mol_id, ring) GROUP BY 1")
@@ -833,7 +838,7 @@ def ring_parity(spark, d):
     return rounded(graph.pi_ring_parity(graph.rings_of_closures(bonds), _pi(spark, d), bonds, 0.2), "penalty")
 
 
-@query("small_ring_terms", f"WITH {_RING_TERMS}, u AS (SELECT DISTINCT s.mol_id, s.ring FROM sides s JOIN bonds e ON e.mol_id = s.mol_id AND e.a = s.a AND e.b = s.b WHERE bond_aromatic OR bond_order >= 1.5), h AS (SELECT mol_id, count(*) AS heads FROM (SELECT mol_id, atom_id FROM rings GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1) SELECT r.mol_id, count(*) FILTER (u.ring IS NULL) AS saturated_small, count(*) FILTER (u.ring IS NOT NULL) AS unsaturated_small, 0::BIGINT AS medium, 4.0::DOUBLE AS size_deviation, coalesce(max(heads), 0) AS bridgeheads FROM (SELECT DISTINCT mol_id, ring FROM rings) r LEFT JOIN u USING (mol_id, ring) LEFT JOIN h ON h.mol_id = r.mol_id GROUP BY 1")
+@query("small_ring_terms", f"WITH {_RING_TERMS}, u AS (SELECT DISTINCT s.mol_id, s.ring FROM sides s JOIN bonds e ON e.mol_id = s.mol_id AND e.a = s.a AND e.b = s.b WHERE bond_aromatic OR bond_order >= 1.5), h AS (SELECT mol_id, count(*) AS heads FROM (SELECT mol_id, atom_id FROM rings GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1) SELECT r.mol_id, count(*) FILTER (u.ring IS NULL) AS saturated_small, count(*) FILTER (u.ring IS NOT NULL) AS unsaturated_small, 0::BIGINT AS medium, (4.0 * count(*))::DOUBLE AS size_deviation, 0.0::DOUBLE AS size_variance, coalesce(max(heads), 0) AS bridgeheads FROM (SELECT DISTINCT mol_id, ring FROM rings) r LEFT JOIN u USING (mol_id, ring) LEFT JOIN h ON h.mol_id = r.mol_id GROUP BY 1")
 def small_ring_terms(spark, d):
     bonds = B.bonds(spark, d)
     return graph.small_ring_terms(graph.rings_of_closures(bonds), bonds)
@@ -864,7 +869,7 @@ def ledger_score(spark, d):
 _COORDS = "coords AS (SELECT a.mol_id, a.atom_id, a.formal_charge AS q, a.atom_id * 1.5 AS x, a.total_hcount * 0.5 AS y, a.partial_charge AS z FROM atoms a)"
 
 
-@query("pair_distance_terms", f"WITH {B.ATOMS}, {B.BONDS}, {_COORDS}, p AS (SELECT m.mol_id, m.q * n.q AS qq, sqrt((m.x - n.x) ** 2 + (m.y - n.y) ** 2 + (m.z - n.z) ** 2) AS r FROM coords m JOIN coords n ON n.mol_id = m.mol_id AND m.atom_id < n.atom_id LEFT JOIN bonds e ON e.mol_id = m.mol_id AND e.a = m.atom_id AND e.b = n.atom_id WHERE e.a IS NULL) SELECT mol_id, round(sum(qq / greatest(r, 0.5)), {R}) + 0.0 AS coulomb, round(sum(exp(-r)), {R}) AS overlap FROM p GROUP BY 1")
+@query("pair_distance_terms", f"WITH {B.ATOMS}, {B.BONDS}, {_COORDS}, p AS (SELECT m.mol_id, m.q * n.q AS qq, greatest(0.5, sqrt((m.x - n.x) ** 2 + (m.y - n.y) ** 2 + (m.z - n.z) ** 2)) AS r FROM coords m JOIN coords n ON n.mol_id = m.mol_id AND m.atom_id < n.atom_id LEFT JOIN bonds e ON e.mol_id = m.mol_id AND e.a = m.atom_id AND e.b = n.atom_id WHERE e.a IS NULL) SELECT mol_id, round(sum(qq / r), {R}) + 0.0 AS coulomb, round(sum(exp(-r)), {R}) AS overlap FROM p GROUP BY 1")
 def pair_distance_terms(spark, d):
     coords = B.atoms(spark, d).select("mol_id", "atom_id", F.col("formal_charge").alias("q"), (F.col("atom_id") * 1.5).alias("x"), (F.col("total_hcount") * 0.5).alias("y"), F.col("partial_charge").alias("z"))
     return rounded(graph.pair_distance_terms(coords, B.bonds(spark, d)), "coulomb", "overlap")
