@@ -368,19 +368,6 @@ def best_alpha(tuned: DataFrame, preferred: float = 0.0) -> DataFrame:
     return tuned.agg(F.max_by(F.struct("alpha", "composite"), F.struct("composite", near, "alpha")).alias("b")).select("b.alpha", "b.composite")
 
 
-def nested_cv(items: DataFrame, features: DataFrame, alphas: list[float], outer: int = 3, inner: int = 2) -> DataFrame:
-    """(item, grp, label, prediction, fold): out-of-fold rows, each fold's penalty tuned on the others."""
-    spark, out = items.sparkSession, None
-    folds = fold_of(F.col("grp"), outer)
-    for fold in range(outer):
-        train, rest = items.where(folds != fold), items.where(folds == fold)
-        tuned = best_alpha(tune_ridge(train, features.where(folds != fold), alphas, inner, fold)).first()
-        w = weights_frame(spark, fit_group_ridge(train, features.where(folds != fold), tuned["alpha"]))
-        now = score_centred(rest, features.where(folds == fold), w).withColumn("fold", F.lit(fold))
-        out = now if out is None else out.unionByName(now)
-    return out
-
-
 def ensemble_predict(members: DataFrame, weights: DataFrame) -> DataFrame:
     """(item, prediction, distance) of members(member, item, prediction, distance): weighted sums, the largest distance."""
     w = weights.crossJoin(F.broadcast(weights.agg(F.sum("weight").alias("total")))).select("member", (F.col("weight") / F.col("total")).alias("w"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortal.functions import hashing as H
 from cohortal.functions import scalars as S
-from cohortal.operators import cohort, enrich, graph, linear, margins, metrics, motifs, prep, reactions, resampling, studies
+from cohortal.operators import cohort, enrich, graph, linear, margins, metrics, motifs, nested, prep, reactions, resampling, studies
 from cohortal.operators.loops import checkpointed
 from cohortal.plans import bindings as B
 
@@ -1136,7 +1136,33 @@ def fit_final(spark, d):
 @query("nested_cv")
 def nested_cv(spark, d):
     items, features = _fit_inputs(spark, d)
-    return rounded(linear.nested_cv(items, features.join(items.select("item").hint("merge"), "item", "left_semi"), [1.0, 10.0], 2, 2), "prediction").select("item", "grp", "prediction", "fold")
+    found = nested.nested_study(items, features, WEIGHTS, [], [1.0, 10.0], 2, 2).predictions
+    return rounded(found.where("model = 'fixed'"), "prediction").select("item", "grp", "prediction", "fold")
+
+
+def _study(spark, d):
+    items, features = _fit_inputs(spark, d)
+    return nested.nested_study(items, features, WEIGHTS, [0.01, 0.05], [1.0, 10.0], 3, 2)
+
+
+@query("nested_study")
+def nested_study(spark, d):
+    return rounded(_study(spark, d).predictions, "prediction").select("model", "item", "grp", "prediction", "fold")
+
+
+@query("nested_choices")
+def nested_choices(spark, d):
+    return rounded(_study(spark, d).choice_frame(), "composite")
+
+
+@query("nested_gates")
+def nested_gates(spark, d):
+    found = _study(spark, d).predictions
+    out = None
+    for kind, left, right, conditions in (("choice", "expanded", "fixed", nested.choice_gates()), ("advancement", "expanded", "baseline", nested.advancement_gates())):
+        now = metrics.gates(nested.model_deltas(found, left, right), conditions).withColumn("kind", F.lit(kind))
+        out = now if out is None else out.unionByName(now)
+    return out
 
 
 @query("evaluate_external")
