@@ -581,7 +581,22 @@ def _fit_inputs(spark, d):
     return prep.rankable_groups(B.mol_items(spark, d)), B.features(spark, d)
 
 
-@query("fit_group_ridge")
+#: Ridge on three terms in SQL: moments, columns scaled to unit deviation, and Cramer's rule. c: (item, x1, x2, x3, y), less the means.
+_THREE = """m AS (SELECT count(*) AS n, sum(x1 * x1) AS a11, sum(x2 * x2) AS a22, sum(x3 * x3) AS a33, sum(x1 * x2) AS a12, sum(x1 * x3) AS a13, sum(x2 * x3) AS a23, sum(x1 * y) AS r1, sum(x2 * y) AS r2, sum(x3 * y) AS r3, sum(y * y) AS yy FROM c),
+s AS (SELECT *, CASE WHEN a11 / n > 1e-18 THEN 1 / sqrt(a11 / n) ELSE 0 END AS s1, CASE WHEN a22 / n > 1e-18 THEN 1 / sqrt(a22 / n) ELSE 0 END AS s2, CASE WHEN a33 / n > 1e-18 THEN 1 / sqrt(a33 / n) ELSE 0 END AS s3 FROM m),
+z AS (SELECT *, a11 * s1 * s1 + 1.0 AS p, a22 * s2 * s2 + 1.0 AS q, a33 * s3 * s3 + 1.0 AS r, a12 * s1 * s2 AS u, a13 * s1 * s3 AS v, a23 * s2 * s3 AS w, r1 * s1 AS b1, r2 * s2 AS b2, r3 * s3 AS b3 FROM s),
+d AS (SELECT *, p * (q * r - w * w) - u * (u * r - w * v) + v * (u * w - q * v) AS det FROM z),
+k AS (SELECT *, (b1 * (q * r - w * w) - u * (b2 * r - w * b3) + v * (b2 * w - q * b3)) / det * s1 AS w1, (p * (b2 * r - w * b3) - b1 * (u * r - w * v) + v * (u * b3 - b2 * v)) / det * s2 AS w2, (p * (q * b3 - b2 * w) - u * (u * b3 - b2 * v) + b1 * (u * w - q * v)) / det * s3 AS w3 FROM d)"""
+_WIDE = "wide AS (SELECT i.item, i.grp, i.label AS y, coalesce(sum(CASE WHEN name = 'closures' THEN value END), 0) AS x1, coalesce(sum(CASE WHEN name = 'doubles' THEN value END), 0) AS x2, coalesce(sum(CASE WHEN name = 'edges' THEN value END), 0) AS x3 FROM {items} i LEFT JOIN features f USING (item) GROUP BY 1, 2, 3)"
+_LESS = "c AS (SELECT item, " + ", ".join(f"{x} - avg({x}) OVER ({{by}}) AS {x}" for x in ("x1", "x2", "x3", "y")) + " FROM wide)"
+_GROUP_FIT = f"""WITH {B.FEATURES}, good AS (SELECT grp FROM mol_items GROUP BY grp HAVING count(*) >= 3 AND count(DISTINCT label) >= 2), own AS (SELECT m.* FROM mol_items m JOIN good USING (grp)), {_WIDE.format(items='own')}, {_LESS.format(by='PARTITION BY grp')}, {_THREE}
+SELECT unnest(['closures', 'doubles', 'edges']) AS name, round(unnest([w1, w2, w3]), {R}) AS weight FROM k"""
+_PLAIN_FIT = f"""WITH {B.FEATURES}, {_WIDE.format(items='mol_items')}, {_LESS.format(by='')}, {_THREE}, e AS (SELECT avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2, avg(x3) AS x3 FROM wide)
+SELECT unnest(['closures', 'doubles', 'edges', 'intercept', 'residual_rmse']) AS name, round(unnest([w1, w2, w3, e.y - w1 * e.x1 - w2 * e.x2 - w3 * e.x3,
+  sqrt((yy - 2 * (w1 * r1 + w2 * r2 + w3 * r3) + w1 * w1 * a11 + w2 * w2 * a22 + w3 * w3 * a33 + 2 * (w1 * w2 * a12 + w1 * w3 * a13 + w2 * w3 * a23)) / n)]), {R}) AS weight FROM k, e"""
+
+
+@query("fit_group_ridge", _GROUP_FIT)
 def fit_group_ridge(spark, d):
     items, features = _fit_inputs(spark, d)
     w = linear.weights_frame(spark, linear.fit_group_ridge(items, features.join(items.select("item").hint("merge"), "item", "left_semi"), 1.0))
@@ -602,7 +617,7 @@ def fit_composition(spark, d):
     return rounded(linear.weights_frame(spark, linear.fit_composition(B.mol_items(spark, d), counts)), "weight")
 
 
-@query("fit_ridge")
+@query("fit_ridge", _PLAIN_FIT)
 def fit_ridge(spark, d):
     intercept, weights, rmse = linear.fit_ridge(B.mol_items(spark, d), B.features(spark, d), 1.0)
     return rounded(linear.weights_frame(spark, weights | {"intercept": intercept, "residual_rmse": rmse}), "weight")

@@ -11,7 +11,7 @@ from cohortal.plans import bindings
 from cohortal.plans import queries as own
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHEAP = ["score_and_rank", "full_prediction", "reaction_components", "harvest_events", "normalize_graphs", "rank_metrics_tie_aware", "spectral_moments", "bond_changes", "check_mapping", "tanimoto_pairs"]
+CHEAP = ["score_and_rank", "full_prediction", "reaction_components", "harvest_events", "normalize_graphs", "rank_metrics_tie_aware", "margin_quintiles", "fit_ridge", "spectral_moments", "ring_strain", "formal_charge_terms", "bond_changes", "check_mapping", "tanimoto_pairs"]
 
 
 @pytest.fixture(scope="module")
