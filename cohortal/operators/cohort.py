@@ -13,6 +13,8 @@ from cohortal.functions.hashing import hash_bucket, hash_fraction, keyed_hash, s
 from cohortal.operators.loops import checkpointed, settle
 from cohortal.operators.ordering import quantiles, running
 
+RUN = 65_536  # components of one size and split that are listed in one row
+
 
 def split_of(key: Column, namespace: str = "split", external: float = 0.2, validation: float = 0.1) -> Column:
     """external, validation or training by the hash fraction of a group's key."""
@@ -145,9 +147,11 @@ def assign_components(components: DataFrame, shares: dict[str, float]) -> DataFr
             if n:
                 series.append((r["size"], k, lies[k], n))
             lies[k] += r["size"] * n
-    runs = spark.createDataFrame(series, "size long, k int, start double, n long")
+    # a long series is made in runs, so that no task makes all of it
+    parts = [(size, k, start, first, min(n, first + RUN) - 1) for size, k, start, n in series for first in range(0, n, RUN)]
+    runs = spark.createDataFrame(parts, "size long, k int, start double, first long, last long").repartition(max(1, min(len(parts), 1024)))
     value = F.col("start") + F.col("j") * F.col("size")
-    choices = runs.select("size", "k", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j")).select((-F.col("size")).alias("o"), value.alias("v"), "k", F.lit(1).alias("_one"))
+    choices = runs.select("size", "k", "start", F.explode(F.sequence("first", "last")).alias("j")).select((-F.col("size")).alias("o"), value.alias("v"), "k", F.lit(1).alias("_one"))
     choices = running(choices, [], ["o", "v", "k"], {"place": "_one"}).select("place", "k")
     ordered = sizes.select("comp", "size", (-F.col("size")).alias("o"), stable_hash("component", F.col("comp")).alias("h"), F.lit(1).alias("_one"))
     ordered = running(ordered, [], ["o", "h", "comp"], {"place": "_one"})

@@ -21,7 +21,7 @@ from cohortal.operators.metrics import _bit, _digits
 from cohortal.operators.ordering import running, same
 
 SAMPLE = 20_000  # pairs drawn from an interval to choose where to count next
-LISTED = 100_000  # pairs of an interval that are listed
+LISTED = 1_000_000  # pairs of an interval that are listed
 SPREAD = 4.0  # standard errors around a sampled quantile
 ROUNDS = 100
 

@@ -322,7 +322,9 @@ def test_quantiles_and_ranks_of_groups_over_many_ranges(spark):
     assert all(ranks["big", v] == sum(x < v for x in big) + (big.count(v) + 1) / 2 for v in set(big[:50]))
 
 
-def test_assign_components_is_the_greedy_choice(spark):
+@pytest.mark.parametrize("run", [65_536, 2])
+def test_assign_components_is_the_greedy_choice(spark, monkeypatch, run):
+    monkeypatch.setattr(cohort, "RUN", run)
     sizes = [9, 7, 7, 7, 4, 4, 4, 4, 2, 2, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1]
     rows = [(c * 100 + k, c) for c, n in enumerate(sizes) for k in range(n)]
     shares = {"training": 0.7, "validation": 0.1, "external": 0.2}
