@@ -66,7 +66,7 @@ def totals(df: DataFrame, keys: list[str], identity: str, eligible: Column, leas
     """One row: rows, distinct identities, eligible rows, groups of `least` rows and the rows in them."""
     per = group_inventory(df, keys, identity, eligible, least)
     big = F.col("members") >= least
-    return per.agg(F.sum("members").alias("rows"), F.sum("eligible").alias("eligible"), F.count("*").alias("groups"), F.sum(F.when(big, 1).otherwise(0)).alias("large_groups"), F.sum(F.when(big, F.col("members")).otherwise(0)).alias("rows_in_large")).crossJoin(df.agg(F.countDistinct(identity).alias("identities")))
+    return per.agg(F.sum("members").alias("rows"), F.sum("eligible").alias("eligible"), F.count("*").alias("groups"), F.sum(F.when(big, 1).otherwise(0)).alias("large_groups"), F.sum(F.when(big, F.col("members")).otherwise(0)).alias("rows_in_large")).crossJoin(F.broadcast(df.agg(F.countDistinct(identity).alias("identities"))))
 
 
 def clean_labels(df: DataFrame, rules: list[tuple[Column, str]]) -> DataFrame:
