@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortal.functions.hashing import hash_bucket, hash_fraction, keyed_hash, stable_hash
 from cohortal.operators.loops import checkpointed, settle
+from cohortal.operators.nearest import nearest_similarity  # noqa: F401  stands beside the other similarities
 from cohortal.operators.ordering import quantiles, running
 
 RUN = 65_536  # components of one size and split that are listed in one row
@@ -51,41 +48,6 @@ def tanimoto_pairs(bits: DataFrame) -> DataFrame:
     return j.select("grp", "item_a", "item_b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
 
 
-def nearest_similarity(queries: DataFrame, references: DataFrame, block: int = 4096) -> DataFrame:
-    """(item, nearest): the highest Tanimoto similarity of each query's bits to any reference; 0 without a common bit.
-
-    Bit sets meet as blocks: a block of queries and one of references give one matrix product, of which each query's best stays.
-    No pair of items is a row. Bits are whole numbers above 0; an item without bits is no row here.
-    """
-    sets = lambda df, name: df.groupBy("item").agg(F.array_sort(F.collect_set("bit")).alias("bits")).select(F.col("item").cast("long").alias("item"), F.col("bits").cast("array<long>").alias("bits"))
-    many = lambda df: max(1, -(-df.count() // block))
-    q, r = checkpointed(sets(queries, "q")), checkpointed(sets(references, "r"))
-    nq, nr = many(q), many(r)
-    pack = lambda df, n, name: df.groupBy(F.pmod(F.xxhash64("item"), F.lit(n)).cast("int").alias(name)).agg(F.collect_list("item").alias(f"{name}_items"), F.collect_list("bits").alias(f"{name}_bits"))
-    left, right = checkpointed(pack(q, nq, "qb")), checkpointed(pack(r, nr, "rb"))
-    wanted = left.select("*", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
-    met = wanted.join(right.hint("shuffle_hash"), "rb").select("qb_items", "qb_bits", "rb_items", "rb_bits")
-    best = met.mapInArrow(_nearest_of_blocks, "item long, nearest double").groupBy("item").agg(F.max("nearest").alias("nearest"))
-    return q.select("item").join(best.hint("merge"), "item", "left").select("item", F.coalesce("nearest", F.lit(0.0)).alias("nearest"))
-
-
-def _nearest_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def matrix(bits: pa.ListArray, names: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(bits), len(names)), dtype=np.float32)
-        out[np.repeat(np.arange(len(bits)), np.diff(bits.offsets.to_numpy())), np.searchsorted(names, bits.flatten().to_numpy())] = 1
-        return out
-
-    for batch in batches:
-        for k in range(batch.num_rows):
-            items, bits, others, other_bits = (batch.column(c)[k].values for c in range(4))
-            names = np.unique(np.concatenate((bits.flatten().to_numpy(), other_bits.flatten().to_numpy())))
-            x, y = matrix(bits, names), matrix(other_bits, names)
-            both = x @ y.T  # whole numbers, exact
-            score = both / np.maximum(x.sum(axis=1)[:, None].astype(np.float64) + y.sum(axis=1)[None, :] - both, 1)
-            score[items.to_numpy()[:, None] == others.to_numpy()[None, :]] = 0  # an item is no neighbour of itself
-            yield pa.RecordBatch.from_arrays([items.cast(pa.int64()), pa.array(score.max(axis=1))], names=["item", "nearest"])
-
-
 def similarity_strata(nearest: DataFrame, groups: DataFrame, far: float = 0.5, near: float = 0.7) -> DataFrame:
     """(grp, median, stratum) of the nearest similarities of each group's items."""
     per = quantiles(nearest.join(groups.select("item", "grp").distinct().hint("merge"), "item"), "nearest", {"median": 0.5}, "grp")

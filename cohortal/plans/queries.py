@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortal.functions import hashing as H
 from cohortal.functions import scalars as S
-from cohortal.operators import cohort, enrich, graph, linear, margins, metrics, motifs, nested, prep, reactions, resampling, studies
+from cohortal.operators import cohort, enrich, graph, linear, margins, metrics, motifs, nearest, nested, prep, reactions, resampling, studies
 from cohortal.operators.loops import checkpointed
 from cohortal.plans import bindings as B
 
@@ -339,6 +339,11 @@ def nearest_similarity(spark, d):
     return rounded(_nearest(spark, d), "nearest")
 
 
+@query("nearest_by_group", _NEAREST + f" SELECT grp, round(min(nearest), {R}) AS minimum, round(quantile_cont(nearest, 0.5), {R}) AS median, round(max(nearest), {R}) AS maximum FROM nearest JOIN (SELECT DISTINCT item, grp FROM bits) USING (item) GROUP BY 1")
+def nearest_by_group(spark, d):
+    return rounded(nearest.group_nearest(_nearest(spark, d), B.bits(spark, d)), "minimum", "median", "maximum")
+
+
 @query("similarity_strata", _NEAREST + f", g AS (SELECT grp, quantile_cont(nearest, 0.5) AS median FROM nearest JOIN (SELECT DISTINCT item, grp FROM bits) USING (item) GROUP BY 1) SELECT grp, round(median, {R}) AS median, CASE WHEN median <= 0.5 THEN 'far' WHEN median <= 0.7 THEN 'mid' ELSE 'near' END AS stratum FROM g")
 def similarity_strata(spark, d):
     return rounded(cohort.similarity_strata(_nearest(spark, d), B.bits(spark, d)), "median")
