@@ -13,7 +13,8 @@ from cohortal.operators.loops import checkpointed, with_small
 from cohortal.operators.ordering import quantiles, running
 
 BLOCK = 1024  # items of a block
-PAGE = 512  # blocks whose bounds are looked at together
+PIVOTS = 256  # references, at most, around which blocks are made
+PAGE = 512  # blocks, about, whose bounds are looked at together
 WIDE = 4096  # bits that one matrix product takes
 
 
@@ -25,58 +26,67 @@ def nearest_similarity(queries: DataFrame, references: DataFrame, block: int = B
     return search(queries, references, block)[0]
 
 
-def search(queries: DataFrame, references: DataFrame, block: int = BLOCK) -> tuple[DataFrame, int, int]:
-    """nearest_similarity, the number of block pairs that met, and that of all block pairs.
+def search(queries: DataFrame, references: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame | None, int]:
+    """nearest_similarity, (qb, rb, queries) of the blocks that met and for how many queries, and the number of reference blocks.
 
-    Items are dealt to blocks in the order of the number of their bits, and then of their rarest bit. A block is known by its
-    least and greatest number of bits, the bits that some item has and the bits that all have. These bound what a query can
-    reach there. Each query first meets the block of the highest bound; later it meets the blocks whose bound is above
-    what it has found. Blocks meet as matrix products; no pair of items is a row.
+    Items lie in blocks with those of the same nearest pivot (at most PIVOTS references, one for each block's worth of rows), in the
+    order of the number of their bits. A block is known by its least and greatest number of bits, the bits that some item
+    has and the bits that all have. These bound what a query can reach there, so pivots choose only what is skipped. Each
+    query first meets the block of the highest bound; later it meets the blocks whose bound is above what it has found.
+    Blocks meet as matrix products; no pair of items is a row.
     """
-    often = checkpointed(references.select("item", "bit").distinct().groupBy("bit").agg(F.count("*").alias("often")))
-    q, r = _dealt(_sets(queries, often), "qb", block), _dealt(_sets(references, often), "rb", block)
-    nq, nr = (d.agg(F.max(c)).first()[0] for d, c in ((q, "qb"), (r, "rb")))
-    if nq is None or nr is None:
-        return q.select("item", F.lit(0.0).alias("nearest")), 0, 0
-    nq, nr = nq + 1, nr + 1
-    pages, blocks = _pages(r), checkpointed(_packed(r, "rb", ["item", "bits"]))
+    q, r = checkpointed(_sets(queries)), checkpointed(_sets(references))
+    many = r.count()
+    if not many:
+        return q.select("item", F.lit(0.0).alias("nearest")), None, 0
+    pivots = [p["bits"] for p in r.select("item", "bits").orderBy(F.xxhash64("item"), "item").limit(min(PIVOTS, -(-many // block))).collect()]
+    q, r = _dealt(q, pivots, "qb", block), _dealt(r, pivots, "rb", block)
+    nr = r.select("rb").distinct().count()
     n_pages = -(-nr // PAGE)
+    own, blocks, pages = checkpointed(_packed(q, "qb", ["item", "bits"])), checkpointed(_packed(r, "rb", ["item", "bits"])), _pages(r, n_pages)
 
     def looked_at(packs: DataFrame) -> DataFrame:
         wide = packs.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_pages - 1))).alias("page"))
         return _in_lanes(wide, pages, "page", n_pages)
 
     def met(wanted: DataFrame) -> DataFrame:
-        own = wanted.join(_packed(q, "qb", ["item", "bits"]).withColumnsRenamed({"item": "items", "bits": "item_bits"}).hint("merge"), "qb")
-        pairs = _in_lanes(own, blocks, "rb", nr).select("chosen", "items", "item_bits", "item", "bits")
+        mine = wanted.join(own.withColumnsRenamed({"item": "items", "bits": "item_bits"}).hint("merge"), "qb")
+        pairs = _in_lanes(mine, blocks, "rb", nr).select("chosen", "items", "item_bits", "item", "bits")
         return pairs.mapInArrow(_meet, "item long, nearest double").groupBy("item").agg(F.max("nearest").alias("nearest"))
 
-    bounds = looked_at(_packed(q, "qb", ["item", "bits"])).mapInArrow(_highest, "item long, qb int, rb int, bound double")
-    first = checkpointed(bounds.groupBy("item", "qb").agg(F.max_by("rb", F.struct("bound", -F.col("rb"))).alias("rb")))
-    wanted = checkpointed(first.groupBy("qb", "rb").agg(F.collect_list("item").alias("chosen")))  # at most a block
-    found = checkpointed(q.select("item", "qb", "bits").join(first.select("item", F.col("rb").alias("first")).hint("merge"), "item").join(met(wanted).hint("merge"), "item"))
-    open_pairs = looked_at(_packed(found, "qb", ["item", "bits", "first", "nearest"])).mapInArrow(_open, "qb int, rb int, chosen array<long>")
-    rest = checkpointed(open_pairs)
+    bounds = looked_at(own).mapInArrow(_highest, "item long, qb long, rb long, bound double")
+    first = checkpointed(bounds.groupBy("item", "qb").agg(F.max_by("rb", F.struct("bound", -F.col("rb"))).alias("first")))
+    wanted = first.groupBy("qb", F.col("first").alias("rb")).agg(F.collect_list("item").alias("chosen"))  # at most a block
+    found = checkpointed(q.select("item", "qb", "bits").join(first.select("item", "first").hint("merge"), "item").join(met(wanted).hint("merge"), "item"))
+    rest = checkpointed(looked_at(_packed(found, "qb", ["item", "bits", "first", "nearest"])).mapInArrow(_open, "qb long, rb long, chosen array<long>"))
     later = met(rest).withColumnRenamed("nearest", "later")
     best = found.join(later.hint("merge"), "item", "left").select("item", F.greatest("nearest", F.coalesce("later", F.lit(0.0))).alias("nearest"))
-    pairs = wanted.select("qb", "rb").union(rest.select("qb", "rb")).distinct().count()
-    return best, pairs, nq * nr
+    pairs = wanted.unionByName(rest).groupBy("qb", "rb").agg(F.sum(F.size("chosen")).alias("queries"))
+    return best, pairs, nr
 
 
-def _sets(bits: DataFrame, often: DataFrame) -> DataFrame:
-    """(item, bits, n, rare): each item's bits, their number and the one that the fewest references have."""
-    one = bits.select(F.col("item").cast("long").alias("item"), F.col("bit").cast("long").alias("bit")).where("bit IS NOT NULL").distinct()
-    known = with_small(one, often.select(F.col("bit").cast("long").alias("bit"), "often"), "bit", "left")
-    rare = F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), F.col("bit"))).getField("bit")
-    return checkpointed(known.groupBy("item").agg(F.sort_array(F.collect_list("bit")).alias("bits"), F.count("*").alias("n"), rare.alias("rare")))
+def _sets(bits: DataFrame) -> DataFrame:
+    """(item, bits, n): each item's bits in order, and their number."""
+    one = bits.where("bit IS NOT NULL").select(F.col("item").cast("long").alias("item"), F.col("bit").cast("long").alias("bit")).distinct()
+    return one.groupBy("item").agg(F.sort_array(F.collect_list("bit")).alias("bits"), F.count("*").alias("n"))
 
 
-def _dealt(sets: DataFrame, name: str, block: int) -> DataFrame:
-    """sets with the number of their block, of about `block` items; a cell of equal (n, rare) is spread by hash over its places."""
-    cells = checkpointed(sets.groupBy("n", "rare").agg(F.count("*").alias("many")))
-    placed = with_small(sets, running(cells, [], ["n", "rare"], {"before": "many"}), ["n", "rare"])
+def _dealt(sets: DataFrame, pivots: list[list[int]], name: str, block: int) -> DataFrame:
+    """(item, bits, n, name): sets with their block, of about `block` items; items of one pivot and size are spread by hash."""
+    heads = pa.array(pivots, pa.list_(pa.int64()))
+
+    def nearest_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                both = _common(batch.column("bits"), heads)
+                share = both / (_sizes(batch.column("bits"))[:, None] + _sizes(heads)[None, :] - both)
+                yield batch.append_column("pivot", pa.array(share.argmax(axis=1).astype(np.int64)))
+
+    near = checkpointed(sets.mapInArrow(nearest_pivot, "item long, bits array<long>, n long, pivot long"))
+    cells = near.groupBy("pivot", "n").agg(F.count("*").alias("many"))
+    placed = with_small(near, checkpointed(running(cells, ["pivot"], ["n"], {"before": "many"})), ["pivot", "n"])
     place = F.col("before") + F.pmod(F.xxhash64("item"), F.col("many"))
-    return checkpointed(placed.select("item", "bits", "n", F.floor(place / block).cast("int").alias(name)))
+    return checkpointed(placed.select("item", "bits", "n", (F.floor(place / block) * PIVOTS + F.col("pivot")).alias(name)))
 
 
 def _packed(dealt: DataFrame, name: str, columns: list[str]) -> DataFrame:
@@ -85,13 +95,13 @@ def _packed(dealt: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return packs.select(name, *(F.col(f"pack.{c}").alias(c) for c in columns))
 
 
-def _pages(dealt: DataFrame) -> DataFrame:
-    """(page, rbs, lo, hi, some, every): bounds of the blocks of a page, as arrays."""
+def _pages(dealt: DataFrame, n: int) -> DataFrame:
+    """(page, rbs, lo, hi, some, every): bounds of the blocks of each of n pages, as arrays."""
     size = dealt.groupBy("rb").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("items"))
     per = dealt.select("rb", F.explode("bits").alias("bit")).groupBy("rb", "bit").agg(F.count("*").alias("have"))
-    joined = per.join(size.hint("merge"), "rb")
-    known = joined.groupBy("rb", "lo", "hi").agg(F.collect_list("bit").alias("some"), F.collect_list(F.when(F.col("have") == F.col("items"), F.col("bit"))).alias("every"))
-    return checkpointed(_packed(known.withColumn("page", F.floor(F.col("rb") / PAGE).cast("int")), "page", ["rb", "lo", "hi", "some", "every"]).withColumnRenamed("rb", "rbs"))
+    known = per.join(size.hint("merge"), "rb").groupBy("rb", "lo", "hi").agg(F.collect_list("bit").alias("some"), F.collect_list(F.when(F.col("have") == F.col("items"), F.col("bit"))).alias("every"))
+    page = F.pmod(F.xxhash64("rb"), F.lit(n)).cast("int")
+    return checkpointed(_packed(known.withColumn("page", page), "page", ["rb", "lo", "hi", "some", "every"]).withColumnRenamed("rb", "rbs"))
 
 
 def _in_lanes(left: DataFrame, right: DataFrame, key: str, n: int) -> DataFrame:
@@ -155,8 +165,8 @@ def _highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for row in _rows(batches):
         bound = _of_page(row)
         at = bound.argmax(axis=1)
-        rb = row["rbs"].to_numpy()[at].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([row["item"], pa.array(np.full(len(rb), row["qb"], np.int32)), pa.array(rb), pa.array(bound[np.arange(len(at)), at])], names=["item", "qb", "rb", "bound"])
+        rb = row["rbs"].to_numpy()[at]
+        yield pa.RecordBatch.from_arrays([row["item"], pa.array(np.full(len(rb), row["qb"])), pa.array(rb), pa.array(bound[np.arange(len(at)), at])], names=["item", "qb", "rb", "bound"])
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +176,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = (_of_page(row) > row["nearest"].to_numpy()[:, None]) & (row["first"].to_numpy()[:, None] != rbs[None, :])
         at = np.flatnonzero(left.any(axis=0))
         chosen = pa.array([items[left[:, k]] for k in at], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["qb"], np.int32)), pa.array(rbs[at].astype(np.int32)), chosen], names=["qb", "rb", "chosen"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["qb"])), pa.array(rbs[at]), chosen], names=["qb", "rb", "chosen"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

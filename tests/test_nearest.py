@@ -30,10 +30,13 @@ def fingerprints(seed, items, families, bits=400):
 def test_search_leaves_out_blocks_and_loses_nothing(spark):
     sets = fingerprints(3, 600, 12)
     df = frame(spark, sets)
-    got, met, pairs = nearest.search(df.where("item % 5 = 0"), df.where("item % 5 <> 0"), 24)
+    got, met, blocks = nearest.search(df.where("item % 5 = 0"), df.where("item % 5 <> 0"), 24)
     want = brute(sets, [k for k in sets if k % 5 == 0], [k for k in sets if k % 5])
     assert {r["item"]: r["nearest"] for r in got.collect()} == want
-    assert pairs >= 60 and met < 0.6 * pairs
+    met = met.collect()
+    query_blocks = len({r["qb"] for r in met})
+    assert blocks >= 15 and query_blocks >= 5 and len(met) < 0.6 * blocks * query_blocks
+    assert len(set((r["qb"], r["rb"]) for r in met)) == len(met) and sum(r["queries"] for r in met) < 0.5 * 120 * blocks
 
 
 def test_search_of_a_table_with_itself_and_repeats(spark):
