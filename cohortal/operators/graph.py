@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortal.functions.hashing import signed_bin
 from cohortal.functions.scalars import SUPPORTED, bond_class
+from cohortal.operators.distances import graph_distances, path_indices, path_profile, skeleton_indices  # noqa: F401  stand beside the other graph operators
 from cohortal.operators.loops import checkpointed, joined_in_place, settle
 
 #: The attribute names that other tools use, and ours.
@@ -117,25 +118,6 @@ def zagreb(bonds: DataFrame) -> DataFrame:
     return first.join(ends.groupBy("mol_id").agg(F.sum(product).alias("m2"), F.sum(1 / F.sqrt(product.cast("double"))).alias("randic")), "mol_id")
 
 
-def graph_distances(bonds: DataFrame, cutoff: int) -> DataFrame:
-    """(mol_id, a, b, d), a < b: shortest paths of at most `cutoff` bonds; one frontier join for each length."""
-    step = directed(bonds).select("mol_id", F.col("a").alias("mid"), "b").distinct()
-    with joined_in_place(bonds.sparkSession, ["mol_id"], step) as (step,):
-        step = checkpointed(step)
-        near = step.select("mol_id", F.col("mid").alias("a"), "b").withColumn("d", F.lit(1))
-        seen = frontier = near
-        for d in range(2, cutoff + 1):
-            further = frontier.select("mol_id", "a", F.col("b").alias("mid")).join(step.hint("merge"), ["mol_id", "mid"]).select("mol_id", "a", "b").where("a <> b").distinct()
-            frontier = checkpointed(further.join(seen.hint("merge"), ["mol_id", "a", "b"], "left_anti").withColumn("d", F.lit(d)))
-            seen = seen.unionByName(frontier)
-    return seen.where("a < b")
-
-
-def path_indices(distances: DataFrame) -> DataFrame:
-    """Per molecule, over pairs that a path joins: sum of d, sum of 1/d, mean of d."""
-    return distances.groupBy("mol_id").agg(F.sum("d").alias("wiener"), F.sum(1 / F.col("d")).alias("harary"), F.avg("d").alias("mean_distance"))
-
-
 def atom_label(aromatic: str = "aromatic") -> Column:
     return F.concat("element", F.when(F.col(aromatic), "*").otherwise(""), F.lit("h"), F.col("total_hcount").cast("string"), F.lit("q"), F.col("formal_charge").cast("string"))
 
@@ -302,6 +284,26 @@ def charge_topology(atoms: DataFrame, distances: DataFrame, most: int = 4) -> Da
     return j.groupBy("mol_id", "d").agg(F.sum(F.abs(F.col("q_a") - F.col("q_b"))).alias("difference"), F.sum(F.col("q_a") * F.col("q_b")).alias("product"))
 
 
+def charge_decay(atoms: DataFrame, bonds: DataFrame, distances: DataFrame) -> DataFrame:
+    """Per molecule: over all pairs that a path joins, sums of the difference and of the product of partial charges, each times 2^-d;
+    the differences between a donor and an acceptor 2, 3 and 4 bonds apart; bonds whose ends have charges of unlike sign.
+
+    atoms need boolean columns donor and acceptor. A pair with a null charge counts nowhere; a molecule without pairs has zeros.
+    """
+    at = lambda c: atoms.select("mol_id", F.col("atom_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("partial_charge", "donor", "acceptor"))).hint("merge")
+    ends = lambda df: df.join(at("a"), ["mol_id", "a"]).join(at("b"), ["mol_id", "b"])
+    qa, qb = F.col("partial_charge_a"), F.col("partial_charge_b")
+    difference, product, weight = F.abs(qa - qb), qa * qb, F.pow(F.lit(2.0), -F.col("d"))
+    bridge = (F.col("donor_a") & F.col("acceptor_b")) | (F.col("donor_b") & F.col("acceptor_a"))
+    apart = [F.sum(F.when(bridge & (F.col("d") == k), difference)).alias(f"bridge_{k}") for k in (2, 3, 4)]
+    pairs = ends(distances).groupBy("mol_id").agg(F.sum(weight * difference).alias("decay_difference"), F.sum(weight * product).alias("decay_product"), *apart)
+    unlike = (product < 0) & (F.abs(qa) > 1e-12) & (F.abs(qb) > 1e-12)
+    signs = ends(bonds.select("mol_id", "a", "b")).groupBy("mol_id").agg(F.sum(F.when(unlike, 1).otherwise(0)).alias("sign_changes"))
+    joined = atoms.select("mol_id").distinct().join(pairs.hint("merge"), "mol_id", "left").join(signs.hint("merge"), "mol_id", "left")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("decay_difference", "decay_product", "bridge_2", "bridge_3", "bridge_4")]
+    return joined.select("mol_id", *zero, F.coalesce("sign_changes", F.lit(0)).alias("sign_changes"))
+
+
 def formal_charge_terms(atoms: DataFrame, distances: DataFrame, hardness: dict[str, float] | None = None) -> DataFrame:
     """Per molecule: sum of |q|, of the element's hardness times q^2, of q*q/d over charged pairs, of |q*q|/d over pairs of like and
     of unlike sign."""

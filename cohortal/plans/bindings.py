@@ -83,6 +83,19 @@ def _bonds(spark: SparkSession, d: str, several: bool = False) -> DataFrame:
     return joined.select("mol_id", "a", "b", order.alias("bond_order"), (F.col("aromatic") & F.col("other")).alias("bond_aromatic"), (place % 4 == 1).alias("conjugated"))
 
 
+def long_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """(mol_id, atom_id, element): customers as molecules, whose orders are the atoms."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    return read(spark, d, "orders").select(F.col("o_custkey").alias("mol_id"), place.alias("atom_id"), F.when(F.col("o_orderkey") % 4 == 0, "N").otherwise("C").alias("element"))
+
+
+def long_bonds(spark: SparkSession, d: str) -> DataFrame:
+    """(mol_id, a, b): chains of all atoms of a customer with a closure at every eighth."""
+    p = long_atoms(spark, d).select("mol_id", F.col("atom_id").alias("a"))
+    ends = p.select("mol_id", "a", F.explode(F.expr("IF(a % 8 = 1, array(a + 1, a + 4), array(a + 1))")).alias("b"))
+    return ends.join(p.select("mol_id", F.col("a").alias("b")).hint("merge"), ["mol_id", "b"], "left_semi").select("mol_id", "a", "b")
+
+
 def _molecules(spark: SparkSession, d: str) -> DataFrame:
     """(mol_id, formula, n_atoms, label)"""
     count = lambda e: F.sum(F.when(F.col("element") == e, 1).otherwise(0)).cast("string")
@@ -142,6 +155,9 @@ _BONDS = """(
   FROM atoms p JOIN atoms q ON p.mol_id = q.mol_id AND (q.atom_id = p.atom_id + 1 OR (q.atom_id = p.atom_id + 3 AND p.atom_id % 2 = 1)) {where})"""
 BONDS = "bonds AS " + _BONDS.format(where="")
 PARTS = "bonds AS " + _BONDS.format(where="WHERE p.total_hcount <> 3")
+LONG = """atoms AS (
+  SELECT o_custkey AS mol_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS atom_id, CASE WHEN o_orderkey % 4 = 0 THEN 'N' ELSE 'C' END AS element FROM orders),
+bonds AS (SELECT p.mol_id, p.atom_id AS a, q.atom_id AS b FROM atoms p JOIN atoms q ON p.mol_id = q.mol_id AND (q.atom_id = p.atom_id + 1 OR (q.atom_id = p.atom_id + 4 AND p.atom_id % 8 = 1)))"""
 MOLECULES = """molecules AS (
   SELECT t.mol_id, t.formula, t.n_atoms, o.o_totalprice / 1000 AS label FROM (
     SELECT mol_id, concat('C', CAST(sum(CASE WHEN element='C' THEN 1 ELSE 0 END) AS VARCHAR), 'N', CAST(sum(CASE WHEN element='N' THEN 1 ELSE 0 END) AS VARCHAR),

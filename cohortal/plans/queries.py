@@ -705,7 +705,26 @@ def shortest_paths(spark, d):
 
 @query("path_indices", f"WITH RECURSIVE {_DIST} SELECT mol_id, CAST(sum(d) AS BIGINT) AS wiener, round(sum(1 / d), {R}) AS harary, round(avg(d), {R}) AS mean_distance FROM dist GROUP BY 1")
 def path_indices(spark, d):
-    return rounded(graph.path_indices(graph.graph_distances(B.bonds(spark, d), 4)), "harary", "mean_distance")
+    return rounded(graph.path_indices(graph.path_profile(B.bonds(spark, d), 4)), "harary", "mean_distance")
+
+
+# no path of these molecules is longer than 40 bonds: the largest customer of any table has 41 orders at most
+_WALK = "directed AS (SELECT mol_id, a, b FROM {bonds} UNION ALL SELECT mol_id, b, a FROM {bonds}), walk(mol_id, a, b, d) AS (SELECT mol_id, a, b, 1 FROM directed UNION SELECT w.mol_id, w.a, e.b, d + 1 FROM walk w JOIN directed e ON e.mol_id = w.mol_id AND e.a = w.b WHERE d < 40), dist AS (SELECT mol_id, a, b, min(d) AS d FROM walk WHERE a < b GROUP BY 1, 2, 3)"
+
+
+@query("long_paths", f"WITH RECURSIVE {B.LONG}, {_WALK.format(bonds='bonds')} SELECT mol_id, a, b, CAST(d AS INT) AS d FROM dist")
+def long_paths(spark, d):
+    return graph.graph_distances(B.long_bonds(spark, d))
+
+
+@query("long_path_indices", f"WITH RECURSIVE {B.LONG}, {_WALK.format(bonds='bonds')} SELECT mol_id, CAST(sum(d) AS BIGINT) AS wiener, round(sum(1 / d), {R}) AS harary, round(avg(d), {R}) AS mean_distance FROM dist GROUP BY 1")
+def long_path_indices(spark, d):
+    return rounded(graph.path_indices(graph.path_profile(B.long_bonds(spark, d))), "harary", "mean_distance")
+
+
+@query("skeleton_indices", f"WITH RECURSIVE {B.LONG}, inner_bonds AS (SELECT e.mol_id, e.a, e.b FROM bonds e JOIN atoms x ON x.mol_id = e.mol_id AND x.atom_id = e.a AND x.element = 'C' JOIN atoms y ON y.mol_id = e.mol_id AND y.atom_id = e.b AND y.element = 'C'), {_WALK.format(bonds='inner_bonds')}, per AS (SELECT mol_id, count(*) AS pairs, avg(d) AS mean_distance FROM dist GROUP BY 1) SELECT mol_id, coalesce(pairs, 0) AS pairs, round(coalesce(mean_distance, 0), {R}) AS mean_distance FROM (SELECT DISTINCT mol_id FROM atoms) LEFT JOIN per USING (mol_id)")
+def skeleton_indices(spark, d):
+    return rounded(graph.skeleton_indices(B.long_atoms(spark, d), B.long_bonds(spark, d)), "mean_distance")
 
 
 _NAMED = "named AS (SELECT mol_id, atom_id, element, element || CASE WHEN aromatic THEN '*' ELSE '' END || 'h' || total_hcount || 'q' || formal_charge AS label FROM atoms)"
@@ -819,6 +838,21 @@ def charge_topology(spark, d):
     return rounded(graph.charge_topology(B.atoms(spark, d), graph.graph_distances(B.bonds(spark, d), 4)), "difference", "product")
 
 
+_EVERY_DIST = _DIST.replace("d < 4", "d < 16")  # orders have fewer lines than that
+
+
+@query("charge_decay", f"""WITH RECURSIVE {_EVERY_DIST}, e AS (SELECT *, element IN ('N', 'O') AND total_hcount > 0 AS donor, element IN ('N', 'O') AND lone_pairs > 0 AS acceptor FROM atoms), p AS (SELECT t.mol_id, t.d, abs(x.partial_charge - y.partial_charge) AS diff, x.partial_charge * y.partial_charge AS prod, (x.donor AND y.acceptor) OR (y.donor AND x.acceptor) AS bridge FROM dist t JOIN e x ON x.mol_id = t.mol_id AND x.atom_id = t.a JOIN e y ON y.mol_id = t.mol_id AND y.atom_id = t.b),
+s AS (SELECT mol_id, sum(diff / 2 ** d) AS dd, sum(prod / 2 ** d) AS dp, sum(CASE WHEN bridge AND d = 2 THEN diff ELSE 0 END) AS b2, sum(CASE WHEN bridge AND d = 3 THEN diff ELSE 0 END) AS b3, sum(CASE WHEN bridge AND d = 4 THEN diff ELSE 0 END) AS b4 FROM p GROUP BY 1),
+c AS (SELECT t.mol_id, sum(CASE WHEN x.partial_charge * y.partial_charge < 0 AND abs(x.partial_charge) > 1e-12 AND abs(y.partial_charge) > 1e-12 THEN 1 ELSE 0 END) AS n FROM bonds t JOIN e x ON x.mol_id = t.mol_id AND x.atom_id = t.a JOIN e y ON y.mol_id = t.mol_id AND y.atom_id = t.b GROUP BY 1)
+SELECT mol_id, round(coalesce(dd, 0), 12) + 0.0 AS decay_difference, round(coalesce(dp, 0), 12) + 0.0 AS decay_product, round(coalesce(b2, 0), 12) + 0.0 AS bridge_2, round(coalesce(b3, 0), 12) + 0.0 AS bridge_3, round(coalesce(b4, 0), 12) + 0.0 AS bridge_4, CAST(coalesce(n, 0) AS BIGINT) AS sign_changes FROM (SELECT DISTINCT mol_id FROM atoms) LEFT JOIN s USING (mol_id) LEFT JOIN c USING (mol_id)""")
+def charge_decay(spark, d):
+    polar = F.col("element").isin("N", "O")
+    atoms = B.atoms(spark, d).withColumn("donor", polar & (F.col("total_hcount") > 0)).withColumn("acceptor", polar & (F.col("lone_pairs") > 0))
+    bonds = B.bonds(spark, d)
+    terms = graph.charge_decay(atoms, bonds, graph.graph_distances(bonds))
+    return terms.select("mol_id", *((F.round(c, 12) + F.lit(0.0)).alias(c) for c in terms.columns[1:-1]), "sign_changes")
+
+
 @query("formal_charge_terms", f"WITH RECURSIVE {_DIST}, o AS (SELECT mol_id, CAST(sum(abs(formal_charge)) AS BIGINT) AS magnitude, round(sum(formal_charge * formal_charge * CASE element WHEN 'C' THEN 5.0 WHEN 'N' THEN 7.2 WHEN 'O' THEN 6.1 ELSE 0 END), 6)::DOUBLE AS hardness FROM atoms GROUP BY 1), p AS (SELECT t.mol_id, sum(x.formal_charge * y.formal_charge / d) AS c, sum(CASE WHEN x.formal_charge * y.formal_charge > 0 THEN abs(x.formal_charge * y.formal_charge) / d ELSE 0 END) AS l, sum(CASE WHEN x.formal_charge * y.formal_charge < 0 THEN abs(x.formal_charge * y.formal_charge) / d ELSE 0 END) AS u FROM dist t JOIN atoms x ON x.mol_id = t.mol_id AND x.atom_id = a JOIN atoms y ON y.mol_id = t.mol_id AND y.atom_id = b WHERE x.formal_charge <> 0 AND y.formal_charge <> 0 GROUP BY 1) SELECT mol_id, magnitude, hardness, round(coalesce(c, 0), {R}) + 0.0 AS coulomb, round(coalesce(l, 0), {R}) AS \"like\", round(coalesce(u, 0), {R}) AS unlike FROM o LEFT JOIN p USING (mol_id)")
 def formal_charge_terms(spark, d):
     return rounded(graph.formal_charge_terms(B.atoms(spark, d), graph.graph_distances(B.bonds(spark, d), 4), {"C": 5.0, "N": 7.2, "O": 6.1}), "hardness", "coulomb", "like", "unlike")
