@@ -12,6 +12,8 @@ from cohortal.operators.loops import checkpointed, joined_in_place, settle
 
 #: The attribute names that other tools use, and ours.
 ALIASES = {"charge": "formal_charge", "hcount": "total_hcount", "is_aromatic": "aromatic", "symbol": "element"}
+MOST_REFINED = 10_000  # rounds of refinement; each splits a class of every molecule that is left
+
 
 def directed(bonds: DataFrame) -> DataFrame:
     """Each bond both ways."""
@@ -160,13 +162,43 @@ def neighbourhood_labels(atoms: DataFrame, bonds: DataFrame, rounds: int) -> Dat
     with joined_in_place(atoms.sparkSession, ["mol_id"], labels, directed(bonds)) as (labels, step):
         labels, step = checkpointed(labels), checkpointed(step)
         for _ in range(rounds):
-            near = step.join(labels.select("mol_id", F.col("atom_id").alias("b"), "label").hint("merge"), ["mol_id", "b"])
-            around = near.groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.sort_array(F.collect_list(F.concat(F.col("bond_order").cast("int").cast("string"), F.lit(":"), "label"))).alias("around"))  # an atom's bonds
-            labels = labels.join(around.hint("merge"), ["mol_id", "atom_id"], "left").select("mol_id", "atom_id", F.sha2(F.concat_ws(",", "label", F.array_join(F.coalesce("around", F.array().cast("array<string>")), ",")), 256).alias("label"))
-            labels = checkpointed(labels)
+            labels = checkpointed(_refined(labels, step))
     return labels
 
 
+def _refined(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """Each label hashed with its sorted bonds and neighbours' labels."""
+    near = step.join(labels.select("mol_id", F.col("atom_id").alias("b"), "label").hint("merge"), ["mol_id", "b"])
+    around = near.groupBy("mol_id", F.col("a").alias("atom_id")).agg(F.sort_array(F.collect_list(F.concat(F.col("bond_order").cast("int").cast("string"), F.lit(":"), "label"))).alias("around"))  # an atom's bonds
+    return labels.join(around.hint("merge"), ["mol_id", "atom_id"], "left").select("mol_id", "atom_id", F.sha2(F.concat_ws(",", "label", F.array_join(F.coalesce("around", F.array().cast("array<string>")), ",")), 256).alias("label"))
+
+
+def stable_classes(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
+    """(mol_id, atom_id, label): labels refined until no class of any molecule splits further; equal labels are one class.
+
+    Seeds hold element, hydrogens, charge, aromaticity, hybridization (where there is one) and degree. Labels are hashed with their
+    own last one, so classes only split; a molecule whose number of classes stays is settled and leaves the rounds. The
+    longest way that a difference travels bounds their number. Nulls in a seed count as absent.
+    """
+    parts = ["element", "total_hcount", "formal_charge", "aromatic", *(["hybridization"] if "hybridization" in atoms.columns else []), "degree"]
+    known = atoms.join(degrees(bonds).hint("merge"), ["mol_id", "atom_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    seeds = known.select("mol_id", "atom_id", F.sha2(F.array_join(F.array(*(F.col(c).cast("string") for c in parts)), "|", "-"), 256).alias("label"))
+    counted = lambda df: df.join(df.groupBy("mol_id").agg(F.countDistinct("label").alias("classes")).hint("merge"), "mol_id")
+    with joined_in_place(atoms.sparkSession, ["mol_id"], seeds, directed(bonds)) as (labels, step):
+        step, active = checkpointed(step), checkpointed(counted(checkpointed(labels)))
+        settled = active.limit(0).select("mol_id", "atom_id", "label")
+        for k in range(1, MOST_REFINED + 1):
+            refined = counted(_refined(active.select("mol_id", "atom_id", "label"), step)).withColumnsRenamed({"label": "next", "classes": "more"})
+            both = checkpointed(active.join(refined.hint("merge"), ["mol_id", "atom_id"]))
+            settled = settled.unionByName(both.where("more = classes").select("mol_id", "atom_id", "label"))
+            active = both.where("more > classes").select("mol_id", "atom_id", F.col("next").alias("label"), F.col("more").alias("classes"))
+            if not active.limit(1).count():
+                return settled
+            if k % 32 == 0:
+                settled = checkpointed(settled)
+    raise RuntimeError(f"classes still split after {MOST_REFINED} rounds")
+
+
 def hashed_environments(labels: DataFrame, bins: int = 128, prefix: str = "wl") -> DataFrame:
     """(mol_id, name, value): labels counted into signed bins."""
     place, sign = signed_bin(F.col("label"), bins)

@@ -768,7 +768,7 @@ def _labels(spark, d):
     return graph.neighbourhood_labels(B.atoms(spark, d), B.bonds(spark, d), 2)
 
 
-@query("neighbourhood_labels", f"WITH {_WL2} SELECT mol_id, atom_id, label FROM wl2")
+@query("neighbourhood_labels", f"WITH {_WL2.replace('wl1 AS (', 'wl1 AS MATERIALIZED (').replace('wl0 AS (', 'wl0 AS MATERIALIZED (')} SELECT mol_id, atom_id, label FROM wl2")
 def neighbourhood_labels(spark, d):
     return _labels(spark, d)
 
@@ -783,6 +783,15 @@ def symmetry_terms(spark, d):
     return rounded(graph.symmetry_terms(_labels(spark, d)), "entropy")
 
 
+# eight rounds: an order has fewer than ten lines, and each round before the last splits a class
+_STABLE = f"{B.ATOMS}, {B.BONDS}, {_DIRECTED}, degree AS (SELECT mol_id, a AS atom_id, count(*) AS degree FROM directed GROUP BY 1, 2), wl0 AS MATERIALIZED (SELECT mol_id, atom_id, sha256(concat_ws('|', element, total_hcount, formal_charge, aromatic, hybridization, coalesce(degree, 0))) AS label FROM atoms LEFT JOIN degree USING (mol_id, atom_id)), " + ", ".join(_WLN.format(k=k, j=k - 1).replace(" AS (SELECT", " AS MATERIALIZED (SELECT") for k in range(1, 9))
+
+
+@query("symmetry_classes", f"WITH {_STABLE}, c AS (SELECT mol_id, label, count(*) AS n FROM wl8 GROUP BY 1, 2), t AS (SELECT *, n / sum(n) OVER (PARTITION BY mol_id) AS p FROM c) SELECT mol_id, count(*) AS classes, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS equivalent_pairs, round(-sum(p * ln(p)), {R}) + 0.0 AS entropy FROM t GROUP BY 1")
+def symmetry_classes(spark, d):
+    return rounded(graph.symmetry_terms(graph.stable_classes(B.atoms(spark, d), B.bonds(spark, d))), "entropy")
+
+
 @query("graph_identity", f"WITH RECURSIVE {_WL2}, reach(mol_id, x, y) AS (SELECT mol_id, atom_id, atom_id FROM atoms UNION SELECT r.mol_id, r.x, e.b FROM reach r JOIN directed e ON e.mol_id = r.mol_id AND e.a = r.y), comp AS (SELECT mol_id, x AS atom_id, min(y) AS comp FROM reach GROUP BY 1, 2), parts AS (SELECT mol_id, comp, sha256(string_agg(label, ',' ORDER BY label)) AS part FROM wl2 JOIN comp USING (mol_id, atom_id) GROUP BY 1, 2) SELECT mol_id, sha256(string_agg(part, '.' ORDER BY part)) AS identity FROM parts GROUP BY 1")
 def graph_identity(spark, d):
     return graph.graph_identity(_labels(spark, d), graph.graph_components(B.atoms(spark, d), B.bonds(spark, d)))

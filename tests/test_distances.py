@@ -90,3 +90,27 @@ def test_charge_decay(spark):
     got = {r["mol_id"]: tuple(r)[1:] for r in graph.charge_decay(atoms, bonds, distances.graph_distances(bonds)).collect()}
     assert got[1] == (0.5 * 0.5 + 0.25 * 0.5 + 0.75 * 0.25, -0.0625 * 0.5 + 0.125 * 0.5 - 0.125 * 0.25, 0.75, 0.0, 0.0, 1)
     assert got[2] == (0.0, 0.0, 0.0, 0.0, 0.0, 0)
+
+
+def classes(n, bonds):
+    """Sorted class sizes of plain colour refinement from degrees, and the number of rounds that split something."""
+    near = [[b for a, b in [*bonds, *((y, x) for x, y in bonds)] if a == k] for k in range(n)]
+    colour, rounds = [len(x) for x in near], 0
+    while True:
+        new = [(colour[k], tuple(sorted(colour[j] for j in near[k]))) for k in range(n)]
+        if len(set(new)) == len(set(colour)):
+            return sorted(Counter(colour).values()), rounds
+        names = {c: k for k, c in enumerate(sorted(set(new)))}
+        colour, rounds = [names[c] for c in new], rounds + 1
+
+
+def test_classes_are_refined_until_none_splits(spark):
+    shapes = {1: (15, [(k, k + 1) for k in range(14)]), 2: (6, [(k, (k + 1) % 6) for k in range(6)]), 3: (7, [(0, 1), (1, 2), (2, 3), (3, 4), (2, 5), (5, 6)]), 4: (1, [])}
+    atoms = spark.createDataFrame([(m, k, "C", 0, 0, False) for m, (n, _) in shapes.items() for k in range(n)], "mol_id long, atom_id int, element string, total_hcount int, formal_charge int, aromatic boolean")
+    bonds = spark.createDataFrame([(m, a, b, 1.0) for m, (_, e) in shapes.items() for a, b in e], "mol_id long, a int, b int, bond_order double")
+    got = graph.stable_classes(atoms, bonds).collect()
+    for m, (n, e) in shapes.items():
+        assert sorted(Counter(r["label"] for r in got if r["mol_id"] == m).values()) == classes(n, e)[0]
+    assert classes(*shapes[1])[1] > 2 and len(got) == 29
+    terms = {r["mol_id"]: (r["classes"], r["equivalent_pairs"]) for r in graph.symmetry_terms(graph.stable_classes(atoms, bonds)).collect()}
+    assert terms == {1: (8, 7), 2: (1, 15), 3: (3, 6), 4: (1, 0)}
