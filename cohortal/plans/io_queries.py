@@ -11,6 +11,7 @@ from cohortal.operators import enrich, linear, metrics, prep, reactions
 from cohortal.operators.loops import shared_folder
 from cohortal.plans import bindings as B
 from cohortal.plans.queries import _CORR, _RANKED, R, query, rounded
+from cohortal.sources import labelling
 from cohortal.sources import tables as T
 from cohortal.streaming import scoring
 
@@ -297,3 +298,22 @@ def rename_terms(spark, d):
 @query("largest_weights", "SELECT concat('t', s_suppkey) AS name, round(s_acctbal, 2) AS weight FROM supplier ORDER BY abs(round(s_acctbal, 2)) DESC, name LIMIT 30")
 def largest_weights(spark, d):
     return linear.largest_weights(_supplier_model(spark, d).select("name", "weight"), 30)
+
+
+@query("label_table", "SELECT c_custkey AS key, CASE WHEN c_custkey % 20 = 0 THEN 'worker_error' ELSE 'success' END AS status, CASE WHEN c_custkey % 20 <> 0 THEN CAST(c_custkey % 7 AS DOUBLE) END AS value, CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END AS attempt FROM customer")
+def label_table(spark, d):
+    """A first attempt that fails on every tenth key, a second that fails on every twentieth; the latest result of each key."""
+    manifest = B.read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("item"))
+    path = shared_folder(spark, "labels")
+
+    def failing(n):
+        def evaluate(item):
+            if item % n == 0:
+                raise ValueError("no value")
+            return item % 7
+
+        return evaluate
+
+    labelling.label_table(manifest, path, failing(10), ["key"], 1, 2)
+    found = labelling.label_table(manifest, path, failing(20), ["key"], 2, 2, retry=True)
+    return prep.upsert(found.select("key", "status", "value", "attempt"), ["key"], "attempt")
