@@ -27,15 +27,15 @@ def motif_terms(atoms: DataFrame, bonds: DataFrame, rewards: dict[str, float]) -
     """
     step = directed(bonds)
     double = step.where("bond_order >= 2").select("mol_id", F.col("a").alias("atom_id")).distinct()
-    beside = step.where("bond_order < 2").join(double.withColumnRenamed("atom_id", "b"), ["mol_id", "b"], "left_semi").select("mol_id", F.col("a").alias("atom_id")).distinct()
-    hetero = atoms.where(F.col("element").isin("N", "O", "S")).join(double, ["mol_id", "atom_id"], "left_anti").join(beside, ["mol_id", "atom_id"], "left_semi")
+    beside = step.where("bond_order < 2").join(double.withColumnRenamed("atom_id", "b").hint("merge"), ["mol_id", "b"], "left_semi").select("mol_id", F.col("a").alias("atom_id")).distinct()
+    hetero = atoms.where(F.col("element").isin("N", "O", "S")).join(double.hint("merge"), ["mol_id", "atom_id"], "left_anti").join(beside.hint("merge"), ["mol_id", "atom_id"], "left_semi")
     lone = hetero.groupBy("mol_id").agg(F.count("*").alias("lone_pair"))
     carbon = atoms.where("element = 'C'").select("mol_id", "atom_id", "total_hcount")
-    ends = step.where("bond_order >= 2").join(carbon.select("mol_id", F.col("atom_id").alias("a")), ["mol_id", "a"], "left_semi").join(carbon.select("mol_id", F.col("atom_id").alias("b")), ["mol_id", "b"], "left_semi").select("mol_id", "a").distinct()
-    arms = step.where("bond_order < 2").join(ends, ["mol_id", "a"], "left_semi").join(carbon.select("mol_id", F.col("atom_id").alias("b"), "total_hcount"), ["mol_id", "b"])
+    ends = step.where("bond_order >= 2").join(carbon.select("mol_id", F.col("atom_id").alias("a")).hint("merge"), ["mol_id", "a"], "left_semi").join(carbon.select("mol_id", F.col("atom_id").alias("b")).hint("merge"), ["mol_id", "b"], "left_semi").select("mol_id", "a").distinct()
+    arms = step.where("bond_order < 2").join(ends.hint("merge"), ["mol_id", "a"], "left_semi").join(carbon.select("mol_id", F.col("atom_id").alias("b"), "total_hcount").hint("merge"), ["mol_id", "b"])
     counted = arms.groupBy("mol_id").agg(F.count("*").alias("substitution"), F.sum((F.col("total_hcount") > 0).cast("int")).alias("hyperconjugation"))
     names = ("lone_pair", "substitution", "hyperconjugation")
-    j = atoms.select("mol_id").distinct().join(lone, "mol_id", "left").join(counted, "mol_id", "left").select("mol_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
+    j = atoms.select("mol_id").distinct().join(lone.hint("merge"), "mol_id", "left").join(counted.hint("merge"), "mol_id", "left").select("mol_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
     return j.withColumn("reward", sum((F.col(n) * F.lit(float(rewards.get(n, 0.0))) for n in names), F.lit(0.0)))
 
 
@@ -47,13 +47,13 @@ def flexible_distances(bonds: DataFrame, rings: DataFrame, cutoff: int) -> DataF
     marked = near.join(inside.hint("merge"), ["mol_id", "_x", "_y"], "left")
     rigid = flag(bonds, "bond_aromatic") | flag(bonds, "conjugated") | F.col("_side").isNotNull() | (F.col("bond_order") >= 1.5)
     flexible = (~rigid).cast("int")
-    one = marked.select("mol_id", "a", "b", flexible.alias("f"))
-    step = one.unionByName(one.select("mol_id", F.col("b").alias("a"), F.col("a").alias("b"), "f"))
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), flexible.alias("f"))
+    step = marked.select("mol_id", F.inline(F.array(way("a", "b"), way("b", "a"))))
     step = checkpointed(step)
     seen = frontier = step.groupBy("mol_id", "a", "b").agg(F.min("f").alias("flexible")).withColumn("d", F.lit(1))
     for d in range(2, cutoff + 1):
-        further = frontier.select("mol_id", "a", F.col("b").alias("mid"), "flexible").join(step.select("mol_id", F.col("a").alias("mid"), "b", "f"), ["mol_id", "mid"]).where("a <> b")
-        frontier = checkpointed(further.groupBy("mol_id", "a", "b").agg(F.min(F.col("flexible") + F.col("f")).alias("flexible")).join(seen, ["mol_id", "a", "b"], "left_anti").withColumn("d", F.lit(d)))
+        further = frontier.select("mol_id", "a", F.col("b").alias("mid"), "flexible").join(step.select("mol_id", F.col("a").alias("mid"), "b", "f").hint("merge"), ["mol_id", "mid"]).where("a <> b")
+        frontier = checkpointed(further.groupBy("mol_id", "a", "b").agg(F.min(F.col("flexible") + F.col("f")).alias("flexible")).join(seen.hint("merge"), ["mol_id", "a", "b"], "left_anti").withColumn("d", F.lit(d)))
         seen = seen.unionByName(frontier)
     return seen
 
@@ -70,7 +70,7 @@ def rigid_pairs(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFra
     donor = atoms.where(hetero & (F.col("total_hcount") > 0)).select("mol_id", F.col("atom_id").alias("donor"))
     acceptor = atoms.where(hetero & free).select("mol_id", F.col("atom_id").alias("acceptor"))
     far = flexible_distances(bonds, rings, 5).where("d >= 4 and flexible <= 1").select("mol_id", F.col("a").alias("donor"), F.col("b").alias("acceptor"), "d")
-    left = checkpointed(far.join(donor, ["mol_id", "donor"], "left_semi").join(acceptor, ["mol_id", "acceptor"], "left_semi").select("mol_id", "donor", "acceptor", "d"))
+    left = checkpointed(far.join(donor.hint("merge"), ["mol_id", "donor"], "left_semi").join(acceptor.hint("merge"), ["mol_id", "acceptor"], "left_semi").select("mol_id", "donor", "acceptor", "d"))
     picked = None
     for _ in range(MOST_ROUNDS):
         order = F.struct(F.concat(F.lit("("), F.col("donor").cast("string"), F.lit(", "), F.col("acceptor").cast("string"), F.lit(")")).alias("text"), "donor", "acceptor")

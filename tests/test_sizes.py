@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortal.operators import nested, studies
+from cohortal.operators import graph, nested, studies
+from cohortal.plans import bindings as B
+from cohortal.plans import queries as Q
 
 
 def _unrelated(spark):
@@ -23,3 +25,22 @@ def test_without_a_stable_term(spark):
     assert all(c["terms"] == [] and c["lasso"] is None for c in study.choices)
     assert {r["prediction"] for r in study.predictions.where("model = 'expanded'").collect()} == {0.0}
     assert study.predictions.where("model = 'expanded'").count() == 400
+
+
+def test_molecules_as_rows_and_by_joins(spark, sf_dir):
+    atoms, bonds = B.atoms(spark, sf_dir).where("mol_id < 400"), B.bonds(spark, sf_dir, several=True).where("mol_id < 400")
+    every = lambda df: sorted(map(tuple, df.collect()))
+    assert every(graph.graph_components(atoms, bonds)) == every(graph.graph_components(atoms, bonds, most=3))
+    assert every(graph.neighbourhood_labels(atoms, bonds, 2)) == every(graph.neighbourhood_labels(atoms, bonds, 2, most=3))
+    assert every(graph.symmetry_terms(graph.stable_classes(atoms, bonds))) == every(graph.symmetry_terms(graph.stable_classes(atoms, bonds, most=3)))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_shuffle_inside_molecules_and_nothing_broadcast(spark, sf_dir):
+    for name in ("graph_identity", "symmetry_terms", "exocyclic_bonds", "feature_families"):
+        plan = _plan(Q.QUERIES[name](spark, sf_dir))
+        assert "BroadcastExchange" not in plan, name
+        assert name == "feature_families" or "Exchange hashpartitioning(mol_id" not in plan, name  # names of three kinds are put together first
