@@ -190,6 +190,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([items, pa.array(score.max(axis=1))], names=["item", "nearest"])
 
 
+def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(grp, item_a, item_b, similarity): pairs of the items of two blocks, or of one with itself, that have a bit in common."""
+    for batch in batches:
+        groups, kind = batch.column("grp"), batch.column("item").type.value_type
+        for k, row in enumerate(_rows([batch])):
+            both = _common(row["item_bits"], row["bits"])
+            items, others = row["items"].to_numpy(), row["item"].to_numpy()
+            open_ = both > 0
+            if row["own"]:
+                open_ &= items[:, None] < others[None, :]
+            a, b = np.nonzero(open_)
+            common = both[a, b]
+            score = common / (row["item_n"].to_numpy()[a] + row["n"].to_numpy()[b] - common)
+            x, y = items[a], others[b]
+            grp = groups.take(pa.array(np.full(len(a), k)))
+            yield pa.RecordBatch.from_arrays([grp, pa.array(np.minimum(x, y), kind), pa.array(np.maximum(x, y), kind), pa.array(score)], names=["grp", "item_a", "item_b", "similarity"])
+
+
 def group_nearest(nearest: DataFrame, groups: DataFrame) -> DataFrame:
     """(grp, minimum, median, maximum) of the nearest similarities of each group's items."""
     joined = nearest.join(groups.select("item", "grp").distinct().hint("merge"), "item")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortal.operators import graph, nested, studies
+from cohortal.operators import cohort, graph, nested, studies
 from cohortal.plans import bindings as B
 from cohortal.plans import queries as Q
 
@@ -44,3 +44,15 @@ def test_no_shuffle_inside_molecules_and_nothing_broadcast(spark, sf_dir):
         plan = _plan(Q.QUERIES[name](spark, sf_dir))
         assert "BroadcastExchange" not in plan, name
         assert name == "feature_families" or "Exchange hashpartitioning(mol_id" not in plan, name  # names of three kinds are put together first
+
+
+def test_pairs_of_blocks(spark):
+    sets = {k: {j for j in range(9) if (k * (j + 3)) % 5 < 2} for k in range(40)}
+    rows = [(k, k % 3, j) for k, own in sets.items() for j in own]
+    bits = spark.createDataFrame(rows, "item long, grp int, bit int")
+    want = {(a % 3, a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in sets for b in sets if a < b and a % 3 == b % 3 and sets[a] & sets[b]}
+    for block in (4, 512):
+        found = cohort.tanimoto_pairs(bits, block)
+        assert [f.dataType.simpleString() for f in found.schema] == ["int", "bigint", "bigint", "double"]
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
