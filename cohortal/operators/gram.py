@@ -24,8 +24,8 @@ SCHEMA = "fold long, i int, j int, part long, cells binary"
 
 
 def item_rows(long: DataFrame, key: str = "item", *carry: str) -> DataFrame:
-    """(key, *carry, places, values) of long(key, *carry, k, value): a row a key, whose places are terms at most."""
-    held = long.groupBy(key, *carry).agg(F.collect_list(F.struct("k", "value")).alias("_kv"))
+    """(key, *carry, places, values) of long(key, *carry, k, value), by place: a row a key, whose places are terms at most."""
+    held = long.groupBy(key, *carry).agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("_kv"))
     return held.select(key, *carry, F.col("_kv.k").alias("places"), F.col("_kv.value").alias("values"))
 
 

@@ -4,9 +4,11 @@ import hashlib
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from cohortal.operators import nested
+from cohortal.operators import metrics, nested
 from cohortal.operators.linear import System
+from cohortal.operators.ordering import average_ranks
 from cohortal.operators.resampling import ranks
 
 
@@ -75,3 +77,36 @@ def test_study_equals_split_by_split_training(spark):
     row = nested.model_deltas(study.predictions, "expanded", "baseline", 50).first()
     assert row["pearson_low"] <= row["pearson_delta"] <= row["pearson_high"] and row["groups"] <= 32
     assert study.choice_frame().count() == outer
+
+
+def test_cells_equal_items(spark):
+    """Items with the same values in a row of sums each: the same systems as from every item, and no row of the study's scoring is an item's."""
+    rows = [(k, f"g{k % 3}", float(k * 7 % 11), float(k // 3 % 2)) for k in range(120)]
+    items = spark.createDataFrame([r[:3] for r in rows], "item long, grp string, label double")
+    features = spark.createDataFrame([(k, g, n, v) for k, g, _, x in rows for n, v in (("a", x), ("b", 2.0 - x)) if v], "item long, grp string, name string, value double")
+    copies = nested.inner_copies(items, 3, 2)
+    want = System.by_fold(features, copies, "label", True)
+    held = items.join(nested.item_rows(nested.numbered(features, ["a", "b"])), "item")
+    cells = held.groupBy("grp", "places", "values").agg(F.count("*").alias("n"), F.sum("label").alias("y"), (F.var_pop("label") * F.count("*")).alias("rest"))
+    assert cells.count() == 6
+    got = System.of_cells(nested.inner_copies(cells, 3, 2), ["a", "b"])
+    assert set(got) == set(want)
+    for fold, s in want.items():
+        assert got[fold].n == s.n and abs(got[fold].square - s.square) < 1e-8
+        assert np.allclose(got[fold].matrix, s.matrix) and np.allclose(got[fold].right, s.right)
+
+
+def test_correlations_of_cells(spark):
+    """Weighted cells give the correlations of their rows, ties and constant predictions or labels included."""
+    rows = [(g, float((k * 5 + k // 7) % (1 if g == "flat" else 6)), float(0 if g == "one" else k % 4)) for g in ("a", "b", "flat", "one") for k in range(40 if g == "a" else 9)]
+    df = spark.createDataFrame([(g, i, y, p) for i, (g, y, p) in enumerate(rows)], "grp string, item long, label double, prediction double")
+    want = {r["grp"]: r for r in metrics.rank_metrics(df, "keep_ties").collect()}
+    n, mean = df.groupBy("grp").agg(F.count("*").alias("_n"), F.avg("label").alias("_m")), F.col("label") - F.col("_m")
+    ranked = average_ranks(df, ["grp"], "label", "_r").join(n, "grp").withColumn("c", mean).withColumn("r", F.col("_r") - (F.col("_n") + 1) / 2)
+    cells = ranked.groupBy("grp", "prediction").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"), F.sum("r").alias("r"), F.sum(F.col("r") * F.col("r")).alias("s"))
+    got = {r["grp"]: r for r in metrics.cell_correlations(cells, ["grp"]).collect()}
+    assert set(got) == set(want)
+    for g, r in want.items():
+        assert got[g]["size"] == r["size"]
+        for c in ("pearson", "spearman"):
+            assert (got[g][c] is None) == (r[c] is None) and (r[c] is None or abs(got[g][c] - r[c]) < 1e-12), (g, c)
