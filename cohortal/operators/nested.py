@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cohortal.operators import metrics, resampling
 from cohortal.operators.cohort import fold_of
 from cohortal.operators.gram import item_rows
-from cohortal.operators.linear import System, in_several, numbered, term_names, total
+from cohortal.operators.linear import System, dot, in_several, numbered, term_names, total
 from cohortal.operators.loops import checkpointed, with_small
 from cohortal.operators.ordering import average_ranks
 
@@ -39,9 +39,7 @@ def scored_by(rows: DataFrame, names: list[str], weights: dict[int, list[dict[st
     """rows(fold, places, values, ...) with scores, an array of `many` numbers: those of the fold's weights, added in the order of the places."""
     listed = [(fold, [[w.get(n, 0.0) for n in names] for w in each]) for fold, each in weights.items()]
     at = F.broadcast(rows.sparkSession.createDataFrame(listed, "fold long, _w array<array<double>>"))  # terms times folds
-    products = lambda k: F.zip_with("places", "values", lambda p, x: x * F.get(F.get("_w", F.lit(k)), p))
-    score = lambda k: F.coalesce(F.aggregate(products(k), F.lit(0.0), lambda a, b: a + b), F.lit(0.0))
-    return rows.join(at, "fold", "left").withColumn("scores", F.array(*map(score, range(many)))).drop("_w")
+    return rows.join(at, "fold", "left").withColumn("scores", F.array(*(dot(F.get("_w", F.lit(k))) for k in range(many)))).drop("_w")
 
 
 class Study:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortal.operators import gram, linear, margins, metrics, ordering, resampling
+from cohortal.operators import gram, linear, margins, metrics, ordering, resampling, studies
 
 
 def rows_of(seed=1, sizes=(1, 2, 7, 40, 90), ties=True):
@@ -196,3 +196,26 @@ def test_no_fit_plan_has_one_task_for_all_rows(spark, monkeypatch):
     linear.fit_group_ridge(items, features, 1.0)
     assert len(plans) == 2 and not any("SinglePartition" in p or "Window" in p for p in plans)
     assert sum(p.count("SortMergeJoin") for p in plans) <= 2
+
+
+def test_metrics_of_equal_predictions_in_many_parts(spark):
+    """A constant prediction has no correlation, however its parts' deviations round; ties share ranks; nulls take the other way."""
+    rows = [(k, float(k * 37 % 101), 0.1 if m == "flat" else float(k % 5), m) for k in range(200) for m in ("flat", "tied")]
+    df = spark.createDataFrame(rows, "item long, label double, prediction double, model string").repartition(7)
+    got = {r["model"]: r for r in metrics.regression_metrics(df, "model").collect()}
+    assert got["flat"]["pearson"] is None and got["flat"]["spearman"] is None
+    y, p = np.array([r[1] for r in rows if r[3] == "tied"]), np.array([r[2] for r in rows if r[3] == "tied"])
+    want = np.corrcoef(resampling.ranks(y), resampling.ranks(p))[0, 1]
+    assert abs(got["tied"]["spearman"] - want) < 1e-12
+    none = spark.createDataFrame([(999, None, 1.0, "tied")], df.schema)
+    assert abs(metrics.regression_metrics(df.unionByName(none), "model").where("model = 'tied'").first()["n"] - 201) == 0
+
+
+def test_ladder_of_items_with_equal_values(spark):
+    items = spark.createDataFrame([(k, "g", float(k % 6 + 2 * (k % 3))) for k in range(60)], "item long, grp string, label double")
+    counts = spark.createDataFrame([(k, e, n) for k in range(60) for e, n in (("C", k % 6 + 1), ("N", k % 3)) if n], "item long, element string, n long")
+    features = spark.createDataFrame([(k, "g", "edges", float(k % 3)) for k in range(60) if k % 3], "item long, grp string, name string, value double")
+    plans = {r["model"]: r for r in studies.baseline_ladder(items, counts, features, linear.weights_frame(spark, {"edges": 2.0, "doubles": 1.0})).collect()}
+    assert set(plans) == {"mean", "composition", "composition_size", "connectivity", "full"}
+    assert plans["composition"]["rmse"] < 1e-8 and plans["full"]["rmse"] < 1e-8 and plans["mean"]["pearson"] is None
+    assert abs(plans["connectivity"]["mae"] - 2.5) < 1e-12
