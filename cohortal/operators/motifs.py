@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from cohortal.operators.distances import MOST_BONDS
 from cohortal.operators.graph import count_of, directed, flag, ring_edges
 from cohortal.operators.loops import checkpointed
 
 MOST_ROUNDS = 50
+#: How many bonds donors and acceptors are apart, and more flexible bonds than any path may have.
+NEAREST, FARTHEST, FAR = 4, 5, 1000
 
 
 def should_run(mode: str, rotatable: Column, margin: Column, near: float = 0.1) -> Column:
@@ -39,15 +47,19 @@ def motif_terms(atoms: DataFrame, bonds: DataFrame, rewards: dict[str, float]) -
     return j.withColumn("reward", sum((F.col(n) * F.lit(float(rewards.get(n, 0.0))) for n in names), F.lit(0.0)))
 
 
-def flexible_distances(bonds: DataFrame, rings: DataFrame, cutoff: int) -> DataFrame:
-    """(mol_id, a, b, d, flexible): shortest paths, with the fewest flexible bonds on one. Rigid are aromatic and conjugated bonds, sides of
-    a ring and bonds of order 1.5 or more."""
+def marked_bonds(bonds: DataFrame, rings: DataFrame) -> DataFrame:
+    """(mol_id, a, b, f): whether a bond is flexible (1) or rigid (0), as aromatic and conjugated bonds, sides of a ring and bonds of order
+    1.5 or more are."""
     inside = ring_edges(rings).select("mol_id", F.col("a").alias("_x"), F.col("b").alias("_y")).distinct().withColumn("_side", F.lit(True))
     near = bonds.withColumn("_x", F.least("a", "b")).withColumn("_y", F.greatest("a", "b"))
     marked = near.join(inside.hint("merge"), ["mol_id", "_x", "_y"], "left")
     rigid = flag(bonds, "bond_aromatic") | flag(bonds, "conjugated") | F.col("_side").isNotNull() | (F.col("bond_order") >= 1.5)
-    flexible = (~rigid).cast("int")
-    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), flexible.alias("f"))
+    return marked.select("mol_id", "a", "b", (~rigid).cast("int").alias("f"))
+
+
+def flexible_distances(marked: DataFrame, cutoff: int) -> DataFrame:
+    """(mol_id, a, b, d, flexible): shortest paths over marked_bonds(), with the fewest flexible bonds on one."""
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), "f")
     step = marked.select("mol_id", F.inline(F.array(way("a", "b"), way("b", "a"))))
     step = checkpointed(step)
     seen = frontier = step.groupBy("mol_id", "a", "b").agg(F.min("f").alias("flexible")).withColumn("d", F.lit(1))
@@ -58,18 +70,74 @@ def flexible_distances(bonds: DataFrame, rings: DataFrame, cutoff: int) -> DataF
     return seen
 
 
-def rigid_pairs(atoms: DataFrame, bonds: DataFrame, rings: DataFrame) -> DataFrame:
+def rigid_pairs(atoms: DataFrame, bonds: DataFrame, rings: DataFrame, most: int = MOST_BONDS) -> DataFrame:
     """(mol_id, donor, acceptor, d): donors and acceptors four or five bonds apart over at most one flexible bond.
 
     Donors are N, O and S with hydrogen and without a positive charge; acceptors N, O and S without a positive charge that have a
-    lone pair (lone_pairs, where atoms has that column). Greedy in the order of the pair written as text; an atom serves once. In each round the pairs that are first for both of
-    their atoms are taken and what they touch goes, which is what the one-by-one choice gives.
+    lone pair (lone_pairs, where atoms has that column). Greedy in the order of the pair written as text; an atom serves once. A
+    molecule of up to `most` bonds is one row; larger ones are joined.
     """
     hetero = F.col("element").isin("N", "O", "S") & (F.coalesce("formal_charge", F.lit(0)) <= 0)
     free = F.coalesce(F.col("lone_pairs"), F.lit(0)) > 0 if "lone_pairs" in atoms.columns else F.lit(True)
-    donor = atoms.where(hetero & (F.col("total_hcount") > 0)).select("mol_id", F.col("atom_id").alias("donor"))
-    acceptor = atoms.where(hetero & free).select("mol_id", F.col("atom_id").alias("acceptor"))
-    far = flexible_distances(bonds, rings, 5).where("d >= 4 and flexible <= 1").select("mol_id", F.col("a").alias("donor"), F.col("b").alias("acceptor"), "d")
+    able = atoms.where(hetero).select("mol_id", "atom_id", (F.col("total_hcount") > 0).alias("gives"), free.alias("takes"))
+    marked = marked_bonds(bonds, rings)
+    large = checkpointed(bonds.groupBy("mol_id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mol_id"))
+    if not large.limit(1).count():
+        return _packed_pairs(able, marked)
+    cut = lambda df, how: df.join(large.hint("merge"), "mol_id", how)
+    return _packed_pairs(able, cut(marked, "left_anti")).unionByName(_joined_pairs(able, cut(marked, "left_semi")))
+
+
+def _packed_pairs(able: DataFrame, marked: DataFrame) -> DataFrame:
+    """rigid_pairs() of able(mol_id, atom_id, gives, takes), a row a molecule."""
+    kinds = {"mol_id": marked.schema["mol_id"].dataType, "donor": able.schema["atom_id"].dataType, "acceptor": able.schema["atom_id"].dataType, "d": IntegerType()}
+    lists = lambda df, **of: df.groupBy("mol_id").agg(*(F.collect_list(c).alias(n) for n, c in of.items()))
+    line = F.struct("a", "b", F.coalesce("f", F.lit(FAR)).alias("f"))
+    rows = lists(marked.where("a is not null and b is not null"), lines=line).where(F.size("lines") >= NEAREST)
+    ends = lists(able, donors=F.when(F.col("gives"), F.col("atom_id")), acceptors=F.when(F.col("takes"), F.col("atom_id"))).where((F.size("donors") > 0) & (F.size("acceptors") > 0))
+    rows = rows.join(ends.hint("merge"), "mol_id").select("mol_id", F.col("lines.a").alias("a"), F.col("lines.b").alias("b"), F.col("lines.f").alias("f"), "donors", "acceptors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(m, *p) for m, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p in _greedy_pairs(*row)]
+            columns = zip(*found, strict=True) if found else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, to_arrow_type(t)) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    return rows.mapInArrow(run, StructType([StructField(n, t) for n, t in kinds.items()]))
+
+
+def _greedy_pairs(a: list, b: list, f: list, donors: list, acceptors: list) -> list[tuple]:
+    """(donor, acceptor, d) of one molecule, whose bonds are (a, b, flexible)."""
+    steps: dict = {}
+    for x, y, cost in zip(a, b, f, strict=True):
+        steps.setdefault(x, []).append((y, cost))
+        steps.setdefault(y, []).append((x, cost))
+    ends, found = set(acceptors), []
+    for donor in donors:
+        seen, frontier = {donor}, {donor: 0}
+        for d in range(1, FARTHEST + 1):
+            further: dict = {}
+            for x, so_far in frontier.items():
+                for y, cost in steps.get(x, ()):
+                    if y not in seen:
+                        further[y] = min(further.get(y, FAR), so_far + cost)
+            if d >= NEAREST:
+                found += [(f"({donor}, {y})", donor, y, d) for y, cost in further.items() if cost <= 1 and y in ends]
+            seen.update(further)
+            frontier = further
+    used, out = set(), []
+    for _, donor, acceptor, d in sorted(found):
+        if donor not in used and acceptor not in used:
+            used |= {donor, acceptor}
+            out.append((donor, acceptor, d))
+    return out
+
+
+def _joined_pairs(able: DataFrame, marked: DataFrame) -> DataFrame:
+    """rigid_pairs() by joins. In each round the pairs that are first for both of their atoms are taken and what they touch goes, which is
+    what the one-by-one choice gives."""
+    donor, acceptor = able.where("gives").select("mol_id", F.col("atom_id").alias("donor")), able.where("takes").select("mol_id", F.col("atom_id").alias("acceptor"))
+    far = flexible_distances(marked, FARTHEST).where((F.col("d") >= NEAREST) & (F.col("flexible") <= 1)).select("mol_id", F.col("a").alias("donor"), F.col("b").alias("acceptor"), "d")
     left = checkpointed(far.join(donor.hint("merge"), ["mol_id", "donor"], "left_semi").join(acceptor.hint("merge"), ["mol_id", "acceptor"], "left_semi").select("mol_id", "donor", "acceptor", "d"))
     picked = None
     for _ in range(MOST_ROUNDS):

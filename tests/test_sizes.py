@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortal.operators import cohort, graph, nested, studies
+from cohortal.operators import cohort, graph, motifs, nested, studies
 from cohortal.plans import bindings as B
 from cohortal.plans import queries as Q
 
@@ -35,6 +35,16 @@ def test_molecules_as_rows_and_by_joins(spark, sf_dir):
     assert every(graph.symmetry_terms(graph.stable_classes(atoms, bonds))) == every(graph.symmetry_terms(graph.stable_classes(atoms, bonds, most=3)))
 
 
+def test_rigid_pairs_as_rows_and_by_joins(spark, sf_dir):
+    atoms, bonds = B.atoms(spark, sf_dir).where("mol_id < 900"), B.bonds(spark, sf_dir).where("mol_id < 900")
+    rings = graph.rings_of_closures(bonds)
+    every = lambda df: sorted(map(tuple, df.collect()))
+    want = every(motifs.rigid_pairs(atoms, bonds, rings, most=4))
+    packed = motifs.rigid_pairs(atoms, bonds, rings)
+    assert want and every(packed) == want
+    assert "Exchange hashpartitioning(mol_id" not in _plan(Q.QUERIES["rigid_pairs"](spark, sf_dir))
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
