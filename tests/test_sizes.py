@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cohortal.operators import cohort, graph, motifs, nested, studies
@@ -45,6 +46,22 @@ def test_rigid_pairs_as_rows_and_by_joins(spark, sf_dir):
     assert "Exchange hashpartitioning(mol_id" not in _plan(Q.QUERIES["rigid_pairs"](spark, sf_dir))
 
 
+def test_moments_as_rows_and_by_joins(spark):
+    entries = [(1, 1, 1, 1, 0.5), (1, 1, 1, 2, -1.0), (1, 1, 2, 1, -1.0), (1, 1, 2, 2, 0.25), (1, 1, 2, 3, 2.0), (1, 1, 3, 2, 2.0), (1, 7, 7, 7, 3.0), (2, 4, 4, 4, -1.5), (2, 4, 4, 5, 1.0), (2, 4, 4, 5, 1.0), (2, 4, 5, 4, 2.0)]
+    matrix = spark.createDataFrame(entries, "mol_id long, system int, i int, j int, value double")
+    want = {}
+    for m, s in {(e[0], e[1]) for e in entries}:
+        at = {x: k for k, x in enumerate(sorted({e[2] for e in entries if e[:2] == (m, s)}))}
+        a = np.zeros((len(at),) * 2)
+        for e in entries:
+            if e[:2] == (m, s):
+                a[at[e[2]], at[e[3]]] += e[4]
+        want[m] = want.get(m, np.zeros(3)) + [np.trace(np.linalg.matrix_power(a, k)) / len(at) for k in (2, 3, 4)]
+    for most in (0, 4, 100):
+        got = {r["mol_id"]: r[1:] for r in graph.spectral_moments(matrix, most=most).collect()}
+        assert set(got) == {1, 2} and all(np.allclose(got[m], want[m]) for m in want)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
