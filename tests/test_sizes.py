@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortal.operators import cohort, graph, motifs, nested, studies
+from cohortal.operators import cohort, graph, motifs, nested, packed, studies
 from cohortal.plans import bindings as B
 from cohortal.plans import queries as Q
 
@@ -83,3 +83,30 @@ def test_pairs_of_blocks(spark):
         assert [f.dataType.simpleString() for f in found.schema] == ["int", "bigint", "bigint", "double"]
         got = [tuple(r) for r in found.collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+ODD_ATOMS = [(1, k, "CNOS"[k % 4], k % 3 == 0, k % 2 - (k == 4), k % 2, ("SP", "SP3")[k % 2], k % 3) for k in range(1, 8)] + [(2, 9, "C", False, 0, 1, "SP2", 0), (3, 5, "O", True, -1, 0, "SP3", 1), (3, 2, "N", True, 0, 0, "SP3", 1)]
+ODD_BONDS = [(1, a, b, o, a % 3 == 0, b % 2 == 0) for a, b, o in [(1, 2, 2.0), (2, 3, 1.5), (3, 1, 1.0), (3, 4, 2.0), (3, 4, 2.0), (4, 5, 2.0), (5, 6, 2.0), (6, 6, 2.0), (6, 2, 3.0), (7, 99, 2.0), (99, 1, 2.0)]] + [(3, 5, 2, 1.0, True, False), (4, 1, 2, 2.0, False, True)]
+
+
+def _odd(spark, sf_dir):
+    """Molecules of the tables beside some with rings, repeated bonds, bonds of one atom, bonds whose ends are no atoms, and none at all."""
+    atoms = B.atoms(spark, sf_dir).where("mol_id < 900").select((F.col("mol_id") + 100).alias("mol_id"), "atom_id", "element", "aromatic", "formal_charge", "total_hcount", "hybridization", "lone_pairs")
+    bonds = B.bonds(spark, sf_dir).where("mol_id < 900").select((F.col("mol_id") + 100).alias("mol_id"), "a", "b", "bond_order", "bond_aromatic", "conjugated")
+    odd = spark.createDataFrame(ODD_ATOMS, "mol_id long, atom_id int, element string, aromatic boolean, formal_charge int, total_hcount int, hybridization string, lone_pairs int")
+    return atoms.unionByName(odd), bonds.unionByName(spark.createDataFrame(ODD_BONDS, "mol_id long, a int, b int, bond_order double, bond_aromatic boolean, conjugated boolean"))
+
+
+def _every(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_signatures_inside_tasks_and_by_joins(spark, sf_dir, monkeypatch):
+    atoms, bonds = _odd(spark, sf_dir)
+    want = _every(graph.hashed_signatures(graph.local_signatures(atoms, bonds, graph.graph_distances(bonds, 4))))
+    for rows, size in ((50, 256), (65_536, 256), (50, 4), (50, 0)):  # molecules over the end of a batch, and molecules by joins
+        monkeypatch.setattr(packed, "ROWS", rows)
+        assert want and _every(graph.signature_bins(atoms, bonds, size=size)) == want
+    assert _every(graph.signature_bins(atoms.limit(0), bonds.limit(0))) == []
+    plan = _plan(Q.QUERIES["local_signatures"](spark, sf_dir))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
