@@ -10,11 +10,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 ROWS = 65_536  # rows that are worked on together
+MOST_WALKS = 2_000_000  # paths that are held together
 MOST_HASHED = 200_000  # signatures whose bins a task remembers
-
+RESONANCE = ("components", "sites", "largest", "branch_centres", "cross_conjugated", "paths_2", "paths_3", "paths_4")
 
 
 def in_molecules(rows: DataFrame, schema: StructType, work: Callable[[pa.Table, np.ndarray], pa.RecordBatch]) -> DataFrame:
@@ -87,6 +88,63 @@ def _further(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return which, np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[at], many)
 
 
+def least_reached(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least place that each of n places reaches over the bonds x, y: labels of both ends meet, and then follow their labels."""
+    label = np.arange(n)
+    while True:
+        p, q = label[x], label[y]
+        if np.array_equal(p, q):
+            return label
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
+def resonance_rows(sites: DataFrame, links: DataFrame) -> DataFrame:
+    """graph.resonance_terms() from sites(mol_id, atom_id, aromatic) and links(mol_id, a, b), of which those between sites count."""
+    one = sites.select("mol_id", F.col("atom_id").alias("a"), F.lit(None).cast(sites.schema["atom_id"].dataType).alias("b"), "aromatic", F.lit(False).alias("bond"))
+    two = links.select("mol_id", "a", "b", F.lit(False).alias("aromatic"), F.lit(True).alias("bond"))
+    return in_molecules(one.unionByName(two), StructType([sites.schema["mol_id"], *(StructField(c, LongType()) for c in RESONANCE)]), _resonance)
+
+
+def _resonance(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    g = Graph(table, starts)
+    site = np.zeros(g.n, bool)
+    site[g.own] = True
+    both = site[g.x] & site[g.y]
+    x, y = g.x[both], g.y[both]
+    label = least_reached(g.n, x, y)
+    size = np.bincount(label[g.own], minlength=g.n)  # at a component's least place
+    count = lambda of: np.bincount(g.node_mol[of], minlength=len(starts))
+    own = np.bincount(g.mol[g.atoms], minlength=len(starts))
+    largest = np.zeros(len(starts), np.int64)
+    np.maximum.at(largest, g.node_mol, size)
+    start, end, first = g.steps(x, y)
+    branch = np.diff(first)[g.own] >= 3
+    cross = branch & ~table.column("aromatic").to_numpy()[g.atoms]
+    paths = {k: np.zeros(len(starts), np.int64) for k in (2, 3, 4)}
+
+    def walk(path: list[np.ndarray]) -> None:
+        """Counts the simple paths that go on from these; half of them at a time where these are many."""
+        last = path[-1]
+        if int((first[last + 1] - first[last]).sum()) > MOST_WALKS and len(last) > 1:
+            for part in (slice(None, len(last) // 2), slice(len(last) // 2, None)):
+                walk([p[part] for p in path])
+            return
+        which, step = _further(last, first)
+        to = end[step]
+        new = np.logical_and.reduce([p[which] != to for p in path])
+        path, to = [p[which[new]] for p in path], to[new]
+        paths[len(path)] += count(to[path[0] < to])
+        if len(path) < 4 and len(to):
+            walk([*path, to])
+
+    walk([start, end])
+    keep = np.flatnonzero(own)
+    found = [count(np.flatnonzero(size)), own, largest, count(g.own[branch]), count(g.own[cross]), *paths.values()]
+    return pa.RecordBatch.from_arrays([table.column("mol_id").combine_chunks().take(pa.array(starts[keep])), *(pa.array(v[keep].astype(np.int64)) for v in found)], names=["mol_id", *RESONANCE])
+
+
 def signature_rows(own: DataFrame, lines: DataFrame, least: int, most: int, bins: int) -> DataFrame:
     """graph.signature_bins() from own(mol_id, atom_id, seed, brief), an atom once, and lines(mol_id, a, b, kind)."""
     one = own.select("mol_id", F.col("atom_id").alias("a"), F.lit(None).cast(own.schema["atom_id"].dataType).alias("b"), F.col("seed").alias("s"), "brief", F.lit(False).alias("bond"))

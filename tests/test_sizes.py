@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cohortal.operators import cohort, graph, motifs, nested, packed, studies
@@ -110,3 +113,22 @@ def test_signatures_inside_tasks_and_by_joins(spark, sf_dir, monkeypatch):
     assert _every(graph.signature_bins(atoms.limit(0), bonds.limit(0))) == []
     plan = _plan(Q.QUERIES["local_signatures"](spark, sf_dir))
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_resonance_inside_tasks_and_by_joins(spark, sf_dir, monkeypatch):
+    atoms, bonds = _odd(spark, sf_dir)
+    want = _every(graph.resonance_terms(atoms, bonds, most=0))
+    for rows, most in ((50, 256), (65_536, 256), (50, 4)):
+        monkeypatch.setattr(packed, "ROWS", rows)
+        assert want and _every(graph.resonance_terms(atoms, bonds, most=most)) == want
+    assert _every(graph.resonance_terms(atoms.limit(0), bonds.limit(0))) == []
+    plan = _plan(Q.QUERIES["resonance_terms"](spark, sf_dir))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_paths_of_dense_molecules_in_parts(monkeypatch):
+    n = 9  # of n atoms that are all bonded, any k + 1 in a row are a path
+    ends = [(a, b) for a in range(n) for b in range(a)]
+    table = pa.table({"mol_id": [7] * (n + len(ends)), "a": [*range(n), *(a for a, _ in ends)], "b": pa.array([None] * n + [b for _, b in ends], pa.int64()), "aromatic": [False] * (n + len(ends)), "bond": [False] * n + [True] * len(ends)})
+    monkeypatch.setattr(packed, "MOST_WALKS", 100)
+    assert packed._resonance(table, np.array([0])).to_pylist() == [{"mol_id": 7, "components": 1, "sites": n, "largest": n, "branch_centres": n, "cross_conjugated": n} | {f"paths_{k}": math.perm(n, k + 1) // 2 for k in (2, 3, 4)}]
