@@ -132,3 +132,10 @@ def test_paths_of_dense_molecules_in_parts(monkeypatch):
     table = pa.table({"mol_id": [7] * (n + len(ends)), "a": [*range(n), *(a for a, _ in ends)], "b": pa.array([None] * n + [b for _, b in ends], pa.int64()), "aromatic": [False] * (n + len(ends)), "bond": [False] * n + [True] * len(ends)})
     monkeypatch.setattr(packed, "MOST_WALKS", 100)
     assert packed._resonance(table, np.array([0])).to_pylist() == [{"mol_id": 7, "components": 1, "sites": n, "largest": n, "branch_centres": n, "cross_conjugated": n} | {f"paths_{k}": math.perm(n, k + 1) // 2 for k in (2, 3, 4)}]
+
+
+def test_components_take_a_bond_once(spark, sf_dir):
+    atoms, bonds = _odd(spark, sf_dir)
+    assert _every(graph.graph_components(atoms, bonds)) == _every(graph.graph_components(atoms, bonds, most=0))
+    plan = _plan(Q.QUERIES["graph_components"](spark, sf_dir))
+    assert plan.count("Generate") == 1 and "Exchange" not in plan
