@@ -134,6 +134,18 @@ def test_paths_of_dense_molecules_in_parts(monkeypatch):
     assert packed._resonance(table, np.array([0])).to_pylist() == [{"mol_id": 7, "components": 1, "sites": n, "largest": n, "branch_centres": n, "cross_conjugated": n} | {f"paths_{k}": math.perm(n, k + 1) // 2 for k in (2, 3, 4)}]
 
 
+def test_pi_systems_make_pi_once(spark, sf_dir):
+    atoms, bonds = _odd(spark, sf_dir)
+    pi = graph.assign_pi(atoms, bonds)
+    want = _every(graph.pi_systems(pi, bonds))
+    assert want and _every(graph.pi_systems(pi, bonds, graph.molecule_sizes(atoms, bonds))) == want
+    on = pi.where("included").select("mol_id", "atom_id", "electrons")
+    by_joins = graph.graph_components(on, graph.coupled(pi, bonds), most=0, keep=("electrons",))
+    assert _every(by_joins) == _every(graph.graph_components(on, graph.coupled(pi, bonds), keep=("electrons",)))
+    plan = _plan(Q.QUERIES["pi_systems"](spark, sf_dir))
+    assert plan.count("SortMergeJoin") == 6 and "Exchange" not in plan  # pi three times, two ends of bonds, and a molecule's atoms with its bonds
+
+
 def test_components_take_a_bond_once(spark, sf_dir):
     atoms, bonds = _odd(spark, sf_dir)
     assert _every(graph.graph_components(atoms, bonds)) == _every(graph.graph_components(atoms, bonds, most=0))
