@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cohortal.operators import cohort, graph, motifs, nested, packed, studies
+from cohortal.operators import cohort, graph, linear, metrics, motifs, nested, packed, prep, studies
 from cohortal.plans import bindings as B
 from cohortal.plans import queries as Q
 
@@ -151,3 +151,17 @@ def test_components_take_a_bond_once(spark, sf_dir):
     assert _every(graph.graph_components(atoms, bonds)) == _every(graph.graph_components(atoms, bonds, most=0))
     plan = _plan(Q.QUERIES["graph_components"](spark, sf_dir))
     assert plan.count("Generate") == 1 and "Exchange" not in plan
+
+
+def test_external_evaluation_sums_features_of_sampled_items_alone(spark, sf_dir):
+    items, features, weights = B.mol_items(spark, sf_dir), B.features(spark, sf_dir), linear.weights_frame(spark, Q.WEIGHTS)
+    split = items.withColumn("split", cohort.split_of(F.col("grp")))
+    clean = prep.apply_firewall(prep.rankable_groups(split.where("split = 'external'")), split.where("split = 'training'"), "item", by_group_first=True)
+    plain = linear.score_linear(prep.rankable_groups(cohort.sample_group(prep.rankable_groups(clean), "evaluation", 3).drop("place")), features, weights)
+    columns = ["item", "grp", "label", "split", "prediction"]
+    found = studies.external_scores(items, features, weights, 3)
+    want = _every(metrics.gates(metrics.summarize_groups(metrics.rank_metrics(plain)), {"has_groups": F.col("groups") > 0, "positive_pearson": F.col("pearson") > 0, "beats_chance": F.col("top1") > F.col("chance_top1")}))
+    assert found.count() > 20 and _every(found.select(*columns)) == _every(plain.select(*columns))
+    assert want and _every(studies.evaluate_external(items, features, weights, 3)) == want
+    plan = _plan(studies.evaluate_external(items, features, weights, 3))
+    assert "molecules_" not in plan and "features_" not in plan  # later steps read what was sampled and scored
