@@ -190,7 +190,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([items, pa.array(score.max(axis=1))], names=["item", "nearest"])
 
 
-def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_pairs(batches: Iterator[pa.RecordBatch], digits: int | None = None) -> Iterator[pa.RecordBatch]:
     """(grp, item_a, item_b, similarity): pairs of the items of two blocks, or of one with itself, that have a bit in common."""
     for batch in batches:
         groups, kind = batch.column("grp"), batch.column("item").type.value_type
@@ -202,7 +202,8 @@ def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 open_ &= items[:, None] < others[None, :]
             a, b = np.nonzero(open_)
             common = both[a, b]
-            score = common / (row["item_n"].to_numpy()[a] + row["n"].to_numpy()[b] - common)
+            union = row["item_n"].to_numpy()[a] + row["n"].to_numpy()[b] - common
+            score = common / union if digits is None else np.floor(common * 10.0**digits / union + 0.5) / 10.0**digits
             x, y = items[a], others[b]
             grp = groups.take(pa.array(np.full(len(a), k)))
             yield pa.RecordBatch.from_arrays([grp, pa.array(np.minimum(x, y), kind), pa.array(np.maximum(x, y), kind), pa.array(score)], names=["grp", "item_a", "item_b", "similarity"])

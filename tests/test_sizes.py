@@ -88,6 +88,21 @@ def test_pairs_of_blocks(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pairs_of_words(spark, sf_dir):
+    """Sets of several words, some at their ends, give the pairs that matrix products give; null groups, items and bits give none."""
+    near = lambda k: {-70, 57, 58, -7, 249} if k % 9 == 0 else {(k * (j + 3)) % 320 - 70 for j in range(11)}
+    sets = {k: near(k) for k in range(60)}
+    rows = [(k, "ab"[k % 2], j) for k, own in sets.items() for j in own] + [(90, None, 3), (91, "a", None), (None, "a", 3)]
+    bits = spark.createDataFrame(rows, "item long, grp string, bit int")
+    want = {("ab"[a % 2], a, b, math.floor(len(sets[a] & sets[b]) * 1e6 / len(sets[a] | sets[b]) + 0.5) / 1e6) for a in sets for b in sets if a < b and (a - b) % 2 == 0 and sets[a] & sets[b]}
+    for block, most in ((4, 16), (None, 16), (7, 0), (None, 4)):
+        got = [tuple(r) for r in cohort.tanimoto_pairs(bits, block, 6, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert cohort.tanimoto_pairs(bits.limit(0)).collect() == []
+    plan = _plan(Q.QUERIES["tanimoto_pairs"](spark, sf_dir))
+    assert "MapInArrow" not in plan and "round(" not in plan and "Generate inline" not in plan
+
+
 ODD_ATOMS = [(1, k, "CNOS"[k % 4], k % 3 == 0, k % 2 - (k == 4), k % 2, ("SP", "SP3")[k % 2], k % 3) for k in range(1, 8)] + [(2, 9, "C", False, 0, 1, "SP2", 0), (3, 5, "O", True, -1, 0, "SP3", 1), (3, 2, "N", True, 0, 0, "SP3", 1)]
 ODD_BONDS = [(1, a, b, o, a % 3 == 0, b % 2 == 0) for a, b, o in [(1, 2, 2.0), (2, 3, 1.5), (3, 1, 1.0), (3, 4, 2.0), (3, 4, 2.0), (4, 5, 2.0), (5, 6, 2.0), (6, 6, 2.0), (6, 2, 3.0), (7, 99, 2.0), (99, 1, 2.0)]] + [(3, 5, 2, 1.0, True, False), (4, 1, 2, 2.0, False, True)]
 
