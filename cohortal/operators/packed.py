@@ -15,6 +15,8 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 ROWS = 65_536  # rows that are worked on together
 MOST_WALKS = 2_000_000  # paths that are held together
 MOST_HASHED = 200_000  # signatures whose bins a task remembers
+MOLECULES = 2_048  # molecules that are rows of arrays and worked on together
+SYMMETRY = {"classes": LongType, "equivalent_pairs": LongType, "entropy": DoubleType}
 RESONANCE = ("components", "sites", "largest", "branch_centres", "cross_conjugated", "paths_2", "paths_3", "paths_4")
 
 
@@ -247,3 +249,64 @@ def _signature_bins(table: pa.Table, starts: np.ndarray, least: int, most: int,
     names = pa.array([f"{family}_{str(k).rjust(3, '0')[:3]}" for family in ("atom", "bond", "atom_pair") for k in range(bins)])
     ids = table.column("mol_id").combine_chunks().take(pa.array(starts[key // (3 * bins)]))
     return pa.RecordBatch.from_arrays([ids, names.take(pa.array(key % (3 * bins))), pa.array(value)], names=["mol_id", "name", "value"])
+
+
+def symmetry_rows(rows: DataFrame) -> DataFrame:
+    """(mol_id, *SYMMETRY) of rows(mol_id, atoms, bonds): each atom's (atom_id, label) and each bond's (a, b, kind), as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, MOLECULES):
+                yield _symmetry(batch.slice(k, MOLECULES))
+
+    return rows.select("mol_id", "atoms", "bonds").mapInArrow(run, StructType([rows.schema["mol_id"], *(StructField(c, t()) for c, t in SYMMETRY.items())]))
+
+
+def _refined(colour: np.ndarray, x: np.ndarray, y: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Atoms of one colour stay together where their bonds x to y, as kinds and colours of y in order, are the same."""
+    near = kind * len(colour) + colour[y] + 1
+    order = np.lexsort((near, x))
+    near, many = near[order], np.bincount(x, minlength=len(colour))
+    first = np.cumsum(many) - many
+    for place in range(int(many.max(initial=0))):
+        has = np.flatnonzero(many > place)
+        part = np.zeros(len(colour), np.int64)  # no further bond
+        part[has] = np.unique(near[first[has] + place], return_inverse=True)[1].reshape(-1) + 1
+        colour = _different(colour, part)[1]
+    return colour
+
+
+def _symmetry(batch: pa.RecordBatch) -> pa.RecordBatch:
+    atoms, bonds = batch.column("atoms"), batch.column("bonds")
+    mol, line_mol = (np.repeat(np.arange(len(batch)), pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False)) for c in (atoms, bonds))
+    atoms, bonds = atoms.flatten(), bonds.flatten()
+    ids, label = atoms.field("atom_id"), atoms.field("label").dictionary_encode().indices.to_numpy()
+    named = pa.concat_arrays([ids, bonds.field("a").cast(ids.type), bonds.field("b").cast(ids.type)]).dictionary_encode()
+    place = named.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    own, a, b = np.split(place, [len(atoms), len(atoms) + len(bonds)])
+    key, width = mol * (len(named.dictionary) + 1) + own, len(named.dictionary) + 1
+    order = np.argsort(key, kind="stable")
+
+    def at(ends: np.ndarray) -> np.ndarray:
+        """The atom of each bond's end, -1 where it is none."""
+        wanted = line_mol * width + ends
+        found = order[np.minimum(np.searchsorted(key, wanted, sorter=order), len(key) - 1)]
+        return np.where((key[found] == wanted) & (ends >= 0), found, -1)
+
+    kind = bonds.field("kind")
+    x, y, known = at(a), at(b), kind.is_valid().to_numpy(zero_copy_only=False)
+    on = (x >= 0) & (y >= 0) & known
+    kind = np.unique(kind.fill_null(0).to_numpy(zero_copy_only=False)[on], return_inverse=True)[1].reshape(-1)
+    x, y, kind = np.concatenate([x[on], y[on]]), np.concatenate([y[on], x[on]]), np.concatenate([kind, kind])
+    colour = _different(mol, label)[1]
+    while True:  # classes only split; where none does, no later round splits one
+        further = _refined(colour, x, y, kind)
+        if further.max(initial=-1) == colour.max(initial=-1):
+            break
+        colour = further
+    first, at_class = _different(colour)
+    size, of = np.bincount(at_class, minlength=len(first)), mol[first]
+    added = lambda v: np.bincount(of, v, len(batch))
+    share = size / np.bincount(mol, minlength=len(batch))[of]
+    found = np.bincount(of, minlength=len(batch)), added(size * (size - 1) / 2), -added(share * np.log(share))
+    return pa.RecordBatch.from_arrays([batch.column("mol_id"), pa.array(found[0].astype(np.int64)), pa.array(found[1].astype(np.int64)), pa.array(found[2])], names=["mol_id", *SYMMETRY])

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cohortal.operators import cohort, graph, linear, metrics, motifs, nested, packed, prep, studies
@@ -141,6 +143,30 @@ def test_resonance_inside_tasks_and_by_joins(spark, sf_dir, monkeypatch):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def test_symmetry_is_refined_to_the_end(spark, sf_dir, tmp_path, monkeypatch):
+    atoms, bonds = _odd(spark, sf_dir)
+    chain = spark.createDataFrame([(7, k, "C", False, 0, 0, "SP3", 0) for k in range(15)], atoms.schema)
+    atoms, bonds = atoms.unionByName(chain), bonds.unionByName(spark.createDataFrame([(7, k, k + 1, 1.0, False, False) for k in range(14)], bonds.schema))
+    rounded = lambda df: {r["mol_id"]: (r["classes"], r["equivalent_pairs"], round(r["entropy"], 9)) for r in df.collect()}
+    want = rounded(graph.stable_symmetry(atoms, bonds, most=0))
+    assert want[7][:2] == (8, 7) and len(want) == atoms.select("mol_id").distinct().count()
+    for molecules, most in ((3, 256), (2_048, 256), (3, 4)):
+        monkeypatch.setattr(packed, "MOLECULES", molecules)
+        found = graph.stable_symmetry(atoms, bonds, most=most)
+        assert rounded(found) == want and found.count() == len(want)
+    assert graph.stable_symmetry(atoms.limit(0), bonds.limit(0)).collect() == []
+    # an order of 31 equal lines, which two rounds leave with fewer classes; the query and its SQL
+    lines = pq.read_table(f"{sf_dir}/lineitem.parquet").slice(0, 1)
+    lines = pa.concat_tables([lines] * 31).set_column(lines.schema.get_field_index("l_partkey"), lines.schema.field("l_partkey"), pa.array(range(31), lines.schema.field("l_partkey").type))
+    pq.write_table(lines, tmp_path / "lineitem.parquet")
+    got = Q.QUERIES["symmetry_terms"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    assert [tuple(r) for r in got] == con.execute(Q.SQL["symmetry_terms"]).fetchall()
+    twice = graph.symmetry_terms(graph.neighbourhood_labels(B.atoms(spark, str(tmp_path)), B.bonds(spark, str(tmp_path)), 2)).first()
+    assert got[0]["classes"] > twice["classes"]
+
+
 def test_paths_of_dense_molecules_in_parts(monkeypatch):
     n = 9  # of n atoms that are all bonded, any k + 1 in a row are a path
     ends = [(a, b) for a in range(n) for b in range(a)]
