@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortal.operators import gram, linear, margins, metrics, ordering, resampling, studies
+from cohortal.plans import bindings as B
+from cohortal.plans import queries as Q
 
 
 def rows_of(seed=1, sizes=(1, 2, 7, 40, 90), ties=True):
@@ -219,3 +221,53 @@ def test_ladder_of_items_with_equal_values(spark):
     assert set(plans) == {"mean", "composition", "composition_size", "connectivity", "full"}
     assert plans["composition"]["rmse"] < 1e-8 and plans["full"]["rmse"] < 1e-8 and plans["mean"]["pearson"] is None
     assert abs(plans["connectivity"]["mae"] - 2.5) < 1e-12
+
+
+def test_held_out_ladder_against_plain_fits(spark):
+    """Six models on the training rows, the joint ridge among them, scored on rows that no fit has seen; a group with a new element goes."""
+    rnd = np.random.default_rng(5)
+    splits = ["training", "training", "external", "validation"]
+    items = [(k, f"g{k % 12}", splits[k % 4], float(rnd.normal() * 3 + k % 7)) for k in range(240)]
+    number = {(k, e): n for k in range(240) for e, n in (("C", int(rnd.integers(1, 6))), ("N", int(rnd.integers(0, 3))), ("H", int(rnd.integers(0, 9))), ("O", 2), ("S", int(k % 12 == 2))) if n}
+    value = {(k, t): float(rnd.integers(1, 5)) for k in range(240) for t in ("edges", "doubles", "other") if rnd.random() < 0.7}
+    frozen = {"edges": 0.75, "doubles": -1.25, "absent": 2.0}
+    frame = spark.createDataFrame([(k, g, s, y) for k, g, s, y in items] + [(900, "g0", "training", None)], "item long, grp string, split string, label double").where("label is not null")
+    counts = spark.createDataFrame([(k, e, n) for (k, e), n in number.items()], "item long, element string, n long")
+    features = spark.createDataFrame([(k, "", t, v) for (k, t), v in value.items()], "item long, grp string, name string, value double")
+    got = {(r["model"], r["split"]): r for r in studies.held_out_ladder(frame, counts, features, linear.weights_frame(spark, frozen), 100.0).collect()}
+
+    elements = ["C", "H", "N", "O"]  # S is in no training row
+    of = lambda rows: np.array([[number.get((k, e), 0) for e in elements] for k, *_ in rows], float)
+    sizes = lambda x: np.column_stack([x, x.sum(1) ** 2, (x.sum(1) - x[:, 1]) ** 2])
+    terms = lambda rows: np.array([[value.get((k, t), 0.0) for t in sorted(frozen)] for k, *_ in rows])
+    train = [r for r in items if r[2] == "training"]
+    y, x, f, w = np.array([r[3] for r in train]), of(train), terms(train), np.array([frozen[t] for t in sorted(frozen)])
+
+    def linear_fit(a, target, b):
+        one = lambda m: np.column_stack([m, np.ones(len(m))])
+        return one(b) @ np.linalg.lstsq(one(a), target, rcond=None)[0]
+
+    def ridge_fit(a, target, b):
+        mean, scale = a.mean(0), np.where(a.std(0) > 0, a.std(0), 1.0)
+        z = (a - mean) / scale
+        return target.mean() + (b - mean) / scale @ np.linalg.solve(z.T @ z + 100.0 * np.eye(z.shape[1]), z.T @ (target - target.mean()))
+
+    for split in set(splits):
+        rows = [r for r in items if r[2] == split and not (split != "training" and r[1] == "g2")]
+        own, a, t = np.array([r[3] for r in rows]), of(rows), terms(rows)
+        want = {
+            "mean": np.full(len(rows), y.mean()), "composition": linear_fit(x, y, a), "composition_size": linear_fit(sizes(x), y, sizes(a)),
+            "connectivity": t @ w + (y - f @ w).mean(), "full": linear_fit(x, y - f @ w, a) + t @ w, "joint_ridge": ridge_fit(np.column_stack([x, f]), y, np.column_stack([a, t])),
+        }
+        for model, p in want.items():
+            r = got.pop((model, split))
+            assert r["n"] == len(rows)
+            assert np.allclose([r["mae"], r["rmse"], r["median_abs_error"], r["mean_signed_error"]], [abs(p - own).mean(), np.sqrt(((p - own) ** 2).mean()), np.median(abs(p - own)), (p - own).mean()], atol=1e-9)
+            assert r["pearson"] is None if model == "mean" else abs(r["pearson"] - np.corrcoef(p, own)[0, 1]) < 1e-9
+    assert not got
+
+
+def test_ladder_query_has_every_model(spark, sf_dir):
+    got = Q.QUERIES["baseline_ladder"](spark, sf_dir).collect()
+    assert {r["model"] for r in got} == {"mean", "composition", "composition_size", "connectivity", "full", "joint_ridge"}
+    assert sum(r["n"] for r in got if r["model"] == "joint_ridge") == B.mol_items(spark, sf_dir).count()  # training has every element
